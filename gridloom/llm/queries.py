@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import exactdedup, linededup, mixing, piecebpe, tokencount
+from gridloom.llm import exactdedup, labelled, linededup, mixing, piecebpe, quality, tokencount, toxicity
 from gridloom.llm.common import table
 
 
@@ -31,6 +31,23 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def _scored(docs: DataFrame, score, held_out) -> DataFrame:
+    scored = docs.select("doc_id", held_out.alias("held_out"), score.alias("score"))
+    return scored.withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    net = quality.train_quality(docs, labels, labelled.fold(3) != 1)
+    return _scored(docs, quality.quality_score(net, F.col("text")), labelled.fold(3) == 1)
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.train_toxicity(docs, labels, labelled.fold(5) != 0)
+    return _scored(docs, toxicity.toxicity_score(model, F.col("text")), labelled.fold(5) == 0)
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = linededup.drop_common_lines(table(spark, sf_dir, "documents"), min_docs=10, min_chars=1)
     return lines.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -41,7 +58,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op3_exact_dedup, op5_token_counts, op6_mix_sources, op9_line_dedup, op10_sentencepiece]
+    found = [op3_exact_dedup, op5_token_counts, op6_mix_sources, op7_quality, op8_toxicity, op9_line_dedup, op10_sentencepiece]
     return {f.__name__: f for f in found}
 
 
