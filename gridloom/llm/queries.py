@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import exactdedup, labelled, linededup, mixing, neardup, piecebpe, quality, tokencount, toxicity
+from gridloom.llm import exactdedup, labelled, linededup, mixing, neardup, piecebpe, quality, tokencount, topk, toxicity
 from gridloom.llm.common import table
 
 
@@ -17,6 +17,10 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), k=5, scale=256, every=50)
+
+
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), percent=85, words=5)
 
@@ -62,7 +66,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_near_duplicates, op3_exact_dedup, op5_token_counts, op6_mix_sources, op7_quality, op8_toxicity, op9_line_dedup, op10_sentencepiece]
+    found = [op1_topk, op2_near_duplicates, op3_exact_dedup, op5_token_counts, op6_mix_sources, op7_quality, op8_toxicity, op9_line_dedup, op10_sentencepiece]
     return {f.__name__: f for f in found}
 
 
@@ -72,6 +76,14 @@ _WS = r"[\x20\x09-\x0D]"
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_topk": """
+            WITH i AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+                       WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+                         AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+                 p AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
+                       FROM i q JOIN i c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id AND len(q.v) = len(c.v)),
+                 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM p)
+            SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
         "op3_exact_dedup": f"""
             WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '{_WS}+', ' ', 'g') AS t FROM documents),
                  w AS (SELECT doc_id, t, row_number() OVER (PARTITION BY t ORDER BY doc_id) AS pos,
