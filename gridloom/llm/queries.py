@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import exactdedup, labelled, linededup, mixing, neardup, piecebpe, quality, tokencount, topk, toxicity
+from gridloom.llm import exactdedup, labelled, licenses, linededup, mixing, neardup, piecebpe, quality, tokencount, topk, toxicity
 from gridloom.llm.common import table
 
 
@@ -29,6 +29,10 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exactdedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"), licenses.template_table(spark), percent=80)
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = tokencount.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
     return counts.withColumn("over_limit", F.col("n_tokens") > 2048)
@@ -66,7 +70,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_topk, op2_near_duplicates, op3_exact_dedup, op5_token_counts, op6_mix_sources, op7_quality, op8_toxicity, op9_line_dedup, op10_sentencepiece]
+    found = [op1_topk, op2_near_duplicates, op3_exact_dedup, op4_license_scan, op5_token_counts, op6_mix_sources, op7_quality, op8_toxicity, op9_line_dedup, op10_sentencepiece]
     return {f.__name__: f for f in found}
 
 
@@ -74,6 +78,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 _WS = r"[\x20\x09-\x0D]"
 
 
+_FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _template_values() -> str:
+    return ", ".join(f"('{k}', '{v}')" for k, v in licenses.TEMPLATES.items())
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_topk": """
@@ -90,6 +101,15 @@ def oracle_sql() -> dict[str, str]:
                               first(doc_id) OVER (PARTITION BY t ORDER BY doc_id) AS keep_id,
                               count(*) OVER (PARTITION BY t) AS group_size FROM n)
             SELECT doc_id, keep_id, group_size, pos = 1 AS kept, sha256(t) AS text_sha256 FROM w""",
+        "op4_license_scan": f"""
+            WITH t(license_id, text) AS (VALUES {_template_values()}),
+                 tw AS (SELECT license_id, list_filter(string_split_regex({_FOLD}, '[^0-9a-z]+'), lambda x: x <> '') AS w FROM t),
+                 ts AS (SELECT DISTINCT license_id, array_to_string(w[i:i+4], ' ') AS s FROM (SELECT *, unnest(range(1, len(w) - 3)) AS i FROM tw)),
+                 tn AS (SELECT license_id, count(*) AS n_template FROM ts GROUP BY license_id),
+                 dw AS (SELECT doc_id, list_filter(string_split_regex({_FOLD}, '[^0-9a-z]+'), lambda x: x <> '') AS w FROM documents),
+                 ds AS (SELECT DISTINCT doc_id, array_to_string(w[i:i+4], ' ') AS s FROM (SELECT *, unnest(range(1, len(w) - 3)) AS i FROM dw)),
+                 m AS (SELECT doc_id, license_id, count(*) AS n_matched FROM ds JOIN ts USING (s) GROUP BY ALL)
+            SELECT doc_id, license_id, n_matched, n_template FROM m JOIN tn USING (license_id) WHERE n_matched * 100 >= 80 * n_template""",
         "op9_line_dedup": f"""
             WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
                  l AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM d),
