@@ -2,5 +2,5 @@
 
 from importlib import import_module
 
-for _name in ("arrays", "images"):
+for _name in ("arrays", "images", "transforms"):
     import_module(f"gridloom.plans.{_name}")
