@@ -50,7 +50,7 @@ def subwords(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     own.append(np.arange(len(words)))
     all_ids, all_own = np.concatenate(ids).astype(np.int64), np.concatenate(own)
     order = np.argsort(all_own, kind="stable")
-    return all_ids[order], np.bincount(all_own, minlength=len(words))
+    return all_ids[order].astype(np.int32), np.bincount(all_own, minlength=len(words)).astype(np.int32)
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -88,9 +88,12 @@ class SubwordSoftmax:
             return
         rng = np.random.default_rng(seed)
         vocabulary: dict[bytes, int] = {}
-        docs = [np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in words_of(t)), np.int64) for t in texts]
-        ids, n = subwords(list(vocabulary))
-        first = np.cumsum(n) - n
+        docs = [np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in words_of(t)), np.int32) for t in texts]
+        listed = list(vocabulary)
+        found = [subwords(listed[k : k + 20_000]) for k in range(0, len(listed), 20_000)]
+        ids, n = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+        del listed, found, vocabulary
+        first = np.cumsum(n, dtype=np.int64) - n
         weight = np.where(y == 1, 0.5 / (y == 1).mean(), 0.5 / (y == 0).mean())
         seen = np.full(BUCKETS, 1e-6, np.float32)
         seen_out, seen_bias = np.full((DIM, 2), 1e-3, np.float32), np.full(2, 1e-3, np.float32)
@@ -113,8 +116,8 @@ class SubwordSoftmax:
                         w = w[k * SEGMENT : (k + 1) * SEGMENT]
                     chosen.append(w)
                 words = np.concatenate(chosen)
-                held = np.array([n[w].sum() for w in chosen])
-                each = n[words]
+                held = np.array([n[w].sum(dtype=np.int64) for w in chosen])
+                each = n[words].astype(np.int64)
                 subs = ids[np.repeat(first[words], each) + np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)]
                 begin = np.cumsum(held) - held
                 bag = np.add.reduceat(self.embed[subs], begin) / held[:, None]
