@@ -2,5 +2,5 @@
 
 from importlib import import_module
 
-for _name in ("arrays", "images", "transforms"):
+for _name in ("arrays", "images", "transforms", "matching", "ordered", "streams"):
     import_module(f"gridloom.plans.{_name}")

@@ -74,9 +74,9 @@ def _(s, d):
     return _v(G.resize_linear(u8(s, d), 40, 100), 6)
 
 
-@query("resize_cubic", _tap_sql(40, 100, [-1, 0, 1, 2], _cubic_sql, 9))
+@query("resize_cubic", _tap_sql(44, 92, [-1, 0, 1, 2], _cubic_sql, 4))
 def _(s, d):
-    return _v(G.resize_cubic(u8(s, d), 40, 100), 9)
+    return _v(G.resize_cubic(u8(s, d), 44, 92), 4)
 
 
 @query("resize_area", f"WITH {Q} SELECT img_id, CAST(y // 4 AS INT) AS y, CAST(x // 4 AS INT) AS x, c, round(avg(v), 6) AS v FROM q GROUP BY 1, 2, 3, 4")
