@@ -1,12 +1,13 @@
 """License scans: MinHash bands over overlapping text windows retrieve templates, exact containment verifies them.
 
 Words are runs of 0-9 and a-z (A-Z lower-cased). A template's 5-word shingles are cut into units of up to UNIT shingles;
-a text's shingles are covered by windows of SPAN shingles, one every HOP, so that each run of UNIT shingles lies in a
-window whole. Windows and units have one minimum per band (BANDS of one row each, the hash XORed with the band's
-constant). A unit of n shingles is at least n / SPAN similar to its window, so a band retrieves it with that probability
-and all of them with 1 - (1 - n / SPAN) ** BANDS: 0.99 for n = 2, above 0.9999 from n = 4. Units of one shingle are looked up as they
-are. What is retrieved is verified by intersecting the unit's shingles with those around the window; a text holds
-a template if at least ``percent`` per cent of the template's distinct shingles are found in it.
+a text's shingles are covered by windows of SPAN shingles, one every HOP, so that each run of UNIT shingles lies whole in
+the window that has its first shingle among its first HOP. Windows and units have one minimum per band (BANDS of one row
+each, the hash XORed with the band's constant). A unit of n shingles is at least n / SPAN similar to that window, so a band
+retrieves it with that probability and all of them with 1 - (1 - n / SPAN) ** BANDS: 0.9985 for n = 4, 0.9998 for n = 5.
+Units of up to DIRECT shingles are too short for that and are looked up by each single shingle (a window of one).
+What is retrieved is verified by intersecting the unit's shingles with the window's; a text holds a template
+if at least ``percent`` per cent of the template's distinct shingles are found in it.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from gridloom.llm.common import ascii_lower, columns
 
-WORDS, UNIT, SPAN, HOP, BANDS = 5, 5, 8, 4, 16
+WORDS, UNIT, SPAN, HOP, BANDS, DIRECT = 5, 5, 12, 8, 16, 3
 #: Most rows of template minima that are sent to all tasks (16 bytes each); beyond it they are joined by shuffle.
 SENT = 500_000
 
@@ -41,12 +42,16 @@ def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select("*", F.explode(F.array(value)).alias(name))
 
 
-def with_shingles(df: DataFrame, words: int = WORDS) -> DataFrame:
-    """df (with text) and h: 64-bit hashes of the word shingles in order; rows with fewer words than a shingle has go."""
+def with_words(df: DataFrame, words: int = WORDS) -> DataFrame:
+    """df (with text) and w: 64-bit hashes of its words in order; rows with fewer words than a shingle has go."""
     df = _once(df, "w", F.array_remove(F.split(ascii_lower(F.coalesce("text", F.lit(""))), "[^0-9a-z]+"), ""))
-    at = F.sequence(F.lit(0), F.size("w") - words)
-    one = F.transform(at, lambda i: F.xxhash64(*(F.get("w", i + k) for k in range(words))))
-    return _once(df.where(F.size("w") >= words), "h", one).drop("w", "text")
+    return _once(df.where(F.size("w") >= words).drop("text"), "wh", F.transform("w", lambda x: F.xxhash64(x))).drop("w")
+
+
+def _shingle(words: str, at: int) -> Column:
+    """The shingle that starts at word ``at``; null if the words end before it does."""
+    parts = [F.get(words, F.lit(at + k)) for k in range(WORDS)]
+    return F.when(parts[-1].isNotNull(), F.xxhash64(*parts))
 
 
 def _minima(members: list[Column]) -> Column:
@@ -58,7 +63,9 @@ def _minima(members: list[Column]) -> Column:
 
 def template_units(templates: DataFrame) -> DataFrame:
     """license_id, total (distinct shingles), unit (its shingles); templates: license_id, text."""
-    held = with_shingles(templates).withColumn("total", F.size(F.array_distinct("h")).cast("long"))
+    held = with_words(templates)
+    every = F.transform(F.sequence(F.lit(0), F.size("wh") - WORDS), lambda i: F.xxhash64(*(F.get("wh", i + k) for k in range(WORDS))))
+    held = _once(held, "h", every).withColumn("total", F.size(F.array_distinct("h")).cast("long"))
     last = F.greatest(F.size("h") - UNIT, F.lit(0))
     starts = F.array_distinct(F.concat(F.sequence(F.lit(0), last, F.lit(UNIT)), F.array(last)))
     return held.select("license_id", "total", F.explode(F.transform(starts, lambda s: F.slice("h", s + 1, F.lit(UNIT)))).alias("unit"))
@@ -70,33 +77,24 @@ def scan_licenses(docs: DataFrame, templates: DataFrame, percent: int = 80, id_c
     templates: license_id, text; those of fewer than five words can't be found and are passed over, as are null ones. Null,
     empty and shorter texts hold none. Rows that repeat an id are scanned as one document. Empty table: no rows.
     """
-    hashed = with_shingles(columns(docs, id_col, text_col).toDF("doc_id", "text"))
+    texts = with_words(columns(docs, id_col, text_col).toDF("doc_id", "text"))
     units = template_units(templates.select("license_id", "text").where("text is not null and license_id is not null"))
-
-    def near(lookups: DataFrame) -> DataFrame:
-        return F.broadcast(lookups) if lookups.count() <= SENT else lookups
-
-    # units of one shingle
-    singles = units.where("size(unit) = 1").select(F.col("unit")[0].alias("key"), "license_id", "total")
-    hit1 = (
-        hashed.select("doc_id", F.explode("h").alias("key"))
-        .join(near(singles), "key")
-        .select("doc_id", "license_id", "total", F.col("key").alias("shingle"))
-    )
-    # longer units, by the bands of the windows; a window's row also has the HOP shingles on either side
-    starts = F.sequence(F.lit(0), F.greatest(F.size("h") - SPAN + HOP - 1, F.lit(0)), F.lit(HOP))
-    around = F.transform(
-        starts, lambda s: F.slice("h", F.greatest(s - HOP, F.lit(0)) + 1, F.when(s < HOP, SPAN + HOP).otherwise(SPAN + 2 * HOP))
-    )
-    window = hashed.select("doc_id", F.posexplode(around).alias("n", "near"))
-    skip = F.when(F.col("n") == 0, 0).otherwise(HOP)
-    bands = window.select("doc_id", "near", F.explode(_minima([F.get("near", skip + k) for k in range(SPAN)])).alias("key"))
-    many = units.where("size(unit) > 1")
-    keyed = many.select("license_id", "total", "unit", F.explode(_minima([F.get("unit", F.lit(k)) for k in range(UNIT)])).alias("key"))
-    hit = bands.join(near(keyed), "key").select(
-        "doc_id", "license_id", "total", F.explode(F.array_intersect("unit", "near")).alias("shingle")
+    bands = _minima([F.get("unit", F.lit(k)) for k in range(UNIT)])
+    keyed = units.select("license_id", "total", "unit", F.explode(F.when(F.size("unit") <= DIRECT, F.col("unit")).otherwise(bands)).alias("key"))
+    if keyed.count() <= SENT:
+        keyed = F.broadcast(keyed)
+    starts = F.sequence(F.lit(0), F.size("wh") - WORDS, F.lit(HOP))
+    window = texts.select("doc_id", F.explode(F.transform(starts, lambda s: F.slice("wh", s + 1, F.lit(SPAN + WORDS - 1)))).alias("near"))
+    window = window.select("doc_id", *(_shingle("near", k).alias(f"h{k}") for k in range(SPAN)))
+    own = [F.col(f"h{k}") for k in range(SPAN)]
+    keys = F.concat(_minima(own), F.array(*own[:HOP]))
+    probe = window.select("doc_id", F.array(*own).alias("held"), F.explode(keys).alias("key"))
+    found = (
+        probe.join(keyed, "key")
+        .select("doc_id", "license_id", "total", F.explode(F.array_intersect("unit", "held")).alias("shingle"))
+        .groupBy("doc_id", "license_id", "total", "shingle")
+        .agg(F.lit(1).alias("one"))
     )
-    found = hit1.unionByName(hit).groupBy("doc_id", "license_id", "total", "shingle").agg(F.lit(1).alias("one"))
     return (
         found.groupBy("doc_id", "license_id", F.col("total").alias("n_template"))
         .agg(F.count("*").alias("n_matched"))
