@@ -1,0 +1,212 @@
+"""The training-data operators on awkward rows, and against brute force or the libraries."""
+
+import hashlib
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from gridloom.llm import exactdedup, labelled, licenses, linededup, mixing, neardup, piecebpe, quality, queries, tokencount, topk, toxicity
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string, taken string, salt string, h string, shingles string"
+WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau".split()
+
+
+def text(seed, n):
+    r = random.Random(seed)
+    return " ".join(r.choice(WORDS) + str(r.randrange(50)) for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls everywhere, empty and long texts, ties, repeated rows, clashing columns."""
+    base = text(1, 200)
+    rows = [
+        (1, base, "en", "a"), (2, base.replace(" ", "\t\n "), "en", "a"), (3, base + " extra", None, "b"), (4, None, None, None), (5, "", "en", "b"), (6, " \n ", "en", "b"),
+        (7, "One two THREE", "en", "b"), (8, "one two three", "en", None), (9, text(2, 60_000), "en", "a"), (None, "no id here", "en", "a"), (11, "line\nshared\nother", "en", "a"), (11, "line\nshared\nother", "en", "a"),
+        (12, "日本語 ▁ é́ 🙂  x", "xx", "c"),
+    ]
+    return spark.createDataFrame([(i, t, l, s, None, "x", None, "y", None, "z") for i, t, l, s in rows], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def none(odd):
+    return odd.limit(0)
+
+
+def test_exact_dedup(odd, none):
+    got = {(r.doc_id, r.text_sha256): r for r in exactdedup.exact_dedup(odd).collect()}
+    rows = exactdedup.exact_dedup(odd).collect()
+    assert len(rows) == 13 and exactdedup.exact_dedup(none).count() == 0
+    by = {r.doc_id: r for r in rows}
+    assert (by[2].keep_id, by[2].kept, by[2].group_size) == (1, False, 2) and by[1].kept
+    assert by[4].keep_id == 4 and by[5].keep_id == 4 and not by[5].kept
+    assert by[6].text_sha256 == hashlib.sha256(b" ").hexdigest()
+    assert sum(r.kept for r in rows if r.doc_id == 11) == 1
+    assert by[None].kept and (None, by[None].text_sha256) in got
+
+
+def test_line_dedup(spark, odd, none):
+    docs = spark.createDataFrame([(i, f"Head {i}\n  COMMON line \n\nend" if i < 12 else "\tcommon LINE") for i in range(14)], "doc_id long, text string")
+    by = {r.doc_id: r for r in linededup.drop_common_lines(docs).collect()}
+    assert by[0].kept_text == "Head 0\n" and (by[0].n_lines, by[0].n_dropped) == (4, 2)
+    assert by[13].kept_text == "" and by[13].n_dropped == 1
+    rows = {r.doc_id: r for r in linededup.drop_common_lines(odd).collect()}
+    assert (rows[4].n_lines, rows[4].n_dropped, rows[4].kept_text) == (1, 0, "") and linededup.drop_common_lines(odd).count() == 13
+    assert linededup.drop_common_lines(none).count() == 0
+
+
+def test_mixing(spark, odd, none):
+    docs = spark.createDataFrame([(i, text(i, 5 + i % 90), None if i % 9 == 8 else f"s{i % 7}") for i in range(6000)], "doc_id long, text string, source string")
+    rows = mixing.mix_sources(docs).collect()
+    total = sum(r["size"] for r in rows)
+    by = {}
+    for r in rows:
+        assert 0 <= r.taken <= 2 * r["size"] and len(r.text.split()) == r["size"]
+        by.setdefault(r.source, []).append(r)
+    assert abs(sum(rs[0].target for rs in by.values()) - 1.5 * total) < 1e-3
+    for rs in by.values():
+        assert rs[0].source_size == sum(r["size"] for r in rs) and rs[0].target <= 2 * rs[0].source_size + 1e-6
+        assert abs(sum(r.taken for r in rs) - rs[0].target) <= 100
+    again = {r.doc_id: r.taken for r in mixing.mix_sources(docs.repartition(5)).collect()}
+    assert again == {r.doc_id: r.taken for r in rows}
+    assert mixing.mix_sources(odd).count() == 13 and mixing.mix_sources(none).count() == 0
+
+
+def brute_components(docs):
+    sets = {}
+    for i, t in docs:
+        w = (t or "").encode().lower().split()
+        sets[i] = set() if not w else {tuple(w)} if len(w) < 5 else {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+    up = {i: i for i in sets}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    ids = sorted(sets)
+    for k, a in enumerate(ids):
+        for b in ids[k + 1 :]:
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                up[max(x, y)] = min(x, y)
+    return {i: (len(sets[i]), find(i)) for i in ids}
+
+
+def test_near_duplicates(spark, odd, none):
+    r = random.Random(5)
+    docs, base = [(0, text(99, 150))], text(99, 150).split()
+    for i in range(1, 120):  # one long list of near copies, some of them strays
+        w = list(base)
+        for _ in range(r.randrange(6)):
+            w[r.randrange(len(w))] = f"x{r.randrange(10_000)}"
+        docs.append((i, " ".join(w)))
+    for i in range(120, 200):
+        docs.append((i, text(i // 3, 40 + i % 3)))
+    docs += [(200, None), (201, ""), (202, "a b"), (203, "A  b"), (204, "a b c d e")]
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in neardup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == brute_components(docs)
+    rows = neardup.near_duplicates(odd).collect()
+    by = {x.doc_id: x for x in rows}
+    assert len(rows) == 13 and by[2].component_id == 1 and by[3].component_id == 1 and by[4].component_id == 4 and by[8].component_id == 7
+    assert by[None].component_id is None and by[None].kept
+    assert neardup.near_duplicates(none).count() == 0
+
+
+def test_licenses(spark, odd, none):
+    notice = licenses.TEMPLATES["apache-2.0-line"]
+    docs = spark.createDataFrame([(1, text(1, 37) + " " + notice + " " + text(2, 50)), (2, notice.upper()), (3, text(3, 500)), (4, text(4, 11) + "\n" + licenses.TEMPLATES["mit"] + text(5, 90)), (5, None), (6, "mit")], "doc_id long, text string")
+    t = licenses.template_table(spark)
+    got = {(r.doc_id, r.license_id) for r in licenses.scan_licenses(docs, t).collect()}
+    assert got == {(1, "apache-2.0-line"), (2, "apache-2.0-line"), (4, "mit")}
+    assert licenses.scan_licenses(odd, t).count() == 0 and licenses.scan_licenses(none, t).count() == 0
+
+
+def test_token_counts(odd, none):
+    path = queries.tokenizer_path("word_bpe_49k.json")
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(path)
+    got = sorted((r.doc_id is None, r.doc_id, r.n_bytes, r.n_tokens) for r in tokencount.count_tokens(odd, path).collect())
+    want = sorted((r.doc_id is None, r.doc_id, len((r.text or "").encode()), len(lib.encode(r.text or "", add_special_tokens=False).ids)) for r in odd.collect())
+    assert got == want and tokencount.count_tokens(none, path).count() == 0
+
+
+def test_sentencepiece(odd, none):
+    import sentencepiece
+
+    path = queries.tokenizer_path("piece_bpe_32k.model")
+    lib = sentencepiece.SentencePieceProcessor(model_file=path)
+    key = lambda r: (r.doc_id is None, r.doc_id or 0, r.n_tokens if hasattr(r, "n_tokens") else 0)
+    got = sorted(piecebpe.encode_decode(odd, path).collect(), key=key)
+    texts = {r.doc_id: r.text or "" for r in odd.collect()}
+    for r in got:
+        ids = lib.encode(texts[r.doc_id], add_bos=True, add_eos=True)
+        assert r.ids == ids and r.n_tokens == len(ids) and r.decoded == lib.decode(ids)
+    d = {r.doc_id: r for r in piecebpe.encode_digests(odd, path).collect()}
+    assert d[4].ids_sha256 == hashlib.sha256(np.array([1, 2], "<u4").tobytes()).hexdigest()
+    assert piecebpe.encode_decode(none, path).count() == 0
+
+
+def test_top_k(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(0, 0.2, (700, 8))
+    x[100:300] = x[100]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(700, None), (701, [0.1, None] + [0.0] * 6), (702, [float("nan")] + [0.0] * 7), (750, [0.5] * 3), (None, [0.1] * 8)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in topk.top_k(df, k=5, every=50, shard=128).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    w = np.floor(256 * x).astype(np.int64)
+    for q in range(0, 700, 50):
+        s = w @ w[q]
+        order = sorted((i for i in range(700) if i != q), key=lambda i: (-s[i], i))[:5]
+        assert sorted(got[q]) == [(k + 1, i, s[i]) for k, i in enumerate(order)]
+    assert set(got) == set(range(0, 700, 50))
+    assert topk.top_k(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("name, label, mod, held, least", [("op7_quality", "quality", 3, 1, 0.93), ("op8_toxicity", "toxic", 5, 0, 0.9)])
+def test_classifiers_on_held_out_rows(spark, name, label, mod, held, least):
+    d = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{d}/labels.parquet")
+    rows = queries.queries()[name](spark, d).where("held_out").join(labels, "doc_id").select("score", "predicted", label).collect()
+    assert np.mean([r.predicted == r[label] for r in rows]) >= least
+    assert all(0 <= r.score <= 1 for r in rows)
+
+
+def test_classifiers_on_odd_rows(spark, odd, none):
+    labels = spark.createDataFrame([(1, 1), (5, 0), (7, 1), (7, None), (99, 0)], "doc_id long, quality int")
+    net = quality.train_quality(odd, labels, labelled.fold(3) >= 0, max_docs=10)
+    assert odd.select(quality.quality_score(net, F.col("text")).alias("s")).where("s between 0 and 1").count() == 13
+    assert none.select(quality.quality_score(net, F.col("text"))).count() == 0
+    model = toxicity.train_toxicity(odd, labels.withColumnRenamed("quality", "toxic"), labelled.fold(5) >= 0, max_docs=10)
+    assert odd.select(toxicity.toxicity_score(model, F.col("text")).alias("s")).where("s between 0 and 1").count() == 13
+    unlabelled = toxicity.train_toxicity(odd, labels.limit(0).withColumnRenamed("quality", "toxic"), labelled.fold(5) >= 0)
+    assert odd.select(toxicity.toxicity_score(unlabelled, F.col("text")).alias("s")).where("s = 0.5").count() == 13
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_sql(spark, name):
+    from compare import engine, rows
+
+    d = "/root/testdata/sf0.001"
+    assert rows(queries.queries()[name](spark, d).toPandas()) == rows(engine(d).execute(queries.oracle_sql()[name]).df())
+
+
+def test_pipeline(spark):
+    import corpus_pipeline
+
+    d = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    seen = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, seen, d)
+        assert out.columns == docs.columns
+        if name != "mix":
+            assert out.count() <= seen.count()
+        seen = out
+    rows = corpus_pipeline.run(spark, d)
+    assert rows.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and rows.count() == seen.count()
