@@ -4,8 +4,10 @@ Normalised texts are range-partitioned by sampled splitters, sorted inside each
 external sort spills), and neighbours are compared in full by the window operator, so only texts that
 are identical byte for byte meet in a run. Of equal texts the row with the smallest id stays.
 
-A group of copies may hold a third of all rows. The range key is therefore (text, salt): the splitters
-may cut a run of equal texts at any of ``SALTS`` places, each piece is reduced to one head, and the heads
+Splitters are sampled and gathered by the driver, so they must stay short whatever the texts: the range key starts with
+the first HEAD characters of the text, and texts that begin alike are told apart by a 64-bit hash before they are
+compared in full. A group of copies may hold a third of all rows, so a salt ends the range key: the splitters
+may cut a run of equal texts at any of ``SALTS`` places, each piece is reduced to one first row, and those
 of a text are merged by the SHA-256 of the normalised text, of which there are at most ``SALTS`` a text.
 """
 
@@ -16,7 +18,7 @@ from pyspark.sql import functions as F
 
 from gridloom.llm.common import WS, columns, scratch
 
-SALTS = 64
+SALTS, HEAD = 64, 24
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
@@ -30,10 +32,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.regexp_replace(F.coalesce("text", F.lit("")), WS + "+", " ").alias("norm"),
         F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int").alias("salt"),
     )
-    run = Window.partitionBy("norm", "salt")
+    base = base.withColumns({"head": F.substring("norm", 1, HEAD), "h": F.xxhash64("norm")})
+    key = ["head", "h", "salt"]
+    run = Window.partitionBy(*key, "norm")
     by_id = run.orderBy(F.col("doc_id").asc_nulls_last())
     rows = scratch(
-        base.repartitionByRange("norm", "salt").select(
+        base.repartitionByRange(*key).select(
             "doc_id",
             "salt",
             F.unhex(F.sha2("norm", 256)).alias("sha"),
