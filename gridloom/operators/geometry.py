@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from gridloom.operators.cells import border_index, shape, with_shape
 
-X, Y, H, W = F.col("x"), F.col("y"), F.col("h"), F.col("w")
 
 
 def _moved(cells: DataFrame, y: Column, x: Column) -> DataFrame:
@@ -15,16 +14,16 @@ def _moved(cells: DataFrame, y: Column, x: Column) -> DataFrame:
 
 
 def flip(cells: DataFrame, how: str) -> DataFrame:
-    return _moved(cells, H - 1 - Y if how in ("VERTICAL", "BOTH") else Y, W - 1 - X if how in ("HORIZONTAL", "BOTH") else X)
+    return _moved(cells, F.col("h") - 1 - F.col("y") if how in ("VERTICAL", "BOTH") else F.col("y"), F.col("w") - 1 - F.col("x") if how in ("HORIZONTAL", "BOTH") else F.col("x"))
 
 
 def rotate(cells: DataFrame, angle: int) -> DataFrame:
     """90 is clockwise, 270 counter-clockwise."""
-    return _moved(cells, *{90: (X, H - 1 - Y), 180: (H - 1 - Y, W - 1 - X), 270: (W - 1 - X, Y)}[angle])
+    return _moved(cells, *{90: (F.col("x"), F.col("h") - 1 - F.col("y")), 180: (F.col("h") - 1 - F.col("y"), F.col("w") - 1 - F.col("x")), 270: (F.col("w") - 1 - F.col("x"), F.col("y"))}[angle])
 
 
 def transpose(cells: DataFrame) -> DataFrame:
-    return cells.select("img_id", X.alias("y"), Y.alias("x"), "c", "v")
+    return cells.select("img_id", F.col("x").alias("y"), F.col("y").alias("x"), "c", "v")
 
 
 def grid(sizes: DataFrame, h: Column, w: Column) -> DataFrame:
@@ -38,21 +37,21 @@ def channels(cells: DataFrame) -> DataFrame:
 
 def gather(places: DataFrame, cells: DataFrame) -> DataFrame:
     """places (img_id, c, y, x, sy, sx): v of the source cell; null where there is none."""
-    src = cells.select("img_id", "c", Y.alias("sy"), X.alias("sx"), "v")
+    src = cells.select("img_id", "c", F.col("y").alias("sy"), F.col("x").alias("sx"), "v")
     return places.join(src, ["img_id", "c", "sy", "sx"], "left").select("img_id", "y", "x", "c", "v")
 
 
 def make_border(cells: DataFrame, top: int, bottom: int, left: int, right: int, border: str, value: float = 0) -> DataFrame:
-    g = grid(shape(cells).join(channels(cells), "img_id"), H + top + bottom, W + left + right)
-    g = g.withColumn("sy", border_index(Y - top, H, border)).withColumn("sx", border_index(X - left, W, border))
+    g = grid(shape(cells).join(channels(cells), "img_id"), F.col("h") + top + bottom, F.col("w") + left + right)
+    g = g.withColumn("sy", border_index(F.col("y") - top, F.col("h"), border)).withColumn("sx", border_index(F.col("x") - left, F.col("w"), border))
     out = gather(g, cells)
     return out.withColumn("v", F.coalesce("v", F.lit(value))) if border == "CONSTANT" else out
 
 
 def resize_nearest(cells: DataFrame, oh: int, ow: int) -> DataFrame:
     g = grid(shape(cells).join(channels(cells), "img_id"), F.lit(oh), F.lit(ow))
-    sy = F.least(F.floor(Y * (H.cast("double") / oh)), H - 1).cast("int")
-    sx = F.least(F.floor(X * (W.cast("double") / ow)), W - 1).cast("int")
+    sy = F.least(F.floor(F.col("y") * (F.col("h").cast("double") / oh)), F.col("h") - 1).cast("int")
+    sx = F.least(F.floor(F.col("x") * (F.col("w").cast("double") / ow)), F.col("w") - 1).cast("int")
     return gather(g.withColumn("sy", sy).withColumn("sx", sx), cells)
 
 
@@ -63,7 +62,7 @@ def _taps(at: Column, n: Column, weights: list[tuple[int, Column]]) -> Column:
 def _weighted(g: DataFrame, cells: DataFrame, ty: Column, tx: Column) -> DataFrame:
     e = g.withColumn("a", F.explode(ty)).withColumn("b", F.explode(tx))
     e = e.select("img_id", "c", "y", "x", F.col("a.s").alias("sy"), F.col("b.s").alias("sx"), (F.col("a.k") * F.col("b.k")).alias("k"))
-    src = cells.select("img_id", "c", Y.alias("sy"), X.alias("sx"), "v")
+    src = cells.select("img_id", "c", F.col("y").alias("sy"), F.col("x").alias("sx"), "v")
     return e.join(src, ["img_id", "c", "sy", "sx"]).groupBy("img_id", "y", "x", "c").agg(F.sum(F.col("v") * F.col("k")).alias("v"))
 
 
@@ -74,9 +73,9 @@ def _centre(i: Column, n: Column, out: int) -> Column:
 def resize_linear(cells: DataFrame, oh: int, ow: int) -> DataFrame:
     """Pixel-centre mapping, clamped at the edges."""
     g = grid(shape(cells).join(channels(cells), "img_id"), F.lit(oh), F.lit(ow))
-    fy, fx = _centre(Y, H, oh), _centre(X, W, ow)
+    fy, fx = _centre(F.col("y"), F.col("h"), oh), _centre(F.col("x"), F.col("w"), ow)
     dy, dx = fy - F.floor(fy), fx - F.floor(fx)
-    return _weighted(g, cells, _taps(F.floor(fy), H, [(0, 1 - dy), (1, dy)]), _taps(F.floor(fx), W, [(0, 1 - dx), (1, dx)]))
+    return _weighted(g, cells, _taps(F.floor(fy), F.col("h"), [(0, 1 - dy), (1, dy)]), _taps(F.floor(fx), F.col("w"), [(0, 1 - dx), (1, dx)]))
 
 
 def _cubic(x: Column) -> Column:
@@ -87,15 +86,15 @@ def _cubic(x: Column) -> Column:
 
 def resize_cubic(cells: DataFrame, oh: int, ow: int) -> DataFrame:
     g = grid(shape(cells).join(channels(cells), "img_id"), F.lit(oh), F.lit(ow))
-    fy, fx = _centre(Y, H, oh), _centre(X, W, ow)
+    fy, fx = _centre(F.col("y"), F.col("h"), oh), _centre(F.col("x"), F.col("w"), ow)
     dy, dx = fy - F.floor(fy), fx - F.floor(fx)
     taps = (-1, 0, 1, 2)
-    return _weighted(g, cells, _taps(F.floor(fy), H, [(k, _cubic(dy - k)) for k in taps]), _taps(F.floor(fx), W, [(k, _cubic(dx - k)) for k in taps]))
+    return _weighted(g, cells, _taps(F.floor(fy), F.col("h"), [(k, _cubic(dy - k)) for k in taps]), _taps(F.floor(fx), F.col("w"), [(k, _cubic(dx - k)) for k in taps]))
 
 
 def resize_area(cells: DataFrame, factor: int) -> DataFrame:
     """Block means for a whole factor of reduction."""
-    return cells.groupBy("img_id", F.floor(Y / factor).cast("int").alias("y"), F.floor(X / factor).cast("int").alias("x"), "c").agg(F.avg("v").alias("v"))
+    return cells.groupBy("img_id", F.floor(F.col("y") / factor).cast("int").alias("y"), F.floor(F.col("x") / factor).cast("int").alias("x"), "c").agg(F.avg("v").alias("v"))
 
 
 def remap_linear(places: DataFrame, cells: DataFrame) -> DataFrame:
@@ -108,32 +107,32 @@ def remap_linear(places: DataFrame, cells: DataFrame) -> DataFrame:
         for a in (0, 1) for b in (0, 1)
     ))
     e = p.withColumn("p", F.explode(four)).select("img_id", "c", "y", "x", "p.sy", "p.sx", "p.k")
-    src = cells.select("img_id", "c", Y.alias("sy"), X.alias("sx"), "v")
+    src = cells.select("img_id", "c", F.col("y").alias("sy"), F.col("x").alias("sx"), "v")
     return e.join(src, ["img_id", "c", "sy", "sx"], "left").groupBy("img_id", "y", "x", "c").agg(F.sum(F.coalesce("v", F.lit(0)) * F.col("k")).alias("v"))
 
 
 def warp(cells: DataFrame, m: list[list[float]]) -> DataFrame:
     """Gather through a 2x3 (affine) or 3x3 (perspective) matrix that maps output to source places."""
-    g = grid(shape(cells).join(channels(cells), "img_id"), H, W)
-    mx, my = (F.lit(m[k][0]) * X + F.lit(m[k][1]) * Y + F.lit(m[k][2]) for k in (0, 1))
+    g = grid(shape(cells).join(channels(cells), "img_id"), F.col("h"), F.col("w"))
+    mx, my = (F.lit(m[k][0]) * F.col("x") + F.lit(m[k][1]) * F.col("y") + F.lit(m[k][2]) for k in (0, 1))
     if len(m) == 3:
-        d = F.lit(m[2][0]) * X + F.lit(m[2][1]) * Y + F.lit(m[2][2])
+        d = F.lit(m[2][0]) * F.col("x") + F.lit(m[2][1]) * F.col("y") + F.lit(m[2][2])
         mx, my = mx / d, my / d
     return remap_linear(g.withColumn("mx", mx).withColumn("my", my), cells)
 
 
 def crop(cells: DataFrame, y0: int, x0: int, h: int, w: int, step: int = 1) -> DataFrame:
-    part = cells.where((Y >= y0) & (Y < y0 + h) & (X >= x0) & (X < x0 + w) & ((Y - y0) % step == 0) & ((X - x0) % step == 0))
-    return part.select("img_id", F.floor((Y - y0) / step).cast("int").alias("y"), F.floor((X - x0) / step).cast("int").alias("x"), "c", "v")
+    part = cells.where((F.col("y") >= y0) & (F.col("y") < y0 + h) & (F.col("x") >= x0) & (F.col("x") < x0 + w) & ((F.col("y") - y0) % step == 0) & ((F.col("x") - x0) % step == 0))
+    return part.select("img_id", F.floor((F.col("y") - y0) / step).cast("int").alias("y"), F.floor((F.col("x") - x0) / step).cast("int").alias("x"), "c", "v")
 
 
 def spiral(cells: DataFrame) -> DataFrame:
     """pos: clockwise spiral order from the top left corner."""
     c = with_shape(cells)
-    r = F.least(Y, X, H - 1 - Y, W - 1 - X)
-    c = c.withColumn("r", r).withColumn("ih", H - 2 * F.col("r")).withColumn("iw", W - 2 * F.col("r"))
-    before = H * W - F.col("ih") * F.col("iw")
-    ry, rx = Y - F.col("r"), X - F.col("r")
+    r = F.least(F.col("y"), F.col("x"), F.col("h") - 1 - F.col("y"), F.col("w") - 1 - F.col("x"))
+    c = c.withColumn("r", r).withColumn("ih", F.col("h") - 2 * F.col("r")).withColumn("iw", F.col("w") - 2 * F.col("r"))
+    before = F.col("h") * F.col("w") - F.col("ih") * F.col("iw")
+    ry, rx = F.col("y") - F.col("r"), F.col("x") - F.col("r")
     ih, iw = F.col("ih"), F.col("iw")
     along = F.when(ry == 0, rx).when(rx == iw - 1, iw - 1 + ry).when(ry == ih - 1, iw - 1 + ih - 1 + (iw - 1 - rx)).otherwise(2 * (iw - 1) + ih - 1 + (ih - 1 - ry))
     return c.select("img_id", (before + along).cast("int").alias("pos"), "v")

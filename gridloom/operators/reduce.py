@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-V = F.col("v")
 
 
 def sums(cells: DataFrame) -> DataFrame:
@@ -27,7 +26,7 @@ def min_max_loc(cells: DataFrame) -> DataFrame:
     """Min and max of each image with the first position in row-major order."""
     at = F.struct("y", "x", "c")
     return cells.groupBy("img_id").agg(
-        F.min(F.struct(V.alias("v"), at.alias("at"))).alias("lo"), F.min(F.struct((-V).alias("v"), at.alias("at"))).alias("hi")
+        F.min(F.struct(F.col("v").alias("v"), at.alias("at"))).alias("lo"), F.min(F.struct((-F.col("v")).alias("v"), at.alias("at"))).alias("hi")
     ).select(
         "img_id", F.col("lo.v").alias("min_v"), F.col("lo.at.y").alias("min_y"), F.col("lo.at.x").alias("min_x"),
         (-F.col("hi.v")).alias("max_v"), F.col("hi.at.y").alias("max_y"), F.col("hi.at.x").alias("max_x"),
@@ -36,9 +35,9 @@ def min_max_loc(cells: DataFrame) -> DataFrame:
 
 def norms(cells: DataFrame) -> DataFrame:
     """INF, L1, L2 and squared L2 over all channels of an image."""
-    sq = F.sum(V * V)
+    sq = F.sum(F.col("v") * F.col("v"))
     return cells.groupBy("img_id").agg(
-        F.max(F.abs(V)).alias("norm_inf"), F.sum(F.abs(V)).alias("norm_l1"), F.sqrt(sq).alias("norm_l2"), sq.alias("norm_l2sqr")
+        F.max(F.abs(F.col("v"))).alias("norm_inf"), F.sum(F.abs(F.col("v"))).alias("norm_l1"), F.sqrt(sq).alias("norm_l2"), sq.alias("norm_l2sqr")
     )
 
 
@@ -90,7 +89,7 @@ def integral(cells: DataFrame) -> DataFrame:
     """Running sums of v and v squared over the rectangle from the origin; same size as the input."""
     along = Window.partitionBy("img_id", "c", "y").orderBy("x")
     down = Window.partitionBy("img_id", "c", "x").orderBy("y")
-    r = cells.withColumn("s", F.sum(V.cast("long")).over(along)).withColumn("q", F.sum(V.cast("long") * V).over(along))
+    r = cells.withColumn("s", F.sum(F.col("v").cast("long")).over(along)).withColumn("q", F.sum(F.col("v").cast("long") * F.col("v")).over(along))
     return r.select("img_id", "y", "x", "c", F.sum("s").over(down).alias("s"), F.sum("q").over(down).alias("sq"))
 
 
