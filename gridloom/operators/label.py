@@ -7,7 +7,8 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.operators.cells import neighbourhood
+from gridloom.operators.cells import KEY, neighbourhood
+from gridloom.operators.neighbour import corner_products
 
 
 def label_components(cells: DataFrame, connectivity: int, written) -> DataFrame:
@@ -45,6 +46,28 @@ def boundary(cells: DataFrame) -> DataFrame:
     return neighbourhood(cells, 3, "CONSTANT", value).where("v").select("img_id", "y", "x")
 
 
+def canny(cells: DataFrame, low: float, high: float, written) -> DataFrame:
+    """img_id, y, x of edges: the L1 gradient is no smaller than that of both neighbours along its direction (in steps of 45
+    degrees) and over ``low``, and such cells touch (8 neighbours, over any way) one over ``high``."""
+    g = corner_products(cells, "REPLICATE")
+    dx, dy = F.col("dx"), F.col("dy")
+    steep, flat = F.abs(dy) > 2.414213562373095 * F.abs(dx), F.abs(dy) < 0.41421356237309503 * F.abs(dx)
+    g = g.withColumn("v", F.struct((F.abs(dx) + F.abs(dy)).alias("m"), F.when(flat, 0).when(steep, 1).when(dx * dy > 0, 2).otherwise(3).alias("d")))
+
+    def value(at):
+        m = lambda a, b: at(a, b)["m"]
+        o = at(0, 0)
+        side = lambda a, b: F.greatest(m(a, b), m(-a, -b))
+        most = F.when(o["d"] == 0, side(0, 1)).when(o["d"] == 1, side(1, 0)).when(o["d"] == 2, side(1, 1)).otherwise(side(1, -1))
+        return F.when((o["m"] >= most) & (o["m"] > low), o["m"]).otherwise(0.0)
+
+    peaks = neighbourhood(g.select(*KEY, "v"), 3, "REPLICATE", value)
+    thin = written(peaks.where("v > 0"))
+    named = label_components(thin, 8, written).join(thin.select("img_id", "y", "x", "v"), ["img_id", "y", "x"])
+    strong = named.where(F.col("v") > high).select("img_id", "label").distinct()
+    return named.join(strong, ["img_id", "label"], "left_semi").select("img_id", "y", "x")
+
+
 def hough_lines(cells: DataFrame, angles: int, least: int) -> DataFrame:
     """img_id, rho, theta, votes of the non-zero cells: local maxima over the four neighbours with ``least`` votes or more."""
     e = cells.where("v <> 0").withColumn("theta", F.explode(F.sequence(F.lit(0), F.lit(angles - 1))))

@@ -31,6 +31,19 @@ def kalman_1d(values: Column, q: float, r: float) -> Column:
     return F.aggregate(rest, F.struct(F.get(values, F.lit(0)).alias("x"), F.lit(1.0).alias("p")), step)
 
 
+def kalman_sqrt_1d(values: Column, q: float, r: float) -> Column:
+    """kalman_1d carried as the square root s of the variance (Potter's correction): final (x, s)."""
+    rest = F.slice(values, F.lit(2), F.greatest(F.size(values) - 1, F.lit(0)))
+
+    def step(t: Column, z: Column) -> Column:
+        s = F.sqrt(t["s"] * t["s"] + q)
+        a = 1 / (s * s + r)
+        shrink = a / (1 + F.sqrt(a * r))
+        return F.struct((t["x"] + a * s * s * (z - t["x"])).alias("x"), (s - shrink * s * s * s).alias("s"))
+
+    return F.aggregate(rest, F.struct(F.get(values, F.lit(0)).alias("x"), F.lit(1.0).alias("s")), step)
+
+
 def moving_average(df: DataFrame, by: str, order: list[str], value: str, period: int) -> Column:
     """Mean of the last ``period`` samples (of those there are, at the start)."""
     return F.avg(value).over(Window.partitionBy(by).orderBy(*order).rowsBetween(1 - period, 0))
@@ -142,3 +155,33 @@ def bspline_basis(t: Column, i: int, k: int, knots: list[float]) -> Column:
     if knots[i + k + 1] > knots[i + 1]:
         out = out + (knots[i + k + 1] - t) / (knots[i + k + 1] - knots[i + 1]) * bspline_basis(t, i + 1, k - 1, knots)
     return out
+
+
+def find_homography(pairs: DataFrame, by: str, threshold: float = 3.0, rounds: int = 200, seed: int = 7) -> DataFrame:
+    """by, n_inliers, h (9 values, the last 1): the plane map of (sx, sy) to (tx, ty) with most inliers, refitted on them."""
+
+    def run(p: pd.DataFrame) -> pd.DataFrame:
+        import numpy as np
+
+        p = p.sort_values(["sx", "sy", "tx", "ty"])
+        s, t = p[["sx", "sy"]].to_numpy(float), p[["tx", "ty"]].to_numpy(float)
+
+        def fit(i: np.ndarray) -> np.ndarray:
+            m = []
+            for (x, y), (u, v) in zip(s[i], t[i]):
+                m += [[x, y, 1, 0, 0, 0, -u * x, -u * y, -u], [0, 0, 0, x, y, 1, -v * x, -v * y, -v]]
+            return np.linalg.svd(np.array(m))[2][-1].reshape(3, 3)
+
+        def off(h: np.ndarray) -> np.ndarray:
+            w = np.c_[s, np.ones(len(s))] @ h.T
+            z = np.where(np.abs(w[:, 2:]) < 1e-12, 1e-12, w[:, 2:])
+            return np.hypot(*(w[:, :2] / z - t).T)
+
+        rng, best = np.random.default_rng(seed), np.zeros(len(s), bool)
+        for _ in range(rounds if len(s) >= 4 else 0):
+            ok = off(fit(rng.choice(len(s), 4, replace=False))) < threshold
+            best = ok if ok.sum() > best.sum() else best
+        h = fit(np.flatnonzero(best)) if best.sum() >= 4 else np.eye(3)
+        return pd.DataFrame({by: [p[by].iloc[0]], "n_inliers": [int(best.sum())], "h": [(h / h[2, 2]).ravel().tolist()]})
+
+    return pairs.groupBy(by).applyInPandas(run, f"{by} {pairs.schema[by].dataType.simpleString()}, n_inliers long, h array<double>")

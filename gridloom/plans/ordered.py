@@ -40,6 +40,22 @@ def _(s, d):
     return a.select("user_id", F.round("k.x", 6).alias("x"), F.round("k.p", 9).alias("p"))
 
 
+@query("kalman_sqrt", f"""WITH RECURSIVE o AS (SELECT user_id, value, row_number() OVER ({_E}) AS k FROM events), r(user_id, k, x, p) AS (SELECT user_id, k, value, CAST(1 AS DOUBLE) FROM o WHERE k = 1
+    UNION ALL SELECT r.user_id, o.k, r.x + (r.p + 0.01) / (r.p + 0.01 + 4.0) * (o.value - r.x), (1 - (r.p + 0.01) / (r.p + 0.01 + 4.0)) * (r.p + 0.01) FROM r JOIN o ON o.user_id = r.user_id AND o.k = r.k + 1)
+    SELECT user_id, round(x, 6) AS x, round(p, 9) AS p FROM r JOIN (SELECT user_id, max(k) AS k FROM o GROUP BY 1) USING (user_id, k)""")
+def _(s, d):
+    a = S.ordered_array(events(s, d), "user_id", ORD, "value").withColumn("k", S.kalman_sqrt_1d(F.col("values"), 0.01, 4.0))
+    return a.select("user_id", F.round("k.x", 6).alias("x"), F.round(F.col("k.s") * F.col("k.s"), 9).alias("p"))
+
+
+@query("find_homography")
+def _(s, d):
+    c = table(s, d, "customer").select("c_nationkey", (F.col("c_custkey") % 97).cast("double").alias("sx"), (F.col("c_acctbal") / 100).alias("sy"))
+    w = 0.001 * F.col("sx") + 1
+    moved = c.withColumn("tx", (1.1 * F.col("sx") + 0.2 * F.col("sy") + 3) / w).withColumn("ty", (0.9 * F.col("sy") - 0.1 * F.col("sx") + 5) / w)
+    return S.find_homography(moved, "c_nationkey")
+
+
 @query("frame_rate", f"WITH g AS (SELECT event_id, epoch_ns(ts) // 1000000 - lag(epoch_ns(ts) // 1000000) OVER ({_E}) AS gap FROM events) SELECT event_id, round(CASE WHEN gap > 0 THEN 1000.0 / gap ELSE 0 END, 9) AS fps FROM g")
 def _(s, d):
     return events(s, d).select("event_id", F.round(S.frame_rate("user_id", ORD, F.unix_millis(F.col("ts").cast("timestamp"))), 9).alias("fps"))

@@ -177,3 +177,8 @@ def _(s, d):
     n AS (SELECT img_id, rho, theta, count(*) AS votes FROM e GROUP BY 1, 2, 3) SELECT a.img_id, a.rho, a.theta, a.votes FROM n a LEFT JOIN n b ON b.img_id = a.img_id AND abs(b.rho - a.rho) + abs(b.theta - a.theta) = 1 AND b.votes > a.votes WHERE a.votes >= 12 AND b.votes IS NULL""")
 def _(s, d):
     return M.hough_lines(u8(s, d).withColumn("v", F.when(F.col("v") > 150, 1).otherwise(0)), 45, 12)
+
+
+@query("canny")
+def _(s, d):
+    return M.canny(u8(s, d), 60.0, 140.0, writer(s, "canny"))

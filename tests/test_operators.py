@@ -51,6 +51,25 @@ def test_ransac_finds_the_cubic(spark):
     assert np.allclose(fit.coef, [3, 1, -2, 0.5], atol=1e-4)
 
 
+def test_homography_and_edges(spark):
+    from gridloom.operators import label as M
+    from gridloom.sources.shared import writer
+
+    h = np.array([[1.2, 0.1, 5], [-0.2, 0.9, 2], [0.001, 0.002, 1]])
+    rng = np.random.default_rng(3)
+    p = rng.uniform(0, 100, (60, 2))
+    q = np.c_[p, np.ones(60)] @ h.T
+    q = q[:, :2] / q[:, 2:]
+    q[:12] += 40
+    df = spark.createDataFrame([("a", *map(float, u), *map(float, v)) for u, v in zip(p, q)], "k string, sx double, sy double, tx double, ty double")
+    got = S.find_homography(df, "k").first()
+    assert got.n_inliers == 48 and np.allclose(np.array(got.h).reshape(3, 3), h, atol=1e-6)
+    cells = spark.range(20 * 20).select(F.lit(0).cast("long").alias("img_id"), F.floor(F.col("id") / 20).cast("int").alias("y"), (F.col("id") % 20).cast("int").alias("x"), F.lit(0).alias("c"))
+    cells = cells.withColumn("v", F.when(F.col("x") >= 10, 200).otherwise(0))
+    edge = {(r.y, r.x) for r in M.canny(cells, 50.0, 150.0, writer(spark, "t")).collect()}
+    assert edge == {(y, x) for y in range(20) for x in (9, 10)}
+
+
 def test_brackets_and_ini(spark):
     t = spark.createDataFrame([("a(b)[c]{}",), ("(]",), ("((",), ("",), ("([)]",)], "t string")
     assert [r.ok for r in t.select(A.balanced(F.col("t")).alias("ok")).collect()] == [True, False, False, True, False]
