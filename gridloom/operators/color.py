@@ -52,3 +52,42 @@ def bayer(cells: DataFrame) -> DataFrame:
     r = F.when(~ey & ~ex, o).when(~ey, h).when(~ex, v).otherwise(d)
     g = F.when(ey == ex, p).otherwise(o)
     return got.select("img_id", "y", "x", b.alias("b"), g.alias("g"), r.alias("r"))
+
+
+def split_yuv(cells: DataFrame, layout: str, h: int, w: int) -> DataFrame:
+    """img_id, y, x, luma, u, v of frames whose cells are the bytes as stored, in rows of w (packed layouts: of 2 w) bytes.
+
+    NV12, NV21: rows of interleaved chroma under the luma; YU12, YV12: one chroma plane after the other; YUYV, YVYU, UYVY:
+    packed, chroma shared by two pixels. Each byte knows its pixel from its own place, so chroma is one aggregate and one
+    join on (img_id, cy, cx). Cells outside the frame are left out, and so are pixels without chroma. h and w are even.
+    """
+    y, x = F.col("y"), F.col("x")
+    half = lambda e: F.floor(e / 2).cast("int")
+    if layout in ("YUYV", "YVYU", "UYVY"):
+        frame = cells.where((y < h) & (x < 2 * w))
+        is_luma = x % 2 == (1 if layout == "UYVY" else 0)
+        luma = frame.where(is_luma).select("img_id", "y", half(x).alias("x"), "v", y.alias("cy"), F.floor(x / 4).cast("int").alias("cx"))
+        place = frame.where(~is_luma).select("img_id", y.alias("cy"), F.floor(x / 4).cast("int").alias("cx"), (x % 4 < 2).alias("first"), "v")
+    else:
+        luma = cells.where((y < h) & (x < w)).select("img_id", "y", "x", "v", half(y).alias("cy"), half(x).alias("cx"))
+        chroma = cells.where((y >= h) & (y < h + h // 2) & (x < w))
+        if layout in ("NV12", "NV21"):
+            place = chroma.select("img_id", (y - h).alias("cy"), half(x).alias("cx"), (x % 2 == 0).alias("first"), "v")
+        else:
+            size = (h // 2) * (w // 2)
+            k = (y - h) * w + x
+            at = k % size
+            place = chroma.select("img_id", F.floor(at / (w // 2)).cast("int").alias("cy"), (at % (w // 2)).cast("int").alias("cx"), (k < size).alias("first"), "v")
+    u_first = layout in ("NV12", "YU12", "YUYV", "UYVY")
+    is_u = F.col("first") if u_first else ~F.col("first")
+    pairs = place.groupBy("img_id", "cy", "cx").agg(F.max(F.when(is_u, F.col("v"))).alias("u"), F.max(F.when(~is_u, F.col("v"))).alias("cv"))
+    return luma.join(pairs, ["img_id", "cy", "cx"]).select("img_id", "y", "x", F.col("v").alias("luma"), "u", F.col("cv").alias("v"))
+
+
+def rgb_to_p010(r: Column, g: Column, b: Column) -> tuple[Column, Column, Column]:
+    """10-bit channels to 10-bit luma and chroma around 512, each in the upper bits of 16."""
+    ten = lambda e: (F.least(F.greatest(F.bround(e, 0), F.lit(0)), F.lit(1023)) * 64).cast("int")
+    y = F.lit(0.299) * r + F.lit(0.587) * g + F.lit(0.114) * b
+    u = F.lit(-0.1687) * r + F.lit(-0.3313) * g + F.lit(0.5) * b + 512
+    v = F.lit(0.5) * r + F.lit(-0.4187) * g + F.lit(-0.0813) * b + 512
+    return ten(y), ten(u), ten(v)

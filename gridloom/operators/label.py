@@ -77,3 +77,37 @@ def hough_lines(cells: DataFrame, angles: int, least: int) -> DataFrame:
     by_rho, by_theta = Window.partitionBy("img_id", "theta").orderBy("rho").rangeBetween(-1, 1), Window.partitionBy("img_id", "rho").orderBy("theta").rangeBetween(-1, 1)
     n = n.withColumn("m1", F.max("votes").over(by_rho)).withColumn("m2", F.max("votes").over(by_theta))
     return n.where((F.col("votes") >= least) & (F.col("votes") == F.col("m1")) & (F.col("votes") == F.col("m2"))).select("img_id", "rho", "theta", "votes")
+
+
+def hough_segments(cells: DataFrame, angles: int, least: int, length: float, gap: float) -> DataFrame:
+    """img_id, rho, theta, n, y1, x1, y2, x2 of segments: cells that voted for a peak of ``hough_lines``, cut where two
+    neighbours along the line are more than ``gap`` apart, ``length`` long or more.
+
+    Every cell votes, where the usual method draws a sample, so reruns agree. A window holds the cells of one line.
+    """
+    e = cells.where("v <> 0").select("img_id", "y", "x", F.explode(F.sequence(F.lit(0), F.lit(angles - 1))).alias("theta"))
+    t = F.col("theta") * (math.pi / angles)
+    e = e.withColumn("rho", F.bround(F.round(F.col("x") * F.cos(t) + F.col("y") * F.sin(t), 6), 0).cast("int"))
+    on = e.join(hough_lines(cells, angles, least).select("img_id", "rho", "theta"), ["img_id", "rho", "theta"])
+    on = on.withColumn("s", F.round(F.col("y") * F.cos(t) - F.col("x") * F.sin(t), 6))
+    line = Window.partitionBy("img_id", "rho", "theta").orderBy("s", "y", "x")
+    new = F.coalesce(F.col("s") - F.lag("s").over(line) > gap, F.lit(False)).cast("int")
+    on = on.withColumn("new", new).withColumn("part", F.sum("new").over(line.rowsBetween(Window.unboundedPreceding, 0)))
+    ends = on.groupBy("img_id", "rho", "theta", "part").agg(F.count("*").alias("n"), F.min(F.struct("s", "y", "x")).alias("a"), F.max(F.struct("s", "y", "x")).alias("b"))
+    long = ends.where(F.col("b.s") - F.col("a.s") >= length)
+    return long.select("img_id", "rho", "theta", "n", F.col("a.y").alias("y1"), F.col("a.x").alias("x1"), F.col("b.y").alias("y2"), F.col("b.x").alias("x2"))
+
+
+def hough_circles(cells: DataFrame, edge: float, low: int, high: int, least: int) -> DataFrame:
+    """img_id, y, x, radius, votes of circles: a cell with a gradient of ``edge`` or more votes for the centres that lie at
+    each radius of low..high on both sides along its gradient; a centre is a local maximum over its four neighbours with
+    ``least`` votes or more, and has the radius with most of them (ties: the smaller)."""
+    g = corner_products(cells, "REPLICATE").withColumn("m", F.sqrt(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy"))).where((F.col("m") > 0) & (F.col("m") >= edge))
+    reach = F.array(*(F.lit(k) for k in range(-high, high + 1) if abs(k) >= low))
+    g = g.select("img_id", "y", "x", "dx", "dy", "m", F.explode(reach).alias("k"))
+    cy, cx = (F.floor(F.col(p) + F.col("k") * F.col(d) / F.col("m") + 0.5).cast("int") for p, d in (("y", "dy"), ("x", "dx")))
+    by_radius = g.groupBy("img_id", cy.alias("y"), cx.alias("x"), F.abs("k").alias("radius")).agg(F.count("*").alias("n"))
+    n = by_radius.groupBy("img_id", "y", "x").agg(F.sum("n").alias("votes"), F.min(F.struct((-F.col("n")).alias("n"), "radius"))["radius"].alias("radius"))
+    along = lambda a, b: F.max("votes").over(Window.partitionBy("img_id", a).orderBy(b).rangeBetween(-1, 1))
+    n = n.withColumn("m1", along("y", "x")).withColumn("m2", along("x", "y"))
+    return n.where((F.col("votes") >= least) & (F.col("votes") == F.col("m1")) & (F.col("votes") == F.col("m2"))).select("img_id", "y", "x", "radius", "votes")

@@ -70,6 +70,78 @@ def test_homography_and_edges(spark):
     assert edge == {(y, x) for y in range(20) for x in (9, 10)}
 
 
+def drawn(spark, *lines):
+    rows = [(0, y, x, 0, int(ch == "#")) for y, line in enumerate(lines) for x, ch in enumerate(line)]
+    return spark.createDataFrame(rows, "img_id long, y int, x int, c int, v int")
+
+
+def traced(df):
+    found = {}
+    for r in df.orderBy("contour", "seq").collect():
+        found.setdefault((r.contour, r.hole), []).append((r.y, r.x))
+    return sorted((hole, points) for (_, hole), points in found.items())
+
+
+def test_contours(spark):
+    from gridloom.operators import tracing as P
+    from gridloom.sources.shared import writer
+
+    w = writer(spark, "t")
+    ring = drawn(spark, "......", ".####.", ".#..#.", ".####.", "......")
+    outer = [(1, 1), (1, 2), (1, 3), (1, 4), (2, 4), (3, 4), (3, 3), (3, 2), (3, 1), (2, 1)]
+    turned = lambda pts, start: pts[pts.index(start):] + pts[: pts.index(start)]
+    (_, a), (_, b) = traced(P.contours(ring, w))
+    assert turned(a, (1, 1)) == outer
+    # around the hole the corner cells aren't touched
+    assert set(b) == {(1, 2), (1, 3), (2, 4), (3, 3), (3, 2), (2, 1)} and len(b) == 6
+    (_, s), (_, _) = traced(P.contours(ring, w, simple=True))
+    assert turned(s, (1, 1)) == [(1, 1), (1, 4), (3, 4), (3, 1)]
+    # one cell, cells that touch at a corner, and a line that is walked both ways
+    assert traced(P.contours(drawn(spark, "#"), w)) == [(False, [(0, 0)])]
+    (_, c), = traced(P.contours(drawn(spark, "#.", ".#"), w))
+    assert sorted(c) == [(0, 0), (1, 1)]
+    (_, d), = traced(P.contours(drawn(spark, "###"), w))
+    assert sorted(d) == [(0, 0), (0, 1), (0, 1), (0, 2)]
+    assert P.contours(drawn(spark, "..."), w).isEmpty()
+
+
+def test_contours_cover_the_boundary(spark):
+    from gridloom.operators import label as M
+    from gridloom.operators import tracing as P
+    from gridloom.sources.shared import writer
+
+    rng = np.random.default_rng(4)
+    cells = drawn(spark, *("".join(r) for r in rng.choice(["#", "."], (24, 30), p=[0.6, 0.4])))
+    w = writer(spark, "t")
+    points = P.contours(cells, w).collect()
+    assert {(r.y, r.x) for r in points} == {(r.y, r.x) for r in M.boundary(cells).collect()}
+    labels = {(r.y, r.x): r.label for r in M.label_components(cells, 8, w).collect()}
+    outer = {r.contour: labels[r.y, r.x] for r in points if not r.hole}
+    assert sorted(outer.values()) == sorted(set(labels.values()))
+    by = {}
+    for r in sorted(points, key=lambda r: (r.contour, r.seq)):
+        by.setdefault(r.contour, []).append((r.y, r.x))
+    for p in by.values():
+        assert all(max(abs(a - c), abs(b - d)) == 1 for (a, b), (c, d) in zip(p, p[1:] + p[:1]) if len(p) > 1)
+
+
+def test_segments_circles_and_words(spark):
+    from gridloom.operators import label as M
+    from gridloom.operators import tracing as P
+
+    line = drawn(spark, "." * 40, "#" * 15 + "." * 6 + "#" * 12 + "." * 7, "." * 40)
+    got = {(r.y1, r.x1, r.y2, r.x2) for r in M.hough_segments(line, 4, 20, 5.0, 3.0).where("theta = 2").collect()}
+    assert {(a, min(b, d), c, max(b, d)) for a, b, c, d in got} == {(1, 0, 1, 14), (1, 21, 1, 32)}
+    disc = [(0, y, x, 0, 200 if (y - 20) ** 2 + (x - 22) ** 2 <= 64 else 0) for y in range(40) for x in range(44)]
+    disc = spark.createDataFrame(disc, "img_id long, y int, x int, c int, v int")
+    best = M.hough_circles(disc, 300.0, 5, 12, 20).orderBy(F.desc("votes")).first()
+    assert abs(best.y - 20) <= 1 and abs(best.x - 22) <= 1 and abs(best.radius - 8) <= 1
+    grid = [(0, y, x, ch) for y, row in enumerate(["ABCE", "SFCS", "ADEE"]) for x, ch in enumerate(row)]
+    grid = spark.createDataFrame(grid, "img_id long, y int, x int, letter string")
+    starts = lambda word: {(r.y, r.x) for r in P.word_search(grid, word).collect()}
+    assert starts("ABCCED") == {(0, 0)} and starts("SEE") == {(1, 3)} and starts("ABCB") == set() and starts("") == set()
+
+
 def test_brackets_and_ini(spark):
     t = spark.createDataFrame([("a(b)[c]{}",), ("(]",), ("((",), ("",), ("([)]",)], "t string")
     assert [r.ok for r in t.select(A.balanced(F.col("t")).alias("ok")).collect()] == [True, False, False, True, False]
