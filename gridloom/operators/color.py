@@ -34,8 +34,12 @@ def subsample(px: DataFrame, *names: str) -> DataFrame:
     return g.agg(*(F.bround(F.avg(n), 0).cast("int").alias(n) for n in names))
 
 
-def bayer(cells: DataFrame) -> DataFrame:
-    """img_id, y, x, b, g, r of a BG mosaic (blue at even y and even x, red at odd y and odd x), bilinear with rounding."""
+#: Row and column of the blue cell in the 2 by 2 tile of each mosaic; red is diagonal to it.
+BLUE = {"BG": (0, 0), "GB": (0, 1), "GR": (1, 0), "RG": (1, 1)}
+
+
+def bayer(cells: DataFrame, tile: str = "BG") -> DataFrame:
+    """img_id, y, x, b, g, r of a mosaic (named by the first two cells of its first row), bilinear with rounding."""
 
     def value(at):
         o = at(0, 0)
@@ -46,7 +50,7 @@ def bayer(cells: DataFrame) -> DataFrame:
         return F.struct(o.alias("o"), h.alias("h"), v.alias("v"), d.alias("d"), p.alias("p"))
 
     got = neighbourhood(cells, 3, "REFLECT_101", value)
-    ey, ex = F.col("y") % 2 == 0, F.col("x") % 2 == 0
+    ey, ex = F.col("y") % 2 == BLUE[tile][0], F.col("x") % 2 == BLUE[tile][1]
     o, h, v, d, p = (F.col(f"v.{k}") for k in "ohvdp")
     b = F.when(ey & ex, o).when(ey, h).when(ex, v).otherwise(d)
     r = F.when(~ey & ~ex, o).when(~ey, h).when(~ex, v).otherwise(d)
@@ -84,6 +88,23 @@ def split_yuv(cells: DataFrame, layout: str, h: int, w: int) -> DataFrame:
     return luma.join(pairs, ["img_id", "cy", "cx"]).select("img_id", "y", "x", F.col("v").alias("luma"), "u", F.col("cv").alias("v"))
 
 
+def store_yuv(px: DataFrame, layout: str, h: int, w: int) -> DataFrame:
+    """Frames of NV12, NV21, YU12 or YV12 as cells, as ``split_yuv`` reads them, from px (img_id, y, x, luma, u, v); chroma
+    is the mean of 2 by 2 pixels. Pixels outside h by w are left out."""
+    px = px.where((F.col("y") < h) & (F.col("x") < w))
+    one, two = ("u", "v") if layout in ("NV12", "YU12") else ("v", "u")
+    y, x, size = F.col("y"), F.col("x"), (h // 2) * (w // 2)
+    if layout in ("NV12", "NV21"):
+        places = ((y + h, 2 * x, one), (y + h, 2 * x + 1, two))
+    else:
+        k = y * (w // 2) + x
+        places = ((F.floor(k / w).cast("int") + h, k % w, one), (F.floor((k + size) / w).cast("int") + h, (k + size) % w, two))
+    cell = F.explode(F.array(*(F.struct(a.alias("y"), b.alias("x"), F.col(n).alias("v")) for a, b, n in places)))
+    chroma = subsample(px.select("img_id", "y", "x", "u", "v"), "u", "v").select("img_id", cell.alias("s"))
+    stored = px.select("img_id", "y", "x", F.col("luma").alias("v")).unionByName(chroma.select("img_id", "s.y", "s.x", "s.v"))
+    return stored.select("img_id", "y", "x", F.lit(0).alias("c"), "v")
+
+
 def rgb_to_p010(r: Column, g: Column, b: Column) -> tuple[Column, Column, Column]:
     """10-bit channels to 10-bit luma and chroma around 512, each in the upper bits of 16."""
     ten = lambda e: (F.least(F.greatest(F.bround(e, 0), F.lit(0)), F.lit(1023)) * 64).cast("int")

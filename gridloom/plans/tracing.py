@@ -12,7 +12,7 @@ from gridloom.operators import tracing as P
 from gridloom.plans.arrays import RGB
 from gridloom.plans.images import _kernel_sql, _sobel
 from gridloom.plans.registry import Q, around_sql, query, u8
-from gridloom.plans.transforms import pixels
+from gridloom.plans.transforms import _Y, _sat_sql, pixels
 from gridloom.sources.shared import writer
 
 _H = _W = 32
@@ -44,6 +44,31 @@ for _layout, _p in _PLACES.items():
         return K.split_yuv(u8(s, d), layout, _H, _W)
 
 
+_FH, _FW = 32, 20
+_FN = (_FH // 2) * (_FW // 2)
+
+
+def _stored_sql(layout: str) -> str:
+    one, two = ("u", "v") if layout in ("NV12", "YU12") else ("v", "u")
+    if layout in ("NV12", "NV21"):
+        places = [(f"{_FH} + y", "2 * x", one), (f"{_FH} + y", "2 * x + 1", two)]
+    else:
+        places = [(f"{_FH} + (y * {_FW // 2} + x + {o}) // {_FW}", f"(y * {_FW // 2} + x + {o}) % {_FW}", v) for o, v in ((0, one), (_FN, two))]
+    chroma = " ".join(f"UNION ALL SELECT img_id, {y} AS y, {x} AS x, 0 AS c, {v} AS v FROM m" for y, x, v in places)
+    return f"""WITH {RGB}, k AS (SELECT img_id, y, x, {_sat_sql(_Y)} AS l, {_sat_sql(f'CAST(0.564 AS DOUBLE) * (c0 - {_Y}) + 128')} AS u, {_sat_sql(f'CAST(0.713 AS DOUBLE) * (c2 - {_Y}) + 128')} AS v FROM px WHERE y < {_FH} AND x < {_FW}),
+        m AS (SELECT img_id, CAST(y // 2 AS INT) AS y, CAST(x // 2 AS INT) AS x, CAST(round_even(avg(u), 0) AS INT) AS u, CAST(round_even(avg(v), 0) AS INT) AS v FROM k GROUP BY 1, 2, 3)
+        SELECT img_id, y, x, 0 AS c, l AS v FROM k {chroma}"""
+
+
+for _layout in ("NV12", "NV21", "YU12", "YV12"):
+
+    @query(f"rgb_to_{_layout.lower()}", _stored_sql(_layout))
+    def _(s, d, layout=_layout):
+        y, u, v = K.rgb_to_yuv(F.col("c2"), F.col("c1"), F.col("c0"))
+        px = pixels(s, d).select("img_id", "y", "x", y.cast("int").alias("luma"), u.cast("int").alias("u"), v.cast("int").alias("v"))
+        return K.store_yuv(px, layout, _FH, _FW)
+
+
 def _ten_sql(e: str) -> str:
     return f"CAST(least(greatest(round_even({e}, 0), 0), 1023) * 64 AS INT)"
 
@@ -71,11 +96,11 @@ def _(s, d):
 
 
 @query("hough_circles", f"""WITH {Q}, {around_sql(3, 'REPLICATE')}, sb AS (SELECT img_id, y, x, sum(v * {_kernel_sql(_sobel(1, 0))}) AS dx, sum(v * {_kernel_sql(_sobel(0, 1))}) AS dy FROM nb GROUP BY 1, 2, 3), m AS (SELECT *, sqrt(dx * dx + dy * dy) AS m FROM sb),
-    k AS (SELECT unnest([-6, -5, -4, -3, 3, 4, 5, 6]) AS k), r AS (SELECT img_id, CAST(floor(y + k * dy / m + 0.5) AS INT) AS y, CAST(floor(x + k * dx / m + 0.5) AS INT) AS x, CAST(abs(k) AS INT) AS radius, count(*) AS n FROM m CROSS JOIN k WHERE m >= 120 GROUP BY 1, 2, 3, 4),
+    k AS (SELECT unnest([-6, -5, -4, -3, 3, 4, 5, 6]) AS k), r AS (SELECT img_id, CAST(floor(y + k * dy / m + 0.5) AS INT) AS y, CAST(floor(x + k * dx / m + 0.5) AS INT) AS x, CAST(abs(k) AS INT) AS radius, count(*) AS n FROM m CROSS JOIN k WHERE m >= 80 GROUP BY 1, 2, 3, 4),
     a AS (SELECT img_id, y, x, CAST(sum(n) AS BIGINT) AS votes, first(radius ORDER BY n DESC, radius) AS radius FROM r GROUP BY 1, 2, 3)
-    SELECT a.img_id, a.y, a.x, a.radius, a.votes FROM a LEFT JOIN a b ON b.img_id = a.img_id AND abs(b.y - a.y) + abs(b.x - a.x) = 1 AND b.votes > a.votes WHERE a.votes >= 10 AND b.votes IS NULL""")
+    SELECT a.img_id, a.y, a.x, a.radius, a.votes FROM a LEFT JOIN a b ON b.img_id = a.img_id AND abs(b.y - a.y) + abs(b.x - a.x) = 1 AND b.votes > a.votes WHERE a.votes >= 8 AND b.votes IS NULL""")
 def _(s, d):
-    return M.hough_circles(u8(s, d), 120.0, 3, 6, 10)
+    return M.hough_circles(u8(s, d), 80.0, 3, 6, 8)
 
 
 @query("word_search", f"""WITH RECURSIVE {Q}, l AS (SELECT img_id, y, x, substr('abcd', v % 4 + 1, 1) AS letter FROM q), p(img_id, y0, x0, y, x, n, used) AS (SELECT img_id, y, x, y, x, 1, [y * 65536 + x] FROM l WHERE letter = 'a'

@@ -144,11 +144,18 @@ def _(s, d):
 _P = lambda dy, dx: f"max(CASE WHEN dy = {dy} AND dx = {dx} THEN v END)"
 
 
-@query("bayer_to_bgr", f"""WITH {Q}, {around_sql(3, 'REFLECT_101')}, k AS (SELECT img_id, y, x, {_P(0, 0)} AS o, ({_P(0, -1)} + {_P(0, 1)} + 1) >> 1 AS h, ({_P(-1, 0)} + {_P(1, 0)} + 1) >> 1 AS vv, ({_P(-1, -1)} + {_P(-1, 1)} + {_P(1, -1)} + {_P(1, 1)} + 2) >> 2 AS dd,
+def _bayer_sql(by: int, bx: int) -> str:
+    row, col = f"y % 2 = {by}", f"x % 2 = {bx}"
+    return f"""WITH {Q}, {around_sql(3, 'REFLECT_101')}, k AS (SELECT img_id, y, x, {_P(0, 0)} AS o, ({_P(0, -1)} + {_P(0, 1)} + 1) >> 1 AS h, ({_P(-1, 0)} + {_P(1, 0)} + 1) >> 1 AS vv, ({_P(-1, -1)} + {_P(-1, 1)} + {_P(1, -1)} + {_P(1, 1)} + 2) >> 2 AS dd,
     ({_P(-1, 0)} + {_P(1, 0)} + {_P(0, -1)} + {_P(0, 1)} + 2) >> 2 AS p FROM nb GROUP BY 1, 2, 3)
-    SELECT img_id, y, x, CASE WHEN y % 2 = 0 AND x % 2 = 0 THEN o WHEN y % 2 = 0 THEN h WHEN x % 2 = 0 THEN vv ELSE dd END AS b, CASE WHEN y % 2 = x % 2 THEN p ELSE o END AS g, CASE WHEN y % 2 = 1 AND x % 2 = 1 THEN o WHEN y % 2 = 1 THEN h WHEN x % 2 = 1 THEN vv ELSE dd END AS r FROM k""")
-def _(s, d):
-    return K.bayer(u8(s, d))
+    SELECT img_id, y, x, CASE WHEN {row} AND {col} THEN o WHEN {row} THEN h WHEN {col} THEN vv ELSE dd END AS b, CASE WHEN ({row}) = ({col}) THEN p ELSE o END AS g, CASE WHEN NOT ({row}) AND NOT ({col}) THEN o WHEN NOT ({row}) THEN h WHEN NOT ({col}) THEN vv ELSE dd END AS r FROM k"""
+
+
+for _tile, _at in K.BLUE.items():
+
+    @query("bayer_to_bgr" if _tile == "BG" else f"bayer_{_tile.lower()}_to_bgr", _bayer_sql(*_at))
+    def _(s, d, tile=_tile):
+        return K.bayer(u8(s, d), tile)
 
 
 _ON = "CASE WHEN v > 140 THEN 1 ELSE 0 END"
