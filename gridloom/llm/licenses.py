@@ -3,11 +3,12 @@
 Words are runs of 0-9 and a-z (A-Z lower-cased). A template's 5-word shingles are cut into units of up to UNIT shingles;
 a text's shingles are covered by windows of SPAN shingles, one every HOP, so that each run of UNIT shingles lies whole in
 the window that has its first shingle among its first HOP. Windows and units have one minimum per band (BANDS of one row
-each, the hash XORed with the band's constant). A unit of n shingles is at least n / SPAN similar to that window, so a band
-retrieves it with that probability and all of them with 1 - (1 - n / SPAN) ** BANDS: 0.9985 for n = 4, 0.9998 for n = 5.
-Units of up to DIRECT shingles are too short for that and are looked up by each single shingle (a window of one).
-What is retrieved is verified by intersecting the unit's shingles with the window's; a text holds a template
-if at least ``percent`` per cent of the template's distinct shingles are found in it.
+each, the hash XORed with the band's constant). A unit that shares n shingles with a window is at least n / 16 similar to it
+(SPAN + UNIT - 1 is 16), so all bands miss it with a probability of at most (15 / 16) ** (16 * n) = 0.356 ** n.
+Bands only nominate documents: all shingles of a nominated document are then joined with all shingles of the templates, and a
+text holds a template if at least ``percent`` per cent of the template's distinct shingles are found in it. A text at the
+threshold that shares SURE shingles or more with a template stays unnominated with a probability below 1e-6, however edits cut
+the units. Templates whose threshold is lower are looked up by each of their shingles instead, which misses none.
 """
 
 from __future__ import annotations
@@ -15,10 +16,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import ascii_lower, columns
+from gridloom.llm.common import ascii_lower, columns, scratch
 
-WORDS, UNIT, SPAN, HOP, BANDS, DIRECT = 5, 5, 12, 8, 16, 3
-#: Most rows of template minima that are sent to all tasks (16 bytes each); beyond it they are joined by shuffle.
+WORDS, UNIT, SPAN, HOP, BANDS, SURE = 5, 5, 12, 8, 16, 14
+#: Most rows of template keys or shingles, or of nominated ids, that are sent to all tasks (16 bytes each); beyond it they are
+#: joined by shuffle.
 SENT = 500_000
 
 #: Notices of public licenses.
@@ -71,30 +73,35 @@ def template_units(templates: DataFrame) -> DataFrame:
     return held.select("license_id", "total", F.explode(F.transform(starts, lambda s: F.slice("h", s + 1, F.lit(UNIT)))).alias("unit"))
 
 
+def _sent(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= SENT else df
+
+
+def _windows(texts: DataFrame) -> DataFrame:
+    """doc_id and the SPAN shingles h0, h1, ... of each window; null past the end of the text."""
+    starts = F.sequence(F.lit(0), F.size("wh") - WORDS, F.lit(HOP))
+    window = with_words(texts).select("doc_id", F.explode(F.transform(starts, lambda s: F.slice("wh", s + 1, F.lit(SPAN + WORDS - 1)))).alias("near"))
+    return window.select("doc_id", *(_shingle("near", k).alias(f"h{k}") for k in range(SPAN)))
+
+
 def scan_licenses(docs: DataFrame, templates: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document and template found: doc_id, license_id, n_matched, n_template (distinct shingles).
 
     templates: license_id, text; those of fewer than five words can't be found and are passed over, as are null ones. Null,
     empty and shorter texts hold none. Rows that repeat an id are scanned as one document. Empty table: no rows.
     """
-    texts = with_words(columns(docs, id_col, text_col).toDF("doc_id", "text"))
+    texts = columns(docs, id_col, text_col).toDF("doc_id", "text")
     units = template_units(templates.select("license_id", "text").where("text is not null and license_id is not null"))
     bands = _minima([F.get("unit", F.lit(k)) for k in range(UNIT)])
-    keyed = units.select("license_id", "total", "unit", F.explode(F.when(F.size("unit") <= DIRECT, F.col("unit")).otherwise(bands)).alias("key"))
-    if keyed.count() <= SENT:
-        keyed = F.broadcast(keyed)
-    starts = F.sequence(F.lit(0), F.size("wh") - WORDS, F.lit(HOP))
-    window = texts.select("doc_id", F.explode(F.transform(starts, lambda s: F.slice("wh", s + 1, F.lit(SPAN + WORDS - 1)))).alias("near"))
-    window = window.select("doc_id", *(_shingle("near", k).alias(f"h{k}") for k in range(SPAN)))
+    direct = F.col("total") * percent <= 100 * (SURE - 1)
+    keyed = _sent(units.select(F.explode(F.when(direct, F.col("unit")).otherwise(bands)).alias("key")).distinct())
     own = [F.col(f"h{k}") for k in range(SPAN)]
-    keys = F.concat(_minima(own), F.array(*own[:HOP]))
-    probe = window.select("doc_id", F.array(*own).alias("held"), F.explode(keys).alias("key"))
-    found = (
-        probe.join(keyed, "key")
-        .select("doc_id", "license_id", "total", F.explode(F.array_intersect("unit", "held")).alias("shingle"))
-        .groupBy("doc_id", "license_id", "total", "shingle")
-        .agg(F.lit(1).alias("one"))
-    )
+    probe = _windows(texts).select("doc_id", F.explode(F.concat(_minima(own), F.array(*own[:HOP]))).alias("key"))
+    nominated = scratch(probe.join(keyed, "key", "left_semi").select(F.col("doc_id").alias("nominee")).distinct(), "license-nominees")
+    held = texts.join(_sent(nominated), F.col("doc_id").eqNullSafe(F.col("nominee")), "left_semi")
+    shingles = _windows(held).select("doc_id", F.explode(F.array(*own[:HOP])).alias("shingle"))
+    of = _sent(units.select("license_id", "total", F.explode("unit").alias("shingle")).distinct())
+    found = shingles.join(of, "shingle").groupBy("doc_id", "license_id", "total", "shingle").agg(F.lit(1).alias("one"))
     return (
         found.groupBy("doc_id", "license_id", F.col("total").alias("n_template"))
         .agg(F.count("*").alias("n_matched"))

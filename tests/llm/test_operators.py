@@ -124,6 +124,31 @@ def test_licenses(spark, odd, none):
     assert licenses.scan_licenses(odd, t).count() == 0 and licenses.scan_licenses(none, t).count() == 0
 
 
+def test_licenses_of_edited_notices(spark, tmp_path):
+    """Notices with up to three replaced words, and cut ones, around the threshold: rows and counts as exact containment has them."""
+    import duckdb
+
+    docs = []
+    for name, notice in licenses.TEMPLATES.items():
+        words = notice.split()
+        for k in range(60):
+            r = random.Random(f"{name} {k}")
+            w = list(words)
+            for at in r.sample(range(len(w)), min(k % 4, len(w))):
+                w[at] = f"x{r.randrange(10_000)}"
+            if k % 5 == 4:
+                w = w[r.randrange(2) : len(w) - r.randrange(2)]
+            docs.append((len(docs), text(f"{name} {k} a", 20 + k % 9) + " " + " ".join(w) + " " + text(f"{name} {k} b", 30)))
+    docs += [(None, licenses.TEMPLATES["isc"]), (None, "no notice in this row of text")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    df.toPandas().astype({"doc_id": "Int64"}).to_parquet(tmp_path / "documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet'")
+    want = con.execute(queries.oracle_sql()["op4_license_scan"]).fetchall()
+    got = licenses.scan_licenses(df, licenses.template_table(spark)).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want)) and len(want) > 300
+
+
 def test_token_counts(odd, none):
     path = queries.tokenizer_path("word_bpe_49k.json")
     from tokenizers import Tokenizer
