@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm import exactdedup, labelled, mixing, neardup, piecebpe, quality
-from gridloom.llm.common import scratch, table
+from gridloom.llm.common import NON_WS, WS, scratch, table
 from gridloom.llm.queries import tokenizer_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -26,19 +26,47 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def _kept(docs: DataFrame, decided: DataFrame) -> DataFrame:
-    """The documents whose id isn't among those that were decided against."""
+    """The documents whose id isn't among those that were decided against; each id names one row."""
     gone = decided.where("not kept").select("doc_id").distinct()
     return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
 
 
+def _ids_name_rows(docs: DataFrame) -> bool:
+    return docs.groupBy("doc_id").count().where("doc_id is null or count > 1").isEmpty()
+
+
+def _first(docs: DataFrame, *by: str) -> DataFrame:
+    """Of the rows that agree in ``by``, the smallest by its columns."""
+    rest = [c for c in COLUMNS if c not in by]
+    return docs.groupBy(*by).agg(F.min(F.struct(*rest)).alias("least")).select(*by, "least.*")
+
+
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts that are equal but for white space, the document with the smallest id."""
-    return _kept(docs, exactdedup.exact_dedup(docs))
+    """Of texts that are equal but for white space, the document with the smallest id (one row of those that repeat it)."""
+    docs = docs.select(*COLUMNS)
+    decided = exactdedup.exact_dedup(docs)
+    if _ids_name_rows(docs):
+        return _kept(docs, decided)
+    # one row of each text is kept, so its id and its text name it among rows that repeat an id
+    norm = F.regexp_replace(F.coalesce("text", F.lit("")), WS + "+", " ")
+    kept = decided.where("kept").select(F.col("doc_id").alias("keep_id"), F.col("text_sha256").alias("keep_sha"))
+    same = F.col("sha").eqNullSafe(F.col("keep_sha")) & F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    named = docs.withColumn("sha", F.sha2(norm, 256)).join(kept, same, "left_semi")
+    return _first(named, "doc_id", "sha").select(*COLUMNS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates, the document with the smallest id."""
-    return _kept(docs, neardup.near_duplicates(docs, percent=85, words=5))
+    """Of each group of near duplicates, the document with the smallest id. Rows that repeat an id, or have none, are decided
+    by their own texts."""
+    docs = docs.select(*COLUMNS)
+    if _ids_name_rows(docs):
+        return _kept(docs, neardup.near_duplicates(docs, percent=85, words=5))
+    # a row's name sorts by id, null ids last, then by its text; texts without a word are linked with nothing
+    worded = F.coalesce("text", F.lit("")).rlike(NON_WS)
+    name = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.sha2("text", 256).alias("sha"))
+    rows = scratch(_first(docs.where(worded), "doc_id", "text").withColumn("row", name), "near-rows")
+    gone = neardup.near_duplicates(rows, percent=85, words=5, id_col="row").where("not kept").select(F.col("doc_id").alias("row"))
+    return rows.join(gone, "row", "left_anti").select(*COLUMNS).union(docs.where(~worded))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -235,3 +235,27 @@ def test_pipeline(spark):
         seen = out
     rows = corpus_pipeline.run(spark, d)
     assert rows.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and rows.count() == seen.count()
+
+
+def test_pipeline_stages_on_odd_rows(spark, odd, none):
+    """Rows that repeat an id or have none are decided one by one: one copy stays, and a row with its own text does."""
+    import corpus_pipeline
+    from gridloom.llm.common import scratch
+
+    d = "/root/testdata/sf0.001"
+    more = [(3, text(7, 30)), (3, "line shared other"), (None, "no id here"), (None, "no  id here"), (None, text(8, 40)), (None, text(8, 40) + " extra"), (2, text(9, 30)), (0, text(10, 60)), (0, text(10, 60) + " more")]
+    docs = odd.unionByName(spark.createDataFrame(more, "doc_id long, text string"), allowMissingColumns=True).select(*corpus_pipeline.COLUMNS)
+    key = lambda df: sorted(((r.doc_id, " ".join((r.text or "").split())) for r in df.collect()), key=repr)
+    base, shared = text(1, 200), "line shared other"
+    exact = [(1, base), (3, base + " extra"), (3, text(7, 30)), (3, shared), (4, ""), (6, ""), (7, "One two THREE"), (8, "one two three"), (9, text(2, 60_000)), (None, "no id here"), (None, text(8, 40)), (None, text(8, 40) + " extra"), (12, "日本語 ▁ é́ 🙂 x"), (2, text(9, 30)), (0, text(10, 60)), (0, text(10, 60) + " more")]
+    left = scratch(corpus_pipeline.drop_copies(spark, docs, d), "test")
+    assert key(left) == sorted(exact, key=repr)
+    near = key(corpus_pipeline.drop_near_copies(spark, left, d))
+    ids = [i for i, _ in near]
+    assert len(near) == len(exact) - 4 and (3, base + " extra") not in near and (8, "one two three") not in near
+    assert (3, text(7, 30)) in near and (3, shared) in near and ids.count(0) == 1 and ids.count(None) == 2
+    for stage in (corpus_pipeline.drop_copies, corpus_pipeline.drop_near_copies):
+        assert [r.doc_id for r in stage(spark, odd, d).collect()].count(11) == 1 and stage(spark, none, d).count() == 0
+    assert corpus_pipeline.keep_quality(spark, docs, d).where("doc_id = 11").count() in (0, 2)
+    mixed = corpus_pipeline.mix(spark, left, d)
+    assert mixed.columns == corpus_pipeline.COLUMNS and corpus_pipeline.encode(spark, left, d).count() == len(exact)
