@@ -163,3 +163,29 @@ def test_sources(spark, tmp_path):
     assert files.report_rows(spark.createDataFrame([(rep,)], "j string"), "j").count() == 2
     files.write_json(b_df := files.read_csv(spark, str(tmp_path / "t.csv"), "a int, b string"), str(tmp_path / "out"))
     assert spark.read.json(str(tmp_path / "out")).count() == b_df.count()
+
+
+def test_streams_over_many_batches(spark, tmp_path, monkeypatch):
+    """Files out of time order, one a batch, give the answer of the batch twins."""
+    import duckdb
+    from compare import rows
+
+    from gridloom.plans import streams
+    from gridloom.plans.registry import ORACLES, QUERIES
+    from gridloom.streaming import entities
+
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet").toPandas().sort_values("ts")
+    events["ts"] = events["ts"].astype("datetime64[us]")
+    (tmp_path / "events.parquet").mkdir()
+    parts = [events.iloc[len(events) // 2 :: 2], events.iloc[: len(events) // 2], events.iloc[len(events) // 2 + 1 :: 2]]
+    early = events.iloc[:1].assign(ts=events["ts"].min() - np.timedelta64(90, "D"), event_id=-1, user_id=-7)
+    for k, part in enumerate([*parts, early]):
+        part.to_parquet(tmp_path / "events.parquet" / f"{k}.parquet", index=False)
+    monkeypatch.setattr(streams, "stream", lambda s, d: entities.read_events(s, f"{d}/events*.parquet", files_per_batch=1))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    for name in ["stream_low_pass", "stream_duty", "stream_distinct"]:
+        assert rows(QUERIES[name](spark, str(tmp_path)).toPandas()) == rows(con.execute(ORACLES[name]).df()), name
+    late = entities.low_pass_state(streams.stream(spark, str(tmp_path)), "user_id", 0.9, 400 * 86_400_000, "200 days")
+    out = entities.drain(late, "update").groupBy("user_id").agg(F.max("n").alias("n"), F.round(F.max_by("v", "n"), 6).alias("v"))
+    assert rows(out.toPandas()) == rows(con.execute(ORACLES["stream_low_pass"]).df())
