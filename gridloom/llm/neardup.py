@@ -2,15 +2,15 @@
 
 1. Every text becomes its set of distinct word shingles; texts with the same set are one class.
 2. A class has a signature of COORDINATES minima. It is posted under its (coordinate, value) pairs. Pairs of documents at
-   the threshold collide in 0.85 * 48 = 41 coordinates on average and in fewer than MATCHES = 27 of them with a
-   probability below 1e-6, so two classes are a candidate if they collide in MATCHES coordinates.
-3. Prefix: a class with c shared values is posted under the c - MATCHES + 1 rarest only, since a pair that collides
-   MATCHES times meets there. Classes with fewer than MATCHES shared values are skipped altogether.
+   the threshold (85%) collide in 0.85 * 48 = 41 coordinates on average and in fewer than 27 of them with a probability
+   below 1e-6, so two classes are a candidate if they collide in 27 coordinates (``matches``, worked out for each threshold).
+3. Prefix: a class with c shared values is posted under the c - matches + 1 rarest only, since a pair that collides
+   ``matches`` times meets there. Classes with fewer shared values are skipped altogether.
 4. Lists of up to LONG classes give all their pairs. Longer ones (one text copied thousands of times with small edits)
    aren't merged: their classes are posted again under the rarest shingles of their full sets, by size, which loses no
    link; each such list compares its members with its most central ones, and then only members that are still
    in different components. So the number of comparisons follows the number of documents.
-5. Pairs whose signatures collide MATCHES times are confirmed on their full sets, and linked classes are gathered to
+5. Pairs whose signatures collide ``matches`` times are confirmed on their full sets, and linked classes are gathered to
    components.
 """
 
@@ -18,6 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from hashlib import blake2b
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ from gridloom.llm.common import columns, scratch
 from gridloom.llm.components import components
 from gridloom.llm.shingles import Shingler
 
-COORDINATES, MATCHES, LONG = 48, 27, 24
+COORDINATES, LONG, MISS = 48, 24, 1e-6
 #: Classes up to this number are sent to all tasks to pick their texts (8 bytes each); beyond it texts are shuffled.
 SMALL = 1_000_000
 #: Ratio of the sizes of neighbouring size classes.
@@ -37,6 +38,16 @@ STEP = 1.01
 ROUNDS = 3
 
 
+def matches_for(percent: int, k: int = COORDINATES) -> int:
+    """The most collisions that can be asked for so that a pair at the threshold has fewer with a probability below MISS."""
+    p, missed, m = percent / 100, 0.0, 0
+    while m < k and (missed := missed + comb(k, m) * p**m * (1 - p) ** (k - m)) < MISS:
+        m += 1
+    if m == 0:
+        raise ValueError(f"{k} coordinates are too few for {percent} per cent")
+    return m
+
+
 def _multipliers(k: int) -> np.ndarray:
     return np.random.default_rng(11).integers(0, 1 << 63, k, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -105,12 +116,12 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def _colliding(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
-    """The pairs whose signatures collide in MATCHES coordinates or more."""
+def _colliding(pairs: DataFrame, sigs: DataFrame, matches: int) -> DataFrame:
+    """The pairs whose signatures collide in ``matches`` coordinates or more."""
     one = sigs.select(F.col("doc_id").alias("a"), F.col("sig").alias("ga"))
     two = sigs.select(F.col("doc_id").alias("b"), F.col("sig").alias("gb"))
     joined = pairs.select("a", "b").join(one, "a").join(two, "b")
-    return joined.where(F.size(F.array_intersect("ga", "gb")) >= MATCHES).select("a", "b")
+    return joined.where(F.size(F.array_intersect("ga", "gb")) >= matches).select("a", "b")
 
 
 def _ordered(x: str = "x", y: str = "y") -> list[Column]:
@@ -182,7 +193,7 @@ def _long_links(sets: DataFrame, sigs: DataFrame, known: DataFrame, percent: int
         used = led if used is None else used.union(led)
         other = leaders.withColumn("role", F.when(F.col("role") == "s", "l").otherwise("s"))
         pairs = named.join(other, [*at, "role"]).where("c <> lc").select(*_ordered("doc_id", "lead")).distinct()
-        links = scratch(links.union(confirmed(_colliding(pairs, sigs), sets, percent)), "links-so-far")
+        links = scratch(links.union(confirmed(_colliding(pairs, sigs, matches_for(percent)), sets, percent)), "links-so-far")
         # what is left to compare: members of one list, of opposite roles, in different components
         comp = components(links).toDF("doc_id", "c")
         named = scratch(posts.join(comp, "doc_id", "left").withColumn("c", F.coalesce("c", "doc_id")), "named")
@@ -203,7 +214,7 @@ def _long_links(sets: DataFrame, sigs: DataFrame, known: DataFrame, percent: int
     # a list holds a pair's first common shingle if enough shingles follow it in both sets
     enough = F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py")) * (100 + percent) >= percent * (F.col("nx") + F.col("ny"))
     pairs = one.join(two, at).where((F.col("cx") != F.col("cy")) & enough).select(*_ordered()).distinct()
-    return links.union(confirmed(_colliding(pairs, sigs), sets, percent))
+    return links.union(confirmed(_colliding(pairs, sigs, matches_for(percent)), sets, percent))
 
 
 def near_duplicates(
@@ -214,8 +225,9 @@ def near_duplicates(
     Two documents are linked if 100 * intersection >= percent * union of their shingle sets; component_id is the smallest
     id reachable. A text with fewer than ``words`` words is one shingle; a null or empty text, or one of white space,
     has none and is linked with nothing. Ids name documents: rows that repeat an id share its links. A row without an
-    id takes no part: component_id null, kept. Extra columns are ignored; empty table: no rows.
+    id takes no part: component_id null, kept. Thresholds below 26% are refused. Extra columns are ignored; empty table: no rows.
     """
+    matches = matches_for(percent)
     base = columns(docs, id_col, text_col).toDF("doc_id", "text").select(
         "doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("raw")
     )
@@ -229,10 +241,10 @@ def near_duplicates(
         posted.join(often, "token")
         .groupBy("doc_id")
         .agg(F.sort_array(F.collect_set(F.struct("count", "token"))).alias("own"))
-        .where(F.size("own") >= MATCHES),
+        .where(F.size("own") >= matches),
         "active",
     )
-    posts = active.select("doc_id", F.explode(F.slice("own", F.lit(1), F.size("own") - (MATCHES - 1))).alias("t")).select("doc_id", "t.token")
+    posts = active.select("doc_id", F.explode(F.slice("own", F.lit(1), F.size("own") - (matches - 1))).alias("t")).select("doc_id", "t.token")
     lengths = scratch(posts.groupBy("token").count().where("count >= 2").toDF("token", "length"), "lists")
     posts = scratch(posts.join(lengths, "token"), "posts")
     in_lists = scratch(posts.select("doc_id").distinct(), "in-lists")
@@ -247,7 +259,7 @@ def near_duplicates(
         .groupBy("a", "b")
         .count()
     )
-    links = scratch(confirmed(_colliding(pairs, sigs), sets, percent), "short-links")
+    links = scratch(confirmed(_colliding(pairs, sigs, matches_for(percent)), sets, percent), "short-links")
     long_docs = scratch(posts.where(F.col("length") > LONG).select("doc_id").distinct(), "long-members")
     if not long_docs.isEmpty():
         links = _long_links(scratch(sets.join(long_docs, "doc_id", "left_semi"), "long-sets"), sigs, links, percent)

@@ -115,6 +115,19 @@ def test_near_duplicates(spark, odd, none):
     assert neardup.near_duplicates(none).count() == 0
 
 
+def test_near_duplicates_at_a_lower_threshold(spark):
+    """Pairs just above 60% are linked as well: 25% of such pairs collide in fewer than 27 coordinates."""
+    assert neardup.matches_for(85) == 27
+    with pytest.raises(ValueError):
+        neardup.matches_for(20)
+    docs = []
+    for i in range(40):  # 149 shingles of 243 are shared
+        w = text(1000 + i, 200).split()
+        docs += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(w[:153] + [f"y{i}x{k}" for k in range(47)]))]
+    rows = neardup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), percent=60).collect()
+    assert all(r.component_id == r.doc_id - r.doc_id % 2 for r in rows)
+
+
 def test_licenses(spark, odd, none):
     notice = licenses.TEMPLATES["apache-2.0-line"]
     docs = spark.createDataFrame([(1, text(1, 37) + " " + notice + " " + text(2, 50)), (2, notice.upper()), (3, text(3, 500)), (4, text(4, 11) + "\n" + licenses.TEMPLATES["mit"] + text(5, 90)), (5, None), (6, "mit")], "doc_id long, text string")
