@@ -47,6 +47,21 @@ def test_exact_dedup(odd, none):
     assert by[None].kept and (None, by[None].text_sha256) in got
 
 
+def test_exact_dedup_by_neighbours(spark):
+    """Copies meet inside their runs; a text with many copies is cut into pieces and put together again, repeated and null ids
+    among them."""
+    pairs = spark.range(2000).selectExpr("id as doc_id", "concat('text number ', id div 2, '  and so') as text")
+    assert exactdedup._runs(pairs, "doc_id", "text", 2000).where("at = 2").count() == 1000
+    hot = spark.range(3000).selectExpr("if(id % 50 = 0, null, id % 2900) as doc_id", "if(id % 3 = 0, 'own ' || id, 'the   copied\ttext') as text", "id as row", "'x' as norm", "'y' as at")
+    rows = exactdedup.exact_dedup(hot).collect()
+    copied = [r for r in rows if r.group_size > 1]
+    assert len(rows) == 3000 and len(copied) == 2000 and {r.group_size for r in copied} == {2000} and {r.keep_id for r in copied} == {1}
+    assert sum(r.kept for r in copied) == 1 and sum(r.kept for r in rows) == 1001
+    left = exactdedup.first_copies(hot)
+    assert left.columns == hot.columns and left.count() == 1001
+    assert [r.doc_id for r in left.where("text like '%copied%'").collect()] == [1] and exactdedup.first_copies(hot.limit(0)).count() == 0
+
+
 def test_line_dedup(spark, odd, none):
     docs = spark.createDataFrame([(i, f"Head {i}\n  COMMON line \n\nend" if i < 12 else "\tcommon LINE") for i in range(14)], "doc_id long, text string")
     by = {r.doc_id: r for r in linededup.drop_common_lines(docs).collect()}
