@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm import exactdedup, labelled, mixing, neardup, piecebpe, quality
-from gridloom.llm.common import NON_WS, WS, scratch, table
+from gridloom.llm.common import NON_WS, scratch, table
 from gridloom.llm.queries import tokenizer_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -19,7 +19,11 @@ ORACLE_SQL = None  # a trained classifier decides in the first stage
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a quality score of 0.5 or more, unchanged. A null or empty text has a score as well."""
+    """Rows with a quality score of 0.5 or more, unchanged.
+
+    A null or empty text has a score as well, long texts count whole, and only the text decides: rows that repeat an id or a
+    text, and rows without an id, have the score of their text. Empty table: no rows. Columns beyond those of documents are dropped.
+    """
     net = quality.train_quality(docs, table(spark, sf_dir, "labels"), labelled.fold(3) != 1)
     scored = docs.select(*COLUMNS, quality.quality_score(net, F.col("text")).alias("quality_score"))
     return scored.where(F.col("quality_score") >= 0.5).select(*COLUMNS)
@@ -42,22 +46,21 @@ def _first(docs: DataFrame, *by: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts that are equal but for white space, the document with the smallest id (one row of those that repeat it)."""
-    docs = docs.select(*COLUMNS)
-    decided = exactdedup.exact_dedup(docs)
-    if _ids_name_rows(docs):
-        return _kept(docs, decided)
-    # one row of each text is kept, so its id and its text name it among rows that repeat an id
-    norm = F.regexp_replace(F.coalesce("text", F.lit("")), WS + "+", " ")
-    kept = decided.where("kept").select(F.col("doc_id").alias("keep_id"), F.col("text_sha256").alias("keep_sha"))
-    same = F.col("sha").eqNullSafe(F.col("keep_sha")) & F.col("doc_id").eqNullSafe(F.col("keep_id"))
-    named = docs.withColumn("sha", F.sha2(norm, 256)).join(kept, same, "left_semi")
-    return _first(named, "doc_id", "sha").select(*COLUMNS)
+    """Of texts that are equal but for white space, the row with the smallest id (null last), decided row by row.
+
+    Null and empty texts are equal texts. Rows that repeat an id are decided by their texts, so a row with its own text stays
+    and of copied rows exactly one does. Ties: any one of rows that agree in id and text. Empty table: no rows. Columns
+    beyond those of documents are dropped.
+    """
+    return exactdedup.first_copies(docs.select(*COLUMNS))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates, the document with the smallest id. Rows that repeat an id, or have none, are decided
-    by their own texts."""
+    """Of each group of near duplicates, the row with the smallest id (null ids last, then by a digest of the text).
+
+    Rows that repeat an id, or have none, are decided by their own texts. Texts without a word, null ones among them, are linked with
+    nothing and all stay. Rows equal in id and text count once. Empty table: no rows. Columns beyond those of documents are dropped.
+    """
     docs = docs.select(*COLUMNS)
     if _ids_name_rows(docs):
         return _kept(docs, neardup.near_duplicates(docs, percent=85, words=5))
@@ -70,14 +73,19 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: not at all, once or twice."""
+    """Each row as often as the mix takes it: not at all, once or twice.
+
+    Null source is a source of its own, null and empty texts have no words, and rows that repeat an id and a text are rows of their
+    own. Empty table: no rows. Columns beyond those of documents are dropped.
+    """
     mixed = mixing.mix_sources(docs.select(*COLUMNS), weights=(3, 1, 2), ratio=1.5, max_copies=2)
     repeated = mixed.where("copies > 0").withColumn("copy", F.explode(F.array_repeat(F.lit(1), F.col("copies"))))
     return repeated.select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token count and digests of ids and decoded text of each row of the mix."""
+    """Token count and digests of ids and decoded text of each row; null text counts as empty, repeated rows are encoded each.
+    Empty table: no rows."""
     return piecebpe.encode_digests(docs, tokenizer_path("piece_bpe_32k.model"))
 
 
