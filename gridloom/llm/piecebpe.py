@@ -3,15 +3,19 @@
 A text is normalised (spaces become the meta symbol, one is put in front), cut into segments at the places no piece
 of the vocabulary crosses (a meta symbol after another character), and every segment is merged by an agenda of
 adjacent symbol pairs: the pair whose joined piece scores highest goes first, of equal scores the leftmost,
-until no pair joins to a piece. The agendas of all new segments of a block run side by side in numpy: a round
-takes the top of every segment's agenda, and only pairs beside a merge are scored anew. Symbols left without a
-piece become byte pieces. Each new segment is checked against the library in the same batch; a difference raises.
+until no pair joins to a piece. The agenda is a heap, so a segment of n characters takes n log n steps, and long
+segments (text without spaces) are cut further between characters that no piece has side by side. Symbols left without
+a piece become byte pieces. Each new segment is checked against the library in the same batch; a difference raises.
 """
 
 from __future__ import annotations
 
 import re
+import sys
+from array import array
+from collections import defaultdict
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +31,11 @@ CUT = "\ud800"
 SEGMENT = re.compile(f"{META}*[^{META}]+|{META}+")
 MEMO = 400_000
 BLOCK = 2 << 20
+#: Segments over LONG characters are looked through for more places to cut.
+LONG = 256
+#: Low bits of an agenda entry: the place of the pair's left symbol. No string is as long.
+PLACE_BITS = 40
+PLACE = (1 << PLACE_BITS) - 1
 
 
 class Agenda:
@@ -44,112 +53,95 @@ class Agenda:
         self.bigrams = {p[i : i + 2] for p in piece for i in range(len(p) - 1)}
         if "\n" in "".join(piece):
             raise ValueError("a piece holds a line end")
-        self.bytes = np.array([lib.piece_to_id(f"<0x{b:02X}>") for b in range(256)], np.int64)
+        self.bytes = [lib.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.n = n
         symbol = dict(piece)  # single characters that pieces hold but that are none themselves
         for c in sorted({c for p in piece for c in p} - piece.keys()):
             symbol[c] = n + len(symbol)
-        self.top = 2 * n + len(symbol)
-        self.char = {c: i for c, i in symbol.items() if len(c) == 1}
-        self.code = np.zeros(self.top, np.int64)
-        for c, i in self.char.items():
-            self.code[i] = ord(c)
+        # a character in no piece has the symbol ``other``, which joins with nothing
+        self.other = n + len(symbol)
+        self.top = self.other + 1
+        self.char = defaultdict(lambda: self.other, {c: i for c, i in symbol.items() if len(c) == 1})
         score = {p: lib.get_score(i) for p, i in piece.items()}
         # equal scores share a rank, so that the leftmost wins
-        rank_of = {s: r for r, s in enumerate(sorted(set(score.values()), reverse=True))}
-        rows = [
-            (symbol[p[:k]] * self.top + symbol[p[k:]], rank_of[score[p]], i)
+        rank_of = {s: r for r, s in enumerate(sorted(set(score.values()), reverse=True), 1)}
+        #: what two symbols join to, as rank << PLACE_BITS and the joined symbol
+        self.joins = {
+            symbol[p[:k]] * self.top + symbol[p[k:]]: (rank_of[score[p]] << PLACE_BITS, i)
             for p, i in piece.items()
             for k in range(1, len(p))
             if p[:k] in symbol and p[k:] in symbol
-        ]
-        table = np.array(sorted(rows) or [(-1, 0, 0)], np.int64)
-        self.keys, self.rank, self.out = (np.ascontiguousarray(table[:, k]) for k in range(3))
-        self.never = np.int64(1 << 40)
-
-    def find(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rank and joined symbol of each pair; rank never where the two don't join."""
-        key = left * self.top + right
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        hit = self.keys[at] == key
-        return np.where(hit, self.rank[at], self.never), self.out[at]
-
-    def encode(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the segments (not empty; meta symbols in place of spaces) end to end, and ids per segment."""
-        size = np.fromiter(map(len, segments), np.int64, len(segments))
-        text = "".join(segments)
-        code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-        chars, inverse = np.unique(code, return_inverse=True)
-        # a character in no piece is a symbol that joins with nothing: its code point below zero
-        of = np.array([self.char.get(chr(c), -1 - c) for c in chars], np.int64)
-        symbol = of[inverse]
-        owner = np.repeat(np.arange(len(segments)), size)
-        wide = np.int64(len(symbol) + 1)
-        place = np.arange(len(symbol), dtype=np.int64)
-
-        def priorities(at: np.ndarray) -> None:
-            """Agenda entries of the pairs (at, at + 1); entries order by rank, then place."""
-            both = (at >= 0) & (at + 1 < len(symbol))
-            at = at[both]
-            left, right = symbol[at], symbol[at + 1]
-            ok = (owner[at] == owner[at + 1]) & (left >= 0) & (right >= 0)
-            rank, joined = self.find(np.where(ok, left, 0), np.where(ok, right, 0))
-            agenda[at] = np.where(ok & (rank < self.never), rank * wide + at, self.none)
-            becomes[at] = joined
-
-        self.none = np.int64(1 << 62)
-        agenda = np.full(len(symbol), self.none)
-        becomes = np.zeros(len(symbol), np.int64)
-        priorities(np.arange(len(symbol) - 1))
-        done_owner, done_symbol, done_place = [], [], []
-        while len(symbol):
-            starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
-            best = np.minimum.reduceat(agenda, starts)
-            busy = best < self.none
-            if not busy.all():  # segments with an empty agenda are finished
-                over = np.repeat(~busy, np.diff(np.r_[starts, len(symbol)]))
-                done_owner.append(owner[over]); done_symbol.append(symbol[over]); done_place.append(place[over])
-                stay = ~over
-                shift = np.cumsum(stay) - 1
-                rank_part = agenda // wide
-                owner, symbol, place, becomes = owner[stay], symbol[stay], place[stay], becomes[stay]
-                kept = agenda[stay]
-                rank_part = rank_part[stay]
-                agenda = np.where(kept < self.none, rank_part * wide + shift[stay], self.none)
-                if not len(symbol):
-                    break
-                starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
-                best = np.minimum.reduceat(agenda, starts)
-            at = best % wide
-            symbol[at] = becomes[at]
-            keep = np.ones(len(symbol), bool)
-            keep[at + 1] = False
-            shift = np.cumsum(keep) - 1
-            rank_part = (agenda // wide)[keep]
-            open_ = agenda[keep] < self.none
-            owner, symbol, place, becomes = owner[keep], symbol[keep], place[keep], becomes[keep]
-            agenda = np.where(open_, rank_part * wide + np.arange(len(symbol)), self.none)
-            merged = shift[at]
-            last = merged + 1 >= len(symbol)
-            agenda[merged[last]] = self.none
-            lone = ~last & (owner[np.minimum(merged + 1, len(symbol) - 1)] != owner[merged])
-            agenda[merged[lone]] = self.none
-            priorities(np.r_[merged, merged - 1])
-        owner = np.concatenate(done_owner); symbol = np.concatenate(done_symbol); place = np.concatenate(done_place)
-        order = np.argsort(place, kind="stable")
-        owner, symbol = owner[order], symbol[order]
-        odd = np.flatnonzero((symbol < 0) | (symbol >= self.n))
-        if len(odd):  # characters without a piece become their UTF-8 bytes
-            code = np.where(symbol[odd] < 0, -1 - symbol[odd], self.code[np.maximum(symbol[odd], 0)])
-            raw = [chr(c).encode("utf-8", "surrogatepass") for c in code.tolist()]
-            times = np.ones(len(symbol), np.int64)
-            times[odd] = [len(r) for r in raw]
-            at = (np.cumsum(times) - times)[odd]
-            owner, symbol = np.repeat(owner, times), np.repeat(symbol, times)
-            held = times[odd]
-            spots = np.repeat(at - (np.cumsum(held) - held), held) + np.arange(held.sum())
-            symbol[spots] = self.bytes[np.frombuffer(b"".join(raw), np.uint8)]
-        return symbol.astype("<u4"), np.bincount(owner, minlength=len(segments))
+        }
+
+    def merge(self, segment: str) -> tuple[list[int], list[int]]:
+        """Symbols of one segment after all merges, and their places. The agenda is a heap of entries (rank and place in one
+        number); an entry that comes up is dropped if the pair at its place now has another one. A segment of n characters
+        makes at most 3 n entries."""
+        find, top, n = self.joins.get, self.top, len(segment)
+        symbol = [self.char[c] for c in segment]
+        found = [find(a * top + b) for a, b in zip(symbol, symbol[1:])]
+        entry = [f[0] | at if f else 0 for at, f in enumerate(found)]
+        entry.append(0)
+        agenda = [e for e in entry if e]
+        if not agenda:
+            return symbol, list(range(n))
+        joined = [f[1] if f else 0 for f in found]
+        heapify(agenda)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        while agenda:
+            e = heappop(agenda)
+            at = e & PLACE
+            if entry[at] != e:
+                continue
+            symbol[at] = new = joined[at]
+            right = after[at]
+            symbol[right] = -1
+            entry[right] = 0
+            after[at] = right = after[right]
+            if right < n:
+                before[right] = at
+                f = find(new * top + symbol[right])
+            else:
+                f = None
+            if f:
+                entry[at], joined[at] = f[0] | at, f[1]
+                heappush(agenda, entry[at])
+            else:
+                entry[at] = 0
+            left = before[at]
+            if left >= 0:
+                f = find(symbol[left] * top + new)
+                if f:
+                    entry[left], joined[left] = f[0] | left, f[1]
+                    heappush(agenda, entry[left])
+                else:
+                    entry[left] = 0
+        places = [at for at in range(n) if symbol[at] >= 0]
+        return [symbol[at] for at in places], places
+
+    def cut(self, segment: str) -> list[str]:
+        """A long segment in parts, cut between characters that are neighbours in no piece, so that no merge crosses a cut."""
+        bigrams, parts, start = self.bigrams, [], 0
+        for at in range(LONG, len(segment)):
+            if at - start >= LONG and segment[at - 1 : at + 1] not in bigrams:
+                parts.append(segment[start:at])
+                start = at
+        return [*parts, segment[start:]]
+
+    def encode(self, segment: str) -> bytes:
+        """Little-endian ids of a segment (meta symbols in place of spaces). Characters without a piece become their UTF-8 bytes."""
+        ids: list[int] = []
+        for part in self.cut(segment) if len(segment) > LONG else [segment]:
+            symbols, places = self.merge(part)
+            if max(symbols) < self.n:
+                ids += symbols
+                continue
+            for s, at in zip(symbols, places):
+                ids += [s] if s < self.n else [self.bytes[b] for b in part[at].encode("utf-8", "surrogatepass")]
+        packed = array("I", ids)
+        if sys.byteorder == "big":
+            packed.byteswap()
+        return packed.tobytes()
 
 
 class Codec:
@@ -184,10 +176,7 @@ class Codec:
         self.known[""] = b""
         for at in range(0, len(new), 4_000):
             block = new[at : at + 4_000]
-            ids, n = self.agenda.encode(block)
-            ends = np.cumsum(n)
-            raw, ends = ids.tobytes(), (4 * ends).tolist()
-            mine = [raw[x:y] for x, y in zip([0, *ends], ends)]
+            mine = [self.agenda.encode(s) for s in block]
             # the library puts a meta symbol in front of what it is given
             plain = [k for k, s in enumerate(block) if s[0] == META and s != META]
             theirs = self.lib.encode([block[k][1:].replace(META, " ") for k in plain], num_threads=1)

@@ -203,6 +203,22 @@ def test_sentencepiece(odd, none):
     assert piecebpe.encode_decode(none, path).count() == 0
 
 
+def test_sentencepiece_of_texts_without_spaces():
+    """1 MB without a space: cut where no piece crosses, and merged by one agenda where none may be cut."""
+    import time
+
+    path = queries.tokenizer_path("piece_bpe_32k.model")
+    r = random.Random(1)
+    texts = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(1_000_000)), "".join(chr(0x4E00 + r.randrange(2000)) for _ in range(300_000)), "a" * 200_000, " " * 5_000, "".join(r.choice("ab \n.,▁é́日🙂") for _ in range(50_000))]
+    codec = piecebpe.Codec(path)
+    began = time.time()
+    got = list(codec.encode_all(texts, True, True))
+    assert time.time() - began < 30
+    for t, ids in zip(texts, got):
+        assert np.frombuffer(ids, "<u4").tolist() == codec.lib.encode(t, add_bos=True, add_eos=True)
+        assert codec.decode(ids) == codec.lib.decode(codec.lib.encode(t))
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(0, 0.2, (700, 8))
