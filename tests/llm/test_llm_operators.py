@@ -89,6 +89,73 @@ def test_mixing(spark, odd, none):
     assert mixing.mix_sources(odd).count() == 13 and mixing.mix_sources(none).count() == 0
 
 
+def brute_mix(rows, weights, ratio, cap):
+    """Targets by raising a level step by step, sizes of the samples, and the smallest ranks, in plain Python. rows: (source, size, u)."""
+    import math
+
+    total, names = {}, sorted({r[0] for r in rows}, key=lambda s: (s is None, s))
+    for s, size, _ in rows:
+        total[s] = total.get(s, 0) + size
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(names)}
+    target, left, open_ = {}, ratio * sum(total.values()), set(names)
+    while open_:
+        level = left / sum(weight[s] for s in open_)
+        over = {s for s in open_ if cap * total[s] < level * weight[s]}
+        for s in over or open_:
+            target[s] = float(cap * total[s]) if over else level * weight[s]
+        left -= sum(target[s] for s in over)
+        open_ = open_ - over if over else set()
+    copies = [0] * len(rows)
+    for s in names:
+        rate = target[s] / total[s] if total[s] else 0.0
+        whole, carry = math.floor(rate), 0.0
+        p, bands = rate - whole, {}
+        for i, (of, size, u) in enumerate(rows):
+            if of == s:
+                copies[i] = whole
+                if size and p > 0:
+                    bands.setdefault(math.floor(math.log2(size) * 4), []).append(i)
+        for b in sorted(bands, reverse=True):
+            of, words = bands[b], sum(rows[i][1] for i in bands[b])
+            odds = {i: p / (1 - p) * rows[i][1] * len(of) / words for i in of}
+            chance = {i: o / (1 + o) for i, o in odds.items()}
+            mean = sum(chance[i] * rows[i][1] for i in of) / sum(chance.values())
+            due = p * words + carry
+            take = min(max(math.floor(due / mean + 0.5), 0), len(of))
+            carry = due - take * mean
+            for i in sorted(of, key=lambda i: rows[i][2] / (1 - rows[i][2]) / odds[i])[:take]:
+                copies[i] += 1
+    return target, copies
+
+
+def test_mixing_against_plain_python(spark):
+    r = random.Random(8)
+    docs = spark.createDataFrame([(i, text(i, int(r.paretovariate(1.1) * 4) % 900), None if i % 9 == 8 else f"s{int(r.paretovariate(0.9)) % 6}") for i in range(4000)], "doc_id long, text string, source string")
+    rows = mixing.mix_sources(docs.withColumn("u", mixing._uniform(17)).withColumn("_p", F.lit(1)).withColumn("key", F.lit("x"))).collect()
+    target, copies = brute_mix([(x.source, x["size"], x.u) for x in rows], (3, 1, 2), 1.5, 2)
+    assert all(abs(x.target - target[x.source]) < 1e-6 * (1 + x.target) for x in rows)
+    assert [x.copies for x in rows] == copies and {0, 1, 2} == set(copies)
+
+
+def test_mixing_inclusion_frequencies(spark):
+    """Longer documents of a band are likelier to be taken, as often as their inclusion probabilities say."""
+    docs = spark.range(40_000).selectExpr("id as doc_id", "repeat('w ', cast(64 + id % 12 as int)) as text", "if(id < 36000, 'a', 'b') as source")
+    rows = mixing.mix_sources(docs, weights=(1, 9), ratio=0.4).where("source = 'a'").groupBy("size").agg(F.avg("copies").alias("share"), F.first("target").alias("t"), F.first("source_size").alias("s")).collect()
+    p, mean = rows[0].t / rows[0].s, 64 + 5.5
+    for x in rows:
+        odds = p / (1 - p) * x["size"] / mean
+        assert abs(x.share - odds / (1 + odds)) < 0.035
+    share = {x["size"]: x.share for x in rows}
+    assert sum(share[k] for k in (73, 74, 75)) > sum(share[k] for k in (64, 65, 66))
+
+
+def test_mixing_of_repeated_rows(spark):
+    same = spark.createDataFrame([(1, "a b c d e f g h", "x")] * 1001 + [(None, "q w e", "y")] * 500 + [(None, None, None)], "doc_id long, text string, source string")
+    rows = mixing.mix_sources(same).collect()
+    taken, target = sum(x.taken for x in rows if x.source == "x"), next(x.target for x in rows if x.source == "x")
+    assert len(rows) == 1502 and abs(taken - target) <= 8 and mixing.mix_sources(same.repartition(7)).agg(F.sum("taken")).first()[0] == sum(x.taken for x in rows)
+
+
 def brute_components(docs):
     sets = {}
     for i, t in docs:
