@@ -125,14 +125,16 @@ class ByteConvNet:
 
 
 def train_quality(docs: DataFrame, labels: DataFrame, usable: Column, label_col: str = "quality", max_docs: int = 3000) -> ByteConvNet:
-    """Fit on at most max_docs labelled documents for which usable holds (see labelled_sample)."""
+    """Fit on at most max_docs labelled documents for which usable holds (see labelled_sample). Without labels, or with those of one
+    class only, the net is the prior."""
     net = ByteConvNet()
     net.fit(*labelled_sample(docs, labels, label_col, usable, max_docs))
     return net
 
 
 def quality_score(net: ByteConvNet, text: Column) -> Column:
-    """Score from 0 to 1 of each whole text; null counts as empty. Only the text is an input."""
+    """Score from 0 to 1 of each whole text, however long; null counts as empty. Only the text is an input, so repeated rows score
+    alike; an empty table has no scores."""
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -4,7 +4,8 @@ A word (ASCII white space around it, A-Z lower-cased) is the bag of its characte
 hashed to BUCKETS rows of an embedding table, so that misspelt words share most of their vectors with the
 word they come from. A text is scored in segments of SEGMENT words that cover all of it: the segment's
 embeddings are averaged into a softmax of two classes, and the text has the score of its most toxic
-segment, so that a few bad words in a long text aren't averaged away.
+segment, so that a few bad words in a long text aren't averaged away. With ``segment=None`` the embeddings of the whole text
+are averaged instead (the README has both figures).
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from gridloom.llm.labelled import labelled_sample
 from gridloom.llm.pieces import mix64, parts
 
-BUCKETS, DIM, SEGMENT = 1 << 19, 8, 8
+BUCKETS, DIM, SEGMENT, WHOLE = 1 << 19, 8, 8, 1 << 40
 GRAMS = (3, 4, 5, 6)
 WARM = 4
 MEMO = 400_000
@@ -58,8 +59,9 @@ def words_of(text: bytes) -> list[bytes]:
 
 
 class SubwordSoftmax:
-    def __init__(self, seed: int = 6):
+    def __init__(self, seed: int = 6, segment: int | None = SEGMENT):
         rng = np.random.default_rng(seed)
+        self.segment = segment or WHOLE
         self.embed = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32)
         self.out = rng.normal(0, 0.3, (DIM, 2)).astype(np.float32)
         self.bias = np.zeros(2, np.float32)
@@ -68,13 +70,13 @@ class SubwordSoftmax:
 
     def __getstate__(self) -> dict:
         """What tasks need: each bucket's share of the difference of the two class scores, and the bias."""
-        return {"value": self.values(), "gap": self.gap(), "known": {}}
+        return {"value": self.values(), "gap": self.gap(), "segment": self.segment}
 
     def gap(self) -> float:
         return self.__dict__["gap_"] if "gap_" in self.__dict__ else float(self.bias[1] - self.bias[0])
 
     def __setstate__(self, state: dict) -> None:
-        self.value, self.gap_, self.known = state["value"], state["gap"], {}
+        self.value, self.gap_, self.segment, self.known = state["value"], state["gap"], state["segment"], {}
 
     def values(self) -> np.ndarray:
         return self.value if self.value is not None else self.embed @ (self.out[:, 1] - self.out[:, 0])
@@ -82,6 +84,8 @@ class SubwordSoftmax:
     def fit(self, texts: list[bytes], y: np.ndarray, epochs: int = 24, batch: int = 64, rate: float = 0.25, seed: int = 7) -> None:
         """Adagrad on the softmax loss of one segment of each text: any one in the first epochs (four times as long),
         then the one with the highest score so far."""
+        full = [i for i, t in enumerate(texts) if words_of(t)]  # a text without words has no embedding to learn from
+        texts, y = [texts[i] for i in full], y[full]
         if not len(y) or y.min() == y.max():  # nothing to tell apart: the prior
             self.embed[:] = 0
             self.bias[:] = (0.0, 0.0) if not len(y) else (-2.0, 2.0) if y[0] else (2.0, -2.0)
@@ -101,19 +105,17 @@ class SubwordSoftmax:
             value = np.add.reduceat(self.values()[ids], first)
             order = rng.permutation(len(y))
             for at in range(0, len(order), batch):
-                pick = [i for i in order[at : at + batch] if len(docs[i])]
-                if not pick:
-                    continue
+                pick = order[at : at + batch]
                 chosen = []
                 for i in pick:
                     w = docs[i]
                     if epoch < WARM:
-                        k = int(rng.integers(max(1, len(w) - 4 * SEGMENT)))
-                        w = w[k : k + 4 * SEGMENT]
-                    elif len(w) > SEGMENT:
-                        cut = np.arange(0, len(w), SEGMENT)
+                        k = int(rng.integers(max(1, len(w) - 4 * self.segment)))
+                        w = w[k : k + 4 * self.segment]
+                    elif len(w) > self.segment:
+                        cut = np.arange(0, len(w), self.segment)
                         k = int((np.add.reduceat(value[w], cut) / np.add.reduceat(n[w], cut)).argmax())
-                        w = w[k * SEGMENT : (k + 1) * SEGMENT]
+                        w = w[k * self.segment : (k + 1) * self.segment]
                     chosen.append(w)
                 words = np.concatenate(chosen)
                 held = np.array([n[w].sum(dtype=np.int64) for w in chosen])
@@ -154,8 +156,9 @@ class SubwordSoftmax:
             self.known.update(zip(block, zip(sums.tolist(), n.tolist())))
 
     def score(self, texts: list[bytes]) -> np.ndarray:
-        """Softmax probability of class 1 for each text; one without words has the score of the bias alone."""
-        out = np.full(len(texts), -np.inf)
+        """Softmax probability of class 1 for each text; one without words has the score of the bias alone. Texts are taken in parts
+        of about 1 MB."""
+        best, total = np.full(len(texts), -np.inf), np.zeros((len(texts), 2))
         block: list[tuple[int, list[bytes]]] = []
         held = 0
 
@@ -166,12 +169,13 @@ class SubwordSoftmax:
                 pairs = np.array(list(map(self.known.__getitem__, words)))
                 size = np.array([len(ws) for _, ws in block])
                 size, of = size[size > 0], np.array([i for i, ws in block if ws])
-                pieces = -(-size // SEGMENT)
+                pieces = -(-size // self.segment)
                 at = np.repeat(np.cumsum(size) - size, pieces)
-                at = at + SEGMENT * (np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+                at = at + (np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * min(self.segment, len(words))
                 sums = np.add.reduceat(pairs, at)
-                best = np.maximum.reduceat(sums[:, 0] / sums[:, 1], np.cumsum(pieces) - pieces)
-                np.maximum.at(out, of, best)
+                first = np.cumsum(pieces) - pieces
+                np.maximum.at(best, of, np.maximum.reduceat(sums[:, 0] / sums[:, 1], first))
+                np.add.at(total, of, np.add.reduceat(sums, first))
             block.clear()
 
         for i, text in enumerate(texts):
@@ -183,19 +187,25 @@ class SubwordSoftmax:
                     held = 0
         if block:
             flush()
-        z = np.where(np.isinf(out), 0.0, out) + self.gap()
+        if self.segment == WHOLE:
+            best = np.where(total[:, 1] > 0, total[:, 0] / np.maximum(total[:, 1], 1), -np.inf)
+        z = np.where(np.isinf(best), 0.0, best) + self.gap()
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def train_toxicity(docs: DataFrame, labels: DataFrame, usable: Column, label_col: str = "toxic", max_docs: int = 4000) -> SubwordSoftmax:
-    """Fit on at most max_docs labelled documents for which usable holds (see labelled_sample)."""
-    model = SubwordSoftmax()
+def train_toxicity(
+    docs: DataFrame, labels: DataFrame, usable: Column, label_col: str = "toxic", max_docs: int = 4000, segment: int | None = SEGMENT
+) -> SubwordSoftmax:
+    """Fit on at most max_docs labelled documents for which usable holds (see labelled_sample). Without labels, or with those of one class
+    only, the model is the prior; labelled texts without words are passed over."""
+    model = SubwordSoftmax(segment=segment)
     model.fit(*labelled_sample(docs, labels, label_col, usable, max_docs, share=0.35))
     return model
 
 
 def toxicity_score(model: SubwordSoftmax, text: Column) -> Column:
-    """Score from 0 to 1 of each whole text; null counts as empty. Only the text is an input."""
+    """Score from 0 to 1 of each whole text, however long; null counts as empty. Only the text is an input, so repeated rows score
+    alike; an empty table has no scores."""
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

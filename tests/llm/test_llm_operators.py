@@ -324,6 +324,85 @@ def test_classifiers_on_odd_rows(spark, odd, none):
     assert odd.select(toxicity.toxicity_score(unlabelled, F.col("text")).alias("s")).where("s = 0.5").count() == 13
 
 
+def slow_net(net, text):
+    """The net's score by loops: every chunk, every window, every filter."""
+    p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    n = max(1, -(-(len(text) - (quality.CHUNK - quality.HOP)) // quality.HOP))
+    pooled = []
+    for k in range(n):
+        chunk = text[k * quality.HOP : k * quality.HOP + quality.CHUNK].ljust(quality.CHUNK, b"\0")
+        windows = [np.concatenate([p["embed"][b] for b in chunk[at : at + quality.WIDTH]]) for at in range(0, quality.CHUNK - quality.WIDTH + 1, quality.STRIDE)][: quality.WINDOWS]
+        pooled.append([max(0.0, max(float(w @ f) for w in windows) + s) for f, s in zip(p["filters"].T, p["shift"])])
+    h = [sum(x) / n for x in zip(*pooled)] + [max(x) for x in zip(*pooled)]
+    return 1 / (1 + np.exp(-(sum(a * b for a, b in zip(h, p["out"])) + p["bias"][0])))
+
+
+def test_quality_net_against_loops_and_differences():
+    r = random.Random(2)
+    texts = [b"", b"short", text(3, 120).encode(), text(4, 700).encode(), bytes(r.randrange(256) for _ in range(985))]
+    net = quality.ByteConvNet()
+    net.p["out"] = np.random.default_rng(1).normal(0, 0.1, 2 * quality.FILTERS).astype(np.float32)
+    assert np.allclose(net.score(texts), [slow_net(net, t) for t in texts], atol=1e-5)
+    y, weight = np.array([0, 1, 1, 0, 1]), np.ones(5)
+    net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
+
+    def loss():
+        z = np.array([np.log(s / (1 - s)) for s in net.score(texts)])
+        return float(np.mean(np.log1p(np.exp(-np.where(y == 1, z, -z)))))
+
+    grads = net.gradients(texts, y, weight)
+    for name, at in (("bias", (0,)), ("out", (3,)), ("out", (quality.FILTERS + 5,)), ("shift", (7,)), ("filters", (9, 4)), ("filters", (33, 11)), ("embed", (ord("a"), 2))):
+        held, step = net.p[name][at], 1e-3
+        net.p[name][at] = held + step
+        up = loss()
+        net.p[name][at] = held - step
+        down = loss()
+        net.p[name][at] = held
+        assert abs((up - down) / (2 * step) - grads[name][at]) < 2e-4
+
+
+@pytest.mark.parametrize("segment", [toxicity.SEGMENT, None])
+def test_toxicity_softmax_against_whole_vectors(segment):
+    """The collapsed values of the scorer give what averaging the embeddings and a softmax of two classes give."""
+    import pickle
+
+    model = toxicity.SubwordSoftmax(segment=segment)
+    texts = [b"", b" \n", b"one", text(5, 37).encode(), text(6, 64).encode(), (text(7, 300_000)).encode()]
+    want = []
+    for t in texts:
+        words, logits = toxicity.words_of(t), []
+        if not words:
+            logits = [model.bias]
+        elif segment or len(words) < 1000:
+            size = segment or len(words)
+            for at in range(0, len(words), size):
+                ids, _ = toxicity.subwords(words[at : at + size])
+                logits.append(model.embed[ids].mean(0) @ model.out + model.bias)
+                if at > 4000:
+                    break
+        p = [float(np.exp(z[1]) / np.exp(z).sum()) for z in logits]
+        want.append(max(p, default=None))
+    got = pickle.loads(pickle.dumps(model)).score(texts)
+    assert np.allclose(got[:5], want[:5], atol=1e-5) and 0 < got[5] < 1
+
+
+def test_classifiers_without_usable_labels(spark):
+    """Labelled texts that are all empty, labels of one class, no documents: the prior; held_out is never null."""
+    docs = spark.createDataFrame([(1, ""), (2, None), (3, " \n"), (None, "no id")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (2, 1), (3, 1)], "doc_id long, toxic int")
+    anyone = labelled.fold(5) >= -1
+    for rows, marks in ((docs, labels), (docs.limit(0), labels), (docs, labels.where("toxic = 1"))):
+        model = toxicity.train_toxicity(rows, marks, anyone)
+        assert docs.select(toxicity.toxicity_score(model, F.col("text")).alias("s")).where("s between 0 and 1").count() == 4
+        net = quality.train_quality(rows, marks.withColumnRenamed("toxic", "quality"), anyone)
+        assert docs.select(quality.quality_score(net, F.col("text")).alias("s")).where("s between 0 and 1").count() == 4
+    assert docs.where((labelled.fold(3) == 1).isNull() | (labelled.fold(5) == 0).isNull()).count() == 0
+    long = docs.union(spark.createDataFrame([(9, "word " * 30_000), (10, "good text"), (11, "bad text")], docs.schema))
+    marks = spark.createDataFrame([(9, 1), (10, 1), (11, 0)], "doc_id long, quality int")
+    got, y = labelled.labelled_sample(long, marks, "quality", anyone, 2)
+    assert got == [b"good text", b"bad text"] and y.tolist() == [1, 0]  # the long text is passed over before the draw
+
+
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_sql(spark, name):
     from compare import engine, rows
