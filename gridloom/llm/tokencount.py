@@ -19,6 +19,8 @@ from gridloom.llm.pieces import parts
 
 BLOCK = 4 << 20
 MEMO = 300_000
+#: Pairs of words that a tokenizer is tried on, apart and with white space between them.
+PROBES = (("word", "word"), ("don't", "'s"), ("12", "345"), ("e.g.", ",x"), ("日本", "語"), ("é", "́x"), ("--", "--"), ("<s>", "</s>"))
 
 
 class WordCounter:
@@ -34,6 +36,17 @@ class WordCounter:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.known: dict[bytes, int] = {}
+        self.check_boundaries()
+
+    def check_boundaries(self) -> None:
+        """Refuse a tokenizer to which white space isn't a boundary: its words can't be counted one by one."""
+        def ids(text: str) -> list[int]:
+            return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+        for left, right in PROBES:
+            for space in (" ", "\t", "\n", "\x0b", "\x0c", "\r", "  ", " \n\t", "\r\n"):
+                if ids(f"{space}{left}{space}{right}{space}") != ids(left) + ids(right):
+                    raise ValueError(f"this tokenizer has tokens that hold or span white space: {left!r}, {space!r}, {right!r}")
 
     def learn(self, words: set[bytes]) -> None:
         if len(self.known) > MEMO:

@@ -72,6 +72,33 @@ def test_line_dedup(spark, odd, none):
     assert linededup.drop_common_lines(none).count() == 0
 
 
+def test_line_dedup_by_position(spark, monkeypatch):
+    """A long text with many dropped lines, rows that repeat or lack an id, and more common lines than are sent to all tasks."""
+    r = random.Random(3)
+    shared = [f"Shared line {i}" for i in range(3000)]
+    docs = []
+    for i in range(40):
+        lines = [x for x in shared if r.random() < 0.4] + [f"own {i} {k}" for k in range(r.randrange(30))]
+        r.shuffle(lines)
+        docs.append((i if i < 30 else None if i < 35 else 7, "\n".join(lines)))
+    docs.append((99, "\n".join(r.choice(shared) if r.random() < 0.9 else f"kept {k}" for k in range(100_000))))
+    df = spark.createDataFrame([(*d, "x", 1, "y") for d in docs], "doc_id long, text string, line string, row int, hit string")
+    seen = {}
+    for _, t in docs:
+        for k in {x.strip(" \t\n\x0b\x0c\r").lower() for x in t.split("\n")} - {""}:
+            seen[k] = seen.get(k, 0) + 1
+    common = {k for k, n in seen.items() if n >= 10}
+    want = []
+    for i, t in docs:
+        lines = t.split("\n")
+        stay = [x for x in lines if x.strip().lower() not in common]
+        want.append((i, len(lines), len(lines) - len(stay), "\n".join(stay)))
+    for sent in (100_000, 50):
+        monkeypatch.setattr(linededup, "SENT", sent)
+        got = [tuple(x) for x in linededup.drop_common_lines(df).collect()]
+        assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
 def test_mixing(spark, odd, none):
     docs = spark.createDataFrame([(i, text(i, 5 + i % 90), None if i % 9 == 8 else f"s{i % 7}") for i in range(6000)], "doc_id long, text string, source string")
     rows = mixing.mix_sources(docs).collect()
@@ -254,6 +281,16 @@ def test_token_counts(odd, none):
     assert got == want and tokencount.count_tokens(none, path).count() == 0
 
 
+def test_token_counts_refuse_tokens_with_spaces(tmp_path):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    t = Tokenizer(models.BPE(vocab={c: k for k, c in enumerate(sorted(pre_tokenizers.ByteLevel.alphabet()))}, merges=[]))
+    t.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False)
+    t.save(str(tmp_path / "t.json"))
+    with pytest.raises(ValueError):
+        tokencount.WordCounter(str(tmp_path / "t.json"))
+
+
 def test_sentencepiece(odd, none):
     import sentencepiece
 
