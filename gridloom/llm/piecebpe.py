@@ -3,8 +3,8 @@
 A text is normalised (spaces become the meta symbol, one is put in front), cut into segments at the places no piece
 of the vocabulary crosses (a meta symbol after another character), and every segment is merged by an agenda of
 adjacent symbol pairs: the pair whose joined piece scores highest goes first, of equal scores the leftmost,
-until no pair joins to a piece. The agenda is a heap, so a segment of n characters takes n log n steps, and long
-segments (text without spaces) are cut further between characters that no piece has side by side. Symbols left without
+until no pair joins to a piece. The agenda is a heap (of a short word a list), so a segment of n characters takes n log n steps, and
+long segments (text without spaces) are cut further between characters that no piece has side by side. Symbols left without
 a piece become byte pieces. Each new segment is checked against the library in the same batch; a difference raises.
 """
 
@@ -33,6 +33,8 @@ MEMO = 400_000
 BLOCK = 2 << 20
 #: Segments over LONG characters are looked through for more places to cut.
 LONG = 256
+#: Segments of up to SHORT characters have a list for an agenda, longer ones a heap.
+SHORT, NEVER = 24, 1 << 62
 #: Low bits of an agenda entry: the place of the pair's left symbol. No string is as long.
 PLACE_BITS = 40
 PLACE = (1 << PLACE_BITS) - 1
@@ -72,6 +74,24 @@ class Agenda:
             for k in range(1, len(p))
             if p[:k] in symbol and p[k:] in symbol
         }
+        self.rank = {k: r >> PLACE_BITS for k, (r, _) in self.joins.items()}
+
+    def merge_short(self, segment: str) -> list[int]:
+        """Symbols of a segment of few characters after all merges. Its agenda is a list with the rank of each two neighbours, from
+        which the least is taken (the leftmost of equal ones)."""
+        find, top, never = self.rank.get, self.top, NEVER
+        char = self.char
+        symbol = [char[c] for c in segment]
+        agenda = [find(a * top + b, never) for a, b in zip(symbol, symbol[1:])]
+        while agenda and (best := min(agenda)) != never:
+            at = agenda.index(best)
+            symbol[at] = new = self.joins[symbol[at] * top + symbol[at + 1]][1]
+            del symbol[at + 1], agenda[at]
+            if at < len(agenda):
+                agenda[at] = find(new * top + symbol[at + 1], never)
+            if at:
+                agenda[at - 1] = find(symbol[at - 1] * top + new, never)
+        return symbol
 
     def merge(self, segment: str) -> tuple[list[int], list[int]]:
         """Symbols of one segment after all merges, and their places. The agenda is a heap of entries (rank and place in one
@@ -130,7 +150,9 @@ class Agenda:
 
     def encode(self, segment: str) -> bytes:
         """Little-endian ids of a segment (meta symbols in place of spaces). Characters without a piece become their UTF-8 bytes."""
-        ids: list[int] = []
+        if len(segment) <= SHORT and max(ids := self.merge_short(segment)) < self.n:
+            return _packed(ids)
+        ids = []
         for part in self.cut(segment) if len(segment) > LONG else [segment]:
             symbols, places = self.merge(part)
             if max(symbols) < self.n:
@@ -138,10 +160,14 @@ class Agenda:
                 continue
             for s, at in zip(symbols, places):
                 ids += [s] if s < self.n else [self.bytes[b] for b in part[at].encode("utf-8", "surrogatepass")]
-        packed = array("I", ids)
-        if sys.byteorder == "big":
-            packed.byteswap()
-        return packed.tobytes()
+        return _packed(ids)
+
+
+def _packed(ids: list[int]) -> bytes:
+    packed = array("I", ids)
+    if sys.byteorder == "big":
+        packed.byteswap()
+    return packed.tobytes()
 
 
 class Codec:
@@ -153,14 +179,15 @@ class Codec:
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         # no piece holds these pairs of characters, so a text without them may be cut before these marks as well
-        self.unsafe = [b for b in self.agenda.bigrams if b[1] in MARKS]
+        unsafe = [b for b in self.agenda.bigrams if b[1] in MARKS]
+        self.unsafe = re.compile("|".join(map(re.escape, sorted(unsafe))) or "(?!)")
 
     def segments(self, text: str) -> list[str]:
         """The segments of a text, each space a meta symbol in front of what follows."""
         flat = META + text.replace(" ", META)
         if META + META in flat:
             return SEGMENT.findall(flat)
-        if not any(b in flat for b in self.unsafe):
+        if not self.unsafe.search(flat):
             for c in MARKS:
                 flat = flat.replace(c, CUT + c)
         return (flat[0] + flat[1:].replace(META, CUT + META)).split(CUT)
