@@ -13,6 +13,8 @@ The first rows of their pieces are brought together again by comparing the texts
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,9 +29,9 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]{2,}|[\x09-\x0D]", " ")
 
 
-def _runs(docs: DataFrame, id_col: str, text_col: str, rows: int) -> DataFrame:
+def _runs(docs: DataFrame, id_col: str, text_col: str, rows: int, rule: Callable[[Column], Column] = normalised) -> DataFrame:
     """Every row (packed in ``row``) with its sort key, normalised text, run (within the key), place in the run and its length."""
-    norm = normalised(F.col(f"`{text_col}`"))
+    norm = rule(F.col(f"`{text_col}`"))
     packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.substring(norm, 1, HEAD).alias("head"), F.xxhash64(norm).alias("h"))
     # at most rows / run <= HOT texts are over it: what is broadcast is bounded
     run = max(LEAST, rows // HOT)
@@ -40,7 +42,7 @@ def _runs(docs: DataFrame, id_col: str, text_col: str, rows: int) -> DataFrame:
         F.coalesce(F.pmod(F.xxhash64(F.col("row")[id_col]), F.col("pieces")), F.lit(0)).cast("int").alias("piece"),
         F.col("often").isNotNull().alias("cut"),
     )
-    dealt = dealt.repartitionByRange(*KEY).select("*", normalised(F.col("row")[text_col]).alias("norm"), F.col("row")[id_col].alias("doc_id"))
+    dealt = dealt.repartitionByRange(*KEY).select("*", rule(F.col("row")[text_col]).alias("norm"), F.col("row")[id_col].alias("doc_id"))
     same = Window.partitionBy(*KEY, "norm")
     by_id = same.orderBy(F.col("doc_id").asc_nulls_last())
     return dealt.select(
@@ -65,8 +67,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Null text counts as empty. A null id sorts after every other id; rows that repeat an id are rows of
     their own and exactly one row of a group is kept. Empty table: no rows. Extra columns of any name are ignored.
     """
-    two = columns(docs, id_col, text_col).toDF("doc_id", "text")
-    found = _runs(two, "doc_id", "text", two.count()).select(
+    two = columns(docs, id_col, text_col).toDF("doc_id", "text").withColumn("text", normalised(F.col("text")))
+    found = _runs(two, "doc_id", "text", docs.count(), lambda norm: norm).select(
         "doc_id", *KEY, "run", "cut", "at", "first", "n", F.unhex(F.sha2("norm", 256)).alias("sha"),
         F.when(F.col("cut") & (F.col("at") == 1), F.col("norm")).alias("norm"),
     )
