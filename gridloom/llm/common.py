@@ -61,3 +61,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def columns(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, so that extra ones of any name can't clash with what an operator adds."""
     return df.select(*(F.col(f"`{n}`") for n in names))
+
+
+#: A key with more than 1 / SHARE of a table's rows is hot (so there are fewer than SHARE of them) and dealt to PIECES tasks.
+SHARE, PIECES = 64, 64
+
+
+def hot_keys(df: DataFrame, key: str) -> DataFrame:
+    """The hot keys of a written table, in a column hot: fewer than SHARE rows."""
+    few = df.groupBy(F.col(key).alias("hot")).count().where(F.col("count") * SHARE > max(df.count(), 16 * SHARE))
+    return scratch(few.select("hot"), "hot-keys")
+
+
+def lookup(left: DataFrame, key: str, found: DataFrame, by: str, hot: DataFrame) -> DataFrame:
+    """left join found on key; found has one row per key. Rows of hot keys are dealt out by a hash of ``by`` and meet a copy of the key's row
+    in each piece, so that no key goes to one task."""
+    is_hot = F.col("hot").isNotNull()
+    dealt = left.join(F.broadcast(hot), F.col(key) == F.col("hot"), "left").withColumn("piece", F.when(is_hot, F.pmod(F.xxhash64(by), F.lit(PIECES)).cast("int")).otherwise(0))
+    pieces = F.when(is_hot, F.sequence(F.lit(0), F.lit(PIECES - 1))).otherwise(F.array(F.lit(0)))
+    copied = found.join(F.broadcast(hot), F.col(key) == F.col("hot"), "left").withColumn("piece", F.explode(pieces)).drop("hot")
+    return dealt.drop("hot").join(copied, [key, "piece"], "left").drop("piece")

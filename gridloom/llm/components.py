@@ -1,39 +1,39 @@
-"""Connected components of a link table by hooking, pointer jumping and contraction."""
+"""Connected components of a link table by hooking and contraction."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import scratch
+from gridloom.llm.common import hot_keys, lookup, scratch
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): for every node of a link, the smallest node it can reach.
 
-    Each round every node hooks to its smallest neighbour if that is smaller, pointers are jumped to their roots, and
-    the links are rewritten between roots; links inside one root go. All tables are keyed by node and stay
-    distributed; the only thing asked of the driver's jobs is whether links are left. Null ends are ignored.
+    Each round every node hooks to its smallest neighbour if that is smaller, pointers are jumped twice (four steps up), and
+    the links are rewritten between the nodes pointed to; links inside one of them go, so settled components take no further part. All
+    tables are keyed by node and stay distributed; a node with a great share of the links is dealt to many tasks (see lookup). The
+    only thing asked of the driver's jobs is whether links are left. Null ends are ignored.
     """
     edges = links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u <> v")
     edges = scratch(edges.union(edges.select("v", "u")).distinct(), "links")
     of: DataFrame | None = None
     while not edges.isEmpty():
-        hook = edges.groupBy("u").agg(F.min("v").alias("low"))
-        parent = hook.select(F.col("u").alias("node"), F.least("u", "low").alias("root"))
+        hook = scratch(edges.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("root")), "hooks")
         for _ in range(2):
-            up = parent.select(F.col("node").alias("root"), F.col("root").alias("above"))
-            parent = parent.join(up, "root", "left").select("node", F.coalesce("above", "root").alias("root"))
-        parent = scratch(parent, "roots")
+            above = hook.where("u <> root").toDF("root", "above")
+            up = lookup(hook, "root", above, "u", hot_keys(hook, "root"))
+            hook = scratch(up.select("u", F.coalesce("above", "root").alias("root")), "hooks")
         if of is None:
-            of = parent.withColumnRenamed("root", "component")
+            of = hook.toDF("node", "component")
         else:
-            step = parent.select(F.col("node").alias("component"), "root")
-            of = of.join(step, "component", "left").select("node", F.coalesce("root", "component").alias("component"))
+            step = hook.where("u <> root").toDF("component", "root")
+            of = lookup(of, "component", step, "node", hot_keys(of, "component")).select("node", F.coalesce("root", "component").alias("component"))
         of = scratch(of, "components")
-        to_u = parent.toDF("u", "ru")
-        to_v = parent.toDF("v", "rv")
-        edges = edges.join(to_u, "u").join(to_v, "v").where("ru <> rv").select(F.col("ru").alias("u"), F.col("rv").alias("v"))
+        hot = hot_keys(edges, "u")  # links are held in both directions, so v has the same hot keys
+        near = lookup(edges, "u", hook.toDF("u", "ru"), "v", hot).select("ru", "v")
+        edges = lookup(near, "v", hook.toDF("v", "rv"), "ru", hot).where("ru <> rv").select(F.col("ru").alias("u"), F.col("rv").alias("v"))
         edges = scratch(edges.distinct(), "links")
     if of is None:
         of = edges.select(F.col("u").alias("node"), F.col("u").alias("component"))

@@ -4,14 +4,13 @@
 2. A class has a signature of COORDINATES minima. It is posted under its (coordinate, value) pairs. Pairs of documents at
    the threshold (85%) collide in 0.85 * 48 = 41 coordinates on average and in fewer than 27 of them with a probability
    below 1e-6, so two classes are a candidate if they collide in 27 coordinates (``matches``, worked out for each threshold).
-3. Prefix: a class with c shared values is posted under the c - matches + 1 rarest only, since a pair that collides
-   ``matches`` times meets there. Classes with fewer shared values are skipped altogether.
-4. Lists of up to LONG classes give all their pairs. Longer ones (one text copied thousands of times with small edits)
-   aren't merged: their classes are posted again under the rarest shingles of their full sets, by size, which loses no
-   link; each such list compares its members with its most central ones, and then only members that are still
-   in different components. So the number of comparisons follows the number of documents.
-5. Pairs whose signatures collide ``matches`` times are confirmed on their full sets, and linked classes are gathered to
-   components.
+3. Prefix merging: a class with c shared values is posted under the c - matches + 1 rarest only, since a pair that collides
+   ``matches`` times meets there; classes with fewer shared values are passed over. The matches - 1 longest lists of each class
+   are skipped: they are only looked up for the pairs that met, when their collisions are counted over both lists of values.
+4. A list of more than SPLIT classes (one text copied thousands of times with small edits) is split by a second key:
+   its classes are posted again under the rarest shingles of their full sets, by size, which loses no link.
+5. All lists go one way: the most central members of each meet its other members, pairs that collide ``matches`` times are
+   confirmed on their full sets, linked classes are gathered to components, and what is in one component isn't compared again.
 """
 
 from __future__ import annotations
@@ -22,20 +21,18 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import columns, scratch
+from gridloom.llm.common import columns, hot_keys, lookup, scratch
 from gridloom.llm.components import components
 from gridloom.llm.shingles import Shingler
 
-COORDINATES, LONG, MISS = 48, 24, 1e-6
+COORDINATES, SPLIT, GROW, MISS = 48, 24, 4, 1e-6
 #: Classes up to this number are sent to all tasks to pick their texts (8 bytes each); beyond it texts are shuffled.
 SMALL = 1_000_000
 #: Ratio of the sizes of neighbouring size classes.
 STEP = 1.01
-#: Rounds of comparing with central members before what is left is compared directly.
-ROUNDS = 3
 
 
 def matches_for(percent: int, k: int = COORDINATES) -> int:
@@ -174,47 +171,44 @@ def _refined(sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def _long_links(sets: DataFrame, sigs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
-    """Links between the classes of long lists: enough of them to join what belongs together."""
-    posts = scratch(_refined(sets, percent), "refined-posts")
-    lists = posts.groupBy("size", "token").agg(
-        F.sum(F.when(F.col("role") == "s", 1).otherwise(0)).alias("ns"), F.sum(F.when(F.col("role") == "l", 1).otherwise(0)).alias("nl")
-    )
-    at = ["size", "token"]
-    posts = scratch(posts.join(lists.where("ns >= 1 and nl >= 1 and ns + nl >= 3").select(*at), at), "refined-lists")
-    links, used = known, None
-    named = posts.withColumn("c", F.col("doc_id"))
-    for turn in range(ROUNDS):
-        # the most central member of each role that hasn't led its list yet meets the other role's members
-        free = named if used is None else named.join(used, [*at, "role", "doc_id"], "left_anti")
-        leaders = free.groupBy(*at, "role").agg(F.min(F.struct("pos", "doc_id", "c")).alias("m"))
-        leaders = scratch(leaders.select(*at, "role", F.col("m.doc_id").alias("lead"), F.col("m.c").alias("lc")), "leaders")
-        led = leaders.select(*at, "role", F.col("lead").alias("doc_id"))
-        used = led if used is None else used.union(led)
-        other = leaders.withColumn("role", F.when(F.col("role") == "s", "l").otherwise("s"))
-        pairs = named.join(other, [*at, "role"]).where("c <> lc").select(*_ordered("doc_id", "lead")).distinct()
-        links = scratch(links.union(confirmed(_colliding(pairs, sigs, matches_for(percent)), sets, percent)), "links-so-far")
-        # what is left to compare: members of one list, of opposite roles, in different components
-        comp = components(links).toDF("doc_id", "c")
-        named = scratch(posts.join(comp, "doc_id", "left").withColumn("c", F.coalesce("c", "doc_id")), "named")
-        s_, l_ = F.when(F.col("role") == "s", 1).otherwise(0), F.when(F.col("role") == "l", 1).otherwise(0)
-        each = named.groupBy(*at, "c").agg(F.sum(s_).alias("s"), F.sum(l_).alias("l"))
+def _linked(lists: DataFrame, sigs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(node, component) of the linked classes. lists: size, token (the list), doc_id, role, pos, n, with all members of a list.
+
+    In a round the first members of every list and role (the most central ones: those with the fewest rarer entries) meet the members of
+    the other role that are in another component so far. A list all of whose members have been first ones, or whose pairs are each
+    in one component, is finished. Of a list that wasn't split all members are first ones at once; of the others one is, and GROW times
+    as many in every further round. So pairs inside a component aren't looked at again, and a list of any length is finished after
+    a few rounds. The work follows the number of classes unless a list holds many that share their rarest shingles and still aren't linked.
+    """
+    at, matches = ["size", "token"], matches_for(percent)
+    rank = F.row_number().over(Window.partitionBy(*at, "role").orderBy("pos", "doc_id"))
+    comp: DataFrame | None = None
+    named = lists.withColumn("c", F.col("doc_id"))
+    done, upto = 0, 1
+    while True:
+        firsts = named.withColumn("rank", rank).where(F.col("rank") <= max(upto, SPLIT))
+        firsts = firsts.where((F.col("rank") > done) & ((F.col("size") < 0) | (F.col("rank") <= upto)))
+        firsts = firsts.select(*at, F.when(F.col("role") == "s", "l").otherwise("s").alias("role"), F.col("doc_id").alias("first"), F.col("c").alias("fc"), F.col("pos").alias("fp"), F.col("n").alias("fn"))
+        # a list of shingles has a pair's first common shingle only if enough shingles follow it in both sets
+        enough = (F.col("size") < 0) | (F.least(F.col("n") - F.col("pos"), F.col("fn") - F.col("fp")) * (100 + percent) >= percent * (F.col("n") + F.col("fn")))
+        pairs = named.join(scratch(firsts, "first-members"), [*at, "role"]).where((F.col("c") != F.col("fc")) & enough)
+        pairs = scratch(pairs.select(*_ordered("doc_id", "first")).distinct(), "pairs")
+        links = confirmed(_colliding(pairs, sigs, matches), sets, percent)
+        if comp is not None:
+            links = links.union(comp.select("doc_id", "c"))
+        comp = components(scratch(links, "links-so-far")).toDF("doc_id", "c")
+        named = lists.join(comp, "doc_id", "left").withColumn("c", F.coalesce("c", "doc_id"))
+        small, large = F.count(F.when(F.col("role") == "s", 1)), F.count(F.when(F.col("role") == "l", 1))
+        each = named.groupBy(*at, "c").agg(small.alias("s"), large.alias("l"))
         left = each.groupBy(*at).agg(
-            (F.sum("s") * F.sum("l") - F.sum(F.col("s") * F.col("l"))).alias("open"), F.sum(F.col("s") + F.col("l")).alias("n")
+            F.sum("s").alias("ns"), F.sum("l").alias("nl"), (F.sum("s") * F.sum("l") - F.sum(F.col("s") * F.col("l"))).alias("apart")
         )
-        left = scratch(left.where("open > 0"), "open-lists")
-        sums = left.agg(F.sum("open").alias("open"), F.sum("n").alias("n")).first()
-        if not sums["open"]:
-            return links
-        named = named.join(left.select(*at), at)
-        if sums["open"] <= 8 * sums["n"]:
-            break
-    one = named.where("role = 's'").select(*at, F.col("doc_id").alias("x"), F.col("c").alias("cx"), F.col("n").alias("nx"), F.col("pos").alias("px"))
-    two = named.where("role = 'l'").select(*at, F.col("doc_id").alias("y"), F.col("c").alias("cy"), F.col("n").alias("ny"), F.col("pos").alias("py"))
-    # a list holds a pair's first common shingle if enough shingles follow it in both sets
-    enough = F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py")) * (100 + percent) >= percent * (F.col("nx") + F.col("ny"))
-    pairs = one.join(two, at).where((F.col("cx") != F.col("cy")) & enough).select(*_ordered()).distinct()
-    return links.union(confirmed(_colliding(pairs, sigs, matches_for(percent)), sets, percent))
+        left = scratch(left.where((F.col("size") >= 0) & (F.col("apart") > 0) & (F.least("ns", "nl") > upto)).select(*at), "open-lists")
+        if left.isEmpty():
+            return comp
+        lists = scratch(lists.join(left, at, "left_semi"), "lists-left")
+        named = scratch(named.join(left, at, "left_semi"), "named")
+        done, upto = upto, upto * GROW
 
 
 def near_duplicates(
@@ -234,7 +228,6 @@ def near_duplicates(
     table = scratch(signed(base, words), "signatures")
     sound = table.where("doc_id is not null and n_shingles > 0")
     classes = scratch(sound.groupBy("set_hash").agg(F.min("doc_id").alias("doc_id")), "classes")
-    copies = sound.join(classes.toDF("set_hash", "first"), "set_hash").where("first <> doc_id").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
     posted = sound.join(classes, ["set_hash", "doc_id"], "left_semi").select("doc_id", F.explode("sig").alias("token"))
     often = scratch(posted.groupBy("token").count().where("count >= 2"), "shared-values")
     active = scratch(
@@ -244,33 +237,21 @@ def near_duplicates(
         .where(F.size("own") >= matches),
         "active",
     )
-    posts = active.select("doc_id", F.explode(F.slice("own", F.lit(1), F.size("own") - (matches - 1))).alias("t")).select("doc_id", "t.token")
+    prefix = F.posexplode(F.slice("own", F.lit(1), F.size("own") - (matches - 1)))
+    posts = active.select("doc_id", F.size("own").alias("n"), prefix).select("doc_id", "n", "pos", F.col("col.token").alias("token"))
     lengths = scratch(posts.groupBy("token").count().where("count >= 2").toDF("token", "length"), "lists")
     posts = scratch(posts.join(lengths, "token"), "posts")
     in_lists = scratch(posts.select("doc_id").distinct(), "in-lists")
     sigs = scratch(active.select("doc_id", F.col("own.token").alias("sig")).join(in_lists, "doc_id", "left_semi"), "list-signatures")
     small = in_lists.count() <= SMALL
     sets = scratch(shingle_sets(base.join(F.broadcast(in_lists) if small else in_lists, "doc_id", "left_semi"), words), "sets")
-    short = posts.where(F.col("length") <= LONG)
-    pairs = (
-        short.select("token", F.col("doc_id").alias("a"))
-        .join(short.select("token", F.col("doc_id").alias("b")), "token")
-        .where("a < b")
-        .groupBy("a", "b")
-        .count()
-    )
-    links = scratch(confirmed(_colliding(pairs, sigs, matches_for(percent)), sets, percent), "short-links")
-    long_docs = scratch(posts.where(F.col("length") > LONG).select("doc_id").distinct(), "long-members")
-    if not long_docs.isEmpty():
-        links = _long_links(scratch(sets.join(long_docs, "doc_id", "left_semi"), "long-sets"), sigs, links, percent)
-    of = components(links.union(copies)).toDF("doc_id", "reach")
-    return (
-        table.select("doc_id", "n_shingles")
-        .join(of, "doc_id", "left")
-        .select(
-            "doc_id",
-            "n_shingles",
-            F.coalesce("reach", "doc_id").alias("component_id"),
-            F.coalesce(F.coalesce("reach", "doc_id") == F.col("doc_id"), F.lit(True)).alias("kept"),
-        )
-    )
+    split = scratch(posts.where(F.col("length") > SPLIT).select("doc_id").distinct(), "split-members")
+    both = F.explode(F.array(F.lit("s"), F.lit("l"))).alias("role")
+    lists = posts.where(F.col("length") <= SPLIT).select(F.lit(-1).alias("size"), "token", "doc_id", both, "pos", "n")
+    lists = scratch(lists.union(_refined(sets.join(split, "doc_id", "left_semi"), percent).select("size", "token", "doc_id", "role", "pos", "n")), "all-lists")
+    of = _linked(lists, sigs, sets, percent)
+    # rows reach their component through their set; rows with a set in common may be many
+    found = classes.join(of, "doc_id", "left").select("set_hash", F.coalesce("c", "doc_id").alias("reach"))
+    placed = lookup(table, "set_hash", found, "doc_id", hot_keys(table, "set_hash")).withColumn("reach", F.when(F.col("doc_id").isNotNull(), F.col("reach")))
+    reach = F.coalesce("reach", "doc_id")
+    return placed.select("doc_id", "n_shingles", reach.alias("component_id"), F.coalesce(reach == F.col("doc_id"), F.lit(True)).alias("kept"))

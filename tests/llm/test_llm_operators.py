@@ -224,6 +224,28 @@ def test_near_duplicates(spark, odd, none):
     assert neardup.near_duplicates(none).count() == 0
 
 
+def test_near_duplicates_in_one_long_list(spark):
+    """2,000 near copies of one text, up to five words apart from it: chains, strays, and copies of the same set."""
+    r = random.Random(15)
+    base, docs = text(77, 150).split(), []
+    for i in range(2000):
+        w = list(base)
+        for _ in range(r.randrange(6)):
+            w[r.randrange(len(w))] = f"x{r.randrange(10_000)}"
+        docs.append((i, " ".join(w)))
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in neardup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string").repartition(8)).collect()}
+    assert got == brute_components(docs)
+
+
+def test_components_of_a_star_and_a_path(spark):
+    from gridloom.llm.components import components
+
+    star = [(5_000, i) for i in range(3_000)]
+    path = [(10_000 + i, 10_001 + i) for i in range(300)]
+    got = dict(components(spark.createDataFrame([*star, *path, (None, 3), (7, 7)], "a long, b long")).collect())
+    assert got == {**{i: 0 for i in [*range(3_000), 5_000]}, **{10_000 + i: 10_000 for i in range(301)}}
+
+
 def test_near_duplicates_at_a_lower_threshold(spark):
     """Pairs just above 60% are linked as well: 25% of such pairs collide in fewer than 27 coordinates."""
     assert neardup.matches_for(85) == 27
