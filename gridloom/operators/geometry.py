@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.operators.cells import border_index, shape, with_shape
-
+from gridloom.operators.cells import border_index, from_rows, shape, to_rows, with_shape
 
 
 def _moved(cells: DataFrame, y: Column, x: Column) -> DataFrame:
@@ -55,27 +56,33 @@ def resize_nearest(cells: DataFrame, oh: int, ow: int) -> DataFrame:
     return gather(g.withColumn("sy", sy).withColumn("sx", sx), cells)
 
 
-def _taps(at: Column, n: Column, weights: list[tuple[int, Column]]) -> Column:
-    return F.array(*(F.struct(F.least(F.greatest(at + k, F.lit(0)), n - 1).cast("int").alias("s"), w.alias("k")) for k, w in weights))
+def _resampled(cells: DataFrame, oh: int, ow: int, taps: tuple[int, ...], weight: Callable[[Column, int], Column]) -> DataFrame:
+    """Pixel-centre mapping, clamped at the edges: cells weighted by weight(fraction, tap) down and across.
 
+    An output row gets the few source rows it needs as arrays, by (image, row); it is blended down and then resampled across in
+    expressions over arrays, so cells are never joined one by one."""
+    rows = to_rows(cells)
+    sizes = cells.groupBy("img_id", "c").agg((F.max("y") + 1).alias("h"))
+    fy = (F.col("y") + 0.5) * F.col("h") / oh - 0.5
+    want = sizes.withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(oh - 1)))).withColumn("fy", fy)
+    down = F.array(*(F.struct(F.lit(t).alias("t"), F.least(F.greatest(F.floor("fy") + t, F.lit(0)), F.col("h") - 1).cast("int").alias("s"), weight(F.col("fy") - F.floor("fy"), t).alias("k")) for t in taps))
+    want = want.withColumn("d", F.explode(down)).select("img_id", "c", "y", "d.t", "d.k", F.col("d.s").alias("sy"))
+    met = want.join(rows.select("img_id", "c", F.col("y").alias("sy"), "row"), ["img_id", "c", "sy"])
+    met = met.groupBy("img_id", "c", "y").agg(F.sort_array(F.collect_list(F.struct("t", "k", "row"))).alias("m"))
+    at = lambda n, x: F.get(F.get("m", F.lit(n))["row"], x) * F.get("m", F.lit(n))["k"]
+    blend = F.transform(F.sequence(F.lit(0), F.size(F.get("m", F.lit(0))["row"]) - 1), lambda x: sum((at(n, x) for n in range(1, len(taps))), at(0, x)))
+    met = met.select("img_id", "c", "y", F.explode(F.array(blend)).alias("b"))  # worked out once a row
 
-def _weighted(g: DataFrame, cells: DataFrame, ty: Column, tx: Column) -> DataFrame:
-    e = g.withColumn("a", F.explode(ty)).withColumn("b", F.explode(tx))
-    e = e.select("img_id", "c", "y", "x", F.col("a.s").alias("sy"), F.col("b.s").alias("sx"), (F.col("a.k") * F.col("b.k")).alias("k"))
-    src = cells.select("img_id", "c", F.col("y").alias("sy"), F.col("x").alias("sx"), "v")
-    return e.join(src, ["img_id", "c", "sy", "sx"]).groupBy("img_id", "y", "x", "c").agg(F.sum(F.col("v") * F.col("k")).alias("v"))
-
+    def across(x: Column) -> Column:
+        fx = (x + 0.5) * F.size("b") / ow - 0.5
+        one = lambda t: F.get("b", F.least(F.greatest(F.floor(fx) + t, F.lit(0)), F.size("b") - 1).cast("int")) * weight(fx - F.floor(fx), t)
+        return sum((one(t) for t in taps[1:]), one(taps[0]))
 
-def _centre(i: Column, n: Column, out: int) -> Column:
-    return (i + 0.5) * n / out - 0.5
+    return from_rows(met.select("img_id", "c", "y", F.transform(F.sequence(F.lit(0), F.lit(ow - 1)), across).alias("row")))
 
 
 def resize_linear(cells: DataFrame, oh: int, ow: int) -> DataFrame:
-    """Pixel-centre mapping, clamped at the edges."""
-    g = grid(shape(cells).join(channels(cells), "img_id"), F.lit(oh), F.lit(ow))
-    fy, fx = _centre(F.col("y"), F.col("h"), oh), _centre(F.col("x"), F.col("w"), ow)
-    dy, dx = fy - F.floor(fy), fx - F.floor(fx)
-    return _weighted(g, cells, _taps(F.floor(fy), F.col("h"), [(0, 1 - dy), (1, dy)]), _taps(F.floor(fx), F.col("w"), [(0, 1 - dx), (1, dx)]))
+    return _resampled(cells, oh, ow, (0, 1), lambda d, t: d if t else 1 - d)
 
 
 def _cubic(x: Column) -> Column:
@@ -85,11 +92,7 @@ def _cubic(x: Column) -> Column:
 
 
 def resize_cubic(cells: DataFrame, oh: int, ow: int) -> DataFrame:
-    g = grid(shape(cells).join(channels(cells), "img_id"), F.lit(oh), F.lit(ow))
-    fy, fx = _centre(F.col("y"), F.col("h"), oh), _centre(F.col("x"), F.col("w"), ow)
-    dy, dx = fy - F.floor(fy), fx - F.floor(fx)
-    taps = (-1, 0, 1, 2)
-    return _weighted(g, cells, _taps(F.floor(fy), F.col("h"), [(k, _cubic(dy - k)) for k in taps]), _taps(F.floor(fx), F.col("w"), [(k, _cubic(dx - k)) for k in taps]))
+    return _resampled(cells, oh, ow, (-1, 0, 1, 2), lambda d, t: _cubic(d - t))
 
 
 def resize_area(cells: DataFrame, factor: int) -> DataFrame:
@@ -98,17 +101,26 @@ def resize_area(cells: DataFrame, factor: int) -> DataFrame:
 
 
 def remap_linear(places: DataFrame, cells: DataFrame) -> DataFrame:
-    """places (img_id, c, y, x, my, mx): bilinear gather at (my, mx), weights in 32nds rounded half to even; outside is 0."""
+    """places (img_id, c, y, x, my, mx): bilinear gather at (my, mx), weights in 32nds rounded half to even; outside is 0.
+
+    The places of one output row that fall between the same two source rows go together (at most a row's width) and meet those
+    two as arrays."""
     fy, fx = F.bround(F.col("my") * 32, 0), F.bround(F.col("mx") * 32, 0)
-    p = places.withColumn("iy", F.floor(fy / 32)).withColumn("ix", F.floor(fx / 32))
+    p = places.withColumn("iy", F.floor(fy / 32).cast("int")).withColumn("ix", F.floor(fx / 32).cast("int"))
     p = p.withColumn("dy", fy / 32 - F.col("iy")).withColumn("dx", fx / 32 - F.col("ix"))
-    four = F.array(*(
-        F.struct((F.col("iy") + a).cast("int").alias("sy"), (F.col("ix") + b).cast("int").alias("sx"), ((F.col("dy") if a else 1 - F.col("dy")) * (F.col("dx") if b else 1 - F.col("dx"))).alias("k"))
-        for a in (0, 1) for b in (0, 1)
-    ))
-    e = p.withColumn("p", F.explode(four)).select("img_id", "c", "y", "x", "p.sy", "p.sx", "p.k")
-    src = cells.select("img_id", "c", F.col("y").alias("sy"), F.col("x").alias("sx"), "v")
-    return e.join(src, ["img_id", "c", "sy", "sx"], "left").groupBy("img_id", "y", "x", "c").agg(F.sum(F.coalesce("v", F.lit(0)) * F.col("k")).alias("v"))
+    held = p.groupBy("img_id", "c", "y", "iy").agg(F.collect_list(F.struct("x", "ix", "dy", "dx")).alias("at"))
+    rows = to_rows(cells)
+    two = rows.select("img_id", "c", F.col("y").alias("iy"), F.col("row").alias("upper"), F.lit(None).cast("array<double>").alias("lower"))
+    two = two.unionByName(rows.select("img_id", "c", (F.col("y") - 1).alias("iy"), F.lit(None).cast("array<double>").alias("upper"), F.col("row").alias("lower")))
+    two = two.groupBy("img_id", "c", "iy").agg(F.first("upper", True).alias("upper"), F.first("lower", True).alias("lower"))
+    met = held.join(two, ["img_id", "c", "iy"], "left")
+
+    def blend(a: Column) -> Column:
+        cell = lambda row, i: F.coalesce(F.when(i >= 0, F.get(row, i)), F.lit(0.0))
+        ends = lambda row: cell(row, a["ix"]) * (1 - a["dx"]) + cell(row, a["ix"] + 1) * a["dx"]
+        return F.struct(a["x"].alias("x"), (ends("upper") * (1 - a["dy"]) + ends("lower") * a["dy"]).alias("v"))
+
+    return met.select("img_id", "y", "c", F.explode(F.transform("at", blend)).alias("o")).select("img_id", "y", F.col("o.x").alias("x"), "c", F.col("o.v").alias("v"))
 
 
 def warp(cells: DataFrame, m: list[list[float]]) -> DataFrame:

@@ -1,46 +1,109 @@
-"""Matrix products and discrete transforms as joins with their basis."""
+"""Matrix products by tiles, and discrete transforms of whole rows."""
 
 from __future__ import annotations
 
-import math
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+TILE = 64
+
+
+def _tiles(m: DataFrame, key: str, down: str, across: str) -> DataFrame:
+    """Tiles of up to TILE by TILE cells, each a list of (place down, place across, value)."""
+    at = [F.floor(F.col(c) / TILE).cast("int").alias(f"{c}_tile") for c in (down, across)]
+    cell = F.struct((F.col(down) % TILE).cast("int").alias("i"), (F.col(across) % TILE).cast("int").alias("j"), F.col("v").cast("double").alias("v"))
+    return m.groupBy("img_id", *at).agg(F.collect_list(cell).alias(key))
+
+
+@F.pandas_udf("array<struct<i:int,j:int,v:double>>")
+def _product(left: pd.Series, right: pd.Series) -> pd.Series:
+    """Products of pairs of tiles: rows of the left one by columns of the right one."""
+
+    def dense(cells: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        i, j, v = (np.array([c[k] for c in cells]) for k in ("i", "j", "v"))
+        full = np.zeros((TILE, TILE))
+        full[i.astype(int), j.astype(int)] = v
+        return full, np.unique(i), np.unique(j)
+
+    out = []
+    for a, b in zip(left, right):
+        (x, rows, _), (y, _, cols) = dense(a), dense(b)
+        z = x @ y
+        out.append([{"i": int(i), "j": int(j), "v": float(z[i, j])} for i in rows for j in cols])
+    return pd.Series(out)
+
 
 def gemm(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(img_id, y, x, v) products: equi-join on the inner index, partial sums before the shuffle."""
-    left = a.select("img_id", "y", F.col("x").alias("k"), F.col("v").alias("va"))
-    right = b.select("img_id", F.col("y").alias("k"), "x", F.col("v").alias("vb"))
-    return left.join(right, ["img_id", "k"]).groupBy("img_id", "y", "x").agg(F.sum(F.col("va") * F.col("vb")).alias("v"))
+    """(img_id, y, x, v) products: equi-join of tiles on the inner index, one product a pair, sums over the inner tiles."""
+    left = _tiles(a.withColumnRenamed("x", "k"), "left", "y", "k")
+    right = _tiles(b.withColumnRenamed("y", "k"), "right", "k", "x")
+    met = left.join(right, ["img_id", "k_tile"]).withColumn("o", F.explode(_product("left", "right")))
+    y, x = F.col("y_tile") * TILE + F.col("o.i"), F.col("x_tile") * TILE + F.col("o.j")
+    return met.groupBy("img_id", y.cast("int").alias("y"), x.cast("int").alias("x")).agg(F.sum("o.v").alias("v"))
+
 
+def _by_row(cells: DataFrame, names: list[str], rule: Callable[..., list[np.ndarray]]) -> DataFrame:
+    """cells (img_id, y, x and the named values): rule turns the whole rows of one length (2-D arrays, one per name) into new ones.
 
-def dft_rows(cells: DataFrame, n: int, inverse: bool = False, scale: bool = False, group: int | None = None) -> DataFrame:
-    """Complex DFT along x of (img_id, y, x, re, im); with ``group``, of each run of that many cells."""
-    m = group or n
-    base, at = F.floor(F.col("x") / m) * m, F.col("x") % m
-    e = cells.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
-    angle = F.pmod(F.col("k") * at, F.lit(m)) * ((2 if inverse else -2) * math.pi / m)
-    c, s = F.cos(angle), F.sin(angle)
-    div = m if inverse and scale else 1
-    e = e.select("img_id", "y", (base + F.col("k")).cast("int").alias("x"), (F.col("re") * c - F.col("im") * s).alias("re"), (F.col("re") * s + F.col("im") * c).alias("im"))
-    return e.groupBy("img_id", "y", "x").agg((F.sum("re") / div).alias("re"), (F.sum("im") / div).alias("im"))
+    A row is one array, so a row of n cells is one record, not n^2."""
+    rows = cells.groupBy("img_id", "y").agg(F.sort_array(F.collect_list(F.struct("x", *names))).alias("r"))
+    rows = rows.select("img_id", "y", *(F.col(f"r.{c}").cast("array<double>").alias(c) for c in names))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for _, part in b.groupby(b[names[0]].map(len)):
+                done = rule(*(np.stack(part[c].to_list()) for c in names))
+                yield part[["img_id", "y"]].assign(**{c: list(v) for c, v in zip(names, done)})
+
+    kinds = ", ".join(f"{c} array<double>" for c in names)
+    out = rows.mapInPandas(run, f"img_id long, y int, {kinds}")
+    return out.select("img_id", "y", F.posexplode(F.arrays_zip(*names)).alias("x", "o")).select("img_id", "y", "x", *(F.col(f"o.{c}").alias(c) for c in names))
+
+
+def dft_rows(cells: DataFrame, inverse: bool = False, scale: bool = False, group: int | None = None) -> DataFrame:
+    """Complex DFT along x of the rows of (img_id, y, x, re, im), of any length; with ``group``, of each run of that many cells
+    (a last run that is shorter is transformed as it is)."""
+
+    def rule(re: np.ndarray, im: np.ndarray) -> list[np.ndarray]:
+        z, n = re + 1j * im, re.shape[1]
+        for at in range(0, n, group or n):
+            run = z[:, at : at + (group or n)]
+            f = np.fft.ifft(run, axis=1) if inverse else np.fft.fft(run, axis=1)
+            z[:, at : at + (group or n)] = f * (run.shape[1] if inverse and not scale else 1)
+        return [z.real, z.imag]
+
+    return _by_row(cells, ["re", "im"], rule)
 
 
 def swapped(cells: DataFrame) -> DataFrame:
     return cells.select("img_id", F.col("x").alias("y"), F.col("y").alias("x"), "re", "im")
 
 
-def dft2(cells: DataFrame, n: int, inverse: bool = False, scale: bool = False, group: int | None = None) -> DataFrame:
-    """2-D DFT of n by n images: rows, then columns."""
-    return swapped(dft_rows(swapped(dft_rows(cells, n, inverse, scale, group)), n, inverse, scale, group))
+def dft2(cells: DataFrame, inverse: bool = False, scale: bool = False, group: int | None = None) -> DataFrame:
+    """2-D DFT of images of any size: rows, then columns."""
+    return swapped(dft_rows(swapped(dft_rows(cells, inverse, scale, group)), inverse, scale, group))
+
+
+def dct_rows(cells: DataFrame, inverse: bool = False) -> DataFrame:
+    """Orthonormal DCT-II along x of the rows of (img_id, y, x, v), of any length, or its inverse, by one FFT a row."""
 
+    def rule(v: np.ndarray) -> list[np.ndarray]:
+        n = v.shape[1]
+        k = np.arange(n)
+        norm = np.where(k == 0, np.sqrt(1 / n), np.sqrt(2 / n))
+        turn = np.exp(-1j * np.pi * k / (2 * n))
+        if not inverse:
+            folded = np.concatenate([v[:, 0::2], v[:, 1::2][:, ::-1]], 1)
+            return [(np.fft.fft(folded, axis=1) * turn).real * norm]
+        c = v / norm
+        mirrored = np.concatenate([np.zeros((len(c), 1)), c[:, :0:-1]], 1)
+        folded = np.fft.ifft((c - 1j * mirrored) / turn, axis=1).real
+        out = np.empty_like(folded)
+        out[:, 0::2], out[:, 1::2] = folded[:, : (n + 1) // 2], folded[:, (n + 1) // 2 :][:, ::-1]
+        return [out]
 
-def dct_rows(cells: DataFrame, n: int, inverse: bool = False) -> DataFrame:
-    """Orthonormal DCT-II along x of (img_id, y, x, v), or its inverse."""
-    k, x = F.col("k"), F.col("x")
-    f, at = (x, k) if inverse else (k, x)
-    norm = F.when(f == 0, math.sqrt(1 / n)).otherwise(math.sqrt(2 / n))
-    e = cells.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    e = e.select("img_id", "y", k.alias("x"), (F.col("v") * norm * F.cos((2 * at + 1) * f * (math.pi / (2 * n)))).alias("v"))
-    return e.groupBy("img_id", "y", "x").agg(F.sum("v").alias("v"))
+    return _by_row(cells, ["v"], rule)

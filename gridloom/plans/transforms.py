@@ -36,42 +36,56 @@ def _round(df, n):
 
 @query("dft_rows", f"WITH {CELLS}, f AS ({_dft_sql(64, -1, 'v', '0.0', 'cells')}) SELECT img_id, y, x, round(re, 7) + 0.0 AS re, round(im, 7) + 0.0 AS im FROM f")
 def _(s, d):
-    return _round(L.dft_rows(_complex(s, d), 64), 7)
+    return _round(L.dft_rows(_complex(s, d)), 7)
 
 
 @query("idft_rows", f"WITH {CELLS} SELECT img_id, y, x, round(v, 5) + 0.0 AS re, 0.0 AS im FROM cells")
 def _(s, d):
-    return _round(L.dft_rows(L.dft_rows(_complex(s, d), 64), 64, True, True), 5)
+    return _round(L.dft_rows(L.dft_rows(_complex(s, d)), True, True), 5)
 
 
-@query("dft_2d", f"""WITH {CELLS}, s AS (SELECT * FROM cells WHERE img_id IN (SELECT img_id FROM cells GROUP BY 1 HAVING max(y) = 63)), f AS ({_dft_sql(64, -1, 'v', '0.0', 's')}),
-    t AS (SELECT img_id, x AS y, y AS x, re, im FROM f), g AS ({_dft_sql(64, -1, 're', 'im', 't')}) SELECT img_id, x AS y, y AS x, round(re, 6) + 0.0 AS re, round(im, 6) + 0.0 AS im FROM g""")
+def _dft_sql_of(n: str, re: str, im: str, src: str) -> str:
+    """The transform of rows whose length is in the column n of src."""
+    ang = f"((k * x) % {n}) * ({-2 * math.pi!r} / {n})"
+    return f"""SELECT img_id, y, CAST(k AS INT) AS x, sum({re} * cos({ang}) - {im} * sin({ang})) AS re, sum({re} * sin({ang}) + {im} * cos({ang})) AS im FROM (SELECT *, unnest(range(0, {n})) AS k FROM {src}) GROUP BY 1, 2, 3"""
+
+
+@query("dft_2d", f"""WITH {CELLS}, s AS (SELECT *, count(*) OVER (PARTITION BY img_id, y) AS n FROM cells), f AS ({_dft_sql_of('n', 'v', '0.0', 's')}),
+    t AS (SELECT img_id, x AS y, y AS x, re, im, count(*) OVER (PARTITION BY img_id, x) AS n FROM f), g AS ({_dft_sql_of('n', 're', 'im', 't')}) SELECT img_id, x AS y, y AS x, round(re, 6) + 0.0 AS re, round(im, 6) + 0.0 AS im FROM g""")
 def _(s, d):
-    c = _complex(s, d)
-    whole = c.groupBy("img_id").agg(F.max("y").alias("m")).where("m = 63").select("img_id")
-    return _round(L.dft2(c.join(whole, "img_id"), 64), 6)
+    return _round(L.dft2(_complex(s, d)), 6)
 
 
 @query("grid_dft", f"""WITH {CELLS}, f AS ({_dft_sql(4, -1, 'v', '0.0', 'cells')}), t AS (SELECT img_id, x AS y, y AS x, re, im FROM f), g AS ({_dft_sql(4, -1, 're', 'im', 't')})
     SELECT img_id, x AS y, y AS x, round(re, 7) + 0.0 AS re, round(im, 7) + 0.0 AS im FROM g""")
 def _(s, d):
-    return _round(L.dft2(_complex(s, d), 64, group=4), 7)
+    return _round(L.dft2(_complex(s, d), group=4), 7)
+
+
+for _n in (8, 16, 32):
+
+    @query(f"grid_dft_{_n}", f"""WITH {CELLS}, f AS ({_dft_sql(_n, -1, 'v', '0.0', 'cells')}), t AS (SELECT img_id, x AS y, y AS x, re, im FROM f WHERE y < (SELECT max(y) + 1 FROM cells c WHERE c.img_id = f.img_id) // {_n} * {_n}), g AS ({_dft_sql(_n, -1, 're', 'im', 't')})
+        SELECT img_id, x AS y, y AS x, round(re, 7) + 0.0 AS re, round(im, 7) + 0.0 AS im FROM g""")
+    def _(s, d, n=_n):
+        c = _complex(s, d)
+        high = c.groupBy("img_id").agg((F.floor((F.max("y") + 1) / n) * n).alias("whole"))  # the grid covers whole tiles
+        return _round(L.dft2(c.join(high, "img_id").where("y < whole").drop("whole"), group=n), 7)
 
 
 @query("grid_idft", f"WITH {CELLS} SELECT img_id, y, x, round(v, 5) + 0.0 AS re FROM cells")
 def _(s, d):
-    return _round(L.dft2(L.dft2(_complex(s, d), 64, group=4), 64, True, True, group=4), 5).select("img_id", "y", "x", "re")
+    return _round(L.dft2(L.dft2(_complex(s, d), group=4), True, True, group=4), 5).select("img_id", "y", "x", "re")
 
 
 @query("dct_rows", f"""WITH {CELLS} SELECT img_id, y, CAST(k AS INT) AS x, round(sum(v * (CASE WHEN k = 0 THEN {math.sqrt(1 / 64)!r} ELSE {math.sqrt(2 / 64)!r} END) * cos((2 * x + 1) * k * ({math.pi / 128!r}))), 7) + 0.0 AS v
     FROM cells CROSS JOIN (SELECT unnest(range(0, 64)) AS k) GROUP BY 1, 2, 3""")
 def _(s, d):
-    return L.dct_rows(real(s, d), 64).select("img_id", "y", "x", (F.round("v", 7) + 0.0).alias("v"))
+    return L.dct_rows(real(s, d)).select("img_id", "y", "x", (F.round("v", 7) + 0.0).alias("v"))
 
 
 @query("idct_rows", f"WITH {CELLS} SELECT img_id, y, x, round(v, 5) + 0.0 AS v FROM cells")
 def _(s, d):
-    return L.dct_rows(L.dct_rows(real(s, d), 64), 64, True).select("img_id", "y", "x", (F.round("v", 5) + 0.0).alias("v"))
+    return L.dct_rows(L.dct_rows(real(s, d)), True).select("img_id", "y", "x", (F.round("v", 5) + 0.0).alias("v"))
 
 
 def pixels(s, d):
