@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -131,3 +132,18 @@ def average_precision(hits: DataFrame, truths: DataFrame, by: str) -> DataFrame:
     h = h.withColumn("envelope", F.max("precision").over(back))
     step = F.col("recall") - F.coalesce(F.lag("recall").over(Window.partitionBy(by).orderBy("pos")), F.lit(0.0))
     return h.withColumn("part", step * F.col("envelope")).groupBy(by).agg(F.sum("part").alias("ap"))
+
+
+def eleven_point(hits: DataFrame, truths: DataFrame, by: str) -> DataFrame:
+    """The older form of average precision: the mean of the best precision at recall 0, 0.1, ..., 1 or more."""
+    w = Window.partitionBy(by).orderBy(F.col("score").desc(), "id")
+    h = hits.withColumn("tp", F.sum("hit").over(w)).withColumn("pos", F.row_number().over(w)).join(truths, by)
+    h = h.select(by, (F.col("tp") / F.col("pos")).alias("precision"), (F.col("tp") * 10).alias("reached"), "n")
+    at = h.withColumn("level", F.explode(F.sequence(F.lit(0), F.floor(F.col("reached") / F.col("n")).cast("int"))))
+    return at.groupBy(by, "level").agg(F.max("precision").alias("best")).groupBy(by).agg((F.sum("best") / 11).alias("ap"))
+
+
+def mean_average_precision(hits: DataFrame, truths: DataFrame, by: str, at: list[float]) -> DataFrame:
+    """hits with an overlap instead of hit: average precision per class at each threshold of the overlap, and their mean (one row)."""
+    each = [average_precision(hits.withColumn("hit", (F.col("overlap") >= t).cast("int")), truths, by).withColumn("at", F.lit(t)) for t in at]
+    return reduce(lambda a, b: a.union(b), each).agg(F.avg("ap").alias("map"), F.count(F.lit(1)).alias("n"))

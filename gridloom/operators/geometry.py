@@ -100,6 +100,31 @@ def resize_area(cells: DataFrame, factor: int) -> DataFrame:
     return cells.groupBy("img_id", F.floor(F.col("y") / factor).cast("int").alias("y"), F.floor(F.col("x") / factor).cast("int").alias("x"), "c").agg(F.avg("v").alias("v"))
 
 
+def resize_area_to(cells: DataFrame, oh: int, ow: int) -> DataFrame:
+    """Means over the source area of each output cell, cells on its rim counted by the part that it covers. An image that isn't
+    larger than the output in both directions is resized linearly instead.
+
+    Source rows go, by (image, row), to the few output rows they lie in, and are gathered across in expressions over arrays."""
+    sizes = shape(cells)
+    large = sizes.where((F.col("h") >= oh) & (F.col("w") >= ow)).select("img_id")
+    rows = to_rows(cells.join(large, "img_id", "left_semi")).join(sizes, "img_id")
+    step = F.col("h") / F.lit(float(oh))
+    to = F.sequence(F.floor(F.col("y") / step).cast("int"), F.least(F.ceil((F.col("y") + 1) / step).cast("int") - 1, F.lit(oh - 1)))
+    sent = rows.withColumn("o", F.explode(to)).withColumn("k", F.least(F.col("y") + 1.0, (F.col("o") + 1) * step) - F.greatest(F.col("y") + 0.0, F.col("o") * step))
+    met = sent.where("k > 1e-9").groupBy("img_id", "c", "o", "h", "w").agg(F.collect_list(F.struct("k", "row")).alias("m"))
+    down = F.transform(F.sequence(F.lit(0), F.col("w") - 1), lambda x: F.aggregate("m", F.lit(0.0), lambda t, r: t + r["k"] * F.get(r["row"], x)))
+    met = met.select("img_id", "c", F.col("o").alias("y"), "h", "w", F.explode(F.array(down)).alias("b"))
+    wide = F.col("w") / F.lit(float(ow))
+
+    def across(x: Column) -> Column:
+        first, last = F.floor(x * wide).cast("int"), F.least(F.ceil((x + 1) * wide).cast("int") - 1, F.col("w") - 1)
+        part = lambda t, s: t + F.get("b", s) * F.greatest(F.least(s + 1.0, (x + 1) * wide) - F.greatest(s + 0.0, x * wide), F.lit(0.0))
+        return F.aggregate(F.sequence(first, last), F.lit(0.0), part) / (F.col("h") / F.lit(float(oh)) * wide)
+
+    out = from_rows(met.select("img_id", "c", "y", F.transform(F.sequence(F.lit(0), F.lit(ow - 1)), across).alias("row")))
+    return out.unionByName(resize_linear(cells.join(large, "img_id", "left_anti"), oh, ow))
+
+
 def remap_linear(places: DataFrame, cells: DataFrame) -> DataFrame:
     """places (img_id, c, y, x, my, mx): bilinear gather at (my, mx), weights in 32nds rounded half to even; outside is 0.
 

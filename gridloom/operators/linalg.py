@@ -19,31 +19,32 @@ def _tiles(m: DataFrame, key: str, down: str, across: str) -> DataFrame:
     return m.groupBy("img_id", *at).agg(F.collect_list(cell).alias(key))
 
 
-@F.pandas_udf("array<struct<i:int,j:int,v:double>>")
-def _product(left: pd.Series, right: pd.Series) -> pd.Series:
-    """Products of pairs of tiles: rows of the left one by columns of the right one."""
+def _products(left: pd.Series, right: pd.Series) -> pd.DataFrame:
+    """Products of pairs of tiles, row by row, and their widths. Tiles are dense, but those at the rims are smaller."""
 
-    def dense(cells: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def dense(cells: list) -> np.ndarray:
         i, j, v = (np.array([c[k] for c in cells]) for k in ("i", "j", "v"))
-        full = np.zeros((TILE, TILE))
+        full = np.zeros((int(i.max()) + 1, int(j.max()) + 1))
         full[i.astype(int), j.astype(int)] = v
-        return full, np.unique(i), np.unique(j)
+        return full
 
-    out = []
+    done = []
     for a, b in zip(left, right):
-        (x, rows, _), (y, _, cols) = dense(a), dense(b)
-        z = x @ y
-        out.append([{"i": int(i), "j": int(j), "v": float(z[i, j])} for i in rows for j in cols])
-    return pd.Series(out)
+        x, y = dense(a), dense(b)
+        inner = min(x.shape[1], y.shape[0])
+        done.append(x[:, :inner] @ y[:inner])
+    return pd.DataFrame({"w": [z.shape[1] for z in done], "z": [z.ravel() for z in done]})
 
 
 def gemm(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(img_id, y, x, v) products: equi-join of tiles on the inner index, one product a pair, sums over the inner tiles."""
+    """(img_id, y, x, v) products of dense matrices: equi-join of tiles on the inner index, one product a pair, sums over the inner tiles."""
     left = _tiles(a.withColumnRenamed("x", "k"), "left", "y", "k")
     right = _tiles(b.withColumnRenamed("y", "k"), "right", "k", "x")
-    met = left.join(right, ["img_id", "k_tile"]).withColumn("o", F.explode(_product("left", "right")))
-    y, x = F.col("y_tile") * TILE + F.col("o.i"), F.col("x_tile") * TILE + F.col("o.j")
-    return met.groupBy("img_id", y.cast("int").alias("y"), x.cast("int").alias("x")).agg(F.sum("o.v").alias("v"))
+    product = F.pandas_udf(_products, "w int, z array<double>")  # needs a session
+    met = left.join(right, ["img_id", "k_tile"]).withColumn("o", product("left", "right"))
+    met = met.select("img_id", "y_tile", "x_tile", "o.w", F.posexplode("o.z").alias("at", "v"))
+    y, x = F.col("y_tile") * TILE + F.floor(F.col("at") / F.col("w")), F.col("x_tile") * TILE + F.col("at") % F.col("w")
+    return met.groupBy("img_id", y.cast("int").alias("y"), x.cast("int").alias("x")).agg(F.sum("v").alias("v"))
 
 
 def _by_row(cells: DataFrame, names: list[str], rule: Callable[..., list[np.ndarray]]) -> DataFrame:

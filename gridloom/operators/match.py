@@ -86,6 +86,20 @@ def topk_candidates(cand: DataFrame, by: list[str], k: int, *order: Column) -> D
     return cand.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def atss(truths: DataFrame, anchors: DataFrame, k: int) -> DataFrame:
+    """Adaptive assignment. truths and anchors: img_id, box_id, x1, y1, x2, y2. The k anchors of an image whose centres are nearest to a
+    truth's (ties to the smaller id) are its candidates; those that overlap it by at least the mean plus the deviation of their
+    overlaps and have their centre inside it are assigned to it, each to the truth it overlaps most (ties to the smaller id)."""
+    j = prefixed(truths, "a", "img_id").join(prefixed(anchors, "b", "img_id"), "img_id")
+    mid = lambda p, d: (F.col(f"{p}{d}1") + F.col(f"{p}{d}2")) / 2
+    far = F.round(F.hypot(mid("a", "x") - mid("b", "x"), mid("a", "y") - mid("b", "y")), 6)
+    near = topk_candidates(j.withColumn("far", far).withColumn("iou", F.round(iou("a", "b"), 6)), ["img_id", "abox_id"], k, F.col("far"), F.col("bbox_id"))
+    one = Window.partitionBy("img_id", "abox_id")
+    near = near.withColumn("thr", F.round(F.avg("iou").over(one) + F.stddev_samp("iou").over(one), 6))
+    inside = F.least(*(side for d in ("x", "y") for side in (mid("b", d) - F.col(f"a{d}1"), F.col(f"a{d}2") - mid("b", d)))) > 0
+    return best_of(near.where((F.col("iou") >= F.col("thr")) & inside), ["img_id", "bbox_id"], F.col("iou").desc(), F.col("abox_id"))
+
+
 def box_distance(p: str, q: str) -> Column:
     """Distance between two boxes; 0 where they touch or overlap."""
     dx = F.greatest(F.col(f"{p}x1") - F.col(f"{q}x2"), F.col(f"{q}x1") - F.col(f"{p}x2"), F.lit(0.0))

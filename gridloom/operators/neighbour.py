@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,8 +14,6 @@ from gridloom.operators.cells import KEY, neighbourhood, with_shape
 
 #: Gaussian kernels of sizes 3, 5 and 7 where no sigma is given.
 SMALL_GAUSS = {3: [0.25, 0.5, 0.25], 5: [0.0625, 0.25, 0.375, 0.25, 0.0625], 7: [0.03125, 0.109375, 0.21875, 0.28125, 0.21875, 0.109375, 0.03125]}
-#: Derivative and smoothing taps of the Sobel operator of size 3.
-SOBEL = {0: [1, 2, 1], 1: [-1, 0, 1], 2: [1, -2, 1]}
 
 
 def _offsets(k: int) -> list[tuple[int, int]]:
@@ -54,14 +53,39 @@ def gaussian(cells: DataFrame, k: int, sigma: float, border: str, kind: str | No
     return filter2d(cells, [[a * b for b in w] for a in w], border, kind)
 
 
-def sobel(cells: DataFrame, dx: int, dy: int, border: str, scale: float = 1.0) -> DataFrame:
-    """Derivative of size 3."""
-    return filter2d(cells, [[SOBEL[dy][a] * SOBEL[dx][b] * scale for b in range(3)] for a in range(3)], border)
+def sobel_taps(order: int, k: int) -> list[float]:
+    """Taps of a derivative of the given order: k - order - 1 smoothings by (1, 1) and order differences by (-1, 1). Size 1 means
+    no smoothing; a derivative then still has three taps."""
+    k = max(k, 3) if order else k
+    taps = [1.0]
+    for step in [[1.0, 1.0]] * (k - order - 1) + [[-1.0, 1.0]] * order:
+        taps = [a * step[0] + b * step[1] for a, b in zip([*taps, 0.0], [0.0, *taps])] if step[0] > 0 else [b - a for a, b in zip([*taps, 0.0], [0.0, *taps])]
+    return taps
 
 
-def laplacian(cells: DataFrame, border: str) -> DataFrame:
+def _outer(down: list[float], across: list[float], scale: float = 1.0) -> list[list[float]]:
+    """A square kernel; the shorter of the two is centred."""
+    n = max(len(down), len(across))
+    wide = lambda t: [0.0] * ((n - len(t)) // 2) + t + [0.0] * ((n - len(t)) // 2)
+    return [[a * b * scale for b in wide(across)] for a in wide(down)]
+
+
+def sobel_kernel(dx: int, dy: int, k: int = 3, scale: float = 1.0) -> list[list[float]]:
+    return _outer(sobel_taps(dy, k), sobel_taps(dx, k), scale)
+
+
+def laplacian_kernel(k: int = 3) -> list[list[float]]:
+    return [[a + b for a, b in zip(u, v)] for u, v in zip(sobel_kernel(2, 0, k), sobel_kernel(0, 2, k))]
+
+
+def sobel(cells: DataFrame, dx: int, dy: int, border: str, scale: float = 1.0, k: int = 3) -> DataFrame:
+    """Derivative of size 1, 3, 5 or 7."""
+    return filter2d(cells, sobel_kernel(dx, dy, k, scale), border)
+
+
+def laplacian(cells: DataFrame, border: str, k: int = 3) -> DataFrame:
     """Second derivatives in both directions, summed."""
-    return filter2d(cells, [[SOBEL[0][a] * SOBEL[2][b] + SOBEL[2][a] * SOBEL[0][b] for b in range(3)] for a in range(3)], border)
+    return filter2d(cells, laplacian_kernel(k), border)
 
 
 def median(cells: DataFrame, k: int, border: str = "REPLICATE") -> DataFrame:
@@ -185,6 +209,29 @@ def good_features(response: DataFrame, quality: float, most: int, border: str =
     return p.select("img_id", rank.alias("rank"), "y", "x", F.col("v.v").alias("response")).where(F.col("rank") <= most)
 
 
+def spread_features(peaks: DataFrame, distance: float, most: int) -> DataFrame:
+    """Of ranked peaks (img_id, rank, y, x, response), the strongest ones that are at least ``distance`` from every stronger one
+    kept, ``most`` an image. The choice depends on what was kept before, so an image's peaks go through one task; the grid
+    of cells of that size keeps the work in proportion to their number."""
+
+    def keep(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values("rank")
+        size, grid, kept = max(distance, 1.0), {}, []
+        for i, (y, x) in enumerate(zip(p["y"].tolist(), p["x"].tolist())):
+            gy, gx = int(y // size), int(x // size)
+            near = (q for a in (-1, 0, 1) for b in (-1, 0, 1) for q in grid.get((gy + a, gx + b), ()))
+            if all((y - q[0]) ** 2 + (x - q[1]) ** 2 >= distance * distance for q in near):
+                grid.setdefault((gy, gx), []).append((y, x))
+                kept.append(i)
+                if len(kept) == most:
+                    break
+        out = p.iloc[kept].copy()
+        out["rank"] = range(1, len(out) + 1)
+        return out
+
+    return peaks.groupBy("img_id").applyInPandas(keep, peaks.schema)
+
+
 #: The ring of 16 places (dy, dx) of the segment test, clockwise from the top.
 RING = [(-3, 0), (-3, 1), (-2, 2), (-1, 3), (0, 3), (1, 3), (2, 2), (3, 1), (3, 0), (3, -1), (2, -2), (1, -3), (0, -3), (-1, -3), (-2, -2), (-3, -1)]
 

@@ -2,5 +2,5 @@
 
 from importlib import import_module
 
-for _name in ("arrays", "images", "transforms", "tracing", "matching", "ordered", "streams"):
+for _name in ("arrays", "images", "transforms", "tracing", "matching", "ordered", "frames", "streams"):
     import_module(f"gridloom.plans.{_name}")

@@ -187,7 +187,7 @@ def _(s, d):
 
 
 def _sobel(dx: int, dy: int) -> list[list[float]]:
-    return [[float(B.SOBEL[dy][a] * B.SOBEL[dx][b]) for b in range(3)] for a in range(3)]
+    return B.sobel_kernel(dx, dy)
 
 
 @query("sobel", _nb(3, "REPLICATE", f"round(sum(v * {_kernel_sql(_sobel(1, 0))}), 6)"))

@@ -30,7 +30,7 @@ def _(s, d):
 @query("stream_duty", """WITH w AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n, avg(CASE WHEN value > 50 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS 14 PRECEDING) AS duty FROM events),
     m AS (SELECT *, last_value(CASE WHEN duty >= 0.6 THEN 1 WHEN duty < 0.4 THEN 0 END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY n ROWS UNBOUNDED PRECEDING) AS s FROM w) SELECT user_id, max(n) AS n, round(arg_max(duty, n), 9) AS duty, coalesce(arg_max(s, n), 0) = 1 AS state FROM m GROUP BY 1""")
 def _(s, d):
-    out = S.drain(S.duty_state(stream(s, d), "user_id", F.col("value") > 50, 15, 0.6, 0.4), "update")
+    out = S.drain(S.duty_state(stream(s, d), "user_id", F.col("value") > 50, 15, 0.6, 0.4, idle_ms=None, late=None), "update")
     return out.groupBy("user_id").agg(F.max("n").alias("n"), F.round(F.max_by("duty", "n"), 9).alias("duty"), F.max_by("state", "n").alias("state"))
 
 

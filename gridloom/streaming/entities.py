@@ -21,13 +21,22 @@ def read_events(spark: SparkSession, path: str, files_per_batch: int = 100) -> D
 
 
 def drain(stream: DataFrame, mode: str) -> DataFrame:
-    """Run a stream over what is there now and return the rows of its sink."""
+    """Run a stream over what is there now and return what it wrote: all rows in append and update mode, those of the last batch in
+    complete mode. Every batch overwrites a folder of its own in the shared folder, so a batch that is run again counts once and
+    nothing passes through the driver."""
     spark = stream.sparkSession
-    name = "gridloom_" + uuid.uuid4().hex
-    at = f"{shared_dir(spark)}/gridloom/stream-{name}"
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", at).trigger(availableNow=True).start()
+    at = f"{shared_dir(spark)}/gridloom/stream-{uuid.uuid4().hex}"
+    done: list[str] = []
+
+    def put(rows: DataFrame, batch: int) -> None:
+        path = f"{at}/rows/batch={batch}"
+        rows.write.mode("overwrite").parquet(path)
+        done.append(path)
+
+    q = stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name)
+    paths = sorted(set(done)) if mode != "complete" else done[-1:]
+    return spark.read.schema(stream.schema).parquet(*paths) if paths else spark.createDataFrame([], stream.schema)
 
 
 def window_counts(events: DataFrame, size: str, late: str, *by: str) -> DataFrame:
@@ -102,9 +111,12 @@ def low_pass_state(events: DataFrame, by: str, k: float, idle_ms: int | None = 1
     return _in_order(events, by, F.col("value"), "double", (0, 0.0), fold, tuple, "n long, v double", "n long, v double", late, idle_ms)
 
 
-def duty_state(events: DataFrame, by: str, flag: Column, window: int = 15, on: float = 0.8, off: float = 0.4, late: str | None = None) -> DataFrame:
+def duty_state(
+    events: DataFrame, by: str, flag: Column, window: int = 15, on: float = 0.8, off: float = 0.4, idle_ms: int | None = 1_800_000, late: str | None = "10 minutes"
+) -> DataFrame:
     """by, n, duty, state: share of true flags over the last ``window`` rows of each key in event order, with hysteresis, after
-    every batch. Without ``late`` no row is dropped and the state holds all rows of a key."""
+    every batch. A key's state goes once the watermark is ``idle_ms`` past its last row. Without both limits no row is dropped and the
+    state holds all rows of a key."""
 
     def fold(state: tuple, f: bool) -> tuple:
         last, n, on_now = state
@@ -116,4 +128,4 @@ def duty_state(events: DataFrame, by: str, flag: Column, window: int = 15, on: f
         last, n, on_now = state
         return n, last.count("1") / max(len(last), 1), on_now
 
-    return _in_order(events, by, flag, "boolean", ("", 0, False), fold, show, "n long, duty double, state boolean", "last string, n long, on_now boolean", late, None)
+    return _in_order(events, by, flag, "boolean", ("", 0, False), fold, show, "n long, duty double, state boolean", "last string, n long, on_now boolean", late, idle_ms)
