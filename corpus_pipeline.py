@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from gridloom.llm import exactdedup, labelled, mixing, neardup, piecebpe, quality
 from gridloom.llm.common import NON_WS, scratch, table
 from gridloom.llm.queries import tokenizer_path
+from gridloom.sources.shared import remove_tables, written_tables
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 ORACLE_SQL = None  # a trained classifier decides in the first stage
@@ -99,8 +100,11 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each stage's rows are written to the shared folder and read again."""
+    """All stages over documents; each stage's rows are written to the shared folder and read again, and what it wrote on the
+    way, the rows of the stage before it among them, is removed."""
     docs = table(spark, sf_dir, "documents")
+    since = len(written_tables(spark))
     for name, stage in STAGES[:-1]:
         docs = scratch(stage(spark, docs, sf_dir), f"stage-{name}")
+        remove_tables(spark, since, keep=1)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -62,19 +62,18 @@ def _per_group(boxes: DataFrame, work: Callable[[np.ndarray, np.ndarray], tuple[
     """work(ids, boxes and scores) for each image and class; thousands of groups cross to Python in one Arrow batch.
 
     One image and class is one group (as many boxes as a detector gives for an image)."""
-    kind = "array<struct<box_id: bigint, x1: double, y1: double, x2: double, y2: double, score: double>>"
+    kind = "struct<" + ", ".join(f"{c}: array<{'bigint' if c == 'box_id' else 'double'}>" for c in FIELDS) + ">"
 
-    @F.pandas_udf(kind)
-    def run(groups: pd.Series) -> pd.Series:
+    def run(*columns: pd.Series) -> pd.DataFrame:
         out = []
-        for g in groups:
-            ids = np.array([r["box_id"] for r in g], np.int64)
-            ids, x = work(ids, np.array([[r[c] for c in FIELDS[1:]] for r in g], float))
-            out.append([dict(zip(FIELDS, (int(i), *r))) for i, r in zip(ids, x.tolist())])
-        return pd.Series(out)
+        for ids, *x in zip(*columns):
+            ids, x = work(np.array(ids, np.int64), np.array(x, float).T.copy())
+            out.append([ids, *x.T])
+        return pd.DataFrame(out, columns=FIELDS)
 
     g = boxes.groupBy("img_id", "cls").agg(F.collect_list(F.struct(*FIELDS)).alias("g"))
-    return g.select("img_id", "cls", F.explode(run("g")).alias("b")).select("img_id", "cls", *(f"b.{c}" for c in FIELDS))
+    done = g.select("img_id", "cls", F.pandas_udf(run, kind)(*(F.col(f"g.{c}") for c in FIELDS)).alias("b"))
+    return done.select("img_id", "cls", F.explode(F.arrays_zip(*(F.col(f"b.{c}").alias(c) for c in FIELDS))).alias("b")).select("img_id", "cls", *(f"b.{c}" for c in FIELDS))
 
 
 def nms(boxes: DataFrame, threshold: float) -> DataFrame:

@@ -12,7 +12,7 @@ from gridloom.operators.neighbour import corner_products
 
 
 def label_components(cells: DataFrame, connectivity: int, written) -> DataFrame:
-    """img_id, y, x, label of the non-zero cells: the smallest row-major index of the component (y * 65536 + x).
+    """img_id, y, x, label of the non-zero cells: the smallest place of the component (y * 2^31 + x).
 
     Rows are cut to runs of non-zero cells first, so the iteration works on runs: each round every run takes the smallest
     label of the runs it touches and then follows its label once. ``written`` cuts the lineage of a table (for instance a
@@ -22,7 +22,7 @@ def label_components(cells: DataFrame, connectivity: int, written) -> DataFrame:
     w = Window.partitionBy("img_id", "y").orderBy("x")
     on = on.withColumn("g", F.col("x") - F.row_number().over(w))
     runs = on.groupBy("img_id", "y", "g").agg(F.min("x").alias("a"), F.max("x").alias("b"))
-    runs = written(runs.select("img_id", "y", "a", "b", (F.col("y").cast("long") * 65536 + F.col("a")).alias("id")))
+    runs = written(runs.select("img_id", "y", "a", "b", (F.col("y").cast("long") * (1 << 31) + F.col("a")).alias("id")))
     reach = 1 if connectivity == 8 else 0
     up = runs.select("img_id", (F.col("y") + 1).alias("y"), F.col("a").alias("ua"), F.col("b").alias("ub"), F.col("id").alias("uid"))
     touch = runs.join(up, ["img_id", "y"]).where((F.col("ua") <= F.col("b") + reach) & (F.col("ub") >= F.col("a") - reach)).select("img_id", "id", "uid")

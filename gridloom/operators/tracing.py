@@ -47,7 +47,7 @@ def contours(cells: DataFrame, written, simple: bool = False) -> DataFrame:
     around = on.select("img_id", F.explode(near).alias("n")).select("img_id", "n.y", "n.x", "n.k")
     around = around.groupBy("img_id", "y", "x").agg(F.collect_set("k").alias("full")).where(F.array_contains("full", 4))
     full = lambda a, b: F.array_contains("full", (a + 1) * 3 + b + 1)
-    name = lambda y, x, d: ((y.cast("long") * 65536 + x) * 4 + d)
+    name = lambda y, x, d: ((y.cast("long") * (1 << 30) + x) * 4 + d)
     y, x, sides = F.col("y"), F.col("x"), []
     for d, (a, b) in enumerate(_AHEAD):
         # along side d of a cell one goes in direction e; the cell ahead or the one beyond its corner may take over

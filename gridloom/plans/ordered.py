@@ -226,7 +226,11 @@ def _(s, d):
     return p.where(sub == F.reverse(sub)).groupBy("c_custkey").agg(F.max("n").alias("n"))
 
 
-@query("balanced_brackets", None)
+_PEELED = "replace(replace(replace(s, '()', ''), '[]', ''), '{}', '')"
+
+
+@query("balanced_brackets", rf"""WITH RECURSIVE r(conv_id, turn, s, k) AS (SELECT conv_id, turn, regexp_replace(text, '[^()\[\]{{}}]', '', 'g'), 0 FROM conversations UNION ALL SELECT conv_id, turn, {_PEELED}, k + 1 FROM r WHERE {_PEELED} <> s)
+    SELECT conv_id, turn, arg_max(s, k) = '' AS ok FROM r GROUP BY 1, 2""")
 def _(s, d):
     return table(s, d, "conversations").select("conv_id", "turn", A.balanced(F.col("text")).alias("ok"))
 

@@ -182,7 +182,7 @@ def _mask(s, d, t=140):
 for _n in (4, 8):
     _near = "abs(b.y - a.y) + abs(b.x - a.x) = 1" if _n == 4 else "greatest(abs(b.y - a.y), abs(b.x - a.x)) = 1"
 
-    @query(f"connected_components_{_n}", f"""WITH RECURSIVE {Q}, m AS (SELECT img_id, y, x, CAST(y AS BIGINT) * 65536 + x AS id FROM q WHERE v > 140), e AS (SELECT a.img_id, a.id AS p, b.id AS n FROM m a JOIN m b ON b.img_id = a.img_id AND b.y BETWEEN a.y - 1 AND a.y + 1 AND b.x BETWEEN a.x - 1 AND a.x + 1 AND {_near}),
+    @query(f"connected_components_{_n}", f"""WITH RECURSIVE {Q}, m AS (SELECT img_id, y, x, CAST(y AS BIGINT) * 2147483648 + x AS id FROM q WHERE v > 140), e AS (SELECT a.img_id, a.id AS p, b.id AS n FROM m a JOIN m b ON b.img_id = a.img_id AND b.y BETWEEN a.y - 1 AND a.y + 1 AND b.x BETWEEN a.x - 1 AND a.x + 1 AND {_near}),
         r(img_id, id, label) AS (SELECT img_id, id, id FROM m UNION SELECT r.img_id, e.n, r.label FROM r JOIN e ON e.img_id = r.img_id AND e.p = r.id WHERE r.label < e.n)
         SELECT m.img_id, m.y, m.x, min(r.label) AS label FROM m JOIN r USING (img_id, id) GROUP BY 1, 2, 3""")
     def _(s, d, n=_n):
