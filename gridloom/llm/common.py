@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.sources.shared import write_table as scratch  # noqa: F401  (the operators' name for it)
+
 #: White space of every text rule here: space and the five ASCII controls tab to carriage return.
 WS = r"[\x20\x09-\x0D]"
 NON_WS = r"[^\x20\x09-\x0D]"
@@ -22,38 +22,6 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir where the session has it.
-
-    Where it is unset a local session gets a temporary folder of its own (and keeps it); a session on
-    a cluster falls back to its warehouse, never to a folder that only one machine sees.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base.rstrip("/")
-    base = getattr(spark, "_gridloom_shared", None)
-    if base is None:
-        if spark.sparkContext.master.startswith("local"):
-            base = "file://" + tempfile.mkdtemp(prefix="gridloom-")
-        else:
-            base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_gridloom"
-        spark._gridloom_shared = base
-    return base
-
-
-def scratch(df: DataFrame, what: str, partition_by: list[str] | None = None) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it back: later work starts from the
-    written rows, so an executor that is lost costs no more than the tasks that re-read them."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/gridloom/{what}-{uuid.uuid4().hex}"
-    schema = df.schema
-    writer = df.write
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
-    return spark.read.schema(schema).parquet(path)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
