@@ -28,7 +28,7 @@ from gridloom.llm.common import columns, hot_keys, lookup, scratch
 from gridloom.llm.components import components
 from gridloom.llm.shingles import Shingler
 
-COORDINATES, SPLIT, GROW, MISS = 48, 24, 4, 1e-6
+COORDINATES, SPLIT, GROW, MISS = 48, 24, 8, 1e-6
 #: Classes up to this number are sent to all tasks to pick their texts (8 bytes each); beyond it texts are shuffled.
 SMALL = 1_000_000
 #: Ratio of the sizes of neighbouring size classes.
@@ -171,6 +171,15 @@ def _refined(sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
+def _joined(comp: DataFrame, links: DataFrame) -> DataFrame:
+    """comp (doc_id, c) with the components that the links (a, b) join made one; only ends of links are touched."""
+    of = lambda end: comp.select(F.col("doc_id").alias(end), F.col("c").alias(f"c{end}"))
+    ends = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    moved = components(ends).toDF("c", "to")
+    alone = moved.join(comp.select(F.col("doc_id").alias("c")), "c", "left_anti").select(F.col("c").alias("doc_id"), F.col("to").alias("c"))
+    return comp.join(moved, "c", "left").select("doc_id", F.coalesce("to", "c").alias("c")).union(alone)
+
+
 def _linked(lists: DataFrame, sigs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(node, component) of the linked classes. lists: size, token (the list), doc_id, role, pos, n, with all members of a list.
 
@@ -182,7 +191,7 @@ def _linked(lists: DataFrame, sigs: DataFrame, sets: DataFrame, percent: int) ->
     """
     at, matches = ["size", "token"], matches_for(percent)
     rank = F.row_number().over(Window.partitionBy(*at, "role").orderBy("pos", "doc_id"))
-    comp: DataFrame | None = None
+    comp = lists.sparkSession.createDataFrame([], f"doc_id {lists.schema['doc_id'].dataType.simpleString()}, c {lists.schema['doc_id'].dataType.simpleString()}")
     named = lists.withColumn("c", F.col("doc_id"))
     done, upto = 0, 1
     while True:
@@ -193,11 +202,10 @@ def _linked(lists: DataFrame, sigs: DataFrame, sets: DataFrame, percent: int) ->
         enough = (F.col("size") < 0) | (F.least(F.col("n") - F.col("pos"), F.col("fn") - F.col("fp")) * (100 + percent) >= percent * (F.col("n") + F.col("fn")))
         pairs = named.join(scratch(firsts, "first-members"), [*at, "role"]).where((F.col("c") != F.col("fc")) & enough)
         pairs = scratch(pairs.select(*_ordered("doc_id", "first")).distinct(), "pairs")
-        links = confirmed(_colliding(pairs, sigs, matches), sets, percent)
-        if comp is not None:
-            links = links.union(comp.select("doc_id", "c"))
-        comp = components(scratch(links, "links-so-far")).toDF("doc_id", "c")
-        named = lists.join(comp, "doc_id", "left").withColumn("c", F.coalesce("c", "doc_id"))
+        links = scratch(confirmed(_colliding(pairs, sigs, matches), sets, percent), "links")
+        if not links.isEmpty():
+            comp = scratch(_joined(comp, links), "components-so-far")
+            named = lists.join(comp, "doc_id", "left").withColumn("c", F.coalesce("c", "doc_id"))
         small, large = F.count(F.when(F.col("role") == "s", 1)), F.count(F.when(F.col("role") == "l", 1))
         each = named.groupBy(*at, "c").agg(small.alias("s"), large.alias("l"))
         left = each.groupBy(*at).agg(
