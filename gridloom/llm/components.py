@@ -22,7 +22,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     while not edges.isEmpty():
         hook = scratch(edges.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("root")), "hooks")
         while True:  # each jump doubles the height that is climbed
-            above = hook.where("u <> root").toDF("root", "above")
+            above = hook.where("u <> root").select("u", "root").toDF("root", "above")
             up = lookup(hook.select("u", "root"), "root", above, "u", hot_keys(hook, "root"))
             hook = scratch(up.select("u", F.coalesce("above", "root").alias("root"), F.col("above").isNotNull().alias("moved")), "hooks")
             if hook.where("moved").isEmpty():
