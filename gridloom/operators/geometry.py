@@ -148,6 +148,21 @@ def remap_linear(places: DataFrame, cells: DataFrame) -> DataFrame:
     return met.select("img_id", "y", "c", F.explode(F.transform("at", blend)).alias("o")).select("img_id", "y", F.col("o.x").alias("x"), "c", F.col("o.v").alias("v"))
 
 
+def remap_nearest(places: DataFrame, cells: DataFrame, border: str, value: float = 0) -> DataFrame:
+    """places (img_id, c, y, x, my, mx): the cell nearest to (my, mx) (halves go up), beyond the edges by the border rule."""
+    p = places.join(shape(cells).select("img_id", F.col("h").alias("sh"), F.col("w").alias("sw")), "img_id")
+    near = lambda m, n: border_index(F.floor(F.col(m) + 0.5).cast("int"), F.col(n), border)
+    out = gather(p.withColumn("sy", near("my", "sh")).withColumn("sx", near("mx", "sw")), cells)
+    return out.withColumn("v", F.coalesce("v", F.lit(value))) if border == "CONSTANT" else out
+
+
+def upsample_nearest(cells: DataFrame, factor: int) -> DataFrame:
+    """Every cell as a block of factor by factor cells."""
+    k = F.sequence(F.lit(0), F.lit(factor - 1))
+    out = cells.withColumn("a", F.explode(k)).withColumn("b", F.explode(k))
+    return out.select("img_id", (F.col("y") * factor + F.col("a")).alias("y"), (F.col("x") * factor + F.col("b")).alias("x"), "c", "v")
+
+
 def warp(cells: DataFrame, m: list[list[float]]) -> DataFrame:
     """Gather through a 2x3 (affine) or 3x3 (perspective) matrix that maps output to source places."""
     g = grid(shape(cells).join(channels(cells), "img_id"), F.col("h"), F.col("w"))

@@ -105,3 +105,15 @@ def box_distance(p: str, q: str) -> Column:
     dx = F.greatest(F.col(f"{p}x1") - F.col(f"{q}x2"), F.col(f"{q}x1") - F.col(f"{p}x2"), F.lit(0.0))
     dy = F.greatest(F.col(f"{p}y1") - F.col(f"{q}y2"), F.col(f"{q}y1") - F.col(f"{p}y2"), F.lit(0.0))
     return F.sqrt(dx * dx + dy * dy)
+
+
+def point_to_box(x: str, y: str, p: str) -> tuple[Column, Column]:
+    """Distance of a point from a box (0 inside) and whether it is on the box's boundary."""
+    dx = F.greatest(F.col(f"{p}x1") - F.col(x), F.col(x) - F.col(f"{p}x2"), F.lit(0.0))
+    dy = F.greatest(F.col(f"{p}y1") - F.col(y), F.col(y) - F.col(f"{p}y2"), F.lit(0.0))
+    on = F.least(*(F.abs(F.col(c) - F.col(f"{p}{c[-1]}{k}")) for c in (x, y) for k in (1, 2))) == 0
+    return F.sqrt(dx * dx + dy * dy), (dx == 0) & (dy == 0) & on
+
+
+def shifted(boxes: DataFrame, dx: float, dy: float) -> DataFrame:
+    return boxes.withColumns({c: F.col(c) + (dx if c[0] == "x" else dy) for c in ("x1", "y1", "x2", "y2")})

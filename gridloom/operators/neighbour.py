@@ -166,11 +166,20 @@ def pyr_up(cells: DataFrame, border: str) -> DataFrame:
     return got.select("img_id", (F.col("y") * 2 + F.floor(F.col("k") / 2)).cast("int").alias("y"), (F.col("x") * 2 + F.col("k") % 2).alias("x"), "c", F.col("v"))
 
 
-def adaptive_threshold(cells: DataFrame, top: int, k: int, delta: float, inverse: bool = False) -> DataFrame:
-    """Compare with the local mean (REPLICATE, rounded half to even) less delta; delta is rounded up, or down for the inverse."""
+def adaptive_threshold(cells: DataFrame, top: int, k: int, delta: float, inverse: bool = False, gauss: bool = False) -> DataFrame:
+    """Compare with the local mean, plain or Gaussian (REPLICATE, rounded half to even), less delta; delta is rounded up, or down for
+    the inverse."""
     d = math.floor(delta) if inverse else math.ceil(delta)
-    mean = lambda at: F.bround(_sum([at(a, b) for a, b in _offsets(k)]) / float(k * k), 0)
-    return neighbourhood(cells, k, "REPLICATE", lambda at: F.when((at(0, 0) > mean(at) - d) != F.lit(inverse), top).otherwise(0))
+    w = gauss_kernel(k, 0)
+    weights = {(a, b): w[a + k // 2] * w[b + k // 2] for a, b in _offsets(k)}
+    total = lambda at: _sum([at(a, b) * F.lit(weights[a, b]) for a, b in _offsets(k)]) if gauss else _sum([at(a, b) for a, b in _offsets(k)]) / float(k * k)
+    return neighbourhood(cells, k, "REPLICATE", lambda at: F.when((at(0, 0) > F.bround(total(at), 0) - d) != F.lit(inverse), top).otherwise(0))
+
+
+def funnel_relu(cells: DataFrame, kernel: list[list[float]]) -> DataFrame:
+    """max(v, what a 3 by 3 filter over zero-padded cells gives): the activation whose condition looks at the neighbourhood."""
+    filtered = lambda at: _sum([at(a, b) * F.lit(float(kernel[a + 1][b + 1])) for a, b in _offsets(3)])
+    return neighbourhood(cells, 3, "CONSTANT", lambda at: F.greatest(at(0, 0).cast("double"), filtered(at)), 0)
 
 
 def corner_products(cells: DataFrame, border: str) -> DataFrame:
@@ -249,10 +258,24 @@ def fast_corners(cells: DataFrame, t: int, run: int = 9) -> DataFrame:
     return got.where((F.col("y") >= 3) & (F.col("x") >= 3) & (F.col("y") < F.col("h") - 3) & (F.col("x") < F.col("w") - 3)).select("img_id", "y", "x")
 
 
-def match_template(cells: DataFrame, template: list[list[int]]) -> DataFrame:
-    """Sum of squared differences with a template whose top left corner is at each place where it fits."""
+def match_template(cells: DataFrame, template: list[list[int]], how: str = "SSD") -> DataFrame:
+    """A template whose top left corner is at each place where it fits: SSD, sum of squared differences; CCORR, sum of products;
+    CCOEFF_NORMED, correlation of the differences from both means (0 where one of them is constant)."""
     th, tw = len(template), len(template[0])
-    k = 2 * max(th, tw) - 1
-    value = lambda at: _sum([(at(a, b) - template[a][b]) * (at(a, b) - template[a][b]) for a in range(th) for b in range(tw)])
+    k, n = 2 * max(th, tw) - 1, th * tw
+    places = [(a, b) for a in range(th) for b in range(tw)]
+    mean = sum(map(sum, template)) / n
+    spread = sum((template[a][b] - mean) ** 2 for a, b in places)
+
+    def value(at):
+        if how == "SSD":
+            return _sum([(at(a, b) - template[a][b]) * (at(a, b) - template[a][b]) for a, b in places])
+        if how == "CCORR":
+            return _sum([at(a, b) * template[a][b] for a, b in places])
+        # n * covariance and n * variance in whole numbers; the root comes last
+        cross = _sum([at(a, b) * F.lit(template[a][b] - mean) for a, b in places])
+        own = n * _sum([at(a, b) * at(a, b) for a, b in places]) - _sum([at(a, b) for a, b in places]) * _sum([at(a, b) for a, b in places])
+        return F.when((own > 0) & F.lit(spread > 0), cross / F.sqrt(own * F.lit(spread / n))).otherwise(0.0)
+
     got = with_shape(neighbourhood(cells, k, "REPLICATE", value))
     return got.where((F.col("y") <= F.col("h") - th) & (F.col("x") <= F.col("w") - tw)).select(*KEY, "v")

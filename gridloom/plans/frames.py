@@ -7,17 +7,15 @@ from pyspark.sql import functions as F
 from gridloom.operators import detect as D
 from gridloom.operators import frames as X
 from gridloom.operators import geometry as G
-from gridloom.operators import linalg as L
 from gridloom.operators import match as M
 from gridloom.operators import neighbour as B
 from gridloom.operators import series as S
 from gridloom.operators.elementwise import split
-from gridloom.operators.neighbour import guided
 from gridloom.plans.arrays import PAIR, RGB, pair, rgb
-from gridloom.plans.images import KEY, QD, _kernel_sql, _nb, _v
+from gridloom.plans.images import QD, _kernel_sql, _nb, _v
 from gridloom.plans.matching import BOX, boxes
 from gridloom.plans.ordered import ORD, events
-from gridloom.plans.registry import CELLS, Q, query, real, table, u8
+from gridloom.plans.registry import CELLS, Q, around_sql, border_sql, query, real, table, u8
 from gridloom.sources import files
 from gridloom.sources.shared import shared_dir
 
@@ -131,6 +129,63 @@ def _(s, d):
     return B.spread_features(B.good_features(e, 0.05, 1_000), 6.0, 20)
 
 
+_FUNNEL = [[0.25, -0.5, 0.125], [0.5, 0.0, 0.75], [-0.25, 0.5, 0.125]]
+
+
+@query("funnel_relu", f"WITH {Q}, {around_sql(3, 'CONSTANT')} SELECT img_id, y, x, c, greatest(max(CASE WHEN dy = 0 AND dx = 0 THEN v END), round(sum(v * {_kernel_sql(_FUNNEL)}), 6)) AS v FROM nb GROUP BY 1, 2, 3, 4")
+def _(s, d):
+    return _v(B.funnel_relu(u8(s, d), _FUNNEL), 6)
+
+
+_G5 = B.gauss_kernel(5, 0)
+
+
+@query("adaptive_threshold_gauss", f"WITH {Q}, {around_sql(5, 'REPLICATE')}, m AS (SELECT img_id, y, x, c, round_even(sum(v * {_kernel_sql([[a * b for b in _G5] for a in _G5])}), 0) AS m FROM nb GROUP BY 1, 2, 3, 4) SELECT img_id, y, x, c, CASE WHEN q.v > m - 3 THEN 255 ELSE 0 END AS v FROM q JOIN m USING (img_id, y, x, c)")
+def _(s, d):
+    return B.adaptive_threshold(u8(s, d), 255, 5, 2.5, gauss=True)
+
+
+_T = [[120, 130], [140, 110]]
+_MEET = "FROM q o JOIN dim USING (img_id) CROSS JOIN t JOIN q s ON s.img_id = o.img_id AND s.y = o.y + a AND s.x = o.x + b WHERE o.y <= h - 2 AND o.x <= w - 2 GROUP BY 1, 2, 3, 4"
+_TV = "t(a, b, k) AS (VALUES (0, 0, 120), (0, 1, 130), (1, 0, 140), (1, 1, 110))"
+
+
+@query("match_template_corr", f"WITH {QD}, {_TV} SELECT o.img_id, o.y, o.x, o.c, CAST(sum(s.v * k) AS INT) AS v {_MEET}")
+def _(s, d):
+    return B.match_template(u8(s, d), _T, "CCORR")
+
+
+@query("match_template_coeff", f"""WITH {QD}, {_TV}, m AS (SELECT o.img_id, o.y, o.x, o.c, sum(s.v * (k - 125)) AS u, 4 * sum(s.v * s.v) - sum(s.v) * sum(s.v) AS own {_MEET})
+    SELECT img_id, y, x, c, CASE WHEN own > 0 THEN round(u / sqrt(own * 125.0), 6) + 0.0 ELSE 0 END AS v FROM m""")
+def _(s, d):
+    return B.match_template(u8(s, d), _T, "CCOEFF_NORMED").withColumn("v", F.round("v", 6) + 0.0)
+
+
+@query("upsample_nearest", f"WITH {Q} SELECT img_id, CAST(y * 2 + a AS INT) AS y, CAST(x * 2 + b AS INT) AS x, c, v FROM q CROSS JOIN (SELECT unnest(range(0, 2)) AS a) CROSS JOIN (SELECT unnest(range(0, 2)) AS b)")
+def _(s, d):
+    return G.upsample_nearest(u8(s, d), 2)
+
+
+for _b in ("CONSTANT", "REPLICATE", "REFLECT_101"):
+
+    @query(f"remap_nearest_{_b.lower()}", f"""WITH {QD}, g AS (SELECT img_id, h, w, y, x, c, CAST(floor(CAST(1.02 AS DOUBLE) * y + CAST(0.11 AS DOUBLE) * x - 3 + 0.5) AS INT) AS iy, CAST(floor(CAST(0.97 AS DOUBLE) * x - CAST(0.08 AS DOUBLE) * y + CAST(2.3 AS DOUBLE) + 0.5) AS INT) AS ix FROM q JOIN dim USING (img_id))
+        SELECT g.img_id, g.y, g.x, g.c, coalesce(q.v, 7) AS v FROM g LEFT JOIN q ON q.img_id = g.img_id AND q.y = {border_sql('iy', 'h', _b)} AND q.x = {border_sql('ix', 'w', _b)}""")
+    def _(s, d, b=_b):
+        q = u8(s, d)
+        at = q.select("img_id", "c", "y", "x", (F.lit(1.02) * F.col("y") + F.lit(0.11) * F.col("x") - 3).alias("my"), (F.lit(0.97) * F.col("x") - F.lit(0.08) * F.col("y") + 2.3).alias("mx"))
+        out = G.remap_nearest(at, q, b, 7)
+        return out.withColumn("v", F.coalesce("v", F.lit(7)))  # a reflection of a place far outside may be outside as well
+
+
+@query("points_and_boxes", f"""WITH {BOX}, b AS (SELECT img_id, box_id, x1 + 0.5 AS x1, y1 - 1 AS y1, x2 + 0.5 AS x2, y2 - 1 AS y2 FROM bx), j AS (SELECT a.img_id, a.box_id AS ka, b.box_id AS kb, greatest(b.x1 - a.x1, a.x1 - b.x2, 0) AS dx, greatest(b.y1 - a.y1, a.y1 - b.y2, 0) AS dy,
+    least(abs(a.x1 - b.x1), abs(a.x1 - b.x2), abs(a.y1 - b.y1), abs(a.y1 - b.y2)) AS side FROM bx a JOIN b USING (img_id)) SELECT img_id, ka, kb, round(sqrt(dx * dx + dy * dy), 6) AS dist, dx = 0 AND dy = 0 AND side = 0 AS on_side FROM j""")
+def _(s, d):
+    b = boxes(s, d)
+    j = b.select("img_id", F.col("box_id").alias("ka"), F.col("x1").alias("px"), F.col("y1").alias("py")).join(M.prefixed(M.shifted(b, 0.5, -1.0), "b", "img_id"), "img_id")
+    far, on = M.point_to_box("px", "py", "b")
+    return j.select("img_id", "ka", F.col("bbox_id").alias("kb"), F.round(far, 6).alias("dist"), on.alias("on_side"))
+
+
 # filters, assignment, evaluation --------------------------------------------------------------------------------------------------
 
 _DT, _QV, _R = 1.0, 0.05, 4.0
