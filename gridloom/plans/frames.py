@@ -12,7 +12,7 @@ from gridloom.operators import neighbour as B
 from gridloom.operators import series as S
 from gridloom.operators.elementwise import split
 from gridloom.plans.arrays import PAIR, RGB, pair, rgb
-from gridloom.plans.images import QD, _kernel_sql, _nb, _v
+from gridloom.plans.images import QD, _kernel_sql, _nb, _tap_sql, _v
 from gridloom.plans.matching import BOX, boxes
 from gridloom.plans.ordered import ORD, events
 from gridloom.plans.registry import CELLS, Q, around_sql, border_sql, query, real, table, u8
@@ -118,9 +118,9 @@ def _(s, d):
     return _v(G.resize_area_to(q.join(high, "img_id", "left_semi"), 24, 40), 6)
 
 
-@query("resize_area_upwards")
+@query("resize_area_upwards", _tap_sql(80, 80, [0, 1], lambda d, k: f"CASE WHEN {k} = 0 THEN 1 - ({d}) ELSE {d} END"))
 def _(s, d):
-    return _v(G.resize_area_to(u8(s, d), 80, 80), 5)
+    return _v(G.resize_area_to(u8(s, d), 80, 80), 6)
 
 
 @query("spread_features")

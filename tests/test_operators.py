@@ -189,3 +189,21 @@ def test_streams_over_many_batches(spark, tmp_path, monkeypatch):
     late = entities.low_pass_state(streams.stream(spark, str(tmp_path)), "user_id", 0.9, 400 * 86_400_000, "200 days")
     out = entities.drain(late, "update").groupBy("user_id").agg(F.max("n").alias("n"), F.round(F.max_by("v", "n"), 6).alias("v"))
     assert rows(out.toPandas()) == rows(con.execute(ORACLES["stream_low_pass"]).df())
+
+
+def test_spread_features_against_all_pairs(spark):
+    import random
+
+    from gridloom.operators.neighbour import spread_features
+
+    r = random.Random(4)
+    peaks = [(g, k + 1, y, x, float(1000 - k)) for g in range(3) for k, (y, x) in enumerate(r.sample([(y, x) for y in range(40) for x in range(40)], 300))]
+    want = []
+    for g in range(3):
+        kept = []
+        for _, _, y, x, v in sorted((p for p in peaks if p[0] == g), key=lambda p: p[1]):
+            if len(kept) < 30 and all((y - a) ** 2 + (x - b) ** 2 >= 25 for a, b, _ in kept):
+                kept.append((y, x, v))
+        want += [(g, i + 1, y, x, v) for i, (y, x, v) in enumerate(kept)]
+    got = spread_features(spark.createDataFrame(peaks, "img_id long, rank int, y int, x int, response double"), 5.0, 30).collect()
+    assert sorted(map(tuple, got)) == sorted(want)
