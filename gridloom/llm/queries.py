@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import exactdedup, labelled, licenses, linededup, mixing, neardup, piecebpe, quality, tokencount, topk, toxicity
+from gridloom.llm import collocations, exactdedup, jaccard, labelled, lexical, licenses, linededup, mixing, neardup, piecebpe, quality, tokencount, topk, toxicity
 from gridloom.llm.common import table
 
 
@@ -69,8 +69,25 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piecebpe.encode_digests(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op11_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"), percent=90, words=3)
+
+
+def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A term's weight is floor(1000 ln((2N + 2) / (2df + 1))); a document adds weight * ((10^9 tf) div (1000 tf + 12 m)) for each
+    term of the item, m being 75 + (25 n N) div L."""
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"), min_count=30, longest=4, inside_percent=80, top=2000)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_topk, op2_near_duplicates, op3_exact_dedup, op4_license_scan, op5_token_counts, op6_mix_sources, op7_quality, op8_toxicity, op9_line_dedup, op10_sentencepiece]
+    found = [
+        op1_topk, op2_near_duplicates, op3_exact_dedup, op4_license_scan, op5_token_counts, op6_mix_sources, op7_quality, op8_toxicity, op9_line_dedup, op10_sentencepiece,
+        op11_jaccard_join, op12_search, op13_collocations,
+    ]
     return {f.__name__: f for f in found}
 
 
@@ -120,4 +137,35 @@ def oracle_sql() -> dict[str, str]:
             SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE NOT stays) AS n_dropped,
                    sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE stays), '')) AS kept_sha256
             FROM s GROUP BY doc_id""",
+        "op12_search": rf"""
+            WITH t AS (SELECT doc_id, unnest(regexp_extract_all({_FOLD}, '{lexical.TERM}')) AS term FROM documents),
+                 p AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL),
+                 d AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM p GROUP BY doc_id),
+                 c AS (SELECT count(*) AS nd, sum(n)::BIGINT AS l FROM d),
+                 w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * max(nd) + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w FROM p, c GROUP BY term),
+                 m AS (SELECT doc_id, 75 + (25 * n * nd) // l AS m FROM d, c),
+                 q AS (SELECT item_id, unnest(regexp_extract_all({_FOLD}, '{lexical.TERM}')) AS term FROM benchmark),
+                 s AS (SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score
+                       FROM q JOIN w USING (term) JOIN p USING (term) JOIN m USING (doc_id) GROUP BY ALL),
+                 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM s WHERE score > 0)
+            SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 20""",
+        "op13_collocations": rf"""
+            WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({_FOLD}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+                 w AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p),
+                 i AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM w),
+                 g AS (SELECT lang, w[i:i+len-1] AS g, len FROM i, (VALUES (1), (2), (3), (4)) AS n(len) WHERE i + len - 1 <= len(w)),
+                 f AS (SELECT lang, array_to_string(g, ' ') AS phrase, any_value(g) AS g, any_value(len) AS len, count(*) AS f FROM g GROUP BY ALL),
+                 t AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE len = 1 GROUP BY lang),
+                 c AS (SELECT * FROM f WHERE len >= 2 AND f >= 30),
+                 k AS (SELECT *, unnest(range(1, len)) AS k FROM c),
+                 s AS (SELECT k.lang, k.phrase, k.f AS a, k.k, x.f AS l, y.f AS r, CAST((2000000::HUGEINT * k.f) // (x.f + y.f) AS BIGINT) AS score
+                       FROM k JOIN f x ON x.lang = k.lang AND x.phrase = array_to_string(k.g[1:k.k], ' ')
+                              JOIN f y ON y.lang = k.lang AND y.phrase = array_to_string(k.g[k.k+1:], ' ')),
+                 b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+                 z AS (SELECT lang, g, len, f, unnest(range(1, len)) AS lo FROM c WHERE len >= 3),
+                 o AS (SELECT z.lang, array_to_string(g[lo:lo+n.len-1], ' ') AS phrase, max(f) AS around FROM z, (VALUES (2), (3)) AS n(len)
+                       WHERE n.len < z.len AND lo + n.len - 1 <= z.len GROUP BY ALL),
+                 e AS (SELECT b.* FROM b LEFT JOIN o USING (lang, phrase) WHERE around IS NULL OR 100 * around < 80 * a),
+                 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS INTEGER) AS rank FROM e)
+            SELECT lang, rank, phrase, a, l, r, n, score FROM r JOIN t USING (lang) WHERE rank <= 2000""",
     }
