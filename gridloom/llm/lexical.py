@@ -16,8 +16,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -163,23 +163,24 @@ def search(docs: DataFrame, items: DataFrame, k: int = 20, id_col: str = "doc_id
     heads = index.where("term is null").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(max(blocks, 1) - 1))))
     heads = heads.select("shard", "block", F.lit(None).cast("long").alias("w"), F.lit(None).cast("array<struct<item:long,times:long>>").alias("asks"), "at", "tf", "lengths", "ids")
 
-    def rank(part: pd.DataFrame) -> pd.DataFrame:
-        head = part[part["lengths"].notna()].iloc[0]
-        length = np.frombuffer(head["lengths"], np.int64)
+    def rank(part: pa.Table) -> pa.Table:
+        # Arrow, since ids with nulls among them would become doubles in pandas
+        head = part.filter(pc.is_valid(part["lengths"]))
+        ids, length = head["ids"].combine_chunks().flatten(), np.frombuffer(head["lengths"][0].as_py(), np.int64)
         m = 75 + (25 * length * n_docs) // n_words
         held, of = Lists(len(length)), {}
-        for row in part[part["lengths"].isna()].itertuples(index=False):
-            at, tf = np.frombuffer(row.at, np.uint32).astype(np.int64), np.frombuffer(row.tf, np.uint32).astype(np.int64)
-            for ask in row.asks:
+        rows = part.filter(pc.is_null(part["lengths"]))
+        for w, asks_, at, tf in zip(rows["w"].to_pylist(), rows["asks"].to_pylist(), rows["at"].to_pylist(), rows["tf"].to_pylist()):
+            at, tf = np.frombuffer(at, np.uint32).astype(np.int64), np.frombuffer(tf, np.uint32).astype(np.int64)
+            for ask in asks_:
                 of.setdefault(ask["item"], []).append((len(held.docs), ask["times"]))
-            held.add(at, int(row.w) * ((1_000_000_000 * tf) // (1000 * tf + 12 * m[at])))
-        item, doc, score = [], [], []
-        for i, asks_ in of.items():
-            docs_, scores = held.best(asks_, k)
-            item += [i] * len(docs_); doc += [head["ids"][d] for d in docs_]; score += scores.tolist()
-        return pd.DataFrame({"item": item, "doc_id": doc, "score": score})
-
-    hits = wanted.union(heads).groupBy("shard", "block").applyInPandas(rank, f"item long, doc_id {kind}, score long")
+            held.add(at, w * ((1_000_000_000 * tf) // (1000 * tf + 12 * m[at])))
+        found = {item: held.best(asks_, k) for item, asks_ in of.items()}
+        at = np.concatenate([d for d, _ in found.values()]) if found else np.zeros(0, np.int64)
+        item = np.repeat(np.array(list(found), np.int64), [len(d) for d, _ in found.values()])
+        return pa.table({"item": item, "doc_id": ids.take(pa.array(at)), "score": np.concatenate([s for _, s in found.values()]) if found else at})
+
+    hits = wanted.union(heads).groupBy("shard", "block").applyInArrow(rank, f"item long, doc_id {kind}, score long")
     order = Window.partitionBy("item").orderBy(F.col("score").desc(), F.col("doc_id").asc_nulls_last())
     best = hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return best.join(asked.select("item", "item_id").distinct(), "item").select("item_id", "rank", "doc_id", "score")

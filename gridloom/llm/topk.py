@@ -122,8 +122,7 @@ def top_k(
     Queries are the rows whose id is divisible by ``every``; candidates are all rows but those with the query's own id
     (all there are, if fewer than k); equal scores go to the smaller id. Vectors that are null or hold null or
     non-finite components, and rows without an id, take no part. Vectors of different lengths aren't compared.
-    Scores are exact as long as they fit 64 bits. Repeated rows are candidates (and queries) of their own, with the
-    same hits. Empty table: no rows. Extra columns of any name are ignored.
+    Scores are exact as long as they fit 64 bits. Ids are any 64-bit integers. Repeated rows are candidates of their own, and one query. Empty table: no rows. Extra columns of any name are ignored.
 
     ``shard`` is the number of vectors of a shard; without it, one 256th of the table between SHARD and SHARD_MAX. A shard's tree is
     built once and written. It then meets the queries by (length, shard): a task takes its tree and after it the queries,
@@ -149,7 +148,8 @@ def top_k(
         return pd.DataFrame({"dim": [key[0]], "shard": [key[1]], "tree": [pickle.dumps(tree)]})
 
     trees = rows.select("dim", "shard", "vec_id", "v").repartition(tasks, "dim", "shard").groupBy("dim", "shard").applyInPandas(build, "dim int, shard int, tree binary")
-    trees = scratch(trees, "trees").withColumns({"query_id": F.lit(None).cast("long"), "q": F.lit(None).cast("array<long>"), "kth": F.lit(None).cast("long")})
+    # no nulls in the ids of a batch: pandas would make doubles of them
+    trees = scratch(trees, "trees").withColumns({"query_id": F.lit(0).cast("long"), "q": F.lit(None).cast("array<long>"), "kth": F.lit(0).cast("long")})
     asks = rows.where(F.col("vec_id") % every == 0).select("dim", "shards", F.col("shard").alias("home"), F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
     asks = scratch(asks.dropDuplicates(["query_id", "q"]), "queries")
 

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_llm_operators import none, odd, text  # noqa: F401  (fixtures)
 
-from gridloom.llm import collocations, jaccard, lexical
+from gridloom.llm import collocations, jaccard, lexical, topk
 from gridloom.llm.postings import deltas, positions, slices
 
 
@@ -209,3 +209,20 @@ def test_list_packing():
     raw = b"ab cd\n" * 400_000 + b"x" * 3_000_000 + b" end"
     parts = list(slices(raw, b" \n"))
     assert b"".join(parts) == raw and [w for p in parts for w in p.split()] == raw.split() and len(parts) > 2
+
+
+@pytest.mark.parametrize("base", [2**60, -(2**60), -150])
+def test_topk_with_large_negative_and_repeated_ids(spark, base):
+    g = np.random.default_rng(3)
+    base -= base % 50
+    rows = [(base + i, [float(x) for x in g.normal(size=6)]) for i in range(300)]
+    rows += rows[7:9]  # repeated rows
+    df = spark.createDataFrame([(*x, 1, "q", 2) for x in rows], "vec_id long, embedding array<double>, query_id int, q string, kth int")
+    ids, x = [i for i, _ in rows], np.floor(256 * np.array([v for _, v in rows])).astype(np.int64)
+    want = []
+    for at in range(0, 300, 50):
+        best = sorted((-int(x[at] @ x[j]), ids[j]) for j in range(len(ids)) if ids[j] != ids[at])[:5]
+        want += [(ids[at], r + 1, i, -s) for r, (s, i) in enumerate(best)]
+    for shard in (None, 40):
+        got = [tuple(r) for r in topk.top_k(df, shard=shard).select("query_id", "rank", "vec_id", "score").collect()]
+        assert sorted(got) == sorted(want)
