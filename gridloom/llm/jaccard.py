@@ -4,14 +4,15 @@
    band. Two sets of a band's sizes at the threshold differ in at most H shingles, so the band's scheme cuts the universe of
    shingles into H + 1 segments by hash: a pair at the threshold has all shingles of some segment in common.
 2. A class is posted under its segments in the scheme of its own band and in those of smaller bands that a partner can be in.
-3. Of each list (a segment with the same shingles) pivots meet the other members; pairs are verified on full sets, linked classes
-   are gathered to components, and what is in one component isn't compared again. A list is finished when all its members
-   have been pivots or are in one component.
-4. Lists that stay long (many members that aren't linked share a segment) are indexed anew by subsets of segments: under the pairs of
-   their segment with each other one. All H differences of a pair must then lie in the H other segments, so one of these
-   is given a neighbourhood of one deletion (its shingles, and its shingles but one): segments with no difference, and that
-   one with one difference at most, can't be missed. The segment that gets it is the one which members of the list share
-   least, by the squares of their numbers.
+   Costs decide which segments of a band serve: where a segment is shared by so many classes (the sum of the squares of its
+   lists) that an index of one-deletion neighbourhoods of the band's cheapest segment costs less, that segment is left
+   out and the cheap one is posted with its neighbourhood (its shingles, and its shingles but one). A segment tolerates no
+   difference, a neighbourhood one; together they tolerate H, so a pair always meets.
+3. Of each list (classes with the same value of a segment) the most central member is the pivot: it is compared with all others on full
+   sets, and linked classes are gathered to components. What is left of a list whose members are in several components is
+   indexed by their differences from the pivot: two of them that are linked, and not both with the pivot, have differences
+   in common, at least d - H of the d differences of each, so each is posted under its H + 1 rarest differences. These lists
+   are treated likewise, until none has members in two components. No two members meet only because a group is large.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.llm.common import columns, hot_keys, lookup, scratch
@@ -31,8 +32,8 @@ from gridloom.llm.neardup import shingle_sets
 from gridloom.llm.pieces import mix64
 from gridloom.llm.shingles import Shingler
 
-#: Ratio of the sizes of neighbouring bands; growth of the number of pivots; members from which an open list is indexed anew.
-BAND, GROW, LONG = 1.2, 8, 64
+#: Ratio of the sizes of neighbouring bands.
+BAND = 1.2
 
 
 @lru_cache(maxsize=1)
@@ -102,8 +103,9 @@ def posted(docs: DataFrame, words: int, percent: int) -> DataFrame:
     return docs.mapInArrow(run, f"doc_id {kind}, n_shingles long, set_hash binary, keys array<bigint>")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) at the threshold, with both set sizes and the size of the intersection. A class with many pairs is dealt out."""
+def _compared(pairs: DataFrame, sets: DataFrame, percent: int, differences: bool) -> DataFrame:
+    """For the pairs (a, b): na, nb, both (sizes of the sets and of the intersection), linked, and the elements that only one has
+    if they are asked for. A class with many pairs is dealt out."""
     pairs = scratch(pairs, "pairs")
     kind = pairs.schema["a"].dataType.simpleString()
     one = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
@@ -112,108 +114,100 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            rows = []
+            rows, apart = [], []
             for sa, sb in zip(x.column(2), x.column(3)):
                 u, v = np.frombuffer(sa.as_py(), np.uint64), np.frombuffer(sb.as_py(), np.uint64)
-                rows.append((len(u), len(v), len(np.intersect1d(u, v, assume_unique=True))))
+                only = np.setxor1d(u, v, assume_unique=True)
+                rows.append((len(u), len(v), (len(u) + len(v) - len(only)) // 2))
+                apart.append(only.view(np.int64) if differences else None)
             na, nb, both = np.array(rows, np.int64).reshape(-1, 3).T
-            keep = pa.array(100 * both >= percent * (na + nb - both))
-            yield pa.RecordBatch.from_arrays([x.column(0), x.column(1), pa.array(na), pa.array(nb), pa.array(both)], ["a", "b", "na", "nb", "both"]).filter(keep)
-
-    return joined.mapInArrow(run, f"a {kind}, b {kind}, na long, nb long, both long")
-
-
-def _near_size(one: str, two: str, percent: int):
-    return F.least(one, two) * 100 >= percent * F.greatest(one, two)
-
-
-def _indexed_anew(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """members: key, doc_id, n, rank of long lists. The same, with each list replaced by its subsets of two segments."""
-    kind = members.schema["doc_id"].dataType.simpleString()
-    with_sets = members.groupBy("doc_id", "n", "rank").agg(F.collect_set("key").alias("keys")).join(sets.select("doc_id", "shingles"), "doc_id")
-
-    def expand(deletions: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for x in batches:
-                for at in range(x.num_rows):
-                    one = x.slice(at, 1)
-                    tokens = np.frombuffer(one["shingles"][0].as_py(), np.uint64)
-                    keys = one["keys"][0].as_py()
-                    asked = dict(zip(keys, one["chosen"][0].as_py())) if deletions else dict.fromkeys(keys)
-                    old, seg, new = [], [], []
-                    for band in schemes(len(tokens), percent):
-                        m = segments(band, percent)
-                        cut, sums = segment_sums(tokens, m)
-                        mine = mix64(sums ^ _salt(band, np.arange(m, dtype=np.uint64))).view(np.int64)
-                        for i in np.flatnonzero(np.isin(mine, list(asked))):
-                            key = int(mine[i])
-                            for j in range(m):
-                                if j == i or (deletions and j not in asked[key]):
-                                    continue
-                                values = sums[j : j + 1]
-                                if deletions:
-                                    values = np.r_[values, sums[j] - mix64(tokens[cut[j] : cut[j + 1]])]
-                                made = np.unique(mix64(values ^ _salt(key & ((1 << 64) - 1), j, 7)).view(np.int64))
-                                old += [key] * len(made); seg += [j] * len(made); new += made.tolist()
-                    n = len(old)
-                    pick = pa.array(np.zeros(n, np.int64))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(old, pa.int64()), pa.array(seg, pa.int32()), pa.array(new, pa.int64()), one["doc_id"].take(pick), one["n"].take(pick), one["rank"].take(pick)],
-                        ["old", "seg", "key", "doc_id", "n", "rank"])
-
-        return run
-
-    schema = f"old long, seg int, key long, doc_id {kind}, n long, rank int"
-    exact = scratch(with_sets.select("doc_id", "n", "rank", "keys", "shingles").mapInArrow(expand(False), schema), "segment-pairs")
-    shared = exact.groupBy("old", "seg", "key").count().groupBy("old", "seg").agg(F.sum(F.col("count") * F.col("count")).alias("cost"))
-    chosen = scratch(shared.groupBy("old").agg(F.min(F.struct("cost", "seg")).alias("least")).select("old", F.col("least.seg").alias("seg")), "deletion-segments")
-    picked = members.join(chosen.withColumnRenamed("old", "key"), "key").groupBy("doc_id", "n", "rank", "key").agg(F.collect_set("seg").alias("segs"))
-    picked = picked.groupBy("doc_id", "n", "rank").agg(F.collect_list(F.struct("key", "segs")).alias("of"))
-    picked = picked.select("doc_id", "n", "rank", F.col("of.key").alias("keys"), F.col("of.segs").alias("chosen")).join(sets.select("doc_id", "shingles"), "doc_id")
-    near = picked.mapInArrow(expand(True), schema)
-    rest = exact.join(chosen, ["old", "seg"], "left_anti").select(*near.columns)
-    return rest.union(near).select("key", "doc_id", "n", "rank")
+            linked = pa.array(100 * both >= percent * (na + nb - both))
+            yield pa.RecordBatch.from_arrays(
+                [x.column(0), x.column(1), pa.array(na), pa.array(nb), pa.array(both), linked, pa.array(apart, pa.list_(pa.int64()))], ["a", "b", "na", "nb", "both", "linked", "apart"])
 
+    return joined.mapInArrow(run, f"a {kind}, b {kind}, na long, nb long, both long, linked boolean, apart array<bigint>")
 
-def _linked(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(node, component) of the linked classes. lists: key, doc_id, n (set size), rank (central members first).
 
-    In a round each open list is dealt into pieces by a hash of the member, and the first member of every piece is a pivot: it meets
-    all members that haven't been pivots and are in another component. The number of pieces grows from round to round.
+def _neighbourhoods(docs: DataFrame, chosen: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """docs: doc_id, n, bands; chosen: band, seg. Posts (doc_id, n, key) under the one-deletion neighbourhoods of the chosen segments."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    asked = docs.withColumn("band", F.explode("bands")).join(chosen.groupBy("band").agg(F.collect_list("seg").alias("segs")), "band")
+    asked = asked.select("doc_id", "n", "band", "segs").join(sets.select("doc_id", F.col("n_shingles").alias("n"), "shingles"), ["doc_id", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            made = []
+            for band, segs, raw in zip(x["band"].to_pylist(), x["segs"].to_pylist(), x["shingles"]):
+                tokens = np.frombuffer(raw.as_py(), np.uint64)
+                cut, sums = segment_sums(tokens, segments(band, percent))
+                made.append(np.concatenate([
+                    mix64(np.r_[sums[j : j + 1], sums[j] - mix64(tokens[cut[j] : cut[j + 1]])] ^ _salt(band, j, 1)) for j in segs]).view(np.int64))
+            at = pa.array(np.repeat(np.arange(len(made)), list(map(len, made))))
+            yield pa.RecordBatch.from_arrays([x["doc_id"].take(at), x["n"].take(at), pa.array(np.concatenate(made) if made else np.zeros(0, np.int64))], ["doc_id", "n", "key"])
+
+    return asked.mapInArrow(run, f"doc_id {kind}, n long, key long").distinct()
+
+
+def _allocated(posts: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """posts: doc_id, n, key, pos; classes: doc_id, n. Posts (doc_id, n, key) after costs have decided which segments serve.
+
+    The r-th dearest segment of a band gives its place to the neighbourhood of the r-th cheapest one where that costs less: a
+    neighbourhood has a post for each shingle of the segment and each class of the band, and lists that are longer in proportion.
     """
-    comp = edges = None
-    pieces, rest, anew = 1, lists.withColumn("c", F.col("doc_id")), False
-    while True:
-        rest = scratch(rest, "open-lists")
-        if rest.isEmpty():
-            return comp if comp is not None else lists.select(F.col("doc_id").alias("node"), F.col("doc_id").alias("component")).limit(0)
-        piece = F.pmod(F.xxhash64("doc_id", F.lit(pieces)), F.lit(pieces)).cast("int")
-        pivot = rest.groupBy("key", piece.alias("deal")).agg(F.min(F.struct("rank", "doc_id", "n", "c")).alias("p"))
-        pivot = scratch(pivot.select("key", F.col("p.doc_id").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.c").alias("pc")), "pivots")
-        met = lookup(rest, "key", pivot, "doc_id", hot_keys(rest, "key")).where((F.col("c") != F.col("pc")) & _near_size("n", "pn", percent))
-        # two pivots of a list meet twice
-        pairs = met.select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")).distinct()
-        links = scratch(_verified(pairs, sets, percent).select("a", "b"), "links")
-        rest = rest.join(pivot.select("key", F.col("pivot").alias("doc_id")), ["key", "doc_id"], "left_anti")
-        if not links.isEmpty():
-            edges = links if edges is None else links.union(edges)
-            comp = components(edges)
-            edges = comp.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
-            rest = rest.drop("c").join(comp.select(F.col("node").alias("doc_id"), F.col("component").alias("c")), "doc_id", "left").withColumn("c", F.coalesce("c", "doc_id"))
-        rest = scratch(rest, "rest-of-lists")
-        open_ = rest.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("left")).where("low <> high")
-        open_ = scratch(open_.select("key", "left"), "open-keys")
-        rest = rest.join(open_, "key").select("key", "doc_id", "n", "rank", "c", "left")
-        if pieces >= GROW and not anew and not open_.where(F.col("left") > LONG).isEmpty():
-            anew, rest = True, scratch(rest, "rest-of-lists")
-            named = rest.select("doc_id", "c").distinct()
-            fresh = _indexed_anew(rest.where(F.col("left") > LONG).drop("c", "left"), sets, percent).join(named, "doc_id").select("key", "doc_id", "n", "rank", "c")
-            fresh = scratch(fresh.distinct(), "subset-lists")
-            some = fresh.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("key")
-            rest = rest.where(F.col("left") <= LONG).drop("left").union(fresh.join(some, "key", "left_semi").select("key", "doc_id", "n", "rank", "c"))
-        else:
-            rest = rest.drop("left")
-        pieces *= GROW
+    bands_of = F.udf(lambda n: schemes(n, percent), "array<int>")
+    sizes_of = F.udf(lambda n: [segments(b, percent) for b in schemes(n, percent)], "array<int>")
+    sizes = scratch(classes.select("n").distinct().select("n", bands_of("n").alias("bands"), sizes_of("n").alias("sizes")), "set-sizes")
+    per_band = classes.join(sizes, "n").select(F.explode(F.arrays_zip("bands", "sizes")).alias("x"), "n").groupBy("x.bands", "x.sizes")
+    per_band = per_band.agg(F.count("*").alias("held"), F.avg(F.col("n") / F.col("x.sizes")).alias("width")).select(F.col("bands").alias("band"), F.col("sizes").alias("m"), "held", "width")
+    # place in the arrays of a set's schemes: band and segment
+    starts = F.transform("sizes", lambda _, i: F.aggregate(F.slice("sizes", F.lit(1), i), F.lit(0), lambda t, v: t + v))
+    which = F.size(F.filter("starts", lambda v: v <= F.col("pos"))) - 1
+    placed = posts.join(sizes.withColumn("starts", starts), "n").withColumn("i", which)
+    placed = scratch(placed.select("doc_id", "n", "key", F.get("bands", "i").alias("band"), (F.col("pos") - F.get("starts", "i")).cast("int").alias("seg")), "placed-posts")
+    cost = placed.groupBy("band", "seg", "key").count().groupBy("band", "seg").agg(F.sum(F.col("count") * F.col("count")).alias("cost"))
+    every = scratch(per_band.select("band", "held", "width", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("seg")).join(cost, ["band", "seg"], "left").fillna(0, "cost"), "costs")
+    by = Window.partitionBy("band")
+    dear = every.select("band", F.col("seg").alias("out"), F.col("cost").alias("dear"), F.row_number().over(by.orderBy(F.col("cost").desc(), F.col("seg"))).alias("r"))
+    cheap = every.select("*", F.row_number().over(by.orderBy("cost", F.col("seg").desc())).alias("r"), F.count("*").over(by).alias("m")).where(2 * F.col("r") <= F.col("m"))
+    swaps = cheap.join(dear, ["band", "r"]).where(F.col("dear") > (F.col("cost") + F.col("held")) * (F.col("width") + 1)).select("band", "seg", "out")
+    swaps = scratch(swaps, "swapped-segments")
+    out = swaps.select("band", F.explode(F.array("seg", "out")).alias("seg"))
+    kept = placed.join(out, ["band", "seg"], "left_anti").select("doc_id", "n", "key")
+    bands = classes.join(sizes.select("n", "bands"), "n").join(F.broadcast(swaps.agg(F.collect_set("band").alias("in"))), F.arrays_overlap("bands", "in")).select("doc_id", "n", "bands")
+    return kept.union(_neighbourhoods(bands, swaps.select("band", "seg"), sets, percent))
+
+
+def _open(lists: DataFrame) -> DataFrame:
+    """The lists (key, doc_id, rank, c) with members in more than one component."""
+    open_ = lists.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("key")
+    return scratch(lists.join(open_, "key", "left_semi"), "open-lists")
+
+
+def _linked(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(node, component) of the linked classes. lists: key, doc_id, rank (the central members of a list have the lowest)."""
+    comp = lists.select(F.col("doc_id").alias("node"), F.col("doc_id").alias("component")).limit(0)
+    rest, edges = _open(lists.withColumn("c", F.col("doc_id"))), None
+    while not rest.isEmpty():
+        pivot = scratch(rest.groupBy("key").agg(F.min(F.struct("rank", "doc_id")).alias("p")).select("key", F.col("p.doc_id").alias("pivot")), "pivots")
+        met = lookup(rest, "key", pivot, "doc_id", hot_keys(rest, "key")).where("doc_id <> pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct()
+        found = scratch(_compared(met, sets, percent, differences=True), "differences")
+        links = found.where("linked").select("a", "b")
+        edges = links if edges is None else links.union(edges)
+        comp = components(edges)
+        edges = comp.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+        placed = found.join(comp.toDF("b", "c"), "b", "left").withColumn("c", F.coalesce("c", "b"))
+        groups = placed.groupBy("a").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("a")
+        placed = scratch(placed.join(groups, "a", "left_semi").select("a", "b", "c", "nb", "apart", F.size("apart").alias("d")), "open-groups")
+        posts = placed.select("a", "b", F.explode("apart").alias("token"))
+        often = posts.groupBy("a", "token").count().where("count >= 2")
+        shared = posts.join(often, ["a", "token"]).groupBy("a", "b").agg(F.sort_array(F.collect_list(F.struct("count", "token"))).alias("shared"))
+        most = F.floor((F.col("nb") + F.floor(100 * F.col("nb") / percent)) * (100 - percent) / (100 + percent)).cast("int")  # differences of a linked pair
+        prefix = F.least(F.col("d"), most + 1) - (F.col("d") - F.size("shared"))  # differences that no other has come first
+        ahead = placed.drop("apart").join(shared, ["a", "b"]).withColumn("take", prefix.cast("int")).where("take > 0")
+        rest = ahead.select("a", F.col("b").alias("doc_id"), F.col("d").alias("rank"), "c", F.explode(F.slice("shared", F.lit(1), F.col("take"))).alias("t"))
+        rest = rest.select(F.xxhash64("a", "t.token").alias("key"), "doc_id", "rank", "c")
+        rest = _open(scratch(rest, "difference-lists"))
+    return comp
 
 
 class Postings:
@@ -227,13 +221,15 @@ class Postings:
         sound = self.rows.where("doc_id is not null and n_shingles > 0")
         self.classes = scratch(sound.groupBy("set_hash").agg(F.min("doc_id").alias("doc_id")), "classes")
         first = sound.join(self.classes, ["set_hash", "doc_id"], "left_semi").dropDuplicates(["doc_id", "set_hash"])
-        posts = first.select("doc_id", F.col("n_shingles").alias("n"), F.explode("keys").alias("key"))
+        first = first.select("doc_id", F.col("n_shingles").alias("n"), "keys")
+        posts = first.select("doc_id", "n", F.posexplode("keys").alias("pos", "key"))
         often = scratch(posts.groupBy("key").count().where("count >= 2").select("key"), "shared-segments")
         posts = scratch(posts.join(often, "key"), "posts")
-        rank = posts.groupBy("doc_id", "n").agg((-F.count("*")).cast("int").alias("rank"))
-        self.lists = scratch(posts.join(rank, ["doc_id", "n"]).select("key", "doc_id", "n", "rank"), "lists")
-        wanted = self.lists.select("doc_id").distinct()
+        wanted = posts.select("doc_id").distinct()
         self.sets = scratch(shingle_sets(base.join(wanted, "doc_id", "left_semi"), words).where("n_shingles > 0"), "sets")
+        posts = scratch(_allocated(posts, posts.select("doc_id", "n").distinct(), self.sets, percent), "allocated-posts")
+        rank = posts.groupBy("doc_id").agg((-F.count("*")).cast("int").alias("rank"))
+        self.lists = scratch(posts.join(rank, "doc_id").select("key", "doc_id", "n", "rank"), "lists")
 
 
 def jaccard_pairs(docs: DataFrame, percent: int = 90, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -242,9 +238,10 @@ def jaccard_pairs(docs: DataFrame, percent: int = 90, words: int = 3, id_col: st
     meet, so the work follows the number of pairs that share a segment, most of which are links."""
     of = Postings(docs, percent, words, id_col, text_col)
     two = of.lists.select("key", F.col("doc_id").alias("b"), F.col("n").alias("m"))
-    met = lookup(of.lists, "key", two, "doc_id", hot_keys(of.lists, "key")).where((F.col("doc_id") < F.col("b")) & _near_size("n", "m", percent))
+    met = lookup(of.lists, "key", two, "doc_id", hot_keys(of.lists, "key")).where((F.col("doc_id") < F.col("b")) & (F.least("n", "m") * 100 >= percent * F.greatest("n", "m")))
     members = lookup(of.rows.select("doc_id", "set_hash"), "set_hash", of.classes.toDF("set_hash", "class_id"), "doc_id", hot_keys(of.rows, "set_hash"))
-    return _verified(met.select(F.col("doc_id").alias("a"), "b").distinct(), of.sets, percent), members.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
+    links = _compared(met.select(F.col("doc_id").alias("a"), "b").distinct(), of.sets, percent, differences=False).where("linked")
+    return links.select("a", "b", "na", "nb", "both"), members.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
 
 
 def jaccard_components(docs: DataFrame, percent: int = 90, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -257,7 +254,7 @@ def jaccard_components(docs: DataFrame, percent: int = 90, words: int = 3, id_co
     null. Extra columns are ignored; empty table: no rows. Thresholds below 50% are refused.
     """
     of = Postings(docs, percent, words, id_col, text_col)
-    linked = _linked(of.lists, of.sets, percent)
+    linked = _linked(of.lists.select("key", "doc_id", "rank"), of.sets, percent)
     found = of.classes.join(linked.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select("set_hash", F.coalesce("component", "doc_id").alias("reach"))
     placed = lookup(of.rows.select("doc_id", "n_shingles", "set_hash"), "set_hash", found, "doc_id", hot_keys(of.rows, "set_hash"))
     reach = F.when(F.col("doc_id").isNotNull(), F.coalesce("reach", "doc_id"))

@@ -13,6 +13,7 @@ from test_llm_operators import none, odd, text  # noqa: F401  (fixtures)
 
 from gridloom.llm import collocations, jaccard, lexical, topk
 from gridloom.llm.postings import deltas, positions, slices
+from gridloom.llm.shingles import Shingler
 
 
 def sets_of(rows, k):
@@ -75,22 +76,45 @@ def test_jaccard_components(spark, percent):
     assert all(sets[i] == sets[c] for i, c in of.items())
 
 
-def test_jaccard_lists_are_indexed_anew(spark):
-    """Far more than LONG unlinked members share a segment: lists of pairs of segments and deletions find all links."""
-    r = random.Random(8)
+def test_jaccard_with_a_segment_that_many_share(spark):
+    """Hundreds of texts that aren't linked share a segment: neighbourhoods of another one take its place, and no link is lost."""
+    r, shingler = random.Random(8), Shingler(3)
     head = "the holder of this work grants to all the rights that are named below"
-    rows = [(i, f"{head} {text(i, 2)} {r.choice(['now', 'then', 'soon'])}") for i in range(900)]
-    rows += [(900 + i, f"{head} {text(i * 3, 2)} {r.choice(['now', 'then', 'soon'])}") for i in range(300)]
-    sets = sets_of(rows, 3)
+    rows, shared = [], None
+    while len(rows) < 300:
+        # only texts whose own shingles leave the first segment alone
+        t = f"{head} {text(r.randrange(200), 4)} {r.choice(['now', 'then', 'soon'])}"
+        (tokens,) = shingler.sets([t.encode()])
+        first = [jaccard.segment_sums(tokens, jaccard.segments(b, 85))[1][0] for b in jaccard.schemes(len(tokens), 85)]
+        shared = first if shared is None and len(rows) == 0 else shared
+        if first == shared:
+            rows.append((len(rows), t))
+    docs, sets = spark.createDataFrame(rows, "doc_id long, text string"), sets_of(rows, 3)
     links = brute_links(sets, 85)
-    of = jaccard.Postings(spark.createDataFrame(rows, "doc_id long, text string"), 85, 3, "doc_id", "text")
-    anew = jaccard._indexed_anew(of.lists, of.sets, 85)
-    meet = anew.alias("x").join(anew.alias("y"), "key").where("x.doc_id < y.doc_id").select("x.doc_id", "y.doc_id").toDF("a", "b").distinct()
-    different = {(a, b) for a, b in links if sets[a] != sets[b]}
-    reps = {r.doc_id for r in of.classes.collect()}
-    assert {p for p in different if p[0] in reps and p[1] in reps} <= {(m.a, m.b) for m in meet.collect()}
-    got = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 85)
-    assert {x.doc_id: x.component_id for x in got.collect()} == brute_components(sets, links)
+    of = jaccard.Postings(docs, 85, 3, "doc_id", "text")
+    plain = {k for s in of.rows.collect() for k in s["keys"] or []}
+    chosen = {x.key for x in of.lists.collect()} - plain
+    assert len(chosen) > 0, "no neighbourhood was chosen"
+    meet = of.lists.alias("x").join(of.lists.alias("y"), "key").where("x.doc_id < y.doc_id").select("x.doc_id", "y.doc_id").toDF("a", "b").distinct()
+    reps = {c.doc_id for c in of.classes.collect()}
+    lost = {(a, b) for a, b in links if a in reps and b in reps} - {(m.a, m.b) for m in meet.collect()}
+    assert len(lost) == 0
+    assert {x.doc_id: x.component_id for x in jaccard.jaccard_components(docs, 85).collect()} == brute_components(sets, links)
+
+
+def test_jaccard_of_many_near_copies(spark):
+    """One text with several edits each, hundreds of times: part of the pairs are linked, and not all through one copy."""
+    r = random.Random(12)
+    base, rows = text(3, 120).split(), []
+    for i in range(700):
+        w = list(base)
+        for _ in range(r.choice([1, 1, 2, 3, 5])):
+            w[r.randrange(len(w))] = "e" + str(r.randrange(4))
+        rows.append((i, " ".join(w)))
+    sets = sets_of(rows, 3)
+    got = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 90).collect()
+    want = brute_components(sets, brute_links(sets, 90))
+    assert {x.doc_id: x.component_id for x in got} == want and len(set(want.values())) > 5
 
 
 def test_jaccard_on_odd_rows(spark, odd, none):  # noqa: F811
