@@ -1,7 +1,7 @@
 """Join-shaped operators: nearest matches, box overlaps, assignment, box and vector geometry.
 
-Points are matched through a grid: both sides are posted under grid cells and joined by cell, so no operator compares
-everything with everything.
+Points within a radius and points in boxes are matched through a grid, nearest points through a pyramid of grids, overlapping boxes
+through a grid for each size of box; all are joined by cell.
 """
 
 from __future__ import annotations
@@ -34,15 +34,79 @@ def prefixed(df: DataFrame, p: str, *keep: str) -> DataFrame:
     return df.select(*keep, *(F.col(c).alias(p + c) for c in df.columns if c not in keep))
 
 
-def pairwise(boxes: DataFrame, others: DataFrame, by: str = "img_id") -> DataFrame:
-    """Boxes of one image that overlap, with iou and iof: columns by, a*, b*."""
-    j = prefixed(boxes, "a", by).join(prefixed(others, "b", by), by)
-    return j.where(intersection("a", "b") > 0).withColumn("iou", iou("a", "b")).withColumn("iof", iof("a", "b"))
+def _level(w: Column, h: Column) -> Column:
+    """The grid of a box: the power of two that isn't below its longer side, so that it touches four cells at most."""
+    return F.ceil(F.log2(F.greatest(w.cast("double"), h.cast("double"), F.lit(2.0**-40)))).cast("int")
+
+
+def _posted(boxes: DataFrame, levels: DataFrame, p: str) -> DataFrame:
+    """Rows of boxes (columns p*) under (level, gx, gy) in their own grid and in all coarser ones of levels (one row: levels)."""
+    x1, y1, x2, y2 = (F.col(p + c) for c in ("x1", "y1", "x2", "y2"))
+    cell = lambda c: F.floor(c / F.pow(F.lit(2.0), F.col("level").cast("double")))
+    out = boxes.withColumn(f"{p}level", _level(x2 - x1, y2 - y1)).join(F.broadcast(levels), on=None)
+    out = out.withColumn("level", F.explode(F.filter("levels", lambda v: v >= F.col(f"{p}level")))).drop("levels")
+    out = out.withColumns({f"{p}gx": cell(x1), f"{p}gy": cell(y1)})
+    return out.withColumn("gx", F.explode(F.sequence(f"{p}gx", cell(x2)))).withColumn("gy", F.explode(F.sequence(f"{p}gy", cell(y2))))
+
+
+def overlapping(boxes: DataFrame, others: DataFrame, by: str = "img_id") -> DataFrame:
+    """Pairs of boxes of one image with a common area: columns by, a*, b*.
 
+    A box lies in a grid of its own size (a power of two) and visits all coarser grids that occur, four cells each at most. Boxes of a
+    grid meet the others and the visitors of their cells, so boxes meet only if they are near each other on the scale of the
+    larger one, and a pair is reported in its first common cell alone. Boxes without area, or with null sides, have no pairs.
+    """
+    a, b = prefixed(boxes, "a", by), prefixed(others, "b", by)
+    sound = lambda p: (F.col(f"{p}x2") > F.col(f"{p}x1")) & (F.col(f"{p}y2") > F.col(f"{p}y1"))
+    a, b = a.where(sound("a")), b.where(sound("b"))
+    sizes = lambda df, p: df.select(_level(F.col(f"{p}x2") - F.col(f"{p}x1"), F.col(f"{p}y2") - F.col(f"{p}y1")).alias("level"))
+    levels = sizes(a, "a").union(sizes(b, "b")).agg(F.collect_set("level").alias("levels"))  # no more than exponents of a double
+    pa, pb = _posted(a, levels, "a"), _posted(b, levels, "b")
+    keys = [by, "level", "gx", "gy"]
+    met = pa.where("level = alevel").join(pb, keys).unionByName(pa.where("level > alevel").join(pb.where("level = blevel"), keys))
+    first = (F.col("gx") == F.greatest("agx", "bgx")) & (F.col("gy") == F.greatest("agy", "bgy"))
+    return met.where(first & (intersection("a", "b") > 0)).drop("level", "gx", "gy", *(p + c for p in "ab" for c in ("level", "gx", "gy")))
 
-def nearest(points: DataFrame, sites: DataFrame, by: list[str], metric) -> DataFrame:
-    """For each point the nearest site of its group, ties to the smaller site_id: by, point_id, site_id, dist."""
-    j = points.join(sites, by).withColumn("dist", metric)
+
+def pairwise(boxes: DataFrame, others: DataFrame, by: str = "img_id") -> DataFrame:
+    """Boxes of one image that overlap, with iou and iof: columns by, a*, b*."""
+    return overlapping(boxes, others, by).withColumn("iou", iou("a", "b")).withColumn("iof", iof("a", "b"))
+
+
+#: Halvings of an axis from the extent of the sites to a leaf cell, and halvings of one step down.
+DEPTH, STEP = 12, 3
+
+
+def nearest(points: DataFrame, sites: DataFrame, by: list[str], metric, least: float = 1.0, slack: float = 1e-6) -> DataFrame:
+    """For each point the nearest site of its group, ties to the smaller site_id: by, point_id, site_id, dist.
+
+    points: by, point_id, px, py; sites: by, site_id, sx, sy. metric(dx, dy) is a distance that is convex in (dx, dy) and at least ``least``
+    times the Euclidean one; distances closer than ``slack`` may tie (metrics are rounded).
+
+    Sites lie in the leaf cells of a pyramid of grids over their group, whose cells hold the tight boxes of their sites. Points go
+    down the pyramid: at each step a point meets the children of the cells it kept, and keeps those whose box isn't farther than
+    the farthest corner of some other one. So it sees a handful of cells a step, however its group is filled, and of the sites only
+    those of the last cells. Points in a group without sites have no row; neither have points and sites with null or
+    non-finite coordinates.
+    """
+    finite = lambda *cs: F.abs(sum((F.col(c).cast("double") for c in cs), F.lit(0.0))) < float("inf")
+    points, sites = points.where(finite("px", "py")), sites.where(finite("sx", "sy"))
+    extent = sites.groupBy(*by).agg(F.min("sx").alias("x0"), F.max("sx").alias("x9"), F.min("sy").alias("y0"), F.max("sy").alias("y9"))
+    cell = lambda c, lo, hi: F.least(F.floor((F.col(c) - F.col(lo)) / F.when(F.col(hi) > F.col(lo), F.col(hi) - F.col(lo)).otherwise(1.0) * 2.0**DEPTH), F.lit(2**DEPTH - 1)).cast("int")
+    placed = sites.join(extent, by).select(*by, "site_id", "sx", "sy", cell("sx", "x0", "x9").alias("cx"), cell("sy", "y0", "y9").alias("cy"))
+    at = points.select(*by, "point_id", "px", "py", F.lit(0).alias("gx"), F.lit(0).alias("gy"))
+    dx, dy = (lambda x: F.col("px") - F.col(x)), (lambda y: F.col("py") - F.col(y))
+    out = lambda p, lo, hi: F.greatest(F.col(lo) - F.col(p), F.col(p) - F.col(hi), F.lit(0.0))
+    for shift in range(DEPTH - STEP, -1, -STEP):
+        up = lambda c: F.shiftright(c, shift)
+        boxes = placed.groupBy(*by, up("cx").alias("kx"), up("cy").alias("ky")).agg(*(f(c).alias(f"{c}{k}") for c in ("sx", "sy") for f, k in ((F.min, 1), (F.max, 2))))
+        boxes = boxes.withColumns({"gx": F.shiftright("kx", STEP), "gy": F.shiftright("ky", STEP)})
+        low = least * F.hypot(out("px", "sx1", "sx2"), out("py", "sy1", "sy2"))
+        high = F.greatest(*(metric(dx(x), dy(y)) for x in ("sx1", "sx2") for y in ("sy1", "sy2")))
+        met = at.join(boxes, [*by, "gx", "gy"]).select(*by, "point_id", "px", "py", F.col("kx").alias("gx"), F.col("ky").alias("gy"), low.alias("low"), high.alias("high"))
+        bound = F.min("high").over(Window.partitionBy(*by, "point_id"))  # a few cells of one point
+        at = met.withColumn("bound", bound).where(F.col("low") <= F.col("bound") + slack).drop("low", "high", "bound")
+    j = at.join(placed.withColumnsRenamed({"cx": "gx", "cy": "gy"}), [*by, "gx", "gy"]).withColumn("dist", metric(dx("sx"), dy("sy")))
     return j.groupBy(*by, "point_id").agg(F.min(F.struct("dist", "site_id")).alias("m")).select(*by, "point_id", F.col("m.site_id").alias("site_id"), F.col("m.dist").alias("dist"))
 
 
@@ -51,6 +115,15 @@ def mahalanobis(dx: Column, dy: Column, inv: tuple[float, float, float]) -> Colu
     return F.sqrt(dx * dx * inv[0] + 2 * dx * dy * inv[1] + dy * dy * inv[2])
 
 
+def mahalanobis_least(inv: tuple[float, float, float]) -> float:
+    """The smallest Mahalanobis distance of two points with a Euclidean distance of 1: the root of the form's lower eigenvalue."""
+    xx, xy, yy = inv
+    low = (xx + yy) / 2 - (((xx - yy) / 2) ** 2 + xy * xy) ** 0.5
+    if low <= 0:
+        raise ValueError("the inverse covariance isn't positive definite")
+    return low**0.5
+
+
 def within(points: DataFrame, sites: DataFrame, radius: float) -> DataFrame:
     """Pairs (point_id, site_id, dist) of points and sites no farther than radius apart, through a grid of that pitch."""
     cell = lambda c: F.floor(F.col(c) / radius)

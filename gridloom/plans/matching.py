@@ -80,13 +80,13 @@ _NEAR = "WITH p AS ({}), t AS ({}), j AS (SELECT g, point_id, site_id, round(sqr
 
 @query("nearest_euclidean", _NEAR.format(_PTS, _SITES, "(px - sx) * (px - sx) + (py - sy) * (py - sy)"))
 def _(s, d):
-    dx, dy = F.col("px") - F.col("sx"), F.col("py") - F.col("sy")
-    return M.nearest(points(s, d), sites(s, d), ["g"], F.round(F.sqrt(dx * dx + dy * dy), 6))
+    return M.nearest(points(s, d), sites(s, d), ["g"], lambda dx, dy: F.round(F.sqrt(dx * dx + dy * dy), 6))
 
 
 @query("nearest_mahalanobis", _NEAR.format(_PTS, _SITES, "(px - sx) * (px - sx) * 0.5 + 2 * (px - sx) * (py - sy) * 0.25 + (py - sy) * (py - sy) * 5.0"))
 def _(s, d):
-    return M.nearest(points(s, d), sites(s, d), ["g"], F.round(M.mahalanobis(F.col("px") - F.col("sx"), F.col("py") - F.col("sy"), (0.5, 0.25, 5.0)), 6))
+    inv = (0.5, 0.25, 5.0)
+    return M.nearest(points(s, d), sites(s, d), ["g"], lambda dx, dy: F.round(M.mahalanobis(dx, dy, inv), 6), M.mahalanobis_least(inv))
 
 
 @query("distance_within", f"WITH p AS ({_PTS}), t AS ({_SITES}) SELECT point_id, site_id, round(sqrt((px - sx) * (px - sx) + (py - sy) * (py - sy)), 6) AS dist FROM p CROSS JOIN t WHERE sqrt((px - sx) * (px - sx) + (py - sy) * (py - sy)) <= 5")
