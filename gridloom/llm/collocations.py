@@ -19,11 +19,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.llm.common import columns, scratch
-from gridloom.llm.postings import SHARD, Shard, blobs, deltas, pieces_of, positions, slices
+from gridloom.llm.pieces import mix64
+from gridloom.llm.postings import SHARD, Shard, deltas, packed, pieces_of, positions, slices, unpacked
 
 #: A-Z become a-z, a tab a space, and the ends of pieces a comma.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else 32 if b == 9 else 44 if b in b".,;:!?\n\x0b\x0c\r" else b for b in range(256))
 _END = b","
+#: Most frequent words that are sent to all tasks (beyond it they are joined by hash), and occurrences for which a part of the pairs is made.
+SENT, PART = 1_000_000, 2_000_000
 
 
 def word_lists(docs: DataFrame, shard_bytes: int = SHARD) -> DataFrame:
@@ -43,7 +46,7 @@ def word_lists(docs: DataFrame, shard_bytes: int = SHARD) -> DataFrame:
         names = [w for w in words if w != _END]
         yield from pieces_of(pa.RecordBatch.from_arrays(
             [pa.array(np.full(len(n), shard)), pa.array([o for o, w in zip(langs, words) if w != _END], pa.string()), pa.array(names, pa.binary()).cast(pa.string()),
-             pa.array(n), blobs(deltas(kept, n), n)], ["shard", "lang", "word", "n", "at"]))
+             pa.array(n), packed(deltas(kept, n), n)], ["shard", "lang", "word", "n", "at"]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, held = TaskContext.get().partitionId() << 24, Shard()
@@ -59,49 +62,79 @@ def word_lists(docs: DataFrame, shard_bytes: int = SHARD) -> DataFrame:
     return docs.mapInArrow(run, "shard long, lang string, word string, n long, at binary")
 
 
-def _merged(lists: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Positions of all lists in order, the list of each as an index, and the lists' phrases."""
-    n = lists["n"].to_numpy()
-    at = positions(np.frombuffer(b"".join(lists["at"].to_pylist()), np.uint32), n)
-    of = np.repeat(np.arange(len(n), dtype=np.int64), n)
-    order = np.argsort(at, kind="stable")
-    return at[order], of[order], lists["phrase"].to_numpy()
-
-
 def _joined(lists: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Where a phrase is followed one position on by another: the positions, both as indices, and the lists' phrases."""
-    at, of, phrase = _merged(lists)
+    """Where a phrase is followed one position on by another: the positions, both as indices, and the lists' phrases, ascending."""
+    n = unpacked(b"".join(lists["n"].to_pylist())) if pa.types.is_binary(lists["n"].type) else lists["n"].to_numpy()
+    phrase = unpacked(b"".join(lists["phrase"].to_pylist())) if pa.types.is_binary(lists["phrase"].type) else lists["phrase"].to_numpy()
+    at = positions(unpacked(b"".join(lists["at"].to_pylist())), n)
+    by = np.argsort(phrase)
+    index = np.empty(len(phrase), np.int64)
+    index[by] = np.arange(len(phrase))
+    of = np.repeat(index, n)
+    order = np.argsort(at, kind="stable")
+    at, of = at[order], of[order]
     # a position holds one phrase of a level at most, so neighbours in the merged order are all there is to join
     hit = np.flatnonzero(at[1:] == at[:-1] + 1)
-    return at[hit], of[hit], of[hit + 1], phrase
+    return at[hit], of[hit], of[hit + 1], phrase[by]
+
 
+def _whole(n: int) -> np.ndarray:
+    return np.array([n], np.int64)
 
-def counted(lists: pa.Table) -> pa.Table:
-    """shard, a, b, n: how often phrase a is followed one position on by phrase b."""
+
+def counted(lists: pa.Table, parts: int) -> pa.Table:
+    """part, shard, codes, n: how often phrase a is followed one position on by phrase b, dealt to parts by a hash of the two; a code
+    is a * 2^32 + b, codes are ascending and kept as differences."""
     _, a, b, phrase = _joined(lists)
-    code, n = np.unique(a * len(phrase) + b, return_counts=True)
-    shard = np.full(len(code), lists["shard"][0].as_py())
-    return pa.table({"shard": shard, "a": phrase[code // max(len(phrase), 1)], "b": phrase[code % max(len(phrase), 1)], "n": n})
+    code, n = np.unique((phrase[a] << 32) | phrase[b], return_counts=True)
+    part = (mix64(code.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    part, code, n = part[order], code[order], n[order]
+    some, length = np.unique(part, return_counts=True)
+    shard = np.full(len(some), lists["shard"][0].as_py())
+    return pa.table({"part": some, "shard": shard, "codes": packed(deltas(code, length), length), "n": packed(n, length)})
+
+
+def summed(part: pa.Table, least: int) -> pa.Table:
+    """shard, a, b, f: the pairs of a part with ``least`` occurrences in all shards, for each shard that has them."""
+    codes = [np.cumsum(unpacked(c)) for c in part["codes"].to_pylist()]
+    n = unpacked(b"".join(part["n"].to_pylist()))
+    code, of = np.unique(np.concatenate(codes), return_inverse=True)
+    f = np.zeros(len(code), np.int64)
+    np.add.at(f, of, n)
+    hit = f[of] >= least
+    shard = np.repeat(part["shard"].to_numpy(), list(map(len, codes)))[hit]
+    of = of[hit]
+    return pa.table({"shard": shard, "a": code[of] >> 32, "b": code[of] & 0xFFFFFFFF, "f": f[of]})
 
 
 def extended(lists: pa.Table, named: pa.Table) -> pa.Table:
-    """shard, phrase, n, at: the lists of the frequent phrases (named: a, b, phrase) of the next level."""
-    if not lists.num_rows or not named.num_rows:
-        return pa.table({"shard": pa.array([], pa.int64()), "phrase": pa.array([], pa.int64()), "n": pa.array([], pa.int64()), "at": pa.array([], pa.binary())})
-    at, a, b, phrase = _joined(lists)
-    by = np.argsort(phrase)
-    index = lambda c: by[np.searchsorted(phrase, named[c].to_numpy(), sorter=by)]
-    code = index("a") * len(phrase) + index("b")
-    order = np.argsort(code)
-    mine = a * len(phrase) + b
-    where = np.minimum(np.searchsorted(code, mine, sorter=order), len(code) - 1)
-    hit = code[order[where]] == mine
-    at, of = at[hit], order[where[hit]]
-    order = np.argsort(of, kind="stable")
-    n = np.bincount(of, minlength=named.num_rows)
-    some = n > 0
-    n, ids = n[some], named["phrase"].to_numpy()[some]
-    return pa.table({"shard": np.full(len(n), lists["shard"][0].as_py()), "phrase": ids, "n": n, "at": blobs(deltas(at[order], n), n)})
+    """shard, phrase, n, at: one row with the lists of the frequent phrases (named: a, b, phrase) of the next level."""
+    shard, phrases, n, at = [], np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    if lists.num_rows and named.num_rows:
+        at, a, b, phrase = _joined(lists)
+        code = (named["a"].to_numpy() << 32) | named["b"].to_numpy()
+        order = np.argsort(code)
+        mine = (phrase[a] << 32) | phrase[b]
+        where = np.minimum(np.searchsorted(code, mine, sorter=order), len(code) - 1)
+        hit = code[order[where]] == mine
+        at, of = at[hit], order[where[hit]]
+        order = np.argsort(of, kind="stable")
+        at, n = at[order], np.bincount(of, minlength=len(code))
+        phrases, n, shard = named["phrase"].to_numpy()[n > 0], n[n > 0], [lists["shard"][0].as_py()]
+    one = len(shard)
+    return pa.table({"shard": pa.array(shard, pa.int64()), "phrase": packed(phrases, _whole(len(phrases))[:one]), "n": packed(n, _whole(len(n))[:one]),
+                     "at": packed(deltas(at, n) if len(n) else at[:0], _whole(len(at))[:one])})
+
+
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """df, written, with id: numbers from 0 without gaps (each partition begins where the ones before it end)."""
+    rows = scratch(df.withColumn("at_", F.monotonically_increasing_id()), name)
+    part = F.shiftright("at_", 33)
+    held = rows.groupBy(part.alias("part_")).count()  # one row a partition
+    first = held.select("part_", (F.sum("count").over(Window.orderBy("part_")) - F.col("count")).alias("first_"))
+    placed = rows.withColumn("part_", part).join(F.broadcast(first), "part_")
+    return placed.withColumn("id", F.col("first_") + F.col("at_").bitwiseAND((1 << 33) - 1)).drop("at_", "part_", "first_")
 
 
 def frequent_phrases(docs: DataFrame, min_count: int = 30, longest: int = 4, shard_bytes: int = SHARD) -> tuple[DataFrame, DataFrame]:
@@ -109,21 +142,26 @@ def frequent_phrases(docs: DataFrame, min_count: int = 30, longest: int = 4, sha
     index = scratch(word_lists(docs, shard_bytes), "word-lists")
     words = scratch(index.groupBy("lang", "word").agg(F.sum("n").alias("f")), "word-counts")
     totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
-    level = words.where(F.col("f") >= min_count).select(F.monotonically_increasing_id().alias("id"), "lang", F.array("word").alias("words"), "f")
-    level = scratch(level, "frequent-words")
+    level = numbered(words.where(F.col("f") >= min_count).select("lang", F.array("word").alias("words"), "f"), "frequent-words")
     names = level.select(F.col("id").alias("phrase"), "lang", F.col("words")[0].alias("word"))
-    lists = index.join(names, ["lang", "word"]).select("shard", "phrase", "n", "at")
+    size = level.agg(F.count("*"), F.sum("f")).first()
+    if size[0] >= 1 << 31:
+        raise ValueError("more than 2^31 frequent words")
+    lists = index.join(F.broadcast(names) if size[0] <= SENT else names, ["lang", "word"]).select("shard", "phrase", "n", "at")
     found = level
+    parts = 1 + (size[1] or 0) // PART
     for k in range(1, longest):
-        local = scratch(lists.groupBy("shard").applyInArrow(counted, "shard long, a long, b long, n long"), "phrase-counts")
-        often = local.groupBy("a", "b").agg(F.sum("n").alias("f")).where(F.col("f") >= min_count)
-        often = scratch(often.withColumn("id", F.monotonically_increasing_id()), "frequent-phrases")
+        count = lambda t: counted(t, parts)  # noqa: E731, B023
+        total = lambda t: summed(t, min_count)
+        dealt = lists.groupBy("shard").applyInArrow(count, "part long, shard long, codes binary, n binary")
+        local = scratch(dealt.groupBy("part").applyInArrow(total, "shard long, a long, b long, f long"), "phrase-counts")
+        often = numbered(local.select("a", "b", "f").distinct(), "frequent-phrases")
         head, tail = level.select(F.col("id").alias("a"), "lang", "words"), level.select(F.col("id").alias("b"), F.element_at("words", -1).alias("last"))
         level = scratch(often.join(head, "a").join(tail, "b").select("id", "lang", F.concat("words", F.array("last")).alias("words"), "f"), "named-phrases")
         found = found.unionByName(level)
         if k + 1 < longest:
             named = local.join(often.select("a", "b", F.col("id").alias("phrase")), ["a", "b"]).select("shard", "a", "b", "phrase")
-            lists = scratch(lists.groupBy("shard").cogroup(named.groupBy("shard")).applyInArrow(extended, "shard long, phrase long, n long, at binary"), "phrase-lists")
+            lists = scratch(lists.groupBy("shard").cogroup(named.groupBy("shard")).applyInArrow(extended, "shard long, phrase binary, n binary, at binary"), "phrase-lists")
     return found.select("lang", "words", F.array_join("words", " ").alias("phrase"), "f"), totals
 
 

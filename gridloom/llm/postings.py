@@ -69,16 +69,45 @@ def pieces_of(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield batch.slice(at, ROWS)
 
 
+def packed(values: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    """One binary value for each length: so many of the values (below 2^63, seven bits a byte, the last byte of a value without the top bit)."""
+    values = values.astype(np.uint64)
+    n = np.ones(len(values), np.int64)
+    for k in range(1, 9):
+        n += values >= np.uint64(1 << 7 * k)
+    ends = np.cumsum(n)
+    out = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint8)
+    for k in range(int(n.max(initial=0))):
+        some = n > k
+        more = np.where(n[some] > k + 1, 128, 0).astype(np.uint8)
+        out[ends[some] - n[some] + k] = ((values[some] >> np.uint64(7 * k)) & np.uint64(127)).astype(np.uint8) | more
+    offsets = np.r_[0, ends][np.r_[0, np.cumsum(lengths)]].astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(out)])
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    """The values of packed blobs, end to end."""
+    got = np.frombuffer(raw, np.uint8)
+    last = np.flatnonzero(got < 128)
+    start = np.r_[0, last[:-1] + 1] if len(last) else last
+    n = last - start + 1
+    out = np.zeros(len(last), np.uint64)
+    for k in range(int(n.max(initial=0))):
+        some = n > k
+        out[some] |= (got[start[some] + k] & np.uint8(127)).astype(np.uint64) << np.uint64(7 * k)
+    return out.astype(np.int64)
+
+
 def deltas(at: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Ascending positions of lists end to end, as differences inside each list (small numbers pack well)."""
-    out = np.diff(at, prepend=0).astype(np.uint32)
+    out = np.diff(at, prepend=0)
     starts = np.cumsum(lengths) - lengths
     out[starts] = at[starts]
     return out
 
 
 def positions(steps: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """The positions that deltas packed."""
-    total = np.cumsum(steps.astype(np.int64))
+    """The positions that deltas stand for; no list is empty."""
+    total = np.cumsum(steps)
     starts = np.cumsum(lengths) - lengths
     return total - np.repeat(total[starts] - steps[starts], lengths)

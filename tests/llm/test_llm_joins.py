@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from test_llm_operators import none, odd, text  # noqa: F401  (fixtures)
 
 from gridloom.llm import collocations, jaccard, lexical, topk
-from gridloom.llm.postings import deltas, positions, slices
+from gridloom.llm.postings import deltas, packed, positions, slices, unpacked
 from gridloom.llm.shingles import Shingler
 
 
@@ -230,6 +230,9 @@ def test_list_packing():
     n = g.integers(1, 50, 200)
     at = np.concatenate([np.sort(g.choice(10**6, k, replace=False)) for k in n])
     assert (positions(deltas(at, n), n) == at).all()
+    values = np.r_[0, 1, 127, 128, 2**31, 2**62, g.integers(0, 2**40, 500), at]
+    blobs = packed(values, np.array([3, 0, len(values) - 3]))
+    assert (unpacked(b"".join(blobs.to_pylist())) == values).all() and [len(unpacked(b)) for b in blobs.to_pylist()] == [3, 0, len(values) - 3]
     raw = b"ab cd\n" * 400_000 + b"x" * 3_000_000 + b" end"
     parts = list(slices(raw, b" \n"))
     assert b"".join(parts) == raw and [w for p in parts for w in p.split()] == raw.split() and len(parts) > 2
