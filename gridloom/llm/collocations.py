@@ -20,11 +20,13 @@ from pyspark.sql import functions as F
 
 from gridloom.llm.common import columns, scratch
 from gridloom.llm.pieces import mix64
-from gridloom.llm.postings import SHARD, Shard, deltas, packed, pieces_of, positions, slices, unpacked
+from gridloom.llm.postings import Shard, deltas, packed, pieces_of, positions, slices, unpacked
 
 #: A-Z become a-z, a tab a space, and the ends of pieces a comma.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else 32 if b == 9 else 44 if b in b".,;:!?\n\x0b\x0c\r" else b for b in range(256))
 _END = b","
+#: Bytes of text in a shard: a task holds the positions of all its words several times over.
+SHARD = 1 << 24
 #: Most frequent words that are sent to all tasks (beyond it they are joined by hash), and occurrences for which a part of the pairs is made.
 SENT, PART = 1_000_000, 2_000_000
 

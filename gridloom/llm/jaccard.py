@@ -8,11 +8,10 @@
    lists) that an index of one-deletion neighbourhoods of the band's cheapest segment costs less, that segment is left
    out and the cheap one is posted with its neighbourhood (its shingles, and its shingles but one). A segment tolerates no
    difference, a neighbourhood one; together they tolerate H, so a pair always meets.
-3. Of each list (classes with the same value of a segment) the most central member is the pivot: it is compared with all others on full
-   sets, and linked classes are gathered to components. What is left of a list whose members are in several components is
-   indexed by their differences from the pivot: two of them that are linked, and not both with the pivot, have differences
-   in common, at least d - H of the d differences of each, so each is posted under its H + 1 rarest differences. These lists
-   are treated likewise, until none has members in two components. No two members meet only because a group is large.
+3. Of each list (classes with the same value of a segment) pivots are compared with the other members on full sets: the most central
+   one first, which puts all members at a distance (of differing shingles), then more at a time. Linked classes are gathered to
+   components. Members in one component aren't compared again, nor are two whose distances from the first pivot differ by more
+   than the differences of a linked pair. A list is finished when all its members have been pivots or are in one component.
 """
 
 from __future__ import annotations
@@ -32,8 +31,8 @@ from gridloom.llm.neardup import shingle_sets
 from gridloom.llm.pieces import mix64
 from gridloom.llm.shingles import Shingler
 
-#: Ratio of the sizes of neighbouring bands.
-BAND = 1.2
+#: Ratio of the sizes of neighbouring bands, and growth of the number of pivots.
+BAND, GROW = 1.2, 8
 
 
 @lru_cache(maxsize=1)
@@ -103,9 +102,8 @@ def posted(docs: DataFrame, words: int, percent: int) -> DataFrame:
     return docs.mapInArrow(run, f"doc_id {kind}, n_shingles long, set_hash binary, keys array<bigint>")
 
 
-def _compared(pairs: DataFrame, sets: DataFrame, percent: int, differences: bool) -> DataFrame:
-    """For the pairs (a, b): na, nb, both (sizes of the sets and of the intersection), linked, and the elements that only one has
-    if they are asked for. A class with many pairs is dealt out."""
+def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """For the pairs (a, b): na, nb, both (sizes of the sets and of the intersection) and linked. A class with many pairs is dealt out."""
     pairs = scratch(pairs, "pairs")
     kind = pairs.schema["a"].dataType.simpleString()
     one = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
@@ -114,18 +112,15 @@ def _compared(pairs: DataFrame, sets: DataFrame, percent: int, differences: bool
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            rows, apart = [], []
+            rows = []
             for sa, sb in zip(x.column(2), x.column(3)):
                 u, v = np.frombuffer(sa.as_py(), np.uint64), np.frombuffer(sb.as_py(), np.uint64)
-                only = np.setxor1d(u, v, assume_unique=True)
-                rows.append((len(u), len(v), (len(u) + len(v) - len(only)) // 2))
-                apart.append(only.view(np.int64) if differences else None)
+                rows.append((len(u), len(v), len(np.intersect1d(u, v, assume_unique=True))))
             na, nb, both = np.array(rows, np.int64).reshape(-1, 3).T
             linked = pa.array(100 * both >= percent * (na + nb - both))
-            yield pa.RecordBatch.from_arrays(
-                [x.column(0), x.column(1), pa.array(na), pa.array(nb), pa.array(both), linked, pa.array(apart, pa.list_(pa.int64()))], ["a", "b", "na", "nb", "both", "linked", "apart"])
+            yield pa.RecordBatch.from_arrays([x.column(0), x.column(1), pa.array(na), pa.array(nb), pa.array(both), linked], ["a", "b", "na", "nb", "both", "linked"])
 
-    return joined.mapInArrow(run, f"a {kind}, b {kind}, na long, nb long, both long, linked boolean, apart array<bigint>")
+    return joined.mapInArrow(run, f"a {kind}, b {kind}, na long, nb long, both long, linked boolean")
 
 
 def _neighbourhoods(docs: DataFrame, chosen: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -178,35 +173,44 @@ def _allocated(posts: DataFrame, classes: DataFrame, sets: DataFrame, percent: i
 
 
 def _open(lists: DataFrame) -> DataFrame:
-    """The lists (key, doc_id, rank, c) with members in more than one component."""
+    """The rows of lists with members in more than one component."""
     open_ = lists.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("key")
     return scratch(lists.join(open_, "key", "left_semi"), "open-lists")
 
 
 def _linked(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(node, component) of the linked classes. lists: key, doc_id, rank (the central members of a list have the lowest)."""
+    """(node, component) of the linked classes. lists: key, doc_id, n (set size), rank (the central members have the lowest).
+
+    In a round each open list is dealt into pieces by a hash of the member, and the first member of every piece is a pivot: it meets
+    all members that haven't been pivots, are in another component and can be near enough. The pieces grow from round to round.
+    """
     comp = lists.select(F.col("doc_id").alias("node"), F.col("doc_id").alias("component")).limit(0)
-    rest, edges = _open(lists.withColumn("c", F.col("doc_id"))), None
+    edges, pieces, rest = None, 1, _open(lists.withColumn("c", F.col("doc_id")))
     while not rest.isEmpty():
-        pivot = scratch(rest.groupBy("key").agg(F.min(F.struct("rank", "doc_id")).alias("p")).select("key", F.col("p.doc_id").alias("pivot")), "pivots")
-        met = lookup(rest, "key", pivot, "doc_id", hot_keys(rest, "key")).where("doc_id <> pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct()
-        found = scratch(_compared(met, sets, percent, differences=True), "differences")
+        started = pieces > 1
+        piece = F.pmod(F.xxhash64("doc_id", F.lit(pieces)), F.lit(pieces)).cast("int")
+        own = F.struct("rank", "doc_id", "n", "c", *(["far"] if started else []))
+        pivot = rest.groupBy("key", piece.alias("deal")).agg(F.min(own).alias("p"))
+        far_of = F.col("p.far") if started else F.lit(None).cast("long")
+        pivot = scratch(pivot.select("key", F.col("p.doc_id").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.c").alias("pc"), far_of.alias("pfar")), "pivots")
+        most = (F.col("n") + F.col("pn")) * (100 - percent) / (100 + percent)  # differences of a linked pair
+        near = F.col("doc_id") != F.col("pivot")
+        if started:
+            near = near & (F.col("c") != F.col("pc")) & (F.abs(F.col("far") - F.col("pfar")) <= most)
+        met = lookup(rest, "key", pivot, "doc_id", hot_keys(rest, "key")).where(near)
+        pairs = met.select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct()
+        found = scratch(_compared(pairs, sets, percent), "compared")
+        rest = rest.join(pivot.select("key", F.col("pivot").alias("doc_id")), ["key", "doc_id"], "left_anti")
+        if not started:  # every member has met the pivot of its list
+            far = found.select(F.col("a").alias("pivot"), F.col("b").alias("doc_id"), (F.col("na") + F.col("nb") - 2 * F.col("both")).alias("far"))
+            rest = rest.join(pivot.select("key", "pivot"), "key").join(far, ["pivot", "doc_id"]).drop("pivot")
         links = found.where("linked").select("a", "b")
-        edges = links if edges is None else links.union(edges)
-        comp = components(edges)
-        edges = comp.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
-        placed = found.join(comp.toDF("b", "c"), "b", "left").withColumn("c", F.coalesce("c", "b"))
-        groups = placed.groupBy("a").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("a")
-        placed = scratch(placed.join(groups, "a", "left_semi").select("a", "b", "c", "nb", "apart", F.size("apart").alias("d")), "open-groups")
-        posts = placed.select("a", "b", F.explode("apart").alias("token"))
-        often = posts.groupBy("a", "token").count().where("count >= 2")
-        shared = posts.join(often, ["a", "token"]).groupBy("a", "b").agg(F.sort_array(F.collect_list(F.struct("count", "token"))).alias("shared"))
-        most = F.floor((F.col("nb") + F.floor(100 * F.col("nb") / percent)) * (100 - percent) / (100 + percent)).cast("int")  # differences of a linked pair
-        prefix = F.least(F.col("d"), most + 1) - (F.col("d") - F.size("shared"))  # differences that no other has come first
-        ahead = placed.drop("apart").join(shared, ["a", "b"]).withColumn("take", prefix.cast("int")).where("take > 0")
-        rest = ahead.select("a", F.col("b").alias("doc_id"), F.col("d").alias("rank"), "c", F.explode(F.slice("shared", F.lit(1), F.col("take"))).alias("t"))
-        rest = rest.select(F.xxhash64("a", "t.token").alias("key"), "doc_id", "rank", "c")
-        rest = _open(scratch(rest, "difference-lists"))
+        if not links.isEmpty():
+            comp = components(links if edges is None else links.union(edges))
+            edges = comp.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+            rest = rest.drop("c").join(comp.toDF("doc_id", "c"), "doc_id", "left").withColumn("c", F.coalesce("c", "doc_id"))
+        rest = _open(scratch(rest, "rest-of-lists"))
+        pieces *= GROW
     return comp
 
 
@@ -240,7 +244,7 @@ def jaccard_pairs(docs: DataFrame, percent: int = 90, words: int = 3, id_col: st
     two = of.lists.select("key", F.col("doc_id").alias("b"), F.col("n").alias("m"))
     met = lookup(of.lists, "key", two, "doc_id", hot_keys(of.lists, "key")).where((F.col("doc_id") < F.col("b")) & (F.least("n", "m") * 100 >= percent * F.greatest("n", "m")))
     members = lookup(of.rows.select("doc_id", "set_hash"), "set_hash", of.classes.toDF("set_hash", "class_id"), "doc_id", hot_keys(of.rows, "set_hash"))
-    links = _compared(met.select(F.col("doc_id").alias("a"), "b").distinct(), of.sets, percent, differences=False).where("linked")
+    links = _compared(met.select(F.col("doc_id").alias("a"), "b").distinct(), of.sets, percent).where("linked")
     return links.select("a", "b", "na", "nb", "both"), members.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
 
 
@@ -254,7 +258,7 @@ def jaccard_components(docs: DataFrame, percent: int = 90, words: int = 3, id_co
     null. Extra columns are ignored; empty table: no rows. Thresholds below 50% are refused.
     """
     of = Postings(docs, percent, words, id_col, text_col)
-    linked = _linked(of.lists.select("key", "doc_id", "rank"), of.sets, percent)
+    linked = _linked(of.lists, of.sets, percent)
     found = of.classes.join(linked.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select("set_hash", F.coalesce("component", "doc_id").alias("reach"))
     placed = lookup(of.rows.select("doc_id", "n_shingles", "set_hash"), "set_hash", found, "doc_id", hot_keys(of.rows, "set_hash"))
     reach = F.when(F.col("doc_id").isNotNull(), F.coalesce("reach", "doc_id"))

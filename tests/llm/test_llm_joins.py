@@ -82,7 +82,7 @@ def test_jaccard_with_a_segment_that_many_share(spark):
     head = "the holder of this work grants to all the rights that are named below"
     (common,) = shingler.sets([head.encode()])
     rows = []
-    while len(rows) < 300:
+    while len(rows) < 200:
         # only texts whose own shingles leave the first segment alone
         t = f"{head} {text(r.randrange(200), 4)} {r.choice(['now', 'then', 'soon'])}"
         (tokens,) = shingler.sets([t.encode()])
@@ -106,7 +106,7 @@ def test_jaccard_of_many_near_copies(spark):
     """One text with several edits each, hundreds of times: part of the pairs are linked, and not all through one copy."""
     r = random.Random(12)
     base, rows = text(3, 120).split(), []
-    for i in range(700):
+    for i in range(300):
         w = list(base)
         for _ in range(r.choice([1, 1, 2, 3, 5])):
             w[r.randrange(len(w))] = "e" + str(r.randrange(4))
