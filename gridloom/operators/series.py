@@ -1,9 +1,8 @@
-"""Ordered series: filters, runs, intervals, interpolation, fits. Windows are keyed; nothing is collected."""
+"""Ordered series: runs, intervals, interpolation, fits. Windows are keyed; nothing is collected."""
 
 from __future__ import annotations
 
 import pandas as pd
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,70 +14,6 @@ def ordered_array(df: DataFrame, by: str, order: list[str], value: str) -> DataF
     return g.select(by, F.transform("s", lambda r: r["value_"]).alias("values"))
 
 
-def low_pass(values: Column, k: float) -> Column:
-    """Last value of prev * k + (1 - k) * x, seeded by the first sample."""
-    rest = F.slice(values, F.lit(2), F.greatest(F.size(values) - 1, F.lit(0)))
-    return F.aggregate(rest, F.get(values, F.lit(0)), lambda s, x: s * k + x * (1 - k))
-
-
-def kalman_1d(values: Column, q: float, r: float) -> Column:
-    """Final (x, p) of a constant-state filter seeded by the first sample with variance 1; no process noise is drawn."""
-    rest = F.slice(values, F.lit(2), F.greatest(F.size(values) - 1, F.lit(0)))
-
-    def step(s: Column, z: Column) -> Column:
-        p = s["p"] + q
-        g = p / (p + r)
-        return F.struct((s["x"] + g * (z - s["x"])).alias("x"), ((1 - g) * p).alias("p"))
-
-    return F.aggregate(rest, F.struct(F.get(values, F.lit(0)).alias("x"), F.lit(1.0).alias("p")), step)
-
-
-def kalman(values: Column, a: list[list[float]], c: list[float], q: list[list[float]], r: float, x0: list[float], p0: list[list[float]], bu: list[float] | None = None) -> Column:
-    """Final state (x0, x1, ..., p00, p01, ...) of a Kalman filter with n states and one measurement a step.
-
-    Predict x = A x (+ B u), P = A P A' + Q; update by the gain P C' / (C P C' + R), P = (I - K C) P. Several independent
-    measurements a step are several updates. The matrices are small and fixed, so a step is one expression."""
-    n = len(x0)
-    names = [f"x{i}" for i in range(n)] + [f"p{i}{j}" for i in range(n) for j in range(n)]
-
-    def dot(weights: list[float], terms: list[Column]) -> Column:
-        used = [t * w for w, t in zip(weights, terms) if w]
-        return reduce(lambda u, v: u + v, used) if used else F.lit(0.0)
-
-    def predict(s: Column, z: Column) -> Column:
-        x = [dot(a[i], [s[f"x{j}"] for j in range(n)]) + (bu[i] if bu else 0.0) for i in range(n)]
-        ap = [[dot(a[i], [s[f"p{k}{j}"] for k in range(n)]) for j in range(n)] for i in range(n)]
-        p = [[dot(a[j], ap[i]) + q[i][j] for j in range(n)] for i in range(n)]
-        return F.struct(*(v.alias(m) for v, m in zip([*x, *(v for row in p for v in row)], names)))
-
-    def update(s: Column, z: Column) -> Column:
-        x, p = [s[f"x{i}"] for i in range(n)], [[s[f"p{i}{j}"] for j in range(n)] for i in range(n)]
-        pc = [dot(c, p[i]) for i in range(n)]
-        cp = [dot(c, [p[k][j] for k in range(n)]) for j in range(n)]
-        total = dot(c, pc) + r
-        miss = z - dot(c, x)
-        after = [x[i] + pc[i] / total * miss for i in range(n)] + [p[i][j] - pc[i] / total * cp[j] for i in range(n) for j in range(n)]
-        return F.struct(*(v.alias(m) for v, m in zip(after, names)))
-
-    # a step takes the state through both; the list in between makes the prediction worked out once
-    step = lambda s, z: F.get(F.transform(F.array(predict(s, z)), lambda t: update(t, z)), F.lit(0))
-    start = F.struct(*(F.lit(float(v)).alias(m) for v, m in zip([*x0, *(v for row in p0 for v in row)], names)))
-    return F.aggregate(values, start, step)
-
-
-def kalman_sqrt_1d(values: Column, q: float, r: float) -> Column:
-    """kalman_1d carried as the square root s of the variance (Potter's correction): final (x, s)."""
-    rest = F.slice(values, F.lit(2), F.greatest(F.size(values) - 1, F.lit(0)))
-
-    def step(t: Column, z: Column) -> Column:
-        s = F.sqrt(t["s"] * t["s"] + q)
-        a = 1 / (s * s + r)
-        shrink = a / (1 + F.sqrt(a * r))
-        return F.struct((t["x"] + a * s * s * (z - t["x"])).alias("x"), (s - shrink * s * s * s).alias("s"))
-
-    return F.aggregate(rest, F.struct(F.get(values, F.lit(0)).alias("x"), F.lit(1.0).alias("s")), step)
-
-
 def moving_average(df: DataFrame, by: str, order: list[str], value: str, period: int) -> Column:
     """Mean of the last ``period`` samples (of those there are, at the start)."""
     return F.avg(value).over(Window.partitionBy(by).orderBy(*order).rowsBetween(1 - period, 0))

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gridloom.operators import detect as D
+from gridloom.operators import filters as L
 from gridloom.operators import frames as X
 from gridloom.operators import geometry as G
 from gridloom.operators import match as M
 from gridloom.operators import neighbour as B
-from gridloom.operators import series as S
 from gridloom.operators.elementwise import split
 from gridloom.plans.arrays import PAIR, RGB, pair, rgb
 from gridloom.plans.images import QD, _kernel_sql, _nb, _tap_sql, _v
@@ -197,10 +197,9 @@ _DT, _QV, _R = 1.0, 0.05, 4.0
         SELECT r.user_id, o.k, r.x + r.v AS x, r.v AS v, r.a + r.b + r.b + r.e + 0.05 AS a, r.b + r.e AS b, r.e + 0.05 AS e, o.value AS z FROM r JOIN o ON o.user_id = r.user_id AND o.k = r.k + 1))
     SELECT user_id, round(x, 6) AS x, round(v, 6) AS v, round(a, 6) AS p00, round(b, 6) AS p01, round(e, 6) AS p11 FROM r JOIN (SELECT user_id, max(k) AS k FROM o GROUP BY 1) USING (user_id, k)""")
 def _(s, d):
-    z = S.ordered_array(events(s, d), "user_id", ORD, "value")
-    k = S.kalman(F.col("values"), [[1.0, _DT], [0.0, 1.0]], [1.0, 0.0], [[_QV, 0.0], [0.0, _QV]], _R, [0.0, 0.0], [[100.0, 0.0], [0.0, 10.0]])
-    k = z.select("user_id", k.alias("k"))
-    return k.select("user_id", F.round("k.x0", 6).alias("x"), F.round("k.x1", 6).alias("v"), *(F.round(f"k.p{i}", 6).alias(f"p{i}") for i in ("00", "01", "11")))
+    k = L.kalman(events(s, d), "user_id", ORD, [F.col("value")], [[1.0, _DT], [0.0, 1.0]], [[1.0, 0.0]], [[_QV**0.5, 0.0], [0.0, _QV**0.5]], [[_R]], [0.0, 0.0], [[100.0, 0.0], [0.0, 10.0]])
+    at = {"x": F.col("x")[0], "v": F.col("x")[1], "p00": F.col("p")[0], "p01": F.col("p")[1], "p11": F.col("p")[3]}
+    return k.select("user_id", *(F.round(c, 6).alias(m) for m, c in at.items()))
 
 
 _MID = "({0}.{1}1 + {0}.{1}2) / 2"

@@ -6,12 +6,20 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gridloom.functions import arrays as A
+from gridloom.operators import filters as L
 from gridloom.operators import series as S
 from gridloom.operators import text as T
 from gridloom.plans.registry import query, table
 from gridloom.sources.files import pattern
 
 ORD = ["ts", "event_id"]
+#: A plane track of positions and velocities, half a time unit a row, pushed by two accelerations; two measurements with correlated noise.
+_F = [[1.0, 0.0, 0.5, 0.0], [0.0, 1.0, 0.0, 0.5], [0.0, 0.0, 1.0, 0.0], [0.0, 0.0, 0.0, 1.0]]
+_H = [[1.0, 0.0, 0.0, 0.0], [0.0, 1.0, 0.25, 0.0]]
+_NOISE = [[0.125, 0.0], [0.0, 0.25], [0.5, 0.0], [0.0, 1.0]]
+_Q = [[sum(a * b for a, b in zip(u, v)) for v in _NOISE] for u in _NOISE]
+_R = [[4.0, 1.0], [1.0, 9.0]]
+_X0, _P0 = [0.0, 0.0, 0.0, 0.0], [[100.0, 0.0, 0.0, 0.0], [0.0, 100.0, 0.0, 0.0], [0.0, 0.0, 10.0, 0.0], [0.0, 0.0, 0.0, 10.0]]
 _E = "PARTITION BY user_id ORDER BY ts, event_id"
 
 
@@ -28,24 +36,69 @@ def _(s, d):
 @query("low_pass", f"""WITH RECURSIVE o AS (SELECT user_id, value, row_number() OVER ({_E}) AS k FROM events), r(user_id, k, v) AS (SELECT user_id, k, value FROM o WHERE k = 1 UNION ALL SELECT r.user_id, o.k, r.v * 0.9 + 0.1 * o.value FROM r JOIN o ON o.user_id = r.user_id AND o.k = r.k + 1)
     SELECT user_id, round(v, 6) AS v FROM r JOIN (SELECT user_id, max(k) AS k FROM o GROUP BY 1) USING (user_id, k)""")
 def _(s, d):
-    a = S.ordered_array(events(s, d), "user_id", ORD, "value")
-    return a.select("user_id", F.round(S.low_pass(F.col("values"), 0.9), 6).alias("v"))
+    return L.low_pass(events(s, d), "user_id", ORD, F.array("value"), 0.9).select("user_id", F.round(F.col("v")[0], 6).alias("v"))
+
+
+def _constant(e, root):
+    """A constant state seeded by the first sample with variance 1."""
+    k = L.kalman(e, "user_id", ORD, [F.col("value")], [[1.0]], [[1.0]], [[0.1]], [[4.0]], None, [[1.0]], None, root)
+    return k.select("user_id", F.round(F.col("x")[0], 6).alias("x"), F.round(F.col("p")[0], 9).alias("p"))
 
 
 @query("kalman", f"""WITH RECURSIVE o AS (SELECT user_id, value, row_number() OVER ({_E}) AS k FROM events), r(user_id, k, x, p) AS (SELECT user_id, k, value, CAST(1 AS DOUBLE) FROM o WHERE k = 1
     UNION ALL SELECT r.user_id, o.k, r.x + (r.p + 0.01) / (r.p + 0.01 + 4.0) * (o.value - r.x), (1 - (r.p + 0.01) / (r.p + 0.01 + 4.0)) * (r.p + 0.01) FROM r JOIN o ON o.user_id = r.user_id AND o.k = r.k + 1)
     SELECT user_id, round(x, 6) AS x, round(p, 9) AS p FROM r JOIN (SELECT user_id, max(k) AS k FROM o GROUP BY 1) USING (user_id, k)""")
 def _(s, d):
-    a = S.ordered_array(events(s, d), "user_id", ORD, "value").withColumn("k", S.kalman_1d(F.col("values"), 0.01, 4.0))
-    return a.select("user_id", F.round("k.x", 6).alias("x"), F.round("k.p", 9).alias("p"))
+    return _constant(events(s, d), None)
 
 
 @query("kalman_sqrt", f"""WITH RECURSIVE o AS (SELECT user_id, value, row_number() OVER ({_E}) AS k FROM events), r(user_id, k, x, p) AS (SELECT user_id, k, value, CAST(1 AS DOUBLE) FROM o WHERE k = 1
     UNION ALL SELECT r.user_id, o.k, r.x + (r.p + 0.01) / (r.p + 0.01 + 4.0) * (o.value - r.x), (1 - (r.p + 0.01) / (r.p + 0.01 + 4.0)) * (r.p + 0.01) FROM r JOIN o ON o.user_id = r.user_id AND o.k = r.k + 1)
     SELECT user_id, round(x, 6) AS x, round(p, 9) AS p FROM r JOIN (SELECT user_id, max(k) AS k FROM o GROUP BY 1) USING (user_id, k)""")
 def _(s, d):
-    a = S.ordered_array(events(s, d), "user_id", ORD, "value").withColumn("k", S.kalman_sqrt_1d(F.col("values"), 0.01, 4.0))
-    return a.select("user_id", F.round("k.x", 6).alias("x"), F.round(F.col("k.s") * F.col("k.s"), 9).alias("p"))
+    return _constant(events(s, d), "direct")
+
+
+def _tracks_sql() -> str:
+    """The recursion of _F, _H, _Q, _R, predicted and corrected row by row."""
+    n = range(4)
+    dot = lambda w, terms: " + ".join(f"({c!r}) * {t}" for c, t in zip(w, terms) if c) or "0.0"
+    fp = [[dot(_F[i], [f"p{k}{j}" for k in n]) for j in n] for i in n]
+    predicted = [f"{dot(_F[i], [f'x{k}' for k in n])} AS x{i}" for i in n]
+    predicted += [f"{dot(_F[j], [f'({t})' for t in fp[i]])} + {_Q[i][j]!r} AS p{i}{j}" for i in n for j in n]
+    cross = [f"{dot(_H[a], [f'p{i}{k}' for k in n])} AS c{i}{a}" for i in n for a in range(2)]  # P H'
+    cross += [f"{dot(_H[a], [f'p{k}{i}' for k in n])} AS d{a}{i}" for i in n for a in range(2)]  # H P: rounding makes it drift from the above
+    total = [f"{dot(_H[a], [f'c{k}{b}' for k in n])} + {_R[a][b]!r} AS s{a}{b}" for a in range(2) for b in range(2)]
+    gain = [f"(c{i}0 * s11 - c{i}1 * s10) / (s00 * s11 - s01 * s10) AS g{i}0, (c{i}1 * s00 - c{i}0 * s01) / (s00 * s11 - s01 * s10) AS g{i}1" for i in n]
+    miss = [f"z{a} - ({dot(_H[a], [f'x{k}' for k in n])})" for a in range(2)]
+    after = [f"x{i} + g{i}0 * ({miss[0]}) + g{i}1 * ({miss[1]})" for i in n] + [f"p{i}{j} - g{i}0 * d0{j} - g{i}1 * d1{j}" for i in n for j in n]
+    names = [f"x{i}" for i in n] + [f"p{i}{j}" for i in n for j in n]
+    start = [f"CAST({v!r} AS DOUBLE)" for v in [*_X0, *(v for row in _P0 for v in row)]]
+    return f"""WITH RECURSIVE o AS (SELECT user_id, value AS z0, value * 0.5 + event_id % 17 AS z1, row_number() OVER ({_E}) AS k FROM events),
+    r(user_id, k, {', '.join(names)}) AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT), {', '.join(start)} FROM o UNION ALL SELECT user_id, k, {', '.join(after)} FROM (SELECT *, {', '.join(gain)} FROM (SELECT *, {', '.join(total)} FROM (SELECT *, {', '.join(cross)} FROM
+    (SELECT o.user_id, o.k, o.z0, o.z1, {', '.join(predicted)} FROM r JOIN o ON o.user_id = r.user_id AND o.k = r.k + 1)))))
+    SELECT user_id, {', '.join(f'round({c}, 6) AS {c}' for c in names)} FROM r JOIN (SELECT user_id, max(k) AS k FROM o GROUP BY 1) USING (user_id, k)"""
+
+
+def _tracks(e, root):
+    k = L.kalman(e, "user_id", ORD, [F.col("value"), F.col("value") * 0.5 + F.col("event_id") % 17], _F, _H, _NOISE, _R, _X0, _P0, None, root)
+    state, spread = [F.round(F.col("x")[i], 6).alias(f"x{i}") for i in range(4)], [F.round(F.col("p")[4 * i + j], 6).alias(f"p{i}{j}") for i in range(4) for j in range(4)]
+    return k.select("user_id", *state, *spread)
+
+
+@query("kalman_tracks", _tracks_sql())
+def _(s, d):
+    return _tracks(events(s, d), None)
+
+
+@query("kalman_tracks_direct", _tracks_sql())
+def _(s, d):
+    return _tracks(events(s, d), "direct")
+
+
+@query("kalman_tracks_symmetric", _tracks_sql())
+def _(s, d):
+    return _tracks(events(s, d), "symmetric")
 
 
 @query("find_homography")
@@ -138,9 +191,8 @@ def _(s, d):
     r(label, i, k, v) AS (SELECT label, i, k, v FROM c WHERE k = 1 UNION ALL SELECT r.label, r.i, c.k, r.v * (1 - 0.067) + 0.067 * c.v FROM r JOIN c ON c.label = r.label AND c.i = r.i AND c.k = r.k + 1)
     SELECT label, CAST(i - 1 AS INT) AS pos, round(v, 7) AS v FROM r JOIN (SELECT label, max(k) AS k FROM c GROUP BY 1) USING (label, k)""")
 def _(s, d):
-    cells = table(s, d, "embeddings").select("label", "vec_id", F.posexplode("embedding").alias("pos", "e"))
-    a = cells.groupBy("label", "pos").agg(F.transform(F.sort_array(F.collect_list(F.struct("vec_id", F.col("e").cast("double").alias("e")))), lambda r: r["e"]).alias("values"))
-    return a.select("label", "pos", F.round(S.low_pass(F.col("values"), 1 - 0.067), 7).alias("v"))
+    a = L.low_pass(table(s, d, "embeddings"), "label", ["vec_id"], F.col("embedding").cast("array<double>"), 1 - 0.067)
+    return a.select("label", F.posexplode("v").alias("pos", "v")).withColumn("v", F.round("v", 7))
 
 
 _ARR = "a AS (SELECT user_id, list(CAST(floor(value) AS INT) ORDER BY ts, event_id) AS v FROM events GROUP BY 1)"
