@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import columns, hot_keys, lookup, scratch
+from gridloom.llm.common import PIECES, SHARE, columns, hot_keys, lookup, scratch
 from gridloom.llm.components import components
 from gridloom.llm.neardup import shingle_sets
 from gridloom.llm.pieces import mix64
@@ -33,6 +33,7 @@ from gridloom.llm.shingles import Shingler
 
 #: Ratio of the sizes of neighbouring bands, and growth of the number of pivots.
 BAND, GROW = 1.2, 8
+TASK_PAIRS = 1 << 20  # that a task makes of one long list
 
 
 @lru_cache(maxsize=1)
@@ -178,6 +179,20 @@ def _open(lists: DataFrame) -> DataFrame:
     return scratch(lists.join(open_, "key", "left_semi"), "open-lists")
 
 
+def _met(rest: DataFrame, pivot: DataFrame, pieces: int) -> DataFrame:
+    """The members of each list with its pivots, at most ``pieces`` of them. Lists that hold more than 1 / SHARE of all rows are dealt
+    out by member, to more tasks the more pairs they make; a pivot is copied to each of them."""
+    pairs = F.col("held") * F.least(F.col("held"), F.lit(pieces))
+    slots = F.least(F.greatest(F.ceil(pairs / TASK_PAIRS), F.lit(PIECES // pieces)), F.lit(PIECES)).cast("int")
+    lists = rest.groupBy(F.col("key").alias("hot")).agg(F.count("*").alias("held"))
+    large = lists.where(F.col("held") * SHARE > max(rest.count(), 16 * SHARE)).select("hot", slots.alias("slots")).where("slots > 1")
+    large = F.broadcast(scratch(large, "large-lists"))  # fewer than SHARE rows
+    slots = F.coalesce("slots", F.lit(1))
+    dealt = rest.join(large, F.col("key") == F.col("hot"), "left").withColumn("slot", F.pmod(F.xxhash64("doc_id"), slots).cast("int")).drop("hot", "slots")
+    copied = pivot.join(large, F.col("key") == F.col("hot"), "left").withColumn("slot", F.explode(F.sequence(F.lit(0), slots - 1))).drop("hot", "slots")
+    return dealt.join(copied, ["key", "slot"]).drop("slot")
+
+
 def _linked(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(node, component) of the linked classes. lists: key, doc_id, n (set size), rank (the central members have the lowest).
 
@@ -197,7 +212,7 @@ def _linked(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         near = F.col("doc_id") != F.col("pivot")
         if started:
             near = near & (F.col("c") != F.col("pc")) & (F.abs(F.col("far") - F.col("pfar")) <= most)
-        met = lookup(rest, "key", pivot, "doc_id", hot_keys(rest, "key")).where(near)
+        met = _met(rest, pivot, pieces).where(near)
         pairs = met.select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct()
         found = scratch(_compared(pairs, sets, percent), "compared")
         rest = rest.join(pivot.select("key", F.col("pivot").alias("doc_id")), ["key", "doc_id"], "left_anti")
