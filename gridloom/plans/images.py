@@ -308,6 +308,31 @@ def _(s, d):
     return B.fast_corners(u8(s, d), 12, 9)
 
 
+def _features_sql(t: int, run: int, ring: int, most: int) -> str:
+    at = ", ".join(f"({i}, {a}, {b})" for i, (a, b) in enumerate(B._circle(ring)))
+    arc = f"list_transform(range({run}), lambda j: d[(k + j) % {ring} + 1])"
+    return f"""WITH {QD}, r(i, dy, dx) AS (VALUES {at}), z AS (SELECT o.img_id, o.y, o.x, list(s.v - o.v ORDER BY i) AS d
+    FROM q o JOIN dim USING (img_id) CROSS JOIN r JOIN q s ON s.img_id = o.img_id AND s.y = o.y + r.dy AND s.x = o.x + r.dx WHERE o.y >= 3 AND o.x >= 3 AND o.y < h - 3 AND o.x < w - 3 GROUP BY 1, 2, 3),
+    f AS (SELECT img_id, y, x, CAST(greatest(list_max(list_transform(range({ring}), lambda k: list_min({arc}))), -list_min(list_transform(range({ring}), lambda k: list_max({arc})))) - 1 AS INT) AS score FROM z), c AS (SELECT * FROM f WHERE score >= {t}),
+    m AS (SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM c o WHERE o.img_id = c.img_id AND abs(o.y - c.y) <= 1 AND abs(o.x - c.x) <= 1 AND (o.y <> c.y OR o.x <> c.x) AND o.score >= c.score)),
+    k AS (SELECT *, row_number() OVER (PARTITION BY img_id ORDER BY score DESC, y, x) AS k FROM m) SELECT img_id, y, x, score FROM k WHERE k <= {most}"""
+
+
+@query("fast_features_9_16", _features_sql(12, 9, 16, 3000))
+def _(s, d):
+    return B.fast_features(u8(s, d), 12, 9, 16)
+
+
+@query("fast_features_7_12", _features_sql(8, 7, 12, 3000))
+def _(s, d):
+    return B.fast_features(u8(s, d), 8, 7, 12)
+
+
+@query("fast_features_5_8", _features_sql(5, 5, 8, 20))
+def _(s, d):
+    return B.fast_features(u8(s, d), 5, 5, 8, max_num=20)
+
+
 _T = [[120, 130], [140, 110]]
 
 

@@ -207,3 +207,27 @@ def test_spread_features_against_all_pairs(spark):
         want += [(g, i + 1, y, x, v) for i, (y, x, v) in enumerate(kept)]
     got = spread_features(spark.createDataFrame(peaks, "img_id long, rank int, y int, x int, response double"), 5.0, 30).collect()
     assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_fast_features_against_loops(spark):
+    from gridloom.operators import neighbour as B
+
+    g = np.random.default_rng(2)
+    img = g.integers(0, 40, (14, 15))
+    img[4:8, 4:9] += 90
+    img[9, 9] = 200
+    df = spark.createDataFrame([(0, y, x, 0, int(img[y, x])) for y in range(14) for x in range(15)], "img_id long, y int, x int, c int, v int")
+    for run, ring, t in ((9, 16, 10), (7, 12, 10), (5, 8, 10)):
+        score = {}
+        for y in range(3, 11):
+            for x in range(3, 12):
+                around = [int(img[y + a, x + b]) for a, b in B._circle(ring)] * 2
+                passes = lambda u: any(all(p > img[y, x] + u for p in around[k : k + run]) or all(p < img[y, x] - u for p in around[k : k + run]) for k in range(ring))
+                if passes(t):
+                    score[y, x] = max(u for u in range(t, 256) if passes(u))
+        near = lambda y, x: [s for (a, b), s in score.items() if (a, b) != (y, x) and abs(a - y) <= 1 and abs(b - x) <= 1]
+        kept = {k: s for k, s in score.items() if all(s > o for o in near(*k))}
+        found = lambda **how: {(r.y, r.x): r.score for r in B.fast_features(df, t, run, ring, **how).collect()}
+        assert score and found(suppress=False, max_num=None) == score and found() == kept
+        assert found(max_num=2) == dict(sorted(kept.items(), key=lambda k: (-k[1], k[0]))[:2])
+    assert B.fast_features(df.limit(0), 10).count() == 0
