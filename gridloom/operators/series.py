@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -127,6 +128,57 @@ def bspline_basis(t: Column, i: int, k: int, knots: list[float]) -> Column:
     return out
 
 
+def bspline_bases(t: Column, k: int, knots: list[float]) -> list[Column]:
+    """All len(knots) - k - 1 basis functions of degree k at t; the last span includes its end. Outside the knots all are 0."""
+    spans = len(knots) - 1
+    end = max((i for i in range(spans) if knots[i + 1] > knots[i]), default=-1)
+    b = [F.when((t >= knots[i]) & ((t <= knots[i + 1]) if i == end else (t < knots[i + 1])), 1.0).otherwise(0.0) for i in range(spans)]
+    for d in range(1, k + 1):
+        up = lambda i: (t - knots[i]) / (knots[i + d] - knots[i]) * b[i] if knots[i + d] > knots[i] else F.lit(0.0)
+        down = lambda i: (knots[i + d + 1] - t) / (knots[i + d + 1] - knots[i + 1]) * b[i + 1] if knots[i + d + 1] > knots[i + 1] else F.lit(0.0)
+        b = [up(i) + down(i) for i in range(spans - d)]
+    return b
+
+
+def bspline_fit(df: DataFrame, by: str, t: str, y: str, k: int, knots: list[float]) -> DataFrame:
+    """by, n, coef: least-squares coefficients of the spline of degree k (the smallest ones where they aren't determined).
+
+    A row has at most k + 1 basis functions that aren't 0; their products are summed to the band of the key's normal matrix, so what
+    is shuffled and solved is (k + 1) sums a coefficient, however many rows a key has. Rows with a null, or outside the knots, take
+    no part; a key of such rows only has no row."""
+    import numpy as np
+
+    m = len(knots) - k - 1
+    rows = df.select(F.col(by).alias("by_"), F.col(t).cast("double").alias("t_"), F.col(y).cast("double").alias("y_")).where("y_ is not null and not isnan(y_)")
+    rows = rows.where((F.col("t_") >= knots[k]) & (F.col("t_") <= knots[m]))
+    near = F.filter(F.transform(F.array(*bspline_bases(F.col("t_"), k, knots)), lambda b, i: F.struct(i.alias("i"), b.alias("b"))), lambda e: e["b"] != 0)
+    one = rows.withColumn("near", near).select("by_", "y_", "near", F.posexplode("near").alias("p", "u"))
+    one = one.select("by_", "y_", "p", "u", F.explode(F.slice("near", F.col("p") + 1, F.lit(k + 1))).alias("v"))
+    first = F.when(F.col("u.i") == F.col("v.i"), F.col("u.b"))
+    band = one.groupBy("by_", F.col("u.i").alias("i"), F.col("v.i").alias("j")).agg(F.sum(F.col("u.b") * F.col("v.b")).alias("a"), F.sum(first * F.col("y_")).alias("r"))
+    whole = band.groupBy("by_").agg(F.collect_list(F.struct("i", "j", "a", "r")).alias("band"))  # m * (k + 1) entries at most
+
+    def solve(bands: pd.Series) -> pd.Series:
+        out = []
+        for entries in bands:
+            a, r = np.zeros((m, m)), np.zeros(m)
+            for e in entries:
+                a[e["i"], e["j"]] = a[e["j"], e["i"]] = e["a"]
+                if e["i"] == e["j"]:
+                    r[e["i"]] = e["r"]
+            out.append(np.linalg.lstsq(a, r, rcond=None)[0].tolist())
+        return pd.Series(out)
+
+    counts = rows.groupBy("by_").agg(F.count("*").alias("n"))
+    fitted = whole.select("by_", F.pandas_udf(solve, "array<double>")("band").alias("coef"))
+    return counts.join(fitted, counts["by_"].eqNullSafe(fitted["by_"])).select(counts["by_"].alias(by), "n", "coef")
+
+
+def bspline_value(coef: Column, t: Column, k: int, knots: list[float]) -> Column:
+    """Value at t of the spline with these coefficients."""
+    return reduce(lambda u, v: u + v, [F.get(coef, F.lit(i)) * b for i, b in enumerate(bspline_bases(t, k, knots))])
+
+
 def find_homography(pairs: DataFrame, by: str, threshold: float = 3.0, rounds: int = 200, seed: int = 7) -> DataFrame:
     """by, n_inliers, h (9 values, the last 1): the plane map of (sx, sy) to (tx, ty) with most inliers, refitted on them."""
 

@@ -187,6 +187,25 @@ def _(s, d):
     return table(s, d, "part").select("p_partkey", F.round(S.bspline_basis(F.col("p_size") / 51.0 * 4, 0, 2, [0.0, 1.0, 2.0, 3.0]), 9).alias("b"))
 
 
+_KNOTS = [0.0, 0.0, 0.0, 0.0, 0.25, 0.5, 0.75, 1.0, 1.0, 1.0, 1.0]
+
+
+@query("bspline_fit")
+def _(s, d):
+    p = table(s, d, "part").withColumn("t", F.col("p_size") / 50.0)
+    fit = S.bspline_fit(p, "p_brand", "t", "p_retailprice", 3, _KNOTS)
+    at = fit.select("p_brand", "n", "coef", F.explode(F.array(*(F.lit(i / 10) for i in range(11)))).alias("t"))
+    return at.select("p_brand", "n", "t", F.round(S.bspline_value(F.col("coef"), F.col("t"), 3, _KNOTS), 4).alias("y"))
+
+
+@query("bspline_bases", """WITH t AS (SELECT p_partkey, p_size / 50.0 * 3 AS t FROM part), b AS (SELECT p_partkey, CASE WHEN t < 1 THEN (1 - t) * (1 - t) ELSE 0 END AS b0, CASE WHEN t < 1 THEN t * (2 - 1.5 * t) WHEN t < 2 THEN (2 - t) * (2 - t) / 2 ELSE 0 END AS b1,
+    CASE WHEN t < 1 THEN t * t / 2 WHEN t < 2 THEN -t * t + 3 * t - 1.5 ELSE (3 - t) * (3 - t) / 2 END AS b2, CASE WHEN t < 2 THEN 0 ELSE (t - 2) * (t - 2) END AS b4 FROM t)
+    SELECT p_partkey, round(b0, 9) AS b0, round(b1, 9) AS b1, round(b2, 9) AS b2, round(1 - b0 - b1 - b2 - b4, 9) AS b3, round(b4, 9) AS b4 FROM b""")
+def _(s, d):
+    bases = S.bspline_bases(F.col("p_size") / 50.0 * 3, 2, [0.0, 0.0, 0.0, 1.0, 2.0, 3.0, 3.0, 3.0])
+    return table(s, d, "part").select("p_partkey", *(F.round(b, 9).alias(f"b{i}") for i, b in enumerate(bases)))
+
+
 @query("feature_ema", """WITH RECURSIVE c AS (SELECT label, vec_id, i, CAST(embedding[i] AS DOUBLE) AS v, dense_rank() OVER (PARTITION BY label ORDER BY vec_id) AS k FROM (SELECT *, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)),
     r(label, i, k, v) AS (SELECT label, i, k, v FROM c WHERE k = 1 UNION ALL SELECT r.label, r.i, c.k, r.v * (1 - 0.067) + 0.067 * c.v FROM r JOIN c ON c.label = r.label AND c.i = r.i AND c.k = r.k + 1)
     SELECT label, CAST(i - 1 AS INT) AS pos, round(v, 7) AS v FROM r JOIN (SELECT label, max(k) AS k FROM c GROUP BY 1) USING (label, k)""")

@@ -115,3 +115,28 @@ def test_one_correction(name):
         gain, after = L.CORRECTIONS[name](s, h, v)
         want = p @ h.T @ np.linalg.inv(h @ p @ h.T + v @ v.T)
         assert np.allclose(gain, want) and np.allclose(after @ after.T, p - want @ h @ p)
+
+
+def test_spline_fit(spark):
+    from gridloom.operators import series as S
+
+    knots, k, g = [0.0, 0, 0, 0, 1, 2, 3, 4, 4, 4, 4], 3, np.random.default_rng(4)
+
+    def basis(t, i, d):
+        if d == 0:
+            return float(knots[i] <= t < knots[i + 1] or (t == 4 and knots[i] < 4 == knots[i + 1]))
+        left = (t - knots[i]) / (knots[i + d] - knots[i]) * basis(t, i, d - 1) if knots[i + d] > knots[i] else 0
+        return left + ((knots[i + d + 1] - t) / (knots[i + d + 1] - knots[i + 1]) * basis(t, i + 1, d - 1) if knots[i + d + 1] > knots[i + 1] else 0)
+
+    rows = [("a" if i % 3 == 0 else f"k{i % 4}", float(t), float(np.sin(t) + g.normal() / 10)) for i, t in enumerate(np.r_[g.uniform(0, 4, 300), 0, 4, 4])]
+    odd = [("a", 9.0, 1.0), ("a", 1.0, None), ("none", None, 1.0), (None, 1.0, 2.0)]
+    df = spark.createDataFrame(rows + odd, "g string, t double, y double").withColumn("near", F.lit(1))
+    got = {r.g: r for r in S.bspline_fit(df, "g", "t", "y", k, knots).collect()}
+    assert set(got) == {r[0] for r in rows} | {None} and got[None].n == 1
+    for key in {r[0] for r in rows}:
+        t, y = np.array([r[1:] for r in rows if r[0] == key]).T
+        a = np.array([[basis(x, i, k) for i in range(7)] for x in t])
+        assert got[key].n == len(t) and np.allclose(got[key].coef, np.linalg.lstsq(a, y, rcond=None)[0], atol=1e-8)
+    one = spark.createDataFrame([(got["a"].coef, 4.0)], "c array<double>, t double").select(S.bspline_value(F.col("c"), F.col("t"), k, knots)).first()[0]
+    assert abs(one - got["a"].coef[-1]) < 1e-12
+    assert S.bspline_fit(df.limit(0), "g", "t", "y", k, knots).count() == 0
