@@ -179,8 +179,9 @@ def bspline_value(coef: Column, t: Column, k: int, knots: list[float]) -> Column
     return reduce(lambda u, v: u + v, [F.get(coef, F.lit(i)) * b for i, b in enumerate(bspline_bases(t, k, knots))])
 
 
-def find_homography(pairs: DataFrame, by: str, threshold: float = 3.0, rounds: int = 200, seed: int = 7) -> DataFrame:
-    """by, n_inliers, h (9 values, the last 1): the plane map of (sx, sy) to (tx, ty) with most inliers, refitted on them."""
+def find_homography(pairs: DataFrame, by: str, threshold: float = 3.0, rounds: int = 2000, confidence: float = 0.995, seed: int = 7) -> DataFrame:
+    """by, n_inliers, h (9 values, the last 1): the plane map of (sx, sy) to (tx, ty) with most inliers, refitted on them. Samples of four are
+    drawn until one of inliers alone was among them with this confidence, judged by the best share so far; ``rounds`` at most."""
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
         import numpy as np
@@ -200,9 +201,13 @@ def find_homography(pairs: DataFrame, by: str, threshold: float = 3.0, rounds: i
             return np.hypot(*(w[:, :2] / z - t).T)
 
         rng, best = np.random.default_rng(seed), np.zeros(len(s), bool)
-        for _ in range(rounds if len(s) >= 4 else 0):
+        need, drawn = rounds if len(s) >= 4 else 0, 0
+        while drawn < need:
+            drawn += 1
             ok = off(fit(rng.choice(len(s), 4, replace=False))) < threshold
-            best = ok if ok.sum() > best.sum() else best
+            if ok.sum() > best.sum():
+                best, miss = ok, 1 - ok.mean() ** 4
+                need = min(rounds, int(np.ceil(np.log(1 - confidence) / np.log(miss)))) if 0 < miss < 1 else rounds if miss else drawn
         h = fit(np.flatnonzero(best)) if best.sum() >= 4 else np.eye(3)
         return pd.DataFrame({by: [p[by].iloc[0]], "n_inliers": [int(best.sum())], "h": [(h / h[2, 2]).ravel().tolist()]})
 

@@ -140,3 +140,19 @@ def test_spline_fit(spark):
     one = spark.createDataFrame([(got["a"].coef, 4.0)], "c array<double>, t double").select(S.bspline_value(F.col("c"), F.col("t"), k, knots)).first()[0]
     assert abs(one - got["a"].coef[-1]) < 1e-12
     assert S.bspline_fit(df.limit(0), "g", "t", "y", k, knots).count() == 0
+
+
+def test_homography_among_many_outliers(spark):
+    from gridloom.operators import series as S
+
+    g = np.random.default_rng(9)
+    h = np.array([[1.1, 0.2, 3], [-0.1, 0.9, 5], [0.001, 0.0, 1]])
+    s = g.uniform(0, 100, (120, 2))
+    w = np.c_[s, np.ones(120)] @ h.T
+    t = w[:, :2] / w[:, 2:]
+    t[40:] = g.uniform(0, 150, (80, 2))  # two thirds are wrong: about 370 samples are needed
+    few = [("few", 0.0, 0.0, 1.0, 1.0)]
+    df = spark.createDataFrame([("a", *map(float, (*p, *q))) for p, q in zip(s, t)] + few, "g string, sx double, sy double, tx double, ty double")
+    got = {r.g: r for r in S.find_homography(df, "g", 1.0).collect()}
+    assert got["a"].n_inliers >= 40 and np.allclose(np.array(got["a"].h).reshape(3, 3), h, atol=0.05)
+    assert got["few"].n_inliers == 0
