@@ -1,9 +1,12 @@
 """Quality classifier: a byte-level convolutional network in numpy.
 
 A text's bytes are covered by overlapping chunks. In each chunk every filter (WIDTH bytes wide, over learned byte
-vectors) is evaluated at every STRIDE-th byte and max-pooled; the pooled values of all chunks of a text are combined
+vectors) is evaluated at every byte and max-pooled; the pooled values of all chunks of a text are combined
 by mean and maximum into one logistic score. The whole text counts, however long it is; memory is bounded by
 processing BLOCK chunks at a time.
+
+GROUP neighbouring windows are evaluated by one row of a product: the filters are laid out GROUP times, each a byte further, so a
+byte's vector is copied three times instead of WIDTH times.
 """
 
 from __future__ import annotations
@@ -17,9 +20,9 @@ from pyspark.sql import functions as F
 
 from gridloom.llm.labelled import labelled_sample
 
-CHUNK, HOP, WIDTH, STRIDE, DIM, FILTERS = 1024, 960, 16, 4, 8, 40
-WINDOWS = (CHUNK - WIDTH) // STRIDE + 1
-BLOCK = 256
+CHUNK, HOP, WIDTH, DIM, FILTERS = 1023, 960, 16, 8, 40
+WINDOWS, GROUP = CHUNK - WIDTH + 1, 8  # GROUP divides WINDOWS
+BLOCK = 64
 
 
 def chunked(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -45,16 +48,23 @@ class ByteConvNet:
             "bias": np.zeros(1, np.float32),
         }
 
-    def windows(self, chunks: np.ndarray) -> np.ndarray:
-        """(n, WINDOWS, WIDTH * DIM) view of the chunks' byte vectors."""
+    def laid_out(self) -> np.ndarray:
+        """The filters as ((GROUP + WIDTH - 1) * DIM, GROUP * FILTERS), each of the GROUP copies DIM rows further down."""
+        out = np.zeros(((GROUP + WIDTH - 1) * DIM, GROUP, FILTERS), self.p["filters"].dtype)
+        for k in range(GROUP):
+            out[k * DIM : (k + WIDTH) * DIM, k] = self.p["filters"]
+        return out.reshape(len(out), GROUP * FILTERS)
+
+    def responses(self, chunks: np.ndarray, filters: np.ndarray) -> np.ndarray:
+        """(n, WINDOWS / GROUP, GROUP * FILTERS): the filters, laid out, at every byte of the chunks at which a window starts."""
         x = self.p["embed"][chunks].reshape(len(chunks), CHUNK * DIM)
-        return np.lib.stride_tricks.sliding_window_view(x, WIDTH * DIM, axis=1)[:, :: STRIDE * DIM]
+        x = np.lib.stride_tricks.sliding_window_view(x, len(filters), axis=1)[:, :: GROUP * DIM]
+        return (x.reshape(-1, len(filters)) @ filters).reshape(len(chunks), WINDOWS // GROUP, GROUP * FILTERS)
 
     def pooled(self, chunks: np.ndarray) -> np.ndarray:
-        out = np.empty((len(chunks), FILTERS), np.float32)
+        out, filters = np.empty((len(chunks), FILTERS), np.float32), self.laid_out()
         for at in range(0, len(chunks), BLOCK):
-            x = self.windows(chunks[at : at + BLOCK])
-            out[at : at + BLOCK] = (x.reshape(-1, WIDTH * DIM) @ self.p["filters"]).reshape(-1, WINDOWS, FILTERS).max(1)
+            out[at : at + BLOCK] = self.responses(chunks[at : at + BLOCK], filters).max(1).reshape(-1, GROUP, FILTERS).max(1)
         return np.maximum(out + self.p["shift"], 0)
 
     def logits(self, h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -77,7 +87,7 @@ class ByteConvNet:
         z = np.concatenate(out).astype(np.float64) if out else np.zeros(0)
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
-    def fit(self, texts: list[bytes], y: np.ndarray, steps: int = 500, batch: int = 48, rate: float = 0.005, seed: int = 4) -> None:
+    def fit(self, texts: list[bytes], y: np.ndarray, steps: int = 400, batch: int = 24, rate: float = 0.005, seed: int = 4) -> None:
         """Adam on the logistic loss; the number of steps is fixed, so the cost doesn't depend on the sample."""
         if not len(y) or y.min() == y.max():  # nothing to tell apart: the prior
             self.p["bias"][:] = 0.0 if not len(y) else (4.0 if y[0] else -4.0)
@@ -101,10 +111,13 @@ class ByteConvNet:
         c = len(chunks)
         best = np.empty((c, FILTERS), np.int64)
         raw = np.empty((c, FILTERS), np.float32)
+        filters = self.laid_out()
         for at in range(0, c, BLOCK):
-            z = (self.windows(chunks[at : at + BLOCK]).reshape(-1, WIDTH * DIM) @ self.p["filters"]).reshape(-1, WINDOWS, FILTERS)
-            best[at : at + BLOCK] = z.argmax(1)
-            raw[at : at + BLOCK] = z.max(1)
+            z = self.responses(chunks[at : at + BLOCK], filters)
+            value = z.max(1).reshape(-1, GROUP, FILTERS)
+            copy = value.argmax(1)  # which of the GROUP copies won
+            place = np.take_along_axis(z, (copy * FILTERS + np.arange(FILTERS))[:, None], 2).argmax(1)
+            best[at : at + BLOCK], raw[at : at + BLOCK] = place * GROUP + copy, value.max(1)
         h = np.maximum(raw + self.p["shift"], 0)
         z, doc = self.logits(h, n)
         d = ((1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * weight / len(y)).astype(np.float32)
@@ -114,13 +127,12 @@ class ByteConvNet:
         top = h == np.maximum.reduceat(h, at)[of]
         dh = d_doc[of, :FILTERS] / n[of, None] + d_doc[of, FILTERS:] * top / np.maximum(np.add.reduceat(top.astype(np.float32), at), 1)[of]
         dh = dh * (h > 0)
-        where = best * STRIDE  # first byte of the window that won
-        bytes_at = chunks[np.arange(c)[:, None, None], where[:, :, None] + np.arange(WIDTH)]  # (c, FILTERS, WIDTH)
+        bytes_at = chunks[np.arange(c)[:, None, None], best[:, :, None] + np.arange(WIDTH)]  # (c, FILTERS, WIDTH)
         x = self.p["embed"][bytes_at].reshape(c, FILTERS, WIDTH * DIM)
         d_filters = np.einsum("cf,cfk->kf", dh, x)
         dx = (dh[:, :, None] * self.p["filters"].T[None]).reshape(-1, DIM)
-        d_embed = np.zeros_like(self.p["embed"])
-        np.add.at(d_embed, bytes_at.reshape(-1), dx)
+        cells = (bytes_at.reshape(-1, 1).astype(np.int64) * DIM + np.arange(DIM)).reshape(-1)
+        d_embed = np.bincount(cells, dx.reshape(-1), 256 * DIM).reshape(256, DIM).astype(dx.dtype)
         return {"embed": d_embed, "filters": d_filters, "shift": dh.sum(0), "out": doc.T @ d, "bias": d.sum(keepdims=True)}
 
 

@@ -390,7 +390,7 @@ def slow_net(net, text):
     pooled = []
     for k in range(n):
         chunk = text[k * quality.HOP : k * quality.HOP + quality.CHUNK].ljust(quality.CHUNK, b"\0")
-        windows = [np.concatenate([p["embed"][b] for b in chunk[at : at + quality.WIDTH]]) for at in range(0, quality.CHUNK - quality.WIDTH + 1, quality.STRIDE)][: quality.WINDOWS]
+        windows = [np.concatenate([p["embed"][b] for b in chunk[at : at + quality.WIDTH]]) for at in range(quality.CHUNK - quality.WIDTH + 1)]
         pooled.append([max(0.0, max(float(w @ f) for w in windows) + s) for f, s in zip(p["filters"].T, p["shift"])])
     h = [sum(x) / n for x in zip(*pooled)] + [max(x) for x in zip(*pooled)]
     return 1 / (1 + np.exp(-(sum(a * b for a, b in zip(h, p["out"])) + p["bias"][0])))
@@ -420,6 +420,29 @@ def test_quality_net_against_loops_and_differences():
         assert abs((up - down) / (2 * step) - grads[name][at]) < 2e-4
 
 
+def test_quality_net_sees_every_alignment():
+    """A byte put in front leaves each window where it was in the text, so the filters' maxima over it never fall."""
+    net = quality.ByteConvNet()
+    for k in (1, 2, 3, 5):
+        for t in (text(5, 60).encode(), text(6, 120).encode()):
+            before, after = (net.pooled(quality.chunked([x])[0]) for x in (t, b" " * k + t))
+            assert len(before) == len(after) == 1 and (after >= before - 1e-5).all()
+            own = net.pooled(quality.chunked([b" " * k + t[: quality.WIDTH]])[0])  # only windows over the front or the padding may add
+            assert (after <= np.maximum(before, own) + 1e-5).all()
+
+
+def test_quality_of_a_text_of_two_megabytes():
+    net = quality.ByteConvNet()
+    net.p["out"] = np.random.default_rng(1).normal(0, 0.1, 2 * quality.FILTERS).astype(np.float32)
+    long = (text(7, 300) + " ").encode() * 1200
+    assert len(long) > 1 << 21
+    chunks, n = quality.chunked([long])
+    assert n[0] == -(-(len(long) - (quality.CHUNK - quality.HOP)) // quality.HOP) == len(chunks)
+    parts = np.concatenate([net.pooled(chunks[k : k + 100]) for k in range(0, len(chunks), 100)]).astype(np.float64)
+    z = np.r_[parts.mean(0), parts.max(0)] @ net.p["out"] + net.p["bias"][0]
+    assert abs(net.score([b"x", long])[1] - 1 / (1 + np.exp(-z))) < 1e-4
+
+
 @pytest.mark.parametrize("segment", [toxicity.SEGMENT, None])
 def test_toxicity_softmax_against_whole_vectors(segment):
     """The collapsed values of the scorer give what averaging the embeddings and a softmax of two classes give."""
