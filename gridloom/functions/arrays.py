@@ -71,3 +71,45 @@ def longest_unique_run(text: Column) -> Column:
     tail = lambda run, c: F.concat(F.when(run.contains(c), F.call_function("substring_index", run, c, F.lit(-1))).otherwise(run), c)
     out = F.aggregate(chars, s, lambda s, c: F.struct(tail(s["run"], c).alias("run"), F.greatest(s["best"], F.length(tail(s["run"], c))).alias("best")))
     return out["best"]
+
+
+#: Decimal digits of a limb: products of two fit a long millions of times over.
+LIMB = 6
+
+
+def _limbs(text: Column) -> Column:
+    """The limbs of a string of digits, lowest first."""
+    n = F.ceil(F.length(text) / LIMB).cast("int")
+    padded = F.lpad(text, n * LIMB, F.lit("0"))
+    return F.transform(F.sequence(n - 1, F.lit(0)), lambda i: F.substring(padded, i * LIMB + 1, F.lit(LIMB)).cast("bigint"))
+
+
+def _digits(sums: Column) -> Column:
+    """The number whose limbs, lowest first, are sums that may be too large for one."""
+    none = F.struct(F.array().cast("array<bigint>").alias("out"), F.lit(0).cast("bigint").alias("over"))
+    done = F.aggregate(sums, none, lambda s, x: F.struct(F.concat(F.array((s["over"] + x) % 10**LIMB), s["out"]).alias("out"), F.floor((s["over"] + x) / F.lit(10**LIMB)).cast("bigint").alias("over")))
+    text = lambda d: F.concat(d["over"].cast("string"), F.array_join(F.transform(d["out"], lambda x: F.lpad(x.cast("string"), LIMB, "0")), ""))
+    return F.regexp_replace(F.transform(F.array(done), text)[0], "^0+(?=.)", "")
+
+
+def _if_digits(a: Column, b: Column, value: Column) -> Column:
+    return F.when(a.rlike(r"\A[0-9]+\z") & b.rlike(r"\A[0-9]+\z"), value)
+
+
+def long_product(a: Column, b: Column) -> Column:
+    """Product of two strings of digits of any length, without leading zeros; null if either isn't one."""
+
+    def multiplied(p: Column) -> Column:
+        x, y = p["x"], p["y"]
+        places = F.sequence(F.lit(0), F.size(x) + F.size(y) - 2)
+        at = lambda k: F.sequence(F.greatest(F.lit(0), k - F.size(y) + 1), F.least(k, F.size(x) - 1))
+        return F.transform(places, lambda k: F.aggregate(at(k), F.lit(0).cast("bigint"), lambda s, i: s + F.get(x, i) * F.get(y, k - i)))
+
+    sums = F.transform(F.array(F.struct(_limbs(a).alias("x"), _limbs(b).alias("y"))), multiplied)[0]
+    return _if_digits(a, b, _digits(sums))
+
+
+def long_sum(a: Column, b: Column) -> Column:
+    """Sum of two strings of digits of any length, without leading zeros; null if either isn't one."""
+    zero = F.lit(0).cast("bigint")
+    return _if_digits(a, b, _digits(F.zip_with(_limbs(a), _limbs(b), lambda x, y: F.coalesce(x, zero) + F.coalesce(y, zero))))

@@ -159,18 +159,23 @@ def topk_candidates(cand: DataFrame, by: list[str], k: int, *order: Column) -> D
     return cand.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def atss(truths: DataFrame, anchors: DataFrame, k: int) -> DataFrame:
-    """Adaptive assignment. truths and anchors: img_id, box_id, x1, y1, x2, y2. The k anchors of an image whose centres are nearest to a
-    truth's (ties to the smaller id) are its candidates; those that overlap it by at least the mean plus the deviation of their
-    overlaps and have their centre inside it are assigned to it, each to the truth it overlaps most (ties to the smaller id)."""
+def atss(truths: DataFrame, anchors: DataFrame, k: int, level: str | None = None) -> DataFrame:
+    """Adaptive assignment: img_id, abox_id, bbox_id, iou. truths and anchors: img_id, box_id, x1, y1, x2, y2; ``level`` names a column of
+    the anchors. The k anchors of an image, on each level, whose centres are nearest to a truth's (ties to the smaller id) are its
+    candidates; those of them that overlap it by more than the mean plus the deviation of all its candidates and have their centre inside it are its
+    own. An anchor that several truths claim goes to the truth of the image that it overlaps most (ties to the smaller id)."""
     j = prefixed(truths, "a", "img_id").join(prefixed(anchors, "b", "img_id"), "img_id")
     mid = lambda p, d: (F.col(f"{p}{d}1") + F.col(f"{p}{d}2")) / 2
     far = F.round(F.hypot(mid("a", "x") - mid("b", "x"), mid("a", "y") - mid("b", "y")), 6)
-    near = topk_candidates(j.withColumn("far", far).withColumn("iou", F.round(iou("a", "b"), 6)), ["img_id", "abox_id"], k, F.col("far"), F.col("bbox_id"))
+    j = j.withColumn("far", far).withColumn("iou", F.round(iou("a", "b"), 6))
     one = Window.partitionBy("img_id", "abox_id")
+    near = topk_candidates(j, ["img_id", "abox_id", *([f"b{level}"] if level else [])], k, F.col("far"), F.col("bbox_id"))
     near = near.withColumn("thr", F.round(F.avg("iou").over(one) + F.stddev_samp("iou").over(one), 6))
     inside = F.least(*(side for d in ("x", "y") for side in (mid("b", d) - F.col(f"a{d}1"), F.col(f"a{d}2") - mid("b", d)))) > 0
-    return best_of(near.where((F.col("iou") >= F.col("thr")) & inside), ["img_id", "bbox_id"], F.col("iou").desc(), F.col("abox_id"))
+    own = near.where((F.col("iou") > F.col("thr")) & inside).groupBy("img_id", "bbox_id").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("abox_id", "iou")).alias("only"))
+    most = j.groupBy("img_id", "bbox_id").agg(F.min(F.struct((-F.col("iou")).alias("less"), "abox_id", "iou")).alias("most"))
+    pick = lambda c: F.when(F.col("n") > 1, F.col(f"most.{c}")).otherwise(F.col(f"only.{c}")).alias(c)
+    return own.join(most, ["img_id", "bbox_id"]).select("img_id", pick("abox_id"), "bbox_id", pick("iou"))
 
 
 def box_distance(p: str, q: str) -> Column:

@@ -16,8 +16,8 @@ from gridloom.plans.images import QD, _kernel_sql, _nb, _tap_sql, _v
 from gridloom.plans.matching import BOX, boxes
 from gridloom.plans.ordered import ORD, events
 from gridloom.plans.registry import CELLS, Q, around_sql, border_sql, query, real, table, u8
-from gridloom.sources import files
-from gridloom.sources.shared import shared_dir
+from gridloom.sources import files, rawarrays
+from gridloom.sources.shared import shared_dir, written_tables
 
 
 def _r(c: str, n: int):
@@ -207,14 +207,15 @@ _INTER = "greatest(least(a.x2, b.x2) - greatest(a.x1, b.x1), 0) * greatest(least
 _FAR = f"round(sqrt(pow({_MID.format('a', 'x')} - {_MID.format('b', 'x')}, 2) + pow({_MID.format('a', 'y')} - {_MID.format('b', 'y')}, 2)), 6)"
 
 
-@query("atss_centres", f"""WITH {BOX}, j AS (SELECT a.img_id, a.box_id AS ka, b.box_id AS kb, {_FAR} AS far, round({_INTER} / (144 - {_INTER}), 6) AS iou,
+@query("atss_centres", f"""WITH {BOX}, j AS (SELECT a.img_id, a.box_id AS ka, b.box_id AS kb, b.box_id % 4 AS level, {_FAR} AS far, round({_INTER} / (144 - {_INTER}), 6) AS iou,
         least({_MID.format('b', 'x')} - a.x1, a.x2 - {_MID.format('b', 'x')}, {_MID.format('b', 'y')} - a.y1, a.y2 - {_MID.format('b', 'y')}) AS inner_ FROM bx a JOIN bx b ON a.img_id = b.img_id AND a.box_id % 2 = 0 AND b.box_id % 2 = 1),
-    t AS (SELECT *, row_number() OVER (PARTITION BY img_id, ka ORDER BY far, kb) AS k FROM j), m AS (SELECT *, round(avg(iou) OVER w + stddev_samp(iou) OVER w, 6) AS thr FROM t WHERE k <= 3 WINDOW w AS (PARTITION BY img_id, ka)),
-    r AS (SELECT *, row_number() OVER (PARTITION BY img_id, kb ORDER BY iou DESC, ka) AS n FROM m WHERE iou >= thr AND inner_ > 0) SELECT img_id, ka, kb, iou, thr FROM r WHERE n = 1""")
+    t AS (SELECT *, row_number() OVER (PARTITION BY img_id, ka, level ORDER BY far, kb) AS k FROM j), m AS (SELECT *, round(avg(iou) OVER w + stddev_samp(iou) OVER w, 6) AS thr FROM t WHERE k <= 2 WINDOW w AS (PARTITION BY img_id, ka)),
+    c AS (SELECT *, count(*) OVER (PARTITION BY img_id, kb) AS n FROM m WHERE iou > thr AND inner_ > 0), b AS (SELECT *, row_number() OVER (PARTITION BY img_id, kb ORDER BY iou DESC, ka) AS pos FROM j)
+    SELECT img_id, ka, kb, iou FROM c WHERE n = 1 UNION ALL SELECT img_id, ka, kb, iou FROM b SEMI JOIN (SELECT * FROM c WHERE n > 1) USING (img_id, kb) WHERE pos = 1""")
 def _(s, d):
     b = boxes(s, d).drop("cls", "score")
-    found = M.atss(b.where("box_id % 2 = 0"), b.where("box_id % 2 = 1"), 3)
-    return found.select("img_id", F.col("abox_id").alias("ka"), F.col("bbox_id").alias("kb"), "iou", "thr")
+    found = M.atss(b.where("box_id % 2 = 0"), b.where("box_id % 2 = 1").withColumn("level", F.col("box_id") % 4), 2, "level")
+    return found.select("img_id", F.col("abox_id").alias("ka"), F.col("bbox_id").alias("kb"), "iou")
 
 
 def _hits(s, d):
@@ -278,7 +279,17 @@ for _kind in ("F32", "F64", "S16"):
 def _folder(s, name: str) -> str:
     import uuid
 
-    return f"{shared_dir(s)}/gridloom/{name}-{uuid.uuid4().hex}"
+    at = f"{shared_dir(s)}/gridloom/{name}-{uuid.uuid4().hex}"
+    written_tables(s).append(at)
+    return at
+
+
+@query("raw_files", "SELECT CAST(vec_id AS VARCHAR) || '.raw' AS file, CAST((i - 1) // 16 AS INT) AS y, CAST((i - 1) // 2 % 8 AS INT) AS x, CAST((i - 1) % 2 AS INT) AS c, CAST(embedding[i] AS DOUBLE) AS v FROM (SELECT *, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)")
+def _(s, d):
+    e = table(s, d, "embeddings").select(F.col("vec_id").alias("img_id"), F.posexplode("embedding").alias("i", "v"))
+    at = _folder(s, "raw")
+    rawarrays.dump_raw(e.select("img_id", F.floor(F.col("i") / 16).alias("y"), (F.floor(F.col("i") / 2) % 8).alias("x"), (F.col("i") % 2).alias("c"), "v"), at, "F32")
+    return rawarrays.scan_raw(s, at, "F32", 8, 2).select(F.substring_index("path", "/", -1).alias("file"), "y", "x", "c", "v")
 
 
 @query("csv_round_trip", "SELECT s_suppkey, s_name, s_acctbal FROM supplier")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from gridloom.functions import numeric as N
 from gridloom.operators import detect as D
 from gridloom.operators import match as M
+from gridloom.operators import polygons as P
 from gridloom.plans.registry import query, table
 
 #: Boxes: one a line of an order, in one image per order; box_id numbers them.
@@ -162,6 +163,27 @@ def _(s, d):
     return D.locality_nms(boxes(s, d), 0.3).select("img_id", "box_id", "cls", "score")
 
 
+def quads(s, d):
+    """The boxes under a linear map (a turn, a stretch and a shear), which keeps the share that two have in common."""
+    mapped = lambda x, y: (F.col(x) * 0.8 - F.col(y) * 0.6, F.col(x) * 0.5 + F.col(y) * 1.1)
+    corners = [c for x, y in (("x1", "y1"), ("x2", "y1"), ("x2", "y2"), ("x1", "y2")) for c in mapped(x, y)]
+    return boxes(s, d).select("img_id", "box_id", "cls", F.array(*corners).alias("quad"), "score")
+
+
+@query("quad_overlaps", f"WITH {_PAIRS} SELECT img_id, ka, kb, round(iou, 6) AS iou FROM pr WHERE round(iou, 6) > 0")
+def _(s, d):
+    side = lambda k: F.transform(F.sequence(F.lit(k), F.lit(k + 6), F.lit(2)), lambda i: F.get("quad", i))
+    ends = {"x1": F.array_min(side(0)), "y1": F.array_min(side(1)), "x2": F.array_max(side(0)), "y2": F.array_max(side(1))}
+    q = quads(s, d).drop("cls", "score").withColumns(ends)
+    p = M.pairwise(q, q).where("abox_id < bbox_id").withColumn("iou", F.round(P.quad_overlap("aquad", "bquad"), 6))
+    return p.where("iou > 0").select("img_id", F.col("abox_id").alias("ka"), F.col("bbox_id").alias("kb"), "iou")
+
+
+@query("locality_nms_quads")
+def _(s, d):
+    return P.locality_nms_quads(quads(s, d), 0.3).select("img_id", "box_id", "cls", F.round("score", 9).alias("score"))
+
+
 @query("average_precision", """WITH h AS (SELECT lang, doc_id AS id, round(n_chars % 1000 / 1000.0, 6) AS score, quality AS hit FROM documents JOIN labels USING (doc_id)), t AS (SELECT lang, sum(hit) AS n FROM h GROUP BY 1),
     w AS (SELECT h.lang, hit, row_number() OVER (PARTITION BY h.lang ORDER BY score DESC, id) AS pos, sum(hit) OVER (PARTITION BY h.lang ORDER BY score DESC, id) AS tp, t.n FROM h JOIN t USING (lang)),
     e AS (SELECT *, max(tp / pos) OVER (PARTITION BY lang ORDER BY pos DESC) AS env, tp / n - coalesce(lag(tp / n) OVER (PARTITION BY lang ORDER BY pos), 0) AS step FROM w) SELECT lang, round(sum(step * env), 9) AS ap FROM e GROUP BY 1""")

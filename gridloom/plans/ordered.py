@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gridloom.functions import arrays as A
+from gridloom.operators import asof
 from gridloom.operators import filters as L
 from gridloom.operators import series as S
 from gridloom.operators import text as T
@@ -326,6 +327,17 @@ def _(s, d):
     return table(s, d, "orders").select("o_orderkey", (k * big).cast("string").alias("product"), (k + big).cast("string").alias("total"))
 
 
+@query("long_arithmetic", """WITH RECURSIVE n AS (SELECT s_suppkey AS id, repeat(CAST(s_suppkey * 7919 + 13 AS VARCHAR), 25) AS a, reverse(repeat(CAST(s_suppkey + 104729 AS VARCHAR), 20)) AS b FROM supplier),
+    x AS (SELECT id, i, CAST(substr(a, length(a) - i, 1) AS BIGINT) AS v FROM (SELECT *, unnest(range(0, length(a))) AS i FROM n)), y AS (SELECT id, i, CAST(substr(b, length(b) - i, 1) AS BIGINT) AS v FROM (SELECT *, unnest(range(0, length(b))) AS i FROM n)),
+    c AS (SELECT 'product' AS op, id, x.i + y.i AS k, CAST(sum(x.v * y.v) AS BIGINT) AS s FROM x JOIN y USING (id) GROUP BY 2, 3 UNION ALL SELECT 'total', id, i AS k, CAST(sum(v) AS BIGINT) FROM (FROM x UNION ALL FROM y) GROUP BY 2, 3),
+    r(op, id, k, over, t) AS (SELECT DISTINCT op, id, CAST(-1 AS BIGINT), CAST(0 AS BIGINT), '' FROM c UNION ALL SELECT r.op, r.id, c.k, (r.over + c.s) // 10, CAST((r.over + c.s) % 10 AS VARCHAR) || r.t FROM r JOIN c ON c.op = r.op AND c.id = r.id AND c.k = r.k + 1),
+    e AS (SELECT op, id, ltrim(arg_max(CAST(over AS VARCHAR) || t, k), '0') AS t FROM r GROUP BY 1, 2) SELECT id AS s_suppkey, max(t) FILTER (op = 'product') AS product, max(t) FILTER (op = 'total') AS total FROM e GROUP BY 1""")
+def _(s, d):
+    k = F.col("s_suppkey")
+    n = table(s, d, "supplier").select(k, F.repeat((k * 7919 + 13).cast("string"), 25).alias("a"), F.reverse(F.repeat((k + 104729).cast("string"), 20)).alias("b"))
+    return n.select("s_suppkey", A.long_product(F.col("a"), F.col("b")).alias("product"), A.long_sum(F.col("a"), F.col("b")).alias("total"))
+
+
 @query("avatar_url", "SELECT c_custkey, 'https://gravatar.com/avatar/' || md5(lower(trim(c_name))) || '?s=200&d=retro' AS url FROM customer")
 def _(s, d):
     return table(s, d, "customer").select("c_custkey", F.concat(F.lit("https://gravatar.com/avatar/"), F.md5(F.lower(F.trim("c_name"))), F.lit("?s=200&d=retro")).alias("url"))
@@ -360,6 +372,15 @@ def _(s, d):
     return T.links(table(s, d, "pages"))
 
 
+@query("address_symbols", """WITH a AS (SELECT DISTINCT '0x' || to_hex(CAST(c_custkey * 7919 + 11 AS BIGINT)) AS address, CAST(c_custkey * 7919 + 11 AS BIGINT) AS v FROM customer), m AS (SELECT CAST(p_partkey * 4096 + 9000 AS BIGINT) AS start, p_name AS name, p_size * 64 + 500 AS size FROM part)
+    SELECT address, CASE WHEN v < start + size THEN name END AS name, CASE WHEN v < start + size THEN v - start ELSE -1 END AS away FROM a ASOF LEFT JOIN m ON v >= start""")
+def _(s, d):
+    line = F.concat(F.lit("at 0x"), F.hex(F.col("c_custkey") * 7919 + 11))
+    symbols = table(s, d, "part").select(F.col("p_name").alias("name"), (F.col("p_partkey") * 4096 + 9000).alias("start"), (F.col("p_size") * 64 + 500).cast("bigint").alias("size"))
+    found = asof.symbols_of(T.addresses(table(s, d, "customer").select(line.alias("line")), "line"), symbols)
+    return found.withColumn("away", F.coalesce(F.col("away").cast("bigint"), F.lit(-1)))
+
+
 @query("address_extraction", "WITH l AS (SELECT 'at 0x' || to_hex(CAST(c_custkey * 7919 AS BIGINT)) || ' called from 0x' || to_hex(CAST(c_nationkey AS BIGINT)) AS line FROM customer) SELECT DISTINCT unnest(regexp_extract_all(line, '0x[0-9a-fA-F]+')) AS address FROM l")
 def _(s, d):
     line = F.concat(F.lit("at 0x"), F.hex(F.col("c_custkey") * 7919), F.lit(" called from 0x"), F.hex("c_nationkey"))
