@@ -1,7 +1,7 @@
 """Headless arrays as a data source of Spark: ``spark.read.format("raw_arrays")`` and ``df.write.format("raw_arrays")``.
 
 A file holds little-endian elements, row by row, channels innermost. Reading cuts every file into ranges of ``part_bytes``, so one
-large file is many tasks; the columns are those of the reader's schema, any of path, y, x, c, v. Files are opened through
+large file is many tasks, and small ones share a task; the columns are those of the reader's schema, any of path, y, x, c, v. Files are opened through
 Arrow's file systems (local or mounted paths, and the remote ones it knows).
 """
 
@@ -27,10 +27,10 @@ BLOCK = 1 << 20
 
 
 @dataclass
-class Stretch(InputPartition):
-    path: str
-    first: int
-    count: int
+class Stretches(InputPartition):
+    """Elements that one task reads: (path, first, count), small files together."""
+
+    parts: list
 
 
 @dataclass
@@ -47,7 +47,7 @@ class RawReader(DataSourceReader):
         if self.kind not in DTYPE or self.width < 1 or self.channel < 1 or set(self.names) - {"path", "y", "x", "c", "v"}:
             raise ValueError(f"no raw arrays of kind {self.kind}, width {self.width}, {self.channel} channels and columns {self.names}")
 
-    def partitions(self) -> list[Stretch]:
+    def partitions(self) -> list[Stretches]:
         system, at = fs.FileSystem.from_uri(self.path)
         found = system.get_file_info(fs.FileSelector(at, recursive=True)) if system.get_file_info(at).type == fs.FileType.Directory else [system.get_file_info(at)]
         if found and found[0].type == fs.FileType.NotFound:
@@ -56,20 +56,32 @@ class RawReader(DataSourceReader):
         step = max(self.part // size, 1)
         hidden = lambda p: any(s[:1] in "._" for s in p[len(at) :].split("/") if s)
         files = sorted((f.path, f.size // size) for f in found if f.type == fs.FileType.File and not hidden(f.path) and fnmatch(f.base_name, self.glob))
-        return [Stretch(p, k, min(step, n - k)) for p, n in files for k in range(0, n, step)]
-
-    def read(self, stretch: Stretch | None) -> Iterator[pa.RecordBatch]:
-        if stretch is None:  # no file has an element
-            return
+        out: list[Stretches] = []
+        held = step
+        for path, n in files:
+            for k in range(0, n, step):
+                cost = min(step, n - k) + step // 256  # to open a file costs as much as some bytes
+                if held + cost > step + step // 256:
+                    out.append(Stretches([]))
+                    held = 0
+                out[-1].parts.append((path, k, min(step, n - k)))
+                held += cost
+        return out
+
+    def read(self, stretches: Stretches | None) -> Iterator[pa.RecordBatch]:
+        for part in stretches.parts if stretches is not None else []:  # none: no file has an element
+            yield from self.read_part(*part)
+
+    def read_part(self, path: str, start: int, count: int) -> Iterator[pa.RecordBatch]:
         system, _ = fs.FileSystem.from_uri(self.path)
         kind = np.dtype(DTYPE[self.kind])
-        with system.open_input_file(stretch.path) as f:
-            for first in range(stretch.first, stretch.first + stretch.count, BLOCK):
-                n = min(BLOCK, stretch.first + stretch.count - first)
+        with system.open_input_file(path) as f:
+            for first in range(start, start + count, BLOCK):
+                n = min(BLOCK, start + count - first)
                 at = np.arange(first, first + n)
                 cell = at // self.channel
                 columns = {
-                    "path": lambda: pa.DictionaryArray.from_arrays(pa.array(np.zeros(n, np.int32)), [stretch.path]).cast(pa.string()),
+                    "path": lambda: pa.DictionaryArray.from_arrays(pa.array(np.zeros(n, np.int32)), [path]).cast(pa.string()),
                     "y": lambda: pa.array((cell // self.width).astype(np.int32)),
                     "x": lambda: pa.array((cell % self.width).astype(np.int32)),
                     "c": lambda: pa.array((at % self.channel).astype(np.int32)),
