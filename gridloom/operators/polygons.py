@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.operators.detect import greedy, merge_along, per_group
+
 
 def _cross(o: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a[..., 0] - o[..., 0]) * (b[..., 1] - o[..., 1]) - (a[..., 1] - o[..., 1]) * (b[..., 0] - o[..., 0])
@@ -25,19 +27,24 @@ def _shoelace(p: np.ndarray) -> np.ndarray:
 
 
 def _clip(p: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Convex polygons (n, m, 2), cut by the half-planes left of a to b (n, 2): (n, 2 m, 2), corners repeated where fewer are
-    left, all of them where none is."""
+    """Convex polygons (n, m, 2), cut by the half-planes left of a to b (n, 2): (n, as many corners as the largest has, 2); the last
+    corner is repeated where fewer are left, and all are a where none is."""
     side = _cross(a[:, None], b[:, None], p)
     q, there = np.roll(p, -1, 1), np.roll(side, -1, 1)
     here, after = side >= 0, there >= 0
     gap = side - there
     at = p + (q - p) * (side / np.where(gap == 0, 1, gap))[..., None]
-    both = np.stack([np.where(here[..., None], p, at), at], 2).reshape(len(p), -1, 2)
-    valid = np.stack([here | after, here & ~after], 2).reshape(len(p), -1)
-    last = np.maximum.accumulate(np.where(valid, np.arange(valid.shape[1]), -1), 1)
-    last = np.where(last < 0, last[:, -1:], last)  # before the first one stands the last one: it is a ring
-    out = np.take_along_axis(both, np.maximum(last, 0)[..., None], 1)
-    return np.where(valid.any(1)[:, None, None], out, a[:, None])
+    valid = np.empty((len(p), 2 * p.shape[1]), bool)  # in turn: the corner itself, where its side crosses the line
+    valid[:, ::2], valid[:, 1::2] = here, here != after
+    both = np.empty((*valid.shape, 2))
+    both[:, ::2], both[:, 1::2] = p, at
+    place, n = np.cumsum(valid, 1), valid.sum(1)
+    row, col = np.nonzero(valid)
+    out = np.empty((len(p), max(int(n.max(initial=0)), 1), 2))
+    final = both[np.arange(len(p)), valid.shape[1] - 1 - valid[:, ::-1].argmax(1)]
+    out[:] = np.where((n > 0)[:, None], final, a)[:, None]
+    out[row, place[row, col] - 1] = both[row, col]
+    return out
 
 
 def _triangles(quads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -60,8 +67,14 @@ def areas(quads: np.ndarray) -> np.ndarray:
 
 def overlaps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Intersection over union of each quadrilateral of a (n, 8) and the one of b (n, 8) in its row."""
-    (s, area_a), (t, area_b) = _triangles(a), _triangles(b)
-    both = np.zeros(len(a))
+    near = np.ones(len(a), bool)  # those whose bounding boxes have a common area
+    for k in (0, 1):
+        near &= np.minimum(a[:, k::2].max(1), b[:, k::2].max(1)) > np.maximum(a[:, k::2].min(1), b[:, k::2].min(1))
+    out = np.zeros(len(a))
+    if not near.any():
+        return out
+    (s, area_a), (t, area_b) = _triangles(a[near]), _triangles(b[near])
+    both = np.zeros(len(s))
     for i in range(2):
         for j in range(2):
             part = s[:, i]
@@ -70,7 +83,8 @@ def overlaps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
             both += np.maximum(_shoelace(part), 0)
     both = np.where((area_a > 0) & (area_b > 0), both, 0.0)
     union = area_a + area_b - both
-    return np.where(union > 0, both / np.where(union > 0, union, 1), 0.0)
+    out[near] = np.where(union > 0, both / np.where(union > 0, union, 1), 0.0)
+    return out
 
 
 def quad_overlap(a: str, b: str):
@@ -87,33 +101,17 @@ def quad_overlap(a: str, b: str):
     return found(a, b)
 
 
-def merged(ids: np.ndarray, quads: np.ndarray, score: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """One pass in the order given: a quadrilateral that overlaps the one before by more than threshold is averaged into it, by score;
-    their scores add up. The first one's id stays."""
-    quads, score, kept = quads.astype(float), score.astype(float), []
-    for j in range(len(ids)):
-        if kept:
-            i = kept[-1]
-            if overlaps(quads[i : i + 1], quads[j : j + 1])[0] > threshold:
-                total = score[i] + score[j]
-                if total:
-                    quads[i] = (quads[i] * score[i] + quads[j] * score[j]) / total
-                score[i] = total
-                continue
-        kept.append(j)
-    return ids[kept], quads[kept], score[kept]
-
-
-def suppressed(ids: np.ndarray, quads: np.ndarray, score: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Greedy: by descending score (ties to the smaller id), those that overlap no kept one by more than threshold."""
-    order = np.lexsort((ids, -score))
-    ids, quads, score = ids[order], quads[order], score[order]
-    alive = np.ones(len(ids), bool)
-    for i in range(len(ids) - 1):
-        rest = i + 1 + np.flatnonzero(alive[i + 1 :])
-        if alive[i] and len(rest):
-            alive[rest] = overlaps(np.repeat(quads[i : i + 1], len(rest), 0), quads[rest]) <= threshold
-    return ids[alive], quads[alive], score[alive]
+def merged(group: np.ndarray, quads: np.ndarray, score: np.ndarray, threshold: float) -> np.ndarray:
+    """Places kept by one pass in the order given, group by group: a quadrilateral that overlaps the one before by more than threshold is
+    averaged into it, by score (in place); their scores add up."""
+
+    def blend(i: np.ndarray, j: np.ndarray) -> None:
+        total, (a, b) = score[i] + score[j], (score[i], score[j])
+        mean = (quads[i] * a[:, None] + quads[j] * b[:, None]) / np.where(total == 0, 1, total)[:, None]
+        quads[i] = np.where(total[:, None] == 0, quads[i], mean)
+        score[i] = total
+
+    return merge_along(group, lambda i, j: overlaps(quads[i], quads[j]), blend, threshold)
 
 
 def locality_nms_quads(quads: DataFrame, threshold: float) -> DataFrame:
@@ -121,21 +119,17 @@ def locality_nms_quads(quads: DataFrame, threshold: float) -> DataFrame:
     are merged into their predecessor while they overlap, then suppressed. Rows with a null, a value that isn't finite or other than
     eight numbers are left out.
 
-    One image and class is one group (as many as a detector gives for an image); many groups cross to Python in one batch."""
+    One image and class is one group (as many as a detector gives for an image); many groups are worked on at once."""
 
-    @F.pandas_udf("struct<box_id: array<bigint>, quad: array<array<double>>, score: array<double>>")
-    def run(ids: pd.Series, q: pd.Series, score: pd.Series) -> pd.DataFrame:
-        out = []
-        for i, x, s in zip(ids, q, score):
-            i, x, s = np.array(i, np.int64), np.stack([np.asarray(r, float) for r in x]), np.array(s, float)
-            order = np.lexsort((i, x[:, ::2].min(1), x[:, 1::2].min(1)))
-            i, x, s = suppressed(*merged(i[order], x[order], s[order], threshold), threshold)
-            out.append([i, list(x), s])
-        return pd.DataFrame(out, columns=["box_id", "quad", "score"])
+    def work(group: np.ndarray, columns: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+        ids, x, s = columns
+        order = np.lexsort((ids, x[:, ::2].min(1), x[:, 1::2].min(1), group))
+        group, ids, x, s = group[order], ids[order], x[order], s[order]
+        kept = merged(group, x, s, threshold)
+        kept = kept[np.lexsort((ids[kept], -s[kept], group[kept]))]
+        kept = kept[greedy(group[kept], lambda i, j: overlaps(x[kept[i]], x[kept[j]]), threshold)]
+        return order[kept], [ids[kept], x[kept], s[kept]]
 
     finite = F.forall("quad", lambda v: v.isNotNull() & (F.abs(v) < float("inf"))) & (F.size("quad") == 8)
     whole = quads.where(finite & (F.abs("score") < float("inf")) & F.col("box_id").isNotNull())
-    g = whole.groupBy("img_id", "cls").agg(F.collect_list(F.struct("box_id", F.col("quad").cast("array<double>").alias("quad"), F.col("score").cast("double").alias("score"))).alias("g"))
-    done = g.select("img_id", "cls", run(F.col("g.box_id"), F.col("g.quad"), F.col("g.score")).alias("r"))
-    done = done.select("img_id", "cls", F.explode(F.arrays_zip(F.col("r.box_id").alias("box_id"), F.col("r.quad").alias("quad"), F.col("r.score").alias("score"))).alias("r"))
-    return done.select("img_id", "cls", "r.box_id", "r.quad", "r.score")
+    return per_group(whole, {"box_id": "long", "quad": "array<double>", "score": "double"}, work)
