@@ -65,12 +65,15 @@ def _by_row(cells: DataFrame, names: list[str], rule: Callable[..., list[np.ndar
     return out.select("img_id", "y", F.posexplode(F.arrays_zip(*names)).alias("x", "o")).select("img_id", "y", "x", *(F.col(f"o.{c}").alias(c) for c in names))
 
 
-def dft_rows(cells: DataFrame, inverse: bool = False, scale: bool = False, group: int | None = None) -> DataFrame:
+def dft_rows(cells: DataFrame, inverse: bool = False, scale: bool = False, group: int | None = None, fill: bool = False) -> DataFrame:
     """Complex DFT along x of the rows of (img_id, y, x, re, im), of any length; with ``group``, of each run of that many cells
-    (a last run that is shorter is transformed as it is)."""
+    (a last run that is shorter is transformed as it is, or with ``fill`` as if zeros followed)."""
 
     def rule(re: np.ndarray, im: np.ndarray) -> list[np.ndarray]:
-        z, n = re + 1j * im, re.shape[1]
+        z = re + 1j * im
+        if group and fill:
+            z = np.pad(z, ((0, 0), (0, -z.shape[1] % group)))
+        n = z.shape[1]
         for at in range(0, n, group or n):
             run = z[:, at : at + (group or n)]
             f = np.fft.ifft(run, axis=1) if inverse else np.fft.fft(run, axis=1)
@@ -84,9 +87,9 @@ def swapped(cells: DataFrame) -> DataFrame:
     return cells.select("img_id", F.col("x").alias("y"), F.col("y").alias("x"), "re", "im")
 
 
-def dft2(cells: DataFrame, inverse: bool = False, scale: bool = False, group: int | None = None) -> DataFrame:
+def dft2(cells: DataFrame, inverse: bool = False, scale: bool = False, group: int | None = None, fill: bool = False) -> DataFrame:
     """2-D DFT of images of any size: rows, then columns."""
-    return swapped(dft_rows(swapped(dft_rows(cells, inverse, scale, group)), inverse, scale, group))
+    return swapped(dft_rows(swapped(dft_rows(cells, inverse, scale, group, fill)), inverse, scale, group, fill))
 
 
 def dct_rows(cells: DataFrame, inverse: bool = False) -> DataFrame:

@@ -59,7 +59,7 @@ def _(s, d):
 @query("grid_dft", f"""WITH {CELLS}, f AS ({_dft_sql(4, -1, 'v', '0.0', 'cells')}), t AS (SELECT img_id, x AS y, y AS x, re, im FROM f), g AS ({_dft_sql(4, -1, 're', 'im', 't')})
     SELECT img_id, x AS y, y AS x, round(re, 7) + 0.0 AS re, round(im, 7) + 0.0 AS im FROM g""")
 def _(s, d):
-    return _round(L.dft2(_complex(s, d), group=4), 7)
+    return _round(L.dft2(_complex(s, d), group=4, fill=True), 7)
 
 
 for _n in (8, 16, 32):
