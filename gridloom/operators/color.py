@@ -63,7 +63,7 @@ def split_yuv(cells: DataFrame, layout: str, h: int, w: int) -> DataFrame:
 
     NV12, NV21: rows of interleaved chroma under the luma; YU12, YV12: one chroma plane after the other; YUYV, YVYU, UYVY:
     packed, chroma shared by two pixels. Each byte knows its pixel from its own place, so chroma is one aggregate and one
-    join on (img_id, cy, cx). Cells outside the frame are left out, and so are pixels without chroma. h and w are even.
+    join on (img_id, cy, cx). Cells outside the frame are left out, and so are pixels without both chroma values. h and w are even.
     """
     y, x = F.col("y"), F.col("x")
     half = lambda e: F.floor(e / 2).cast("int")
@@ -84,7 +84,8 @@ def split_yuv(cells: DataFrame, layout: str, h: int, w: int) -> DataFrame:
             place = chroma.select("img_id", F.floor(at / (w // 2)).cast("int").alias("cy"), (at % (w // 2)).cast("int").alias("cx"), (k < size).alias("first"), "v")
     u_first = layout in ("NV12", "YU12", "YUYV", "UYVY")
     is_u = F.col("first") if u_first else ~F.col("first")
-    pairs = place.groupBy("img_id", "cy", "cx").agg(F.max(F.when(is_u, F.col("v"))).alias("u"), F.max(F.when(~is_u, F.col("v"))).alias("cv"))
+    pairs = place.groupBy("img_id", "cy", "cx").agg(F.max(F.when(is_u, F.col("v"))).alias("u"), F.max(F.when(~is_u, F.col("v"))).alias("cv"), F.count_if(is_u).alias("nu"), F.count_if(~is_u).alias("nv"))
+    pairs = pairs.where("nu > 0 and nv > 0")  # a frame that is cut off may have but one of the planes
     return luma.join(pairs, ["img_id", "cy", "cx"]).select("img_id", "y", "x", F.col("v").alias("luma"), "u", F.col("cv").alias("v"))
 
 
