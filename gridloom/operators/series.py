@@ -190,10 +190,13 @@ def find_homography(pairs: DataFrame, by: str, threshold: float = 3.0, rounds: i
         s, t = p[["sx", "sy"]].to_numpy(float), p[["tx", "ty"]].to_numpy(float)
 
         def fit(i: np.ndarray) -> np.ndarray:
-            m = []
-            for (x, y), (u, v) in zip(s[i], t[i]):
-                m += [[x, y, 1, 0, 0, 0, -u * x, -u * y, -u], [0, 0, 0, x, y, 1, -v * x, -v * y, -v]]
-            return np.linalg.svd(np.array(m))[2][-1].reshape(3, 3)
+            r = np.zeros((0, 9))  # the triangle of a QR factorisation, a stretch of pairs after the other
+            for at in range(0, len(i), 4096):
+                (x, y), (u, v) = s[i[at : at + 4096]].T, t[i[at : at + 4096]].T
+                one, none = np.ones_like(x), np.zeros_like(x)
+                m = np.stack([x, y, one, none, none, none, -u * x, -u * y, -u, none, none, none, x, y, one, -v * x, -v * y, -v], 1).reshape(-1, 9)
+                r = m if len(i) <= 4 else np.linalg.qr(np.concatenate([r, m]), mode="r")
+            return np.linalg.svd(r)[2][-1].reshape(3, 3)
 
         def off(h: np.ndarray) -> np.ndarray:
             w = np.c_[s, np.ones(len(s))] @ h.T
