@@ -124,23 +124,42 @@ def mahalanobis_least(inv: tuple[float, float, float]) -> float:
     return low**0.5
 
 
+#: Rows of a cell that stay together where two tables meet by cell.
+BLOCK = 2000
+
+
+def _met(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """The inner equi-join by keys (cells of a grid), evenly spread: the rows of a cell are dealt into blocks of about BLOCK by a hash of the row, and
+    each block of a meets each of b as a key of its own, in partitions that aren't coalesced by their size (few rows give many pairs)."""
+    blocks = lambda df, n: df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias(n))
+    cells = blocks(a, "na_").join(blocks(b, "nb_"), keys)
+    parts = int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def dealt(df: DataFrame, own: str, other: str) -> DataFrame:
+        at = F.pmod(F.xxhash64(*df.columns), F.col(f"n{own}_")).cast("int")
+        out = df.join(cells, keys).withColumn(f"{own}_", at).withColumn(f"{other}_", F.explode(F.sequence(F.lit(0), F.col(f"n{other}_") - 1)))
+        return out.drop("na_", "nb_").repartition(parts, *keys, "a_", "b_")
+
+    return dealt(a, "a", "b").join(dealt(b, "b", "a"), [*keys, "a_", "b_"]).drop("a_", "b_")
+
+
 def within(points: DataFrame, sites: DataFrame, radius: float) -> DataFrame:
     """Pairs (point_id, site_id, dist) of points and sites no farther than radius apart, through a grid of that pitch."""
     cell = lambda c: F.floor(F.col(c) / radius)
-    p = points.withColumn("gx", cell("px")).withColumn("gy", cell("py"))
+    p = points.select("point_id", "px", "py", cell("px").alias("gx"), cell("py").alias("gy"))
     around = F.array(*(F.struct((cell("sx") + a).alias("gx"), (cell("sy") + b).alias("gy")) for a in (-1, 0, 1) for b in (-1, 0, 1)))
     s = sites.withColumn("g", F.explode(around)).select("site_id", "sx", "sy", "g.gx", "g.gy")
     d = F.sqrt((F.col("px") - F.col("sx")) * (F.col("px") - F.col("sx")) + (F.col("py") - F.col("sy")) * (F.col("py") - F.col("sy")))
-    return p.join(s, ["gx", "gy"]).withColumn("dist", d).where(F.col("dist") <= radius).select("point_id", "site_id", "dist")
+    return _met(p, s, ["gx", "gy"]).withColumn("dist", d).where(F.col("dist") <= radius).select("point_id", "site_id", "dist")
 
 
 def points_in_boxes(points: DataFrame, boxes: DataFrame, pitch: float, eps: float = 1e-9) -> DataFrame:
     """Pairs (point_id, box_id) whose point is farther than eps inside the box, through a grid."""
-    p = points.withColumn("gx", F.floor(F.col("px") / pitch)).withColumn("gy", F.floor(F.col("py") / pitch))
-    b = boxes.withColumn("gx", F.explode(F.sequence(F.floor(F.col("x1") / pitch), F.floor(F.col("x2") / pitch))))
+    p = points.select("point_id", "px", "py", F.floor(F.col("px") / pitch).alias("gx"), F.floor(F.col("py") / pitch).alias("gy"))
+    b = boxes.select("box_id", "x1", "y1", "x2", "y2", F.explode(F.sequence(F.floor(F.col("x1") / pitch), F.floor(F.col("x2") / pitch))).alias("gx"))
     b = b.withColumn("gy", F.explode(F.sequence(F.floor(F.col("y1") / pitch), F.floor(F.col("y2") / pitch))))
     inside = F.least(F.col("px") - F.col("x1"), F.col("x2") - F.col("px"), F.col("py") - F.col("y1"), F.col("y2") - F.col("py")) > eps
-    return p.join(b, ["gx", "gy"]).where(inside).select("point_id", "box_id")
+    return _met(p, b, ["gx", "gy"]).where(inside).select("point_id", "box_id")
 
 
 def best_of(pairs: DataFrame, by: list[str], *order: Column) -> DataFrame:
