@@ -49,16 +49,34 @@ def _posted(boxes: DataFrame, levels: DataFrame, p: str) -> DataFrame:
     return out.withColumn("gx", F.explode(F.sequence(f"{p}gx", cell(x2)))).withColumn("gy", F.explode(F.sequence(f"{p}gy", cell(y2))))
 
 
+#: Boxes of an image, in either table, that are compared with each other without a grid.
+FEW = 32
+
+
 def overlapping(boxes: DataFrame, others: DataFrame, by: str = "img_id") -> DataFrame:
     """Pairs of boxes of one image with a common area: columns by, a*, b*.
 
-    A box lies in a grid of its own size (a power of two) and visits all coarser grids that occur, four cells each at most. Boxes of a
-    grid meet the others and the visitors of their cells, so boxes meet only if they are near each other on the scale of the
-    larger one, and a pair is reported in its first common cell alone. Boxes without area, or with null sides, have no pairs.
+    The boxes of an image that has few are compared with each other, FEW at most, so that work and rows grow with the number of boxes; those of
+    other images meet in grids. Boxes without area, or with null sides, have no pairs.
     """
     a, b = prefixed(boxes, "a", by), prefixed(others, "b", by)
     sound = lambda p: (F.col(f"{p}x2") > F.col(f"{p}x1")) & (F.col(f"{p}y2") > F.col(f"{p}y1"))
-    a, b = a.where(sound("a")), b.where(sound("b"))
+    a, b = a.where(sound("a") & F.col(by).isNotNull()), b.where(sound("b") & F.col(by).isNotNull())
+    sized = lambda df: df.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(by)))
+    sa, sb = sized(a), sized(b)
+    few = sa.where(F.col("n") <= FEW).drop("n").join(sb.where(F.col("n") <= FEW).drop("n"), by).where(intersection("a", "b") > 0)
+    # an image with more on one side only goes through the grid as well, both sides of it
+    many = sa.where(F.col("n") > FEW).select(by).union(sb.where(F.col("n") > FEW).select(by)).distinct()
+    return few.unionByName(_gridded(a.join(many, by, "left_semi"), b.join(many, by, "left_semi"), by))
+
+
+def _gridded(a: DataFrame, b: DataFrame, by: str) -> DataFrame:
+    """``overlapping`` for images with any number of boxes (columns by, a* and by, b*).
+
+    A box lies in a grid of its own size (a power of two) and visits all coarser grids that occur, four cells each at most. Boxes of a
+    grid meet the others and the visitors of their cells, so boxes meet only if they are near each other on the scale of the
+    larger one, and a pair is reported in its first common cell alone.
+    """
     sizes = lambda df, p: df.select(_level(F.col(f"{p}x2") - F.col(f"{p}x1"), F.col(f"{p}y2") - F.col(f"{p}y1")).alias("level"))
     levels = sizes(a, "a").union(sizes(b, "b")).agg(F.collect_set("level").alias("levels"))  # no more than exponents of a double
     pa, pb = _posted(a, levels, "a"), _posted(b, levels, "b")

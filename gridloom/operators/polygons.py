@@ -98,7 +98,7 @@ def quad_overlap(a: str, b: str):
             out[whole] = overlaps(np.stack(x[whole].tolist()).astype(float), np.stack(y[whole].tolist()).astype(float))
         return pd.Series(out)
 
-    return found(a, b)
+    return found.asNondeterministic()(a, b)  # so that a filter on it isn't pushed below, which would work it out twice
 
 
 def merged(group: np.ndarray, quads: np.ndarray, score: np.ndarray, threshold: float) -> np.ndarray:
