@@ -16,7 +16,8 @@ def label_components(cells: DataFrame, connectivity: int, written) -> DataFrame:
 
     Rows are cut to runs of non-zero cells first, so the iteration works on runs: each round every run takes the smallest
     label of the runs it touches and then follows its label once. ``written`` cuts the lineage of a table (for instance a
-    Parquet table in the shared folder); the loop asks only whether a label changed.
+    Parquet table in the shared folder); the loop asks only whether a label changed. No side of a join is bounded, and a written table is
+    far smaller than its rows, so all of them are merge joins: none goes through the driver.
     """
     on = cells.where("v <> 0")
     w = Window.partitionBy("img_id", "y").orderBy("x")
@@ -25,18 +26,18 @@ def label_components(cells: DataFrame, connectivity: int, written) -> DataFrame:
     runs = written(runs.select("img_id", "y", "a", "b", (F.col("y").cast("long") * (1 << 31) + F.col("a")).alias("id")))
     reach = 1 if connectivity == 8 else 0
     up = runs.select("img_id", (F.col("y") + 1).alias("y"), F.col("a").alias("ua"), F.col("b").alias("ub"), F.col("id").alias("uid"))
-    touch = runs.join(up, ["img_id", "y"]).where((F.col("ua") <= F.col("b") + reach) & (F.col("ub") >= F.col("a") - reach)).select("img_id", "id", "uid")
+    touch = runs.join(up.hint("merge"), ["img_id", "y"]).where((F.col("ua") <= F.col("b") + reach) & (F.col("ub") >= F.col("a") - reach)).select("img_id", "id", "uid")
     edges = written(touch.union(touch.select("img_id", F.col("uid").alias("id"), F.col("id").alias("uid"))))
     labels = written(runs.select("img_id", "id", F.col("id").alias("label")))
     while True:
-        near = edges.join(labels.select("img_id", F.col("id").alias("uid"), F.col("label").alias("l")), ["img_id", "uid"]).groupBy("img_id", "id").agg(F.min("l").alias("l"))
-        step = labels.join(near, ["img_id", "id"], "left").select("img_id", "id", F.least("label", F.coalesce("l", "label")).alias("new"), "label")
+        near = edges.join(labels.select("img_id", F.col("id").alias("uid"), F.col("label").alias("l")).hint("merge"), ["img_id", "uid"]).groupBy("img_id", "id").agg(F.min("l").alias("l"))
+        step = labels.join(near.hint("merge"), ["img_id", "id"], "left").select("img_id", "id", F.least("label", F.coalesce("l", "label")).alias("new"), "label")
         jump = labels.select("img_id", F.col("id").alias("new"), F.col("label").alias("far"))
-        step = written(step.join(jump, ["img_id", "new"], "left").select("img_id", "id", F.least("new", "far").alias("new"), "label"))
+        step = written(step.join(jump.hint("merge"), ["img_id", "new"], "left").select("img_id", "id", F.least("new", "far").alias("new"), "label"))
         if step.where("new <> label").isEmpty():
             break
         labels = step.select("img_id", "id", F.col("new").alias("label"))
-    out = runs.join(labels, ["img_id", "id"])
+    out = runs.join(labels.hint("merge"), ["img_id", "id"])
     return out.select("img_id", "y", F.explode(F.sequence("a", "b")).alias("x"), "label")
 
 
@@ -63,9 +64,9 @@ def canny(cells: DataFrame, low: float, high: float, written) -> DataFrame:
 
     peaks = neighbourhood(g.select(*KEY, "v"), 3, "REPLICATE", value)
     thin = written(peaks.where("v > 0"))
-    named = label_components(thin, 8, written).join(thin.select("img_id", "y", "x", "v"), ["img_id", "y", "x"])
+    named = label_components(thin, 8, written).join(thin.select("img_id", "y", "x", "v").hint("merge"), ["img_id", "y", "x"])
     strong = named.where(F.col("v") > high).select("img_id", "label").distinct()
-    return named.join(strong, ["img_id", "label"], "left_semi").select("img_id", "y", "x")
+    return named.join(strong.hint("merge"), ["img_id", "label"], "left_semi").select("img_id", "y", "x")
 
 
 def hough_lines(cells: DataFrame, angles: int, least: int) -> DataFrame:
