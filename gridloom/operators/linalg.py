@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,28 +20,31 @@ def _tiles(m: DataFrame, key: str, down: str, across: str) -> DataFrame:
     return m.groupBy("img_id", *at).agg(F.collect_list(cell).alias(key))
 
 
-def _products(left: pd.Series, right: pd.Series) -> pd.DataFrame:
-    """Products of pairs of tiles, row by row, and their widths. Tiles are dense, but those at the rims are smaller."""
+def _dense(cells: pa.Array) -> np.ndarray:
+    """A tile from its list of cells, without a Python object a cell."""
+    i, j, v = (c.to_numpy(zero_copy_only=False) for c in cells.flatten())
+    full = np.zeros((int(i.max()) + 1, int(j.max()) + 1))
+    full[i, j] = v
+    return full
 
-    def dense(cells: list) -> np.ndarray:
-        i, j, v = (np.array([c[k] for c in cells]) for k in ("i", "j", "v"))
-        full = np.zeros((int(i.max()) + 1, int(j.max()) + 1))
-        full[i.astype(int), j.astype(int)] = v
-        return full
 
+def _products(left: pa.Array, right: pa.Array) -> pa.Array:
+    """Products of pairs of tiles, row by row, and their widths. Tiles are dense, but those at the rims are smaller."""
     done = []
-    for a, b in zip(left, right):
-        x, y = dense(a), dense(b)
+    for k in range(len(left)):
+        x, y = _dense(left[k].values), _dense(right[k].values)
         inner = min(x.shape[1], y.shape[0])
         done.append(x[:, :inner] @ y[:inner])
-    return pd.DataFrame({"w": [z.shape[1] for z in done], "z": [z.ravel() for z in done]})
+    ends = np.cumsum([0, *(z.size for z in done)], dtype=np.int32)
+    flat = pa.array(np.concatenate([z.ravel() for z in done]) if done else np.zeros(0))
+    return pa.StructArray.from_arrays([pa.array([z.shape[1] for z in done], pa.int32()), pa.ListArray.from_arrays(pa.array(ends), flat)], ["w", "z"])
 
 
 def gemm(a: DataFrame, b: DataFrame) -> DataFrame:
     """(img_id, y, x, v) products of dense matrices: equi-join of tiles on the inner index, one product a pair, sums over the inner tiles."""
     left = _tiles(a.withColumnRenamed("x", "k"), "left", "y", "k")
     right = _tiles(b.withColumnRenamed("y", "k"), "right", "k", "x")
-    product = F.pandas_udf(_products, "w int, z array<double>")  # needs a session
+    product = F.arrow_udf(_products, "w int, z array<double>")  # needs a session
     met = left.join(right, ["img_id", "k_tile"]).withColumn("o", product("left", "right"))
     met = met.select("img_id", "y_tile", "x_tile", "o.w", F.posexplode("o.z").alias("at", "v"))
     y, x = F.col("y_tile") * TILE + F.floor(F.col("at") / F.col("w")), F.col("x_tile") * TILE + F.col("at") % F.col("w")
