@@ -10,6 +10,9 @@ from gridloom.functions.numeric import sat
 KEY = ["img_id", "y", "x", "c"]
 SIDE = 64
 
+#: Keys that the rows of an image are dealt to where they meet what is known of the whole image.
+PARTS = 16
+
 
 def to_cells(vectors: DataFrame, id_col: str, vec_col: str, side: int = SIDE) -> DataFrame:
     """Vectors as cells: ``side`` consecutive ids are the rows of one single-channel image."""
@@ -53,21 +56,32 @@ def from_rows(rows: DataFrame) -> DataFrame:
     return rows.select("img_id", "y", "c", F.posexplode("row").alias("x", "v")).select(*KEY, "v")
 
 
-def neighbourhood(cells: DataFrame, ksize: int | tuple[int, int], border: str, value, constant: float = 0) -> DataFrame:
-    """Cells whose v is value(at): at(dy, dx) is the cell of that offset under the border rule.
+def heights(cells: DataFrame) -> DataFrame:
+    return cells.groupBy("img_id").agg((F.max("y") + 1).alias("h"))
+
+
+def neighbourhood(cells: DataFrame, ksize: int | tuple[int, int], border: str, value, constant: float = 0, h: DataFrame | None = None) -> DataFrame:
+    """Cells whose v is value(at): at(dy, dx) is the cell of that offset under the border rule. v may be a struct, whose fields share
+    the shuffles. ``h`` (img_id, h) has the heights, where cells are made from others of the same shape: without it
+    they are taken from cells, which then are worked out once more.
 
     Each row goes to the ksize rows around it (a row array each, by (image, row), so one large image doesn't fall to one
-    task), and a row's output is computed from its ksize neighbours in one expression.
+    task), and a row's output is computed from its ksize neighbours in one expression. Rows are sent by what they know of their image, its
+    height, so cells are worked out once.
     """
     kh, kw = (ksize, ksize) if isinstance(ksize, int) else ksize
     rh, rw = kh // 2, kw // 2
-    rows = to_rows(cells)
-    heights = cells.groupBy("img_id").agg((F.max("y") + 1).alias("h"))
-    want = rows.select("img_id", "c", "y", F.explode(F.sequence(F.lit(-rh), F.lit(kh - 1 - rh))).alias("dy")).join(heights, "img_id")
-    want = want.withColumn("sy", border_index(F.col("y") + F.col("dy"), F.col("h"), border))
-    src = rows.select("img_id", "c", F.col("y").alias("sy"), "row")
-    met = want.join(src, ["img_id", "c", "sy"], "left").groupBy("img_id", "c", "y").agg(F.sort_array(F.collect_list(F.struct("dy", "row"))).alias("m"))
-    met = met.select("img_id", "c", "y", F.col("m.row").alias("band")).withColumn("w", F.size(F.get("band", F.lit(rh))))
+    y, part = F.col("y"), F.pmod(F.col("y"), F.lit(PARTS)).alias("part")
+    of = (heights(cells) if h is None else h).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    rows = to_rows(cells).select("*", part).join(of, ["img_id", "part"])
+    # a row stands for its own place, and at a border for some outside, that are no farther than rh from the rows that see them
+    places = [(-dy, dy) for dy in range(-rh, kh - rh)] if border == "CONSTANT" else [(o, dy) for dy in range(-rh, kh - rh) for o in range(-rh, rh + 1)]
+    steps = F.array(*(F.struct(F.lit(o).alias("o"), F.lit(dy).alias("dy")) for o, dy in places))
+    seen = lambda p: (y + p["o"] >= 0) & (y + p["o"] < F.col("h")) & (border_index(y + p["o"] + p["dy"], F.col("h"), border) == y)
+    met = rows.select("img_id", "c", "y", "row", F.explode(F.filter(steps, seen)).alias("p"))
+    met = met.select("img_id", "c", (y + F.col("p.o")).alias("y"), "p.dy", "row").groupBy("img_id", "c", "y").agg(F.map_from_entries(F.collect_list(F.struct("dy", "row"))).alias("m"))
+    band = F.array(*(F.element_at("m", F.lit(dy)) for dy in range(-rh, kh - rh)))
+    met = met.where(F.element_at("m", F.lit(0)).isNotNull()).select("img_id", "c", "y", band.alias("band"), F.size(F.element_at("m", F.lit(0))).alias("w"))
 
     def out(x: Column) -> Column:
         def at(dy: int, dx: int) -> Column:
@@ -77,4 +91,6 @@ def neighbourhood(cells: DataFrame, ksize: int | tuple[int, int], border: str, v
 
         return value(at)
 
-    return from_rows(met.select("img_id", "c", "y", F.transform(F.sequence(F.lit(0), F.col("w") - 1), out).alias("row")))
+    # outer: else the optimizer asks first whether the array is empty and so makes it twice
+    done = met.select("img_id", "c", "y", F.transform(F.sequence(F.lit(0), F.col("w") - 1), out).alias("row"))
+    return done.select("img_id", "y", "c", F.posexplode_outer("row").alias("x", "v")).select(*KEY, "v")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions.numeric import sat
-from gridloom.operators.cells import KEY, neighbourhood, with_shape
+from gridloom.operators.cells import KEY, heights, neighbourhood, with_shape
 
 #: Gaussian kernels of sizes 3, 5 and 7 where no sigma is given.
 SMALL_GAUSS = {3: [0.25, 0.5, 0.25], 5: [0.0625, 0.25, 0.375, 0.25, 0.0625], 7: [0.03125, 0.109375, 0.21875, 0.28125, 0.21875, 0.109375, 0.03125]}
@@ -107,17 +107,23 @@ def bilateral(cells: DataFrame, k: int, sigma_color: float, sigma_space: float,
     return neighbourhood(cells, k, border, value)
 
 
+def _boxes(planes: DataFrame, k: int, border: str, names: list[str], h: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Means of k by k cells of several planes at once (img_id, y, x and the columns names), in one pass over the rows; columns keep stay."""
+    means = lambda at: F.struct(*((_sum([at(a, b)[n] for a, b in _offsets(k)]) / float(k * k)).alias(n) for n in names), *(at(0, 0)[n].alias(n) for n in keep))
+    stacked = planes.select("img_id", "y", "x", F.lit(0).alias("c"), F.struct(*names, *keep).alias("v"))
+    return neighbourhood(stacked, k, border, means, h=h).select("img_id", "y", "x", "v.*")
+
+
 def guided(pairs: DataFrame, k: int, eps: float, border: str) -> DataFrame:
     """Edge-preserving linear model of b guided by a (pairs: KEY, a, b): means, then a * guide + b averaged."""
-    planes = F.array(*(F.struct(F.lit(i).alias("c"), e.cast("double").alias("v")) for i, e in enumerate((F.col("a"), F.col("b"), F.col("a") * F.col("a"), F.col("a") * F.col("b")))))
-    stacked = pairs.withColumn("p", F.explode(planes)).select("img_id", "y", "x", "p.c", "p.v")
-    m = box(stacked, k, border, whole=False).groupBy("img_id", "y", "x").pivot("c", [0, 1, 2, 3]).agg(F.first("v"))
-    a = (F.col("3") - F.col("0") * F.col("1")) / (F.col("2") - F.col("0") * F.col("0") + eps)
-    m = m.select("img_id", "y", "x", a.alias("k"), (F.col("1") - a * F.col("0")).alias("o"))
-    both = F.array(F.struct(F.lit(0).alias("c"), F.col("k").alias("v")), F.struct(F.lit(1).alias("c"), F.col("o").alias("v")))
-    m = m.withColumn("p", F.explode(both)).select("img_id", "y", "x", "p.c", "p.v")
-    m = box(m, k, border, whole=False).groupBy("img_id", "y", "x").pivot("c", [0, 1]).agg(F.first("v"))
-    return m.join(pairs, ["img_id", "y", "x"]).select(*KEY, (F.col("0") * F.col("a") + F.col("1")).alias("v"))
+    h, own = heights(pairs), ("guide", "channel")
+    planes = {"a": F.col("a"), "b": F.col("b"), "aa": F.col("a") * F.col("a"), "ab": F.col("a") * F.col("b")}
+    stacked = pairs.select("img_id", "y", "x", *(e.cast("double").alias(n) for n, e in planes.items()), F.col("a").alias("guide"), F.col("c").alias("channel"))
+    m = _boxes(stacked, k, border, list(planes), h, own)
+    a = (F.col("ab") - F.col("a") * F.col("b")) / (F.col("aa") - F.col("a") * F.col("a") + eps)
+    m = m.select("img_id", "y", "x", a.alias("k"), (F.col("b") - a * F.col("a")).alias("o"), *own)
+    m = _boxes(m, k, border, ["k", "o"], h, own)
+    return m.select("img_id", "y", "x", F.col("channel").alias("c"), (F.col("k") * F.col("guide") + F.col("o")).alias("v"))
 
 
 def element(shape: str, k: int) -> list[tuple[int, int]]:
@@ -184,15 +190,15 @@ def funnel_relu(cells: DataFrame, kernel: list[list[float]]) -> DataFrame:
 
 def corner_products(cells: DataFrame, border: str) -> DataFrame:
     """KEY, dx, dy: Sobel derivatives."""
-    dx, dy = sobel(cells, 1, 0, border).withColumnRenamed("v", "dx"), sobel(cells, 0, 1, border).withColumnRenamed("v", "dy")
-    return dx.join(dy, KEY)
+    kernels = {"dx": sobel_kernel(1, 0), "dy": sobel_kernel(0, 1)}
+    value = lambda at: F.struct(*(_sum([at(a, b) * F.lit(float(w[a + 1][b + 1])) for a, b in _offsets(3) if w[a + 1][b + 1]]).alias(n) for n, w in kernels.items()))
+    return neighbourhood(cells, 3, border, value).select(*KEY, "v.*")
 
 
 def _tensor(cells: DataFrame, block: int, border: str) -> DataFrame:
-    p = corner_products(cells, border)
-    planes = F.array(*(F.struct(F.lit(i).alias("c"), e.alias("v")) for i, e in enumerate((F.col("dx") * F.col("dx"), F.col("dx") * F.col("dy"), F.col("dy") * F.col("dy")))))
-    s = p.withColumn("p", F.explode(planes)).select("img_id", "y", "x", "p.c", "p.v")
-    return box(s, block, border, whole=False).groupBy("img_id", "y", "x").pivot("c", [0, 1, 2]).agg(F.first("v")).toDF("img_id", "y", "x", "a", "b", "d")
+    dx, dy = F.col("dx"), F.col("dy")
+    planes = corner_products(cells, border).select("img_id", "y", "x", (dx * dx).alias("a"), (dx * dy).alias("b"), (dy * dy).alias("d"))
+    return _boxes(planes, block, border, ["a", "b", "d"], heights(cells))
 
 
 def harris(cells: DataFrame, block: int, k: float, border: str) -> DataFrame:
@@ -210,9 +216,10 @@ def good_features(response: DataFrame, quality: float, most: int, border: str =
     """Interior local maxima over 3 by 3 with a response of at least quality * max, the strongest ``most`` of each image."""
     from pyspark.sql import Window
 
-    top = response.groupBy("img_id").agg(F.max("v").alias("top"))
-    peak = neighbourhood(response.withColumn("c", F.lit(0)), 3, border, lambda at: F.struct(at(0, 0).alias("v"), F.greatest(*(at(a, b) for a, b in _offsets(3))).alias("m")))
-    p = with_shape(peak).join(top, "img_id").where((F.col("v.v") == F.col("v.m")) & (F.col("v.v") >= quality * F.col("top")) & (F.col("v.v") > 0))
+    whole = response.groupBy("img_id").agg(F.max("v").alias("top"), (F.max("y") + 1).alias("h"), (F.max("x") + 1).alias("w"))
+    peak = lambda at: F.struct(at(0, 0).alias("v"), F.greatest(*(at(a, b) for a, b in _offsets(3))).alias("m"))
+    p = neighbourhood(response.withColumn("c", F.lit(0)), 3, border, peak, h=whole.select("img_id", "h"))
+    p = p.where((F.col("v.v") == F.col("v.m")) & (F.col("v.v") > 0)).join(whole, "img_id").where(F.col("v.v") >= quality * F.col("top"))
     p = p.where((F.col("y") > 0) & (F.col("x") > 0) & (F.col("y") < F.col("h") - 1) & (F.col("x") < F.col("w") - 1))
     rank = F.row_number().over(Window.partitionBy("img_id").orderBy(F.col("v.v").desc(), "y", "x"))
     return p.select("img_id", rank.alias("rank"), "y", "x", F.col("v.v").alias("response")).where(F.col("rank") <= most)
