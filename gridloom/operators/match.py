@@ -95,36 +95,59 @@ def pairwise(boxes: DataFrame, others: DataFrame, by: str = "img_id") -> DataFra
 DEPTH, STEP = 12, 3
 
 
-def nearest(points: DataFrame, sites: DataFrame, by: list[str], metric, least: float = 1.0, slack: float = 1e-6) -> DataFrame:
+#: Points that share the way down the pyramid.
+TILE = 64
+
+
+def nearest(points: DataFrame, sites: DataFrame, by: list[str], metric, least: float | tuple[float, float] = 1.0, slack: float = 1e-6) -> DataFrame:
     """For each point the nearest site of its group, ties to the smaller site_id: by, point_id, site_id, dist.
 
     points: by, point_id, px, py; sites: by, site_id, sx, sy. metric(dx, dy) is a distance that is convex in (dx, dy) and at least ``least``
-    times the Euclidean one; distances closer than ``slack`` may tie (metrics are rounded).
-
-    Sites lie in the leaf cells of a pyramid of grids over their group, whose cells hold the tight boxes of their sites. Points go
-    down the pyramid: at each step a point meets the children of the cells it kept, and keeps those whose box isn't farther than
-    the farthest corner of some other one. So it sees a handful of cells a step, however its group is filled, and of the sites only
-    those of the last cells. Points in a group without sites have no row; neither have points and sites with null or
+    times the Euclidean one (a pair: at least the Euclidean one after scaling dx and dy by them); distances closer than ``slack`` may tie (metrics
+    are rounded).
+
+    Sites lie in the leaf cells of a pyramid of grids over their group, whose cells hold the tight boxes of their sites. Points lie in tiles, the
+    largest cells of the same grids with at most TILE of them (or leaf cells), and tiles with their tight boxes go
+    down the pyramid: at each step a tile meets the children of the cells it kept, and keeps those whose box isn't farther than
+    the farthest corners of some other one. So it sees a handful of cells a step, however its group is filled, and its points only those
+    sites that lie in the last cells. Points in a group without sites have no row; neither have points and sites with null or
     non-finite coordinates.
     """
     finite = lambda *cs: F.abs(sum((F.col(c).cast("double") for c in cs), F.lit(0.0))) < float("inf")
     points, sites = points.where(finite("px", "py")), sites.where(finite("sx", "sy"))
     extent = sites.groupBy(*by).agg(F.min("sx").alias("x0"), F.max("sx").alias("x9"), F.min("sy").alias("y0"), F.max("sy").alias("y9"))
-    cell = lambda c, lo, hi: F.least(F.floor((F.col(c) - F.col(lo)) / F.when(F.col(hi) > F.col(lo), F.col(hi) - F.col(lo)).otherwise(1.0) * 2.0**DEPTH), F.lit(2**DEPTH - 1)).cast("int")
+    place = lambda c, lo, hi: F.floor((F.col(c) - F.col(lo)) / F.when(F.col(hi) > F.col(lo), F.col(hi) - F.col(lo)).otherwise(1.0) * 2.0**DEPTH)
+    cell = lambda c, lo, hi: F.least(F.greatest(place(c, lo, hi), F.lit(0)), F.lit(2**DEPTH - 1)).cast("int")
     placed = sites.join(extent, by).select(*by, "site_id", "sx", "sy", cell("sx", "x0", "x9").alias("cx"), cell("sy", "y0", "y9").alias("cy"))
-    at = points.select(*by, "point_id", "px", "py", F.lit(0).alias("gx"), F.lit(0).alias("gy"))
-    dx, dy = (lambda x: F.col("px") - F.col(x)), (lambda y: F.col("py") - F.col(y))
-    out = lambda p, lo, hi: F.greatest(F.col(lo) - F.col(p), F.col(p) - F.col(hi), F.lit(0.0))
+    dealt = points.join(extent, by).select(*by, "point_id", "px", "py", cell("px", "x0", "x9").alias("tx"), cell("py", "y0", "y9").alias("ty"))
+    # tiles: the level at which a leaf's points have few enough beside them
+    leaves = dealt.groupBy(*by, "tx", "ty").agg(F.count(F.lit(1)).alias("n"), *(f(c).alias(f"{c}{k}") for c in ("px", "py") for f, k in ((F.min, 1), (F.max, 2))))
+    leaves = leaves.withColumn("level", F.lit(0))
+    for shift in range(STEP, DEPTH + 1, STEP):
+        held = leaves.groupBy(*by, F.shiftright("tx", shift).alias("ux"), F.shiftright("ty", shift).alias("uy")).agg(F.sum("n").alias("held")).where(F.col("held") <= TILE)
+        above = [*by, "ux", "uy"]
+        leaves = leaves.withColumns({"ux": F.shiftright("tx", shift), "uy": F.shiftright("ty", shift)}).join(held, above, "left")
+        leaves = leaves.withColumn("level", F.when(F.col("held").isNotNull(), F.lit(shift)).otherwise(F.col("level"))).drop("ux", "uy", "held")
+    tile = [*by, "level", "ux", "uy"]
+    under = leaves.withColumns({"ux": F.expr("shiftright(tx, level)"), "uy": F.expr("shiftright(ty, level)")})
+    tiles = under.groupBy(*tile).agg(*(f(f"{c}{k}").alias(f"{c}{k}") for c in ("px", "py") for f, k in ((F.min, 1), (F.max, 2))))
+    at = tiles.withColumns({"gx": F.lit(0), "gy": F.lit(0)})
+    wx, wy = least if isinstance(least, tuple) else (least, least)
+    out = lambda p, s: F.greatest(F.col(f"{s}1") - F.col(f"{p}2"), F.col(f"{p}1") - F.col(f"{s}2"), F.lit(0.0))
+    ends = lambda p, s: (F.col(f"{p}1") - F.col(f"{s}2"), F.col(f"{p}2") - F.col(f"{s}1"))
+    box = ["px1", "px2", "py1", "py2"]
     for shift in range(DEPTH - STEP, -1, -STEP):
-        up = lambda c: F.shiftright(c, shift)
+        up = lambda c: F.shiftright(c, shift)  # noqa: E731, B023
         boxes = placed.groupBy(*by, up("cx").alias("kx"), up("cy").alias("ky")).agg(*(f(c).alias(f"{c}{k}") for c in ("sx", "sy") for f, k in ((F.min, 1), (F.max, 2))))
         boxes = boxes.withColumns({"gx": F.shiftright("kx", STEP), "gy": F.shiftright("ky", STEP)})
-        low = least * F.hypot(out("px", "sx1", "sx2"), out("py", "sy1", "sy2"))
-        high = F.greatest(*(metric(dx(x), dy(y)) for x in ("sx1", "sx2") for y in ("sy1", "sy2")))
-        met = at.join(boxes, [*by, "gx", "gy"]).select(*by, "point_id", "px", "py", F.col("kx").alias("gx"), F.col("ky").alias("gy"), low.alias("low"), high.alias("high"))
-        bound = F.min("high").over(Window.partitionBy(*by, "point_id"))  # a few cells of one point
+        low = F.hypot(wx * out("px", "sx"), wy * out("py", "sy"))
+        high = F.greatest(*(metric(dx, dy) for dx in ends("px", "sx") for dy in ends("py", "sy")))
+        met = at.join(boxes, [*by, "gx", "gy"]).select(*tile, *box, F.col("kx").alias("gx"), F.col("ky").alias("gy"), low.alias("low"), high.alias("high"))
+        bound = F.min("high").over(Window.partitionBy(*tile))  # a few cells of one tile
         at = met.withColumn("bound", bound).where(F.col("low") <= F.col("bound") + slack).drop("low", "high", "bound")
-    j = at.join(placed.withColumnsRenamed({"cx": "gx", "cy": "gy"}), [*by, "gx", "gy"]).withColumn("dist", metric(dx("sx"), dy("sy")))
+    found = at.select(*tile, "gx", "gy").join(placed.withColumnsRenamed({"cx": "gx", "cy": "gy"}), [*by, "gx", "gy"]).select(*tile, "site_id", "sx", "sy")
+    own = dealt.join(under.select(*tile, "tx", "ty"), [*by, "tx", "ty"]).select(*tile, "point_id", "px", "py")
+    j = own.join(found, tile).withColumn("dist", metric(F.col("px") - F.col("sx"), F.col("py") - F.col("sy")))
     return j.groupBy(*by, "point_id").agg(F.min(F.struct("dist", "site_id")).alias("m")).select(*by, "point_id", F.col("m.site_id").alias("site_id"), F.col("m.dist").alias("dist"))
 
 
@@ -142,6 +165,15 @@ def mahalanobis_least(inv: tuple[float, float, float]) -> float:
     return low**0.5
 
 
+def mahalanobis_axes(inv: tuple[float, float, float]) -> tuple[float, float]:
+    """Scales of dx and dy after which the Euclidean distance isn't above the Mahalanobis distance: the mixed term takes at most its
+    share of the other two."""
+    mahalanobis_least(inv)  # refuses forms that aren't positive definite
+    xx, xy, yy = inv
+    rest = 1 - abs(xy) / (xx * yy) ** 0.5
+    return (rest * xx) ** 0.5, (rest * yy) ** 0.5
+
+
 #: Rows of a cell that stay together where two tables meet by cell.
 BLOCK = 2000
 

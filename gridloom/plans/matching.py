@@ -87,7 +87,7 @@ def _(s, d):
 @query("nearest_mahalanobis", _NEAR.format(_PTS, _SITES, "(px - sx) * (px - sx) * 0.5 + 2 * (px - sx) * (py - sy) * 0.25 + (py - sy) * (py - sy) * 5.0"))
 def _(s, d):
     inv = (0.5, 0.25, 5.0)
-    return M.nearest(points(s, d), sites(s, d), ["g"], lambda dx, dy: F.round(M.mahalanobis(dx, dy, inv), 6), M.mahalanobis_least(inv))
+    return M.nearest(points(s, d), sites(s, d), ["g"], lambda dx, dy: F.round(M.mahalanobis(dx, dy, inv), 6), M.mahalanobis_axes(inv))
 
 
 @query("distance_within", f"WITH p AS ({_PTS}), t AS ({_SITES}) SELECT point_id, site_id, round(sqrt((px - sx) * (px - sx) + (py - sy) * (py - sy)), 6) AS dist FROM p CROSS JOIN t WHERE sqrt((px - sx) * (px - sx) + (py - sy) * (py - sy)) <= 5")
