@@ -98,24 +98,50 @@ def counted(lists: pa.Table, parts: int) -> pa.Table:
 
 
 def summed(part: pa.Table, least: int) -> pa.Table:
-    """shard, a, b, f: the pairs of a part with ``least`` occurrences in all shards, for each shard that has them."""
+    """The pairs of a part with ``least`` occurrences in all shards, ascending, in one row without a shard (codes, f), and for each shard that has
+    some of them the places of its own in that row (codes): all as differences."""
     codes = [np.cumsum(unpacked(c)) for c in part["codes"].to_pylist()]
     n = unpacked(b"".join(part["n"].to_pylist()))
     code, of = np.unique(np.concatenate(codes), return_inverse=True)
     f = np.zeros(len(code), np.int64)
     np.add.at(f, of, n)
-    hit = f[of] >= least
-    shard = np.repeat(part["shard"].to_numpy(), list(map(len, codes)))[hit]
-    of = of[hit]
-    return pa.table({"shard": shard, "a": code[of] >> 32, "b": code[of] & 0xFFFFFFFF, "f": f[of]})
+    often = f >= least
+    if not often.any():
+        return pa.table({"part": pa.array([], pa.int64()), "shard": pa.array([], pa.int64()), "codes": pa.array([], pa.binary()), "n": pa.array([], pa.binary())})
+    place = np.cumsum(often) - 1
+    hit = often[of]
+    lengths = np.add.reduceat(np.r_[hit, False].astype(np.int64), np.r_[0, np.cumsum(list(map(len, codes)))[:-1]])  # no list is empty
+    mine = np.flatnonzero(lengths)
+    own, lengths = place[of[hit]], lengths[mine]
+    ends = _whole(int(often.sum()))
+    shard = np.r_[-1, part["shard"].to_numpy()[mine]]
+    pairs, count = packed(deltas(code[often], ends), ends), packed(f[often], ends)
+    held = packed(deltas(own, lengths), lengths)
+    at = code[often][own]
+    known = packed(deltas(at, lengths), lengths)
+    first = part["part"][0].as_py()
+    return pa.table({
+        "part": pa.array(np.full(len(shard), first)), "shard": pa.array(shard), "codes": pa.concat_arrays([pairs.cast(pa.binary()), known.cast(pa.binary())]),
+        "n": pa.concat_arrays([count.cast(pa.binary()), held.cast(pa.binary())])})
+
+
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """part, place, a, b, f: the frequent pairs of the rows without a shard."""
+    for x in batches:
+        for part, codes, n in zip(x["part"].to_pylist(), x["codes"].to_pylist(), x["n"].to_pylist()):
+            code, f = np.cumsum(unpacked(codes)), unpacked(n)
+            yield from pieces_of(pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(code), part)), pa.array(np.arange(len(code))), pa.array(code >> 32), pa.array(code & 0xFFFFFFFF), pa.array(f)], ["part", "place", "a", "b", "f"]))
 
 
 def extended(lists: pa.Table, named: pa.Table) -> pa.Table:
-    """shard, phrase, n, at: one row with the lists of the frequent phrases (named: a, b, phrase) of the next level."""
+    """shard, phrase, n, at: one row with the lists of the frequent phrases of the next level. named: for each part the codes of the shard's frequent
+    pairs and their places (n), and the number of the part's first phrase."""
     shard, phrases, n, at = [], np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     if lists.num_rows and named.num_rows:
         at, a, b, phrase = _joined(lists)
-        code = (named["a"].to_numpy() << 32) | named["b"].to_numpy()
+        code = np.concatenate([np.cumsum(unpacked(c)) for c in named["codes"].to_pylist()])
+        number = np.concatenate([np.cumsum(unpacked(c)) + first for c, first in zip(named["n"].to_pylist(), named["first"].to_pylist())])
         order = np.argsort(code)
         mine = (phrase[a] << 32) | phrase[b]
         where = np.minimum(np.searchsorted(code, mine, sorter=order), len(code) - 1)
@@ -123,7 +149,7 @@ def extended(lists: pa.Table, named: pa.Table) -> pa.Table:
         at, of = at[hit], order[where[hit]]
         order = np.argsort(of, kind="stable")
         at, n = at[order], np.bincount(of, minlength=len(code))
-        phrases, n, shard = named["phrase"].to_numpy()[n > 0], n[n > 0], [lists["shard"][0].as_py()]
+        phrases, n, shard = number[n > 0], n[n > 0], [lists["shard"][0].as_py()]
     one = len(shard)
     return pa.table({"shard": pa.array(shard, pa.int64()), "phrase": packed(phrases, _whole(len(phrases))[:one]), "n": packed(n, _whole(len(n))[:one]),
                      "at": packed(deltas(at, n) if len(n) else at[:0], _whole(len(at))[:one])})
@@ -156,13 +182,16 @@ def frequent_phrases(docs: DataFrame, min_count: int = 30, longest: int = 4, sha
         count = lambda t: counted(t, parts)  # noqa: E731, B023
         total = lambda t: summed(t, min_count)
         dealt = lists.groupBy("shard").applyInArrow(count, "part long, shard long, codes binary, n binary")
-        local = scratch(dealt.groupBy("part").applyInArrow(total, "shard long, a long, b long, f long"), "phrase-counts")
-        often = numbered(local.select("a", "b", "f").distinct(), "frequent-phrases")
+        local = scratch(dealt.groupBy("part").applyInArrow(total, "part long, shard long, codes binary, n binary"), "phrase-counts")
+        whole = scratch(local.where("shard < 0").mapInArrow(_listed, "part long, place long, a long, b long, f long"), "frequent-phrases")
+        firsts = whole.groupBy("part").count()  # one row a part
+        firsts = F.broadcast(firsts.select("part", (F.sum("count").over(Window.orderBy("part")) - F.col("count")).alias("first")))
+        often = whole.join(firsts, "part").select("a", "b", "f", (F.col("first") + F.col("place")).alias("id"))
         head, tail = level.select(F.col("id").alias("a"), "lang", "words"), level.select(F.col("id").alias("b"), F.element_at("words", -1).alias("last"))
         level = scratch(often.join(head, "a").join(tail, "b").select("id", "lang", F.concat("words", F.array("last")).alias("words"), "f"), "named-phrases")
         found = found.unionByName(level)
         if k + 1 < longest:
-            named = local.join(often.select("a", "b", F.col("id").alias("phrase")), ["a", "b"]).select("shard", "a", "b", "phrase")
+            named = local.where("shard >= 0").join(firsts, "part").select("shard", "first", "codes", "n")
             lists = scratch(lists.groupBy("shard").cogroup(named.groupBy("shard")).applyInArrow(extended, "shard long, phrase binary, n binary, at binary"), "phrase-lists")
     return found.select("lang", "words", F.array_join("words", " ").alias("phrase"), "f"), totals
 
