@@ -27,12 +27,12 @@ from pyspark.sql import functions as F
 
 from gridloom.llm.common import PIECES, SHARE, columns, hot_keys, lookup, scratch
 from gridloom.llm.components import components
-from gridloom.llm.neardup import shingle_sets
+from gridloom.llm.neardup import STEP, shingle_sets
 from gridloom.llm.pieces import mix64
 from gridloom.llm.shingles import Shingler
 
-#: Ratio of the sizes of neighbouring bands, and growth of the number of pivots.
-BAND, GROW = 1.2, 8
+#: Ratio of the sizes of neighbouring bands, growth of the number of pivots, and the most members of a list that aren't posted anew.
+BAND, GROW, SPLIT = 1.2, 8, 24
 TASK_PAIRS = 1 << 20  # that a task makes of one long list
 
 
@@ -174,15 +174,68 @@ def _allocated(posts: DataFrame, classes: DataFrame, sets: DataFrame, percent: i
 
 
 def _open(lists: DataFrame) -> DataFrame:
-    """The rows of lists with members in more than one component."""
-    open_ = lists.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("key")
-    return scratch(lists.join(open_, "key", "left_semi"), "open-lists")
+    """The rows of lists with members in more than one component. can: a member may be a pivot, held: how many of its list may. These are
+    those with own or, if they are fewer, those outside the list's greatest component: one end of each pair that is left is among either."""
+    each = lists.groupBy("key", "c").agg(F.count("*").alias("of"), F.count(F.when(F.col("own"), 1)).alias("owned"))
+    by_list = each.groupBy("key").agg(F.sum("owned").alias("owned"), F.sum("of").alias("all"), F.max(F.struct("of", "c")).alias("most"))
+    by_list = by_list.select("key", "owned", (F.col("all") - F.col("most.of")).alias("out"), F.col("most.c").alias("most")).where("owned > 0 and out > 0")
+    can = F.when(F.col("owned") <= F.col("out"), F.col("own")).otherwise(F.col("c") != F.col("most"))
+    joined = lists.drop("held", "can").join(by_list, "key").withColumn("can", can).withColumn("held", F.least("owned", "out"))
+    return scratch(joined.drop("owned", "out", "most"), "open-lists")
+
+
+def _by_rarest(sets: DataFrame, percent: int) -> DataFrame:
+    """Lists (key, doc_id, n, rank, own) of the sets under their rarest shingles, by size: two sets at the threshold are in one list.
+
+    A pair of sizes p <= q shares percent * (p + q) / (100 + percent) shingles, so the rarest that it shares has few rarer ones in both sets:
+    the smaller is posted under as many as a partner of its own size needs (own), the larger under as many as the smallest
+    partner of each size class needs. Shingles of one set only are counted but not posted. rank: the rarer shingles of the set.
+    """
+    kind = sets.schema["doc_id"].dataType.simpleString()
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            for lo in range(0, x.num_rows, 256):
+                part = x.slice(lo, 256)
+                got = [np.frombuffer(s.as_py(), np.int64) for s in part["shingles"]]
+                at = pa.array(np.repeat(np.arange(len(got)), list(map(len, got))))
+                yield pa.RecordBatch.from_arrays([part["doc_id"].take(at), part["of"].take(at), part["n"].take(at), pa.array(np.concatenate(got))], ["doc_id", "of", "n", "token"])
+
+    # an id may have several sets
+    each = sets.select("doc_id", F.xxhash64("shingles").alias("of"), F.col("n_shingles").alias("n"), "shingles").dropDuplicates(["doc_id", "of"])
+    tokens = scratch(each.mapInArrow(unpack, f"doc_id {kind}, of long, n long, token long"), "tokens")
+    shared = scratch(tokens.groupBy("token").count().where("count >= 2"), "shared-tokens")
+    ranked = tokens.join(shared, "token").groupBy("doc_id", "of", "n").agg(F.sort_array(F.collect_list(F.struct("count", "token"))).alias("all"))
+    size_class = lambda n: F.floor(F.log(n.cast("double")) / F.lit(float(np.log(STEP))) + 1e-9).cast("int")
+    least = F.ceil(F.lit(percent) * F.col("n") / 100)  # smallest partner
+    prefix = lambda both: (F.col("n") - F.ceil(F.lit(percent) * both / (100 + percent)) + 1).cast("int")
+    smallest = lambda s: F.greatest(F.floor(F.pow(F.lit(STEP), s.cast("double")) - 1e-6), least)
+    role = lambda size, own, take: F.struct(size.alias("size"), F.lit(own).alias("own"), take.alias("take"))
+    roles = F.concat(
+        F.array(role(size_class(F.col("n")), True, prefix(2 * F.col("n")))),
+        F.transform(F.sequence(size_class(least), size_class(F.col("n"))), lambda s: role(s, False, prefix(smallest(s) + F.col("n")))),
+    )
+    alone = (F.col("n") - F.size("all")).cast("int")
+    posts = ranked.select("doc_id", "of", "n", "all", alone.alias("alone"), F.explode(roles).alias("r"))
+    posts = posts.select("doc_id", "of", "n", "r.size", "r.own", "alone", F.posexplode(F.slice("all", F.lit(1), F.greatest(F.col("r.take") - F.col("alone"), F.lit(0)))))
+    posts = posts.select(F.xxhash64("size", "col.token").alias("key"), "doc_id", "n", (F.col("alone") + F.col("pos")).alias("rank"), "own")
+    return posts.groupBy("key", "doc_id", "n", "rank").agg(F.max("own").alias("own"))
+
+
+def _split(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """rest with its long lists replaced by lists of their members' rarest shingles."""
+    kept = rest.where(F.col("held") <= SPLIT)
+    members = scratch(rest.where(F.col("held") > SPLIT).select("doc_id", "c").distinct(), "split-members")
+    if members.isEmpty():
+        return rest
+    made = _by_rarest(sets.join(members, "doc_id", "left_semi"), percent).join(members, "doc_id").withColumn("far", F.lit(None).cast("long"))
+    return kept.union(_open(made).select(*kept.columns))
 
 
 def _met(rest: DataFrame, pivot: DataFrame, pieces: int) -> DataFrame:
     """The members of each list with its pivots, at most ``pieces`` of them. Lists that hold more than 1 / SHARE of all rows are dealt
     out by member, to more tasks the more pairs they make; a pivot is copied to each of them."""
-    pairs = F.col("held") * F.least(F.col("held"), F.lit(pieces))
+    pairs = F.col("held") * F.least(F.col("held"), F.lit(max(pieces, SPLIT)))
     slots = F.least(F.greatest(F.ceil(pairs / TASK_PAIRS), F.lit(PIECES // pieces)), F.lit(PIECES)).cast("int")
     lists = rest.groupBy(F.col("key").alias("hot")).agg(F.count("*").alias("held"))
     large = lists.where(F.col("held") * SHARE > max(rest.count(), 16 * SHARE)).select("hot", slots.alias("slots")).where("slots > 1")
@@ -197,34 +250,44 @@ def _linked(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(node, component) of the linked classes. lists: key, doc_id, n (set size), rank (the central members have the lowest).
 
     In a round each open list is dealt into pieces by a hash of the member, and the first member of every piece is a pivot: it meets
-    all members that haven't been pivots, are in another component and can be near enough. The pieces grow from round to round.
+    all members that haven't been pivots, are in another component and can be near enough. After the first round, in which every list has
+    one pivot, long lists are replaced by lists of rarest shingles, and all members of a short list are pivots at once. The pieces
+    grow from round to round.
     """
     comp = lists.select(F.col("doc_id").alias("node"), F.col("doc_id").alias("component")).limit(0)
-    edges, pieces, rest = None, 1, _open(lists.withColumn("c", F.col("doc_id")))
+    edges, pieces, rest = None, 1, _open(lists.withColumn("c", F.col("doc_id")).withColumn("own", F.lit(True)))
     while not rest.isEmpty():
         started = pieces > 1
-        piece = F.pmod(F.xxhash64("doc_id", F.lit(pieces)), F.lit(pieces)).cast("int")
-        own = F.struct("rank", "doc_id", "n", "c", *(["far"] if started else []))
-        pivot = rest.groupBy("key", piece.alias("deal")).agg(F.min(own).alias("p"))
+        piece = F.xxhash64("doc_id", F.lit(pieces))
+        piece = F.when(F.col("held") <= max(pieces, SPLIT), piece).otherwise(F.pmod(piece, F.lit(pieces))) if started else F.lit(0)
+        first = F.struct("rank", "doc_id", "n", "c", "own", *(["far"] if started else []))
+        pivot = (rest.where("can") if started else rest).groupBy("key", piece.alias("deal")).agg(F.min(first).alias("p"))
         far_of = F.col("p.far") if started else F.lit(None).cast("long")
-        pivot = scratch(pivot.select("key", F.col("p.doc_id").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.c").alias("pc"), far_of.alias("pfar")), "pivots")
+        pivot = scratch(pivot.select("key", F.col("p.doc_id").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.c").alias("pc"), F.col("p.rank").alias("prank"), F.col("p.own").alias("pown"), far_of.alias("pfar")), "pivots")
         most = (F.col("n") + F.col("pn")) * (100 - percent) / (100 + percent)  # differences of a linked pair
         near = F.col("doc_id") != F.col("pivot")
         if started:
-            near = near & (F.col("c") != F.col("pc")) & (F.abs(F.col("far") - F.col("pfar")) <= most)
+            # pivots meet each other once; the rarest shingle that a pair shares has enough others after it in both sets
+            rest = scratch(rest.join(pivot.select("key", F.col("pivot").alias("doc_id"), F.lit(True).alias("first")).distinct(), ["key", "doc_id"], "left"), "dealt-lists")
+            enough = F.least(F.col("n") - F.col("rank"), F.col("pn") - F.col("prank")) * (100 + percent) >= percent * (F.col("n") + F.col("pn"))
+            near = (F.col("first").isNull() | (F.col("doc_id") < F.col("pivot"))) & near & (F.col("c") != F.col("pc")) & (F.col("own") | F.col("pown")) & enough
+            near = near & F.coalesce(F.abs(F.col("far") - F.col("pfar")) <= most, F.lit(True))
         met = _met(rest, pivot, pieces).where(near)
-        pairs = met.select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct()
-        found = scratch(_compared(pairs, sets, percent), "compared")
-        rest = rest.join(pivot.select("key", F.col("pivot").alias("doc_id")), ["key", "doc_id"], "left_anti")
-        if not started:  # every member has met the pivot of its list
-            far = found.select(F.col("a").alias("pivot"), F.col("b").alias("doc_id"), (F.col("na") + F.col("nb") - 2 * F.col("both")).alias("far"))
-            rest = rest.join(pivot.select("key", "pivot"), "key").join(far, ["pivot", "doc_id"]).drop("pivot")
+        ends = F.least("pivot", "doc_id").alias("a"), F.greatest("pivot", "doc_id").alias("b")
+        found = scratch(_compared(met.select(*ends).distinct(), sets, percent), "compared")
+        if started:
+            rest = rest.where("first is null").drop("first")
+        else:  # every member has met the pivot of its list
+            rest = rest.join(pivot.select("key", "pivot"), "key").where(near).select(*rest.columns, *ends)
+            rest = rest.join(found.select("a", "b", (F.col("na") + F.col("nb") - 2 * F.col("both")).alias("far")), ["a", "b"]).drop("a", "b")
         links = found.where("linked").select("a", "b")
         if not links.isEmpty():
             comp = components(links if edges is None else links.union(edges))
             edges = comp.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
             rest = rest.drop("c").join(comp.toDF("doc_id", "c"), "doc_id", "left").withColumn("c", F.coalesce("c", "doc_id"))
         rest = _open(scratch(rest, "rest-of-lists"))
+        if not started:
+            rest = scratch(_split(rest, sets, percent), "split-lists")
         pieces *= GROW
     return comp
 

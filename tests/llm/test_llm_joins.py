@@ -117,6 +117,26 @@ def test_jaccard_of_many_near_copies(spark):
     assert {x.doc_id: x.component_id for x in got} == want and len(set(want.values())) > 5
 
 
+def test_jaccard_of_near_copies_apart_compares_few_pairs(spark, monkeypatch):
+    """Copies of one text with many edits each, most of them linked with nothing: pairs don't grow with the square of their number."""
+    r = random.Random(5)
+    base, rows, met = text(3, 150).split(), [], []
+    for i in range(400):
+        w = list(base)
+        for at in r.sample(range(len(w)), r.choice([1, 4, 6, 8])):
+            w[at : at + 1] = [] if r.random() < 0.2 else ["e" + str(r.randrange(5000))]
+        rows.append((2 * i, " ".join(w)))
+        if i % 40 == 0:  # a near copy of a far one
+            w[r.randrange(len(w))] = "again"
+            rows.append((2 * i + 1, " ".join(w)))
+    sets, compared = sets_of(rows, 3), jaccard._compared
+    want = brute_components(sets, brute_links(sets, 90))
+    monkeypatch.setattr(jaccard, "_compared", lambda pairs, *a: met.append(pairs.count()) or compared(pairs, *a))
+    got = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 90).collect()
+    assert {x.doc_id: x.component_id for x in got} == want and 100 < len(set(want.values())) < 400
+    assert sum(met) < 10 * len(rows), met
+
+
 def test_jaccard_on_odd_rows(spark, odd, none):  # noqa: F811
     by = {r.doc_id: r for r in jaccard.jaccard_components(odd).collect()}
     assert jaccard.jaccard_components(odd).count() == 13 and jaccard.jaccard_components(none).count() == 0
