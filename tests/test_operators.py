@@ -4,6 +4,7 @@ import json
 import struct
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from gridloom.functions import arrays as A
@@ -125,6 +126,21 @@ def test_contours_cover_the_boundary(spark):
         assert all(max(abs(a - c), abs(b - d)) == 1 for (a, b), (c, d) in zip(p, p[1:] + p[:1]) if len(p) > 1)
 
 
+@pytest.mark.parametrize("simple", [False, True])
+def test_contours_across_tiles(spark, simple):
+    """Borders that cross many tiles are those that lie in one, and only chains that cross a tile's edge are ranked in tables."""
+    from gridloom.operators import tracing as P
+    from gridloom.sources.shared import writer
+
+    rng, made = np.random.default_rng(4), []
+    cells = drawn(spark, *("".join(r) for r in rng.choice(["#", "."], (20, 23), p=[0.7, 0.3])))
+    w = writer(spark, "t")
+    counted = lambda df: made.append(1) or w(df)
+    whole = sorted(map(tuple, P.contours(cells, counted, simple).collect()))
+    assert len(made) == 2 and len(whole) > 100
+    assert sorted(map(tuple, P.contours(cells, w, simple, tile=4).collect())) == whole
+
+
 def test_segments_circles_and_words(spark):
     from gridloom.operators import label as M
     from gridloom.operators import tracing as P
