@@ -229,22 +229,34 @@ def topk_candidates(cand: DataFrame, by: list[str], k: int, *order: Column) -> D
 
 
 def atss(truths: DataFrame, anchors: DataFrame, k: int, level: str | None = None) -> DataFrame:
-    """Adaptive assignment: img_id, abox_id, bbox_id, iou. truths and anchors: img_id, box_id, x1, y1, x2, y2; ``level`` names a column of
-    the anchors. The k anchors of an image, on each level, whose centres are nearest to a truth's (ties to the smaller id) are its
+    """Adaptive assignment: img_id, abox_id, bbox_id, iou. truths and anchors: img_id, box_id (unique in an image), x1, y1, x2, y2; ``level`` names a
+    column of the anchors. The k anchors of an image, on each level, whose centres are nearest to a truth's (ties to the smaller id) are its
     candidates; those of them that overlap it by more than the mean plus the deviation of all its candidates and have their centre inside it are its
-    own. An anchor that several truths claim goes to the truth of the image that it overlaps most (ties to the smaller id)."""
-    j = prefixed(truths, "a", "img_id").join(prefixed(anchors, "b", "img_id"), "img_id")
+    own. An anchor that several truths claim goes to the truth of the image that it overlaps most (ties to the smaller id).
+
+    Images are dealt to all shuffle partitions, which aren't coalesced by their size (few boxes give many pairs). Of a pair only what ranks it
+    is sorted, and an anchor meets all truths of its image again only if several claim it."""
+    parts = int(truths.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    a = prefixed(truths, "a", "img_id").repartition(parts, "img_id")
+    b = prefixed(anchors, "b", "img_id")
     mid = lambda p, d: (F.col(f"{p}{d}1") + F.col(f"{p}{d}2")) / 2
     far = F.round(F.hypot(mid("a", "x") - mid("b", "x"), mid("a", "y") - mid("b", "y")), 6)
-    j = j.withColumn("far", far).withColumn("iou", F.round(iou("a", "b"), 6))
-    one = Window.partitionBy("img_id", "abox_id")
-    near = topk_candidates(j, ["img_id", "abox_id", *([f"b{level}"] if level else [])], k, F.col("far"), F.col("bbox_id"))
-    near = near.withColumn("thr", F.round(F.avg("iou").over(one) + F.stddev_samp("iou").over(one), 6))
+    share = F.round(iou("a", "b"), 6)
     inside = F.least(*(side for d in ("x", "y") for side in (mid("b", d) - F.col(f"a{d}1"), F.col(f"a{d}2") - mid("b", d)))) > 0
-    own = near.where((F.col("iou") > F.col("thr")) & inside).groupBy("img_id", "bbox_id").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("abox_id", "iou")).alias("only"))
-    most = j.groupBy("img_id", "bbox_id").agg(F.min(F.struct((-F.col("iou")).alias("less"), "abox_id", "iou")).alias("most"))
+    one, anchor = ["img_id", "abox_id"], ["img_id", "bbox_id"]
+    on = [f"b{level}"] if level else []
+    j = a.join(b.repartition(parts, "img_id"), "img_id").select(*one, "bbox_id", *on, far.alias("far"), share.alias("iou"), inside.alias("inside"))
+    near = topk_candidates(j, [*one, *on], k, F.col("far"), F.col("bbox_id"))
+    w = Window.partitionBy(*one)
+    near = near.withColumn("thr", F.round(F.avg("iou").over(w) + F.stddev_samp("iou").over(w), 6))
+    own = near.where((F.col("iou") > F.col("thr")) & F.col("inside")).select(*anchor, F.struct("abox_id", "iou").alias("only"))
+    sides = [f"b{c}" for c in ("x1", "y1", "x2", "y2")]
+    claimed = own.join(b, anchor).groupBy(*anchor).agg(F.count(F.lit(1)).alias("n"), F.min("only").alias("only"), *(F.first(c).alias(c) for c in sides))
+    met = claimed.alias("c").join(a.alias("t"), (F.col("c.img_id") == F.col("t.img_id")) & (F.col("n") > 1), "left")
+    most = F.min(F.struct((-share).alias("less"), "abox_id", share.alias("iou")))
+    found = met.groupBy("c.img_id", "bbox_id").agg(F.first("n").alias("n"), F.first("only").alias("only"), most.alias("most"))
     pick = lambda c: F.when(F.col("n") > 1, F.col(f"most.{c}")).otherwise(F.col(f"only.{c}")).alias(c)
-    return own.join(most, ["img_id", "bbox_id"]).select("img_id", pick("abox_id"), "bbox_id", pick("iou"))
+    return found.select("img_id", pick("abox_id"), "bbox_id", pick("iou"))
 
 
 def box_distance(p: str, q: str) -> Column:

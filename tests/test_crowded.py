@@ -1,4 +1,4 @@
-"""Crowded grid cells are dealt to several tasks; a plane map is fitted on many pairs in bounded memory."""
+"""Crowded grid cells and pairs of boxes are dealt to several tasks; a plane map is fitted on many pairs in bounded memory."""
 
 import numpy as np
 import pytest
@@ -28,6 +28,35 @@ def test_one_crowded_cell(spark, monkeypatch, name):
     assert tasks.groupby("task").size().max() < len(found) / 2
 
 
+def test_assignment_is_dealt(spark):
+    """Images of few bytes go to all partitions, both to be ranked and where a claimed anchor meets all truths again."""
+    g = np.random.default_rng(7)
+    at, size = g.uniform(0, 30, (1200, 2)), g.uniform(5, 14, (1200, 2))
+    rows = [(k // 40, k, *map(float, (*at[k], *(at[k] + size[k])))) for k in range(1200)]
+    df = spark.createDataFrame(rows + [(None, 9000, 0.0, 0.0, 9.0, 9.0), (None, 9001, 0.0, 0.0, 9.0, 9.0), (77, 9002, 0.0, 0.0, 9.0, 9.0)], "img_id int, box_id long, x1 double, y1 double, x2 double, y2 double")
+    out = M.atss(df.where("box_id % 4 = 0"), df.where("box_id % 4 <> 0"), 5)
+    want, contested = {}, 0
+    for img in range(30):
+        ids = np.arange(40) + 40 * img
+        a, b = ids[ids % 4 == 0], ids[ids % 4 != 0]
+        both = np.clip(np.minimum((at + size)[a, None], (at + size)[b]) - np.maximum(at[a, None], at[b]), 0, None).prod(2)
+        share = (both / (size[a].prod(1)[:, None] + size[b].prod(1) - both)).round(6)
+        mid = at + size / 2
+        near = np.hypot(*np.moveaxis(mid[a, None] - mid[b], 2, 0)).argsort(1)[:, :5]
+        held = np.take_along_axis(share, near, 1)
+        claim = np.zeros(share.shape, bool)
+        np.put_along_axis(claim, near, held > (held.mean(1) + held.std(1, ddof=1)).round(6)[:, None], 1)
+        claim &= (abs(mid[a, None] - mid[b]) < size[a, None] / 2).all(2)
+        for k in np.nonzero(claim.any(0))[0]:
+            contested += claim[:, k].sum() > 1
+            best = (claim[:, k] if claim[:, k].sum() == 1 else share[:, k]).argmax()
+            want[img, int(b[k])] = (int(a[best]), float(share[best, k]))
+    tasks = out.withColumn("task", F.spark_partition_id()).toPandas()
+    assert {(r.img_id, r.bbox_id): (r.abox_id, r.iou) for r in tasks.itertuples()} == want and len(tasks) == len(want) and contested > 5
+    assert tasks.groupby("task").size().max() < len(tasks) / 2
+    assert out._jdf.queryExecution().executedPlan().toString().count("REPARTITION_BY_NUM") >= 2
+
+
 def test_homography_of_many_pairs(spark):
     """The full left factor of 40,000 pairs would take 51 GB."""
     df = spark.range(40_000).select(F.lit(1).alias("g"), (F.col("id") % 200).cast("double").alias("sx"), F.floor(F.col("id") / 200).cast("double").alias("sy"))
