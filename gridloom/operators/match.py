@@ -228,15 +228,19 @@ def topk_candidates(cand: DataFrame, by: list[str], k: int, *order: Column) -> D
     return cand.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+#: Partitions of assignments, if fewer are set: few boxes give many pairs.
+DEALT = 200
+
+
 def atss(truths: DataFrame, anchors: DataFrame, k: int, level: str | None = None) -> DataFrame:
     """Adaptive assignment: img_id, abox_id, bbox_id, iou. truths and anchors: img_id, box_id (unique in an image), x1, y1, x2, y2; ``level`` names a
     column of the anchors. The k anchors of an image, on each level, whose centres are nearest to a truth's (ties to the smaller id) are its
     candidates; those of them that overlap it by more than the mean plus the deviation of all its candidates and have their centre inside it are its
     own. An anchor that several truths claim goes to the truth of the image that it overlaps most (ties to the smaller id).
 
-    Images are dealt to all shuffle partitions, which aren't coalesced by their size (few boxes give many pairs). Of a pair only what ranks it
-    is sorted, and an anchor meets all truths of its image again only if several claim it."""
-    parts = int(truths.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    Images are dealt to all shuffle partitions, DEALT at least, which aren't coalesced by their size. Of a pair only what ranks it is
+    sorted, and an anchor meets all truths of its image again only if several claim it."""
+    parts = max(DEALT, int(truths.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     a = prefixed(truths, "a", "img_id").repartition(parts, "img_id")
     b = prefixed(anchors, "b", "img_id")
     mid = lambda p, d: (F.col(f"{p}{d}1") + F.col(f"{p}{d}2")) / 2
