@@ -32,6 +32,13 @@ def nearly_equal(a: Column, b: Column, eps: float = 1e-6) -> Column:
     return F.abs(a - b) < eps
 
 
+def rounded(v: Column, digits: int) -> Column:
+    """round(v, digits) of a double, bit for bit; in plain arithmetic unless a tie is near (F.round makes a decimal of each value)."""
+    y = v * 10.0**digits
+    n = F.rint(y)
+    return F.when((F.abs(y) < 2.0**40) & (F.abs(y - n) < 0.499), n / 10.0**digits + 0.0).otherwise(F.round(v, digits))
+
+
 def sigmoid(v: Column) -> Column:
     return 1 / (1 + F.exp(-v))
 

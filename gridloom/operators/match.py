@@ -6,6 +6,8 @@ through a grid for each size of box; all are joined by cell.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -178,9 +180,10 @@ def mahalanobis_axes(inv: tuple[float, float, float]) -> tuple[float, float]:
 BLOCK = 2000
 
 
-def _met(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
-    """The inner equi-join by keys (cells of a grid), evenly spread: the rows of a cell are dealt into blocks of about BLOCK by a hash of the row, and
-    each block of a meets each of b as a key of its own, in partitions that aren't coalesced by their size (few rows give many pairs)."""
+def _dealt(a: DataFrame, b: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Both tables of an equi-join by keys (cells of a grid), evenly spread: the rows of a cell are dealt into blocks of about BLOCK by a hash of the
+    row, and each block of a meets each of b as a key of its own (keys, a_, b_), in partitions that aren't coalesced by their size (few rows give
+    many pairs)."""
     blocks = lambda df, n: df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias(n))
     cells = blocks(a, "na_").join(blocks(b, "nb_"), keys)
     parts = int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -190,17 +193,46 @@ def _met(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
         out = df.join(cells, keys).withColumn(f"{own}_", at).withColumn(f"{other}_", F.explode(F.sequence(F.lit(0), F.col(f"n{other}_") - 1)))
         return out.drop("na_", "nb_").repartition(parts, *keys, "a_", "b_")
 
-    return dealt(a, "a", "b").join(dealt(b, "b", "a"), [*keys, "a_", "b_"]).drop("a_", "b_")
+    return dealt(a, "a", "b"), dealt(b, "b", "a")
+
+
+def _met(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """The inner equi-join by keys, dealt."""
+    pa, pb = _dealt(a, b, keys)
+    return pa.join(pb, [*keys, "a_", "b_"]).drop("a_", "b_")
+
+
+#: Columns and rows of a grid to a radius, and differences of rows (up or down) that are matched together.
+COLUMNS, ROWS, APART = 2, 5, 2
 
 
 def within(points: DataFrame, sites: DataFrame, radius: float) -> DataFrame:
-    """Pairs (point_id, site_id, dist) of points and sites no farther than radius apart, through a grid of that pitch."""
-    cell = lambda c: F.floor(F.col(c) / radius)
-    p = points.select("point_id", "px", "py", cell("px").alias("gx"), cell("py").alias("gy"))
-    around = F.array(*(F.struct((cell("sx") + a).alias("gx"), (cell("sy") + b).alias("gy")) for a in (-1, 0, 1) for b in (-1, 0, 1)))
-    s = sites.withColumn("g", F.explode(around)).select("site_id", "sx", "sy", "g.gx", "g.gy")
+    """Pairs (point_id, site_id, dist) of points and sites no farther than radius apart, through a grid; those with null or non-finite coordinates have none.
+
+    The pairs may take far more room than the tables, so they come in an order that a file holds in few bytes: pairs whose grid rows are about as far
+    apart are made in tasks of their own, in a task by the difference of their columns, and a cell's points meet the sites of another cell in one order. So a
+    point's id and a cell's list of sites recur, and where coordinates have few decimals, few different distances occur in one part of a file.
+    """
+    wide, high = (radius * (1 + 1e-6) / n for n in (COLUMNS, ROWS))  # a little more, so that rounding puts no pair farther apart than that
+    cell = lambda c, pitch: F.floor(F.col(c) / pitch + 0.5)
+    finite = lambda x, y: F.abs(F.col(x).cast("double")) + F.abs(F.col(y).cast("double")) < float("inf")
+    p = points.where(finite("px", "py")).select("point_id", "px", "py", cell("px", wide).alias("gx"), cell("py", high).alias("gy"))
+    s = sites.where(finite("sx", "sy")).select("site_id", "sx", "sy", cell("sx", wide).alias("ux"), cell("sy", high).alias("uy"))
     d = F.sqrt((F.col("px") - F.col("sx")) * (F.col("px") - F.col("sx")) + (F.col("py") - F.col("sy")) * (F.col("py") - F.col("sy")))
-    return _met(p, s, ["gx", "gy"]).withColumn("dist", d).where(F.col("dist") <= radius).select("point_id", "site_id", "dist")
+    keys = ["gx", "gy", "a_", "b_"]
+    each = lambda values: F.explode(F.array(*map(F.lit, values)))
+    held = lambda df, by, name, *cols: df.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(*cols))).alias(name))
+
+    def ring(offs: list[int]) -> DataFrame:
+        at = s.withColumn("off", each(offs)).withColumn("col", each(range(-COLUMNS, COLUMNS + 1)))
+        at = at.withColumns({"gx": F.col("ux") - F.col("col"), "gy": F.col("uy") - F.col("off")}).drop("ux", "uy")
+        dp, ds = _dealt(p, at, ["gx", "gy"])
+        j = held(ds, [*keys, "off", "col"], "sites", "sx", "sy", "site_id").join(held(dp, keys, "points", "px", "py", "point_id"), keys)
+        j = j.sortWithinPartitions(F.abs("off"), "off", F.abs("col"), "col", *keys)
+        j = j.select("sites", F.inline("points")).select("point_id", "px", "py", F.inline("sites"))
+        return j.withColumn("dist", d).where(F.col("dist") <= radius).select("point_id", "site_id", "dist")
+
+    return reduce(DataFrame.union, (ring([k for k in range(-ROWS, ROWS + 1) if abs(k) // APART == n]) for n in range(ROWS // APART + 1)))
 
 
 def points_in_boxes(points: DataFrame, boxes: DataFrame, pitch: float, eps: float = 1e-9) -> DataFrame:

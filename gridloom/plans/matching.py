@@ -92,7 +92,7 @@ def _(s, d):
 
 @query("distance_within", f"WITH p AS ({_PTS}), t AS ({_SITES}) SELECT point_id, site_id, round(sqrt((px - sx) * (px - sx) + (py - sy) * (py - sy)), 6) AS dist FROM p CROSS JOIN t WHERE sqrt((px - sx) * (px - sx) + (py - sy) * (py - sy)) <= 5")
 def _(s, d):
-    return M.within(points(s, d), sites(s, d), 5.0).select("point_id", "site_id", F.round("dist", 6).alias("dist"))
+    return M.within(points(s, d), sites(s, d), 5.0).select("point_id", "site_id", N.rounded(F.col("dist"), 6).alias("dist"))
 
 
 @query("points_in_boxes", f"WITH p AS ({_PTS}), t AS ({_SITES}) SELECT point_id, site_id AS box_id FROM p CROSS JOIN t WHERE least(px - (sx - 4), sx + 4 - px, py - (sy - 3), sy + 3 - py) > 1e-9")
