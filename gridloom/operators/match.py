@@ -190,7 +190,8 @@ def _dealt(a: DataFrame, b: DataFrame, keys: list[str]) -> tuple[DataFrame, Data
 
     def dealt(df: DataFrame, own: str, other: str) -> DataFrame:
         at = F.pmod(F.xxhash64(*df.columns), F.col(f"n{own}_")).cast("int")
-        out = df.join(cells, keys).withColumn(f"{own}_", at).withColumn(f"{other}_", F.explode(F.sequence(F.lit(0), F.col(f"n{other}_") - 1)))
+        # by merge: Spark takes df to be as small as before its rows were copied to their cells, and would broadcast it
+        out = df.hint("merge").join(cells, keys).withColumn(f"{own}_", at).withColumn(f"{other}_", F.explode(F.sequence(F.lit(0), F.col(f"n{other}_") - 1)))
         return out.drop("na_", "nb_").repartition(parts, *keys, "a_", "b_")
 
     return dealt(a, "a", "b"), dealt(b, "b", "a")
